@@ -233,8 +233,8 @@ def _kpi_sql(src_ctes: str, src: str, keys: list[str], cols: list[str], has_prof
     return f"WITH {src_ctes},\n{ctes}\nSELECT {', '.join(sel)} FROM kpi"
 
 
-# profit = revenue × 0.35 lies on a 5e-6 grid, so 4 decimals would often sit on a tie
-_KPI_DIGITS = {"profit": 2}
+# profit (revenue × 0.35) and averages (sum / n) sit on ties at 4 decimals far more often than at 2
+_KPI_DIGITS = {"profit": 2, "avg_revenue": 2}
 _KPI_NON_DOUBLE = {"total_records", "unique_products", "unique_regions", "top_product", "weak_product",
                    "top_region", "weak_region", "n_days"}
 
@@ -301,3 +301,173 @@ def q_kpi_profit_actual(spark, sf):
 @query("growth_short_series", oracle=_kpi_sql(CLEAN_EVENTS, "eclean", [], ["growth_pct", "n_days", "total_revenue"]))
 def q_growth_short_series(spark, sf):
     return _kpi_q(spark, sf, [], ["growth_pct", "n_days", "total_revenue"], src=clean_events)
+
+
+# ---------------------------------------------------------------- rollups
+
+from ..functions.dates import MONTHS, WEEKDAYS  # noqa: E402
+from ..operators import rollups as RU  # noqa: E402
+from ..operators import anomaly as AN  # noqa: E402
+from .oracle_sql import STRICT_NUMBER  # noqa: E402
+
+_WEEKDAY_VALUES = ", ".join(f"({i}, '{d}')" for i, d in enumerate(WEEKDAYS))
+
+
+@query("rollup_any", oracle=with_(CLEAN_SALES) + """
+SELECT "Quarter", """ + rnd_sql('sum(COALESCE("Quantity", 0.0))') + """ AS "Quantity",
+       CAST(list_position(['Q1', 'Q2', 'Q3', 'Q4'], "Quarter") AS INTEGER) AS sort_pos
+FROM clean WHERE "Quarter" IS NOT NULL GROUP BY "Quarter\"""")
+def q_rollup_any(spark, sf):
+    return rounded(RU.chart_rollup(clean_sales_view(spark, sf), "Quarter", "Quantity"), R)
+
+
+@query("rollup_text_measure", oracle=with_(CLEAN_RAW_ORDERS) + """
+SELECT market, """ + rnd_sql(
+    "sum(COALESCE(CASE WHEN regexp_matches(units, '" + STRICT_NUMBER + "') THEN TRY_CAST(trim(units) AS DOUBLE) END, 0.0))")
+       + """ AS units
+FROM rclean WHERE market IS NOT NULL GROUP BY market""")
+def q_rollup_text_measure(spark, sf):
+    return rounded(RU.chart_rollup(clean_raw_orders(spark, sf), "market", "units"), R)
+
+
+@query("trend_daily", oracle=with_(CLEAN_SALES) + """
+SELECT "Region", "Date", """ + rnd_sql('sum("Revenue")') + """ AS "Revenue" FROM clean GROUP BY 1, 2""")
+def q_trend_daily(spark, sf):
+    return rounded(RU.trend_daily(clean_sales_view(spark, sf), ["Region"]), R)
+
+
+@query("monthly", oracle=with_(CLEAN_SALES) + """
+SELECT "MonthNum", "Month", """ + rnd_sql('sum("Revenue")') + """ AS "Revenue" FROM clean GROUP BY 1, 2""")
+def q_monthly(spark, sf):
+    return rounded(RU.monthly(clean_sales_view(spark, sf)), R)
+
+
+@query("weekday", oracle=with_(CLEAN_SALES, f"dom AS (SELECT * FROM (VALUES {_WEEKDAY_VALUES}) v(day_pos, \"Day\"))",
+                               'agg AS (SELECT "Day", sum("Revenue") AS rev FROM clean GROUP BY 1)') + """
+SELECT CAST(d.day_pos AS INTEGER) AS day_pos, d."Day", """ + rnd_sql("COALESCE(a.rev, 0.0)") + """ AS "Revenue"
+FROM dom d LEFT JOIN agg a USING ("Day")""")
+def q_weekday(spark, sf):
+    return rounded(RU.weekday(clean_sales_view(spark, sf)), R)
+
+
+@query("weekday_by_region", oracle=with_(
+    CLEAN_SALES, f"dom AS (SELECT * FROM (VALUES {_WEEKDAY_VALUES}) v(day_pos, \"Day\"))",
+    'segs AS (SELECT DISTINCT "Region" FROM clean)',
+    'agg AS (SELECT "Region", "Day", sum("Revenue") AS rev FROM clean GROUP BY 1, 2)') + """
+SELECT s."Region", CAST(d.day_pos AS INTEGER) AS day_pos, d."Day", """ + rnd_sql("COALESCE(a.rev, 0.0)") + """ AS "Revenue"
+FROM segs s CROSS JOIN dom d LEFT JOIN agg a ON a."Region" = s."Region" AND a."Day" = d."Day\"""")
+def q_weekday_by_region(spark, sf):
+    return rounded(RU.weekday(clean_sales_view(spark, sf), ["Region"]), R)
+
+
+@query("top_products", oracle=with_(CLEAN_SALES) + """
+SELECT "Product", """ + rnd_sql("rev") + """ AS "Revenue", CAST(rk AS INTEGER) AS rank FROM (
+  SELECT "Product", sum("Revenue") AS rev, row_number() OVER (ORDER BY sum("Revenue") DESC, "Product") AS rk
+  FROM clean GROUP BY 1) WHERE rk <= 6""")
+def q_top_products(spark, sf):
+    return rounded(RU.top_products(clean_sales_view(spark, sf)), R)
+
+
+@query("top_products_by_region", oracle=with_(CLEAN_SALES) + """
+SELECT "Region", "Product", """ + rnd_sql("rev") + """ AS "Revenue", CAST(rk AS INTEGER) AS rank FROM (
+  SELECT "Region", "Product", sum("Revenue") AS rev,
+         row_number() OVER (PARTITION BY "Region" ORDER BY sum("Revenue") DESC, "Product") AS rk
+  FROM clean GROUP BY 1, 2) WHERE rk <= 6""")
+def q_top_products_by_region(spark, sf):
+    return rounded(RU.top_products(clean_sales_view(spark, sf), ["Region"]), R)
+
+
+@query("region_revenue", oracle=with_(CLEAN_SALES) + """
+SELECT "Region", """ + rnd_sql('sum("Revenue")') + """ AS "Revenue" FROM clean GROUP BY 1""")
+def q_region_revenue(spark, sf):
+    return rounded(RU.region_revenue(clean_sales_view(spark, sf)), R)
+
+
+@query("product_region", oracle=with_(CLEAN_SALES, """perf AS (
+  SELECT "Product", "Region", sum("Revenue") AS rev, sum("Revenue" * 0.35) AS profit, sum("Quantity") AS qty
+  FROM clean GROUP BY 1, 2)""", "mx AS (SELECT max(rev) AS m FROM perf)") + """
+SELECT "Product", "Region", """ + rnd_sql("rev") + """ AS "Revenue", """ + rnd_sql("profit", 2) + """ AS "Profit",
+       """ + rnd_sql("qty") + """ AS "Quantity",
+       """ + rnd_sql("least(22.0, greatest(8.0, rev / (CASE WHEN m > 0 THEN m ELSE 1.0 END) * 22.0))") + """ AS "PointSize"
+FROM perf, mx""")
+def q_product_region(spark, sf):
+    return rounded(RU.product_region(clean_sales_view(spark, sf)), R, {"Profit": 2})
+
+
+_MONTH_COLS = ", ".join(
+    f'{rnd_sql("COALESCE(h.m_" + m + ", 0.0)")} AS "{m}"' for m in MONTHS)
+_MONTH_SUMS = ", ".join(f"""sum(CASE WHEN "Month" = '{m}' THEN "Revenue" END) AS m_{m}""" for m in MONTHS)
+
+
+@query("heatmap", oracle=with_(CLEAN_SALES, f"dom AS (SELECT * FROM (VALUES {_WEEKDAY_VALUES}) v(day_pos, \"Day\"))",
+                               f'h AS (SELECT "Day", {_MONTH_SUMS} FROM clean GROUP BY 1)') + f"""
+SELECT CAST(d.day_pos AS INTEGER) AS day_pos, d."Day",
+       {", ".join(f'CASE WHEN h."Day" IS NULL THEN NULL ELSE {rnd_sql("COALESCE(h.m_" + m + ", 0.0)")} END AS "{m}"' for m in MONTHS)}
+FROM dom d LEFT JOIN h USING ("Day")""")
+def q_heatmap(spark, sf):
+    return rounded(RU.heatmap(clean_sales_view(spark, sf)), R)
+
+
+_RCLEAN_COLS = ["order_id", "invoice_date", "amount", "item", "market", "units", "Date", "Revenue", "Product",
+                "Region", "Quantity", "MonthNum", "Month", "Quarter", "Week", "Day"]
+_MISSING = " + ".join(
+    f'(CASE WHEN "{c}" IS NULL{" OR isnan(" + chr(34) + c + chr(34) + ")" if c in ("Revenue", "Quantity") else ""} THEN 1 ELSE 0 END)'
+    for c in _RCLEAN_COLS)
+
+
+@query("data_quality", oracle=with_(CLEAN_RAW_ORDERS) + f"""
+SELECT count(*) AS rows, CAST(sum({_MISSING}) AS BIGINT) AS missing_cells, min("Date") AS date_start,
+       max("Date") AS date_end, count(*) * {len(_RCLEAN_COLS)} AS total_cells,
+       {rnd_sql(f"CASE WHEN count(*) > 0 THEN sum({_MISSING}) / (count(*) * {len(_RCLEAN_COLS)}) * 100 ELSE 0.0 END")} AS missing_rate,
+       CAST(COALESCE(datediff('day', min("Date"), max("Date")) + 1, 0) AS INTEGER) AS date_span_days,
+       5 AS schema_fields
+FROM rclean""")
+def q_data_quality(spark, sf):
+    return rounded(RU.data_quality(clean_raw_orders(spark, sf)), R)
+
+
+# ---------------------------------------------------------------- anomalies
+
+def _anomaly_sql(ctes: str, src: str, keys: list[str], first_only: bool) -> str:
+    kq = [f'"{c}"' for c in keys]
+    k = "".join(f"{c}, " for c in kq)
+    part = ("PARTITION BY " + ", ".join(kq)) if keys else ""
+    group = ("GROUP BY " + ", ".join(kq)) if keys else ""
+    on = " AND ".join(f"f.{c} = b.{c}" for c in kq) or "true"
+    daily_sql = f'SELECT {k}"Date" AS ds, sum("Revenue") AS y FROM {src} GROUP BY {k}"Date"'
+    body = f"""
+filled AS (
+  SELECT {"".join(f"c.{c}, " for c in kq)}c.ds, COALESCE(d.y, 0.0) AS y
+  FROM cal c LEFT JOIN daily d ON c.ds = d.ds{"".join(f" AND c.{c} = d.{c}" for c in kq)}),
+b AS (SELECT {k}quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3, count(*) AS n FROM filled {group}),
+fl AS (
+  SELECT {"".join(f"f.{c}, " for c in kq)}f.ds, f.y, CASE WHEN f.y > b.q3 + 1.5 * (b.q3 - b.q1) THEN 'high' ELSE 'low' END AS type
+  FROM filled f JOIN b ON {on}
+  WHERE b.n >= 10 AND (f.y < b.q1 - 1.5 * (b.q3 - b.q1) OR f.y > b.q3 + 1.5 * (b.q3 - b.q1))),
+r AS (SELECT *, row_number() OVER ({part} ORDER BY ds) AS rk FROM fl)
+SELECT {k}strftime(ds, '%Y-%m-%d') AS date, {rnd_sql("y")} AS value, type, CAST(rk AS INTEGER) AS rank
+FROM r{" WHERE rk <= 5" if first_only else ""}"""
+    return with_(ctes, f"daily AS ({daily_sql})",
+                 f"bounds AS (SELECT {k}min(ds) AS lo, max(ds) AS hi FROM daily {group})",
+                 f"cal AS (SELECT {k}CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS ds FROM bounds)") \
+        .rstrip() + "," + body
+
+
+@query("anomalies", oracle=_anomaly_sql(CLEAN_SALES, "clean", [], True))
+def q_anomalies(spark, sf):
+    return rounded(AN.detect_anomalies(clean_sales_view(spark, sf)), R)
+
+
+@query("anomalies_all", oracle=_anomaly_sql(CLEAN_SALES, "clean", [], False))
+def q_anomalies_all(spark, sf):
+    return rounded(AN.detect_anomalies(clean_sales_view(spark, sf), first_only=False), R)
+
+
+@query("anomalies_by_region", oracle=_anomaly_sql(CLEAN_SALES, "clean", ["Region"], True))
+def q_anomalies_by_region(spark, sf):
+    return rounded(AN.detect_anomalies(clean_sales_view(spark, sf), ["Region"]), R)
+
+
+@query("anomalies_events", oracle=_anomaly_sql(CLEAN_EVENTS, "eclean", ["event_type"], False))
+def q_anomalies_events(spark, sf):
+    return rounded(AN.detect_anomalies(clean_events(spark, sf), ["event_type"], first_only=False), R)
