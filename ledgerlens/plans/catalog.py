@@ -471,3 +471,65 @@ def q_anomalies_by_region(spark, sf):
 @query("anomalies_events", oracle=_anomaly_sql(CLEAN_EVENTS, "eclean", ["event_type"], False))
 def q_anomalies_events(spark, sf):
     return rounded(AN.detect_anomalies(clean_events(spark, sf), ["event_type"], first_only=False), R)
+
+
+# ---------------------------------------------------------------- insights, summary, risk, copilot
+
+from ..operators import insights as INS  # noqa: E402
+from ..operators import questions as QU  # noqa: E402
+from . import text_sql as TS  # noqa: E402
+
+
+@query("insights", oracle=TS.insights_sql(CLEAN_SALES, "clean", []))
+def q_insights(spark, sf):
+    return INS.generate_insights(clean_sales_view(spark, sf))
+
+
+@query("insights_by_region", oracle=TS.insights_sql(CLEAN_SALES, "clean", ["Region"]))
+def q_insights_by_region(spark, sf):
+    return INS.generate_insights(clean_sales_view(spark, sf), ["Region"])
+
+
+def _summary_out(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*keys, "headline", "summary_text",
+                     F.array_join("recommendations", "\n").alias("recommendations_text"),
+                     F.size("recommendations").alias("n_recommendations"))
+
+
+@query("executive_summary", oracle=TS.summary_sql(CLEAN_SALES, "clean", []))
+def q_executive_summary(spark, sf):
+    return _summary_out(INS.executive_summary(clean_sales_view(spark, sf)), [])
+
+
+@query("executive_summary_by_product", oracle=TS.summary_sql(CLEAN_SALES, "clean", ["Product"]))
+def q_executive_summary_by_product(spark, sf):
+    return _summary_out(INS.executive_summary(clean_sales_view(spark, sf), ["Product"]), ["Product"])
+
+
+@query("risk", oracle=TS.risk_sql(CLEAN_SALES, "clean", ["Region"]))
+def q_risk(spark, sf):
+    return rounded(INS.risk(clean_sales_view(spark, sf), ["Region"]), R)
+
+
+def _user_turns(spark, sf):
+    return TB.table(spark, sf, "conversations").where(F.col("role") == "user")
+
+
+@query("intents", oracle=f"""
+SELECT conv_id, turn, {TS.intent_sql('text')} AS intent FROM conversations WHERE role = 'user'""")
+def q_intents(spark, sf):
+    return _user_turns(spark, sf).select("conv_id", "turn", QU.intent(F.col("text")).alias("intent"))
+
+
+@query("answers", oracle=TS.answers_sql(CLEAN_SALES, "clean"))
+def q_answers(spark, sf):
+    ctx = QU.chat_context(clean_sales_view(spark, sf))
+    out = QU.answer_questions(_user_turns(spark, sf).select("conv_id", "turn", "text"), ctx)
+    return out.select("conv_id", "turn", "intent", "answer")
+
+
+@query("last_turns", oracle="""
+SELECT conv_id, turn, role, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rk FROM conversations) WHERE rk <= 10""")
+def q_last_turns(spark, sf):
+    return QU.last_turns(TB.table(spark, sf, "conversations")).select("conv_id", "turn", "role", "text")
