@@ -17,7 +17,7 @@ from ..operators import schema_map as M
 from ..sources import tables as TB
 from .kpi_sql import kpi_ctes
 from .oracle_sql import CLEAN_EVENTS, CLEAN_RAW_ORDERS, CLEAN_SALES, RAW_ORDERS, with_
-from .registry import query, rnd_sql, rounded
+from .registry import query, rnd_sig, rnd_sig_sql, rnd_sql, rounded
 
 R = 4  # decimals kept in compared doubles
 
@@ -77,7 +77,7 @@ def q_detect_roles(spark, sf):
 # ---------------------------------------------------------------- cleaning
 
 @query("parse_amounts", oracle=with_(RAW_ORDERS) + """
-SELECT order_id, amount, (floor((TRY_CAST(regexp_replace(amount, '[^0-9.\\-]', '', 'g') AS DOUBLE)) * 10000.0 + 0.5) / 10000.0) AS amount_value
+SELECT order_id, amount, (floor((TRY_CAST(regexp_replace(amount, '[^0-9.\\-]', '', 'g') AS DOUBLE)) * 10000.0 + 0.500001) / 10000.0) AS amount_value
 FROM raw_orders""")
 def q_parse_amounts(spark, sf):
     from ..functions.numeric import parse_amount
@@ -101,16 +101,16 @@ def q_parse_dates(spark, sf):
 
 
 @query("clean_sales", oracle=with_(CLEAN_RAW_ORDERS) + """
-SELECT order_id, invoice_date, amount, item, market, units, "Date", (floor(("Revenue") * 10000.0 + 0.5) / 10000.0) AS "Revenue",
-       "Product", "Region", (floor(("Quantity") * 10000.0 + 0.5) / 10000.0) AS "Quantity", "MonthNum", "Month", "Quarter", "Week", "Day"
+SELECT order_id, invoice_date, amount, item, market, units, "Date", (floor(("Revenue") * 10000.0 + 0.500001) / 10000.0) AS "Revenue",
+       "Product", "Region", (floor(("Quantity") * 10000.0 + 0.500001) / 10000.0) AS "Quantity", "MonthNum", "Month", "Quarter", "Week", "Day"
 FROM rclean""")
 def q_clean_sales(spark, sf):
     return rounded(clean_raw_orders(spark, sf), R)
 
 
 @query("clean_sales_view", oracle=with_(CLEAN_SALES) + """
-SELECT order_date, "Date", (floor(("Revenue") * 10000.0 + 0.5) / 10000.0) AS "Revenue", "Product", "Region",
-       (floor(("Quantity") * 10000.0 + 0.5) / 10000.0) AS "Quantity", "MonthNum", "Month", "Quarter", "Week", "Day"
+SELECT order_date, "Date", (floor(("Revenue") * 10000.0 + 0.500001) / 10000.0) AS "Revenue", "Product", "Region",
+       (floor(("Quantity") * 10000.0 + 0.500001) / 10000.0) AS "Quantity", "MonthNum", "Month", "Quarter", "Week", "Day"
 FROM clean""")
 def q_clean_sales_view(spark, sf):
     return rounded(clean_sales_view(spark, sf), R)
@@ -122,7 +122,7 @@ d AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
              CAST(DATE '2024-12-31' - CAST(n - 1 - idx AS INTEGER) AS DATE) AS "Date",
              CAST(c_custkey AS DOUBLE) AS "Revenue", c_name AS "Product", 'Unknown' AS "Region",
              0.0 AS "Quantity" FROM c)
-""" + """SELECT c_custkey, c_name, c_nationkey, (floor((c_acctbal) * 10000.0 + 0.5) / 10000.0) AS c_acctbal, c_mktsegment, "Date",
+""" + """SELECT c_custkey, c_name, c_nationkey, (floor((c_acctbal) * 10000.0 + 0.500001) / 10000.0) AS c_acctbal, c_mktsegment, "Date",
        "Revenue", "Product", "Region", "Quantity",
        CAST(month("Date") AS INTEGER) AS "MonthNum", strftime("Date", '%b') AS "Month",
        'Q' || CAST(quarter("Date") AS VARCHAR) AS "Quarter", CAST(weekofyear("Date") AS INTEGER) AS "Week",
@@ -147,7 +147,7 @@ def q_calendar_columns(spark, sf):
 # ---------------------------------------------------------------- filters
 
 @query("segment_filter", oracle=with_(CLEAN_SALES) + """
-SELECT "Date", (floor(("Revenue") * 10000.0 + 0.5) / 10000.0) AS "Revenue", "Product", "Region", "Quarter", "Day"
+SELECT "Date", (floor(("Revenue") * 10000.0 + 0.500001) / 10000.0) AS "Revenue", "Product", "Region", "Quarter", "Day"
 FROM clean WHERE CAST("Region" AS VARCHAR) = 'EUROPE'""")
 def q_segment_filter(spark, sf):
     df = C.segment_filter(clean_sales_view(spark, sf), "Region", "EUROPE")
@@ -155,10 +155,10 @@ def q_segment_filter(spark, sf):
 
 
 @query("segment_filter_fallback", oracle=with_(CLEAN_SALES) + """
-SELECT "Date", (floor(("Revenue") * 10000.0 + 0.5) / 10000.0) AS "Revenue", "Product", "Region"
+SELECT "Date", (floor(("Revenue") * 10000.0 + 0.500001) / 10000.0) AS "Revenue", "Product", "Region"
 FROM clean WHERE CAST("Region" AS VARCHAR) = 'ATLANTIS'
 UNION ALL
-SELECT "Date", (floor(("Revenue") * 10000.0 + 0.5) / 10000.0) AS "Revenue", "Product", "Region"
+SELECT "Date", (floor(("Revenue") * 10000.0 + 0.500001) / 10000.0) AS "Revenue", "Product", "Region"
 FROM clean WHERE NOT EXISTS (SELECT 1 FROM clean WHERE CAST("Region" AS VARCHAR) = 'ATLANTIS')""")
 def q_segment_filter_fallback(spark, sf):
     df = C.filter_or_all(clean_sales_view(spark, sf), "Region", "ATLANTIS")
@@ -183,7 +183,7 @@ def q_filter_values(spark, sf):
 # ---------------------------------------------------------------- daily series
 
 @query("daily_revenue", oracle=with_(CLEAN_SALES) + """
-SELECT "Date" AS ds, (floor((sum("Revenue")) * 10000.0 + 0.5) / 10000.0) AS y FROM clean GROUP BY "Date\"""")
+SELECT "Date" AS ds, (floor((sum("Revenue")) * 10000.0 + 0.500001) / 10000.0) AS y FROM clean GROUP BY "Date\"""")
 def q_daily_revenue(spark, sf):
     return rounded(S.daily(clean_sales_view(spark, sf)), R)
 
@@ -197,7 +197,7 @@ def _gapfill_sql(ctes: str, daily_sql: str, keys: list[str]) -> str:
     return with_(ctes, f"daily AS ({daily_sql})", f"""bounds AS (SELECT {k}min(ds) AS lo, max(ds) AS hi FROM daily {group})""",
                  f"""cal AS (SELECT {k}CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS ds, lo,
                CAST(datediff('day', lo, hi) + 1 AS INTEGER) AS n_days FROM bounds)""") + f"""
-SELECT {"".join(f"c.{c}, " for c in kq)}c.ds, (floor((COALESCE(d.y, 0.0)) * 10000.0 + 0.5) / 10000.0) AS y,
+SELECT {"".join(f"c.{c}, " for c in kq)}c.ds, (floor((COALESCE(d.y, 0.0)) * 10000.0 + 0.500001) / 10000.0) AS y,
        CAST(datediff('day', c.lo, c.ds) AS INTEGER) AS t, c.n_days
 FROM cal c LEFT JOIN daily d ON c.ds = d.ds{on}"""
 
@@ -533,3 +533,166 @@ SELECT conv_id, turn, role, text FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rk FROM conversations) WHERE rk <= 10""")
 def q_last_turns(spark, sf):
     return QU.last_turns(TB.table(spark, sf, "conversations")).select("conv_id", "turn", "role", "text")
+
+
+# ---------------------------------------------------------------- forecasting
+
+from ..operators.forecast import base as FB  # noqa: E402
+from ..operators.forecast import compare as FC  # noqa: E402
+from ..operators.forecast import moving_average as FMA  # noqa: E402
+from ..operators.forecast import ets as FETS  # noqa: E402
+from ..operators.forecast import arima as FAR  # noqa: E402
+from ..operators.forecast import trees as FTR  # noqa: E402
+
+
+def _sales_series(spark, sf, keys):
+    return S.gap_fill(S.daily(clean_sales_view(spark, sf), keys), keys).select(*keys, "ds", "y")
+
+
+def _events_series(spark, sf):
+    ev = TB.table(spark, sf, "events")
+    return S.prepare_daily_series(ev, ["event_type"], date_col="ts", value_col="value").select("event_type", "ds", "y")
+
+
+def _ma_sql(ctes: str, daily_sql: str, keys: list[str], backtest: bool) -> str:
+    """Oracle for M2 + M3 (+ A21 when `backtest`): gap-fill, clamp horizon, moving average."""
+    kq = [f'"{c}"' for c in keys] or ['"seg"']
+    kl = ", ".join(kq)
+    seg = "" if keys else ', 1 AS "seg"'
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in kq)
+    outk = "".join(f'{c}, ' for c in [f'"{x}"' for x in keys])
+    body = with_(ctes, f"daily AS (SELECT *{seg} FROM ({daily_sql}))",
+                 f"bounds AS (SELECT {kl}, min(ds) AS lo, max(ds) AS hi FROM daily GROUP BY {kl})",
+                 f"""cal AS (SELECT {kl}, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS ds, lo,
+                       CAST(datediff('day', lo, hi) + 1 AS INTEGER) AS n FROM bounds)""",
+                 f"""filled AS (SELECT {", ".join("c." + c for c in kq)}, c.ds, COALESCE(d.y, 0.0) AS y,
+                       CAST(datediff('day', c.lo, c.ds) AS INTEGER) AS t, c.n,
+                       greatest(3, least(30, greatest(3, c.n // 4))) AS h
+                     FROM cal c LEFT JOIN daily d ON c.ds = d.ds AND {on('c', 'd')})""",
+                 (f"req AS (SELECT {kl}, ds, y, t, n - h AS n, h FROM filled WHERE n >= 20 AND t < n - h)" if backtest
+                  else f"req AS (SELECT {kl}, ds, y, t, n, h FROM filled)"),
+                 f"""rm AS (SELECT *, CASE WHEN n >= 7
+                       THEN avg(y) OVER (PARTITION BY {kl} ORDER BY t ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+                       ELSE avg(y) OVER (PARTITION BY {kl} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                       END AS r FROM req)""",
+                 f"""st AS (SELECT {kl}, avg(CASE WHEN t >= n - least(7, n) THEN y END) AS level,
+                       COALESCE(stddev_pop(y - r), 0.0) AS sigma, max(ds) AS last_ds, max(h) AS h
+                     FROM rm GROUP BY {kl})""",
+                 f"""fc AS (SELECT {kl}, CAST(unnest(generate_series(1, h)) AS INTEGER) AS step, level, sigma, last_ds FROM st)""")
+    rows = f"""SELECT {", ".join("fc." + c for c in kq)}, fc.step, CAST(fc.last_ds + fc.step AS DATE) AS ds, fc.level AS forecast,
+       greatest(fc.level - 1.96 * fc.sigma, 0.0) AS lower, greatest(fc.level + 1.96 * fc.sigma, 0.0) AS upper FROM fc"""
+    if not backtest:
+        return body + f"""SELECT {outk}'Moving Average' AS model, step, ds, {rnd_sql("forecast")} AS forecast,
+       {rnd_sql("lower")} AS lower, {rnd_sql("upper")} AS upper FROM ({rows})"""
+    outp = "".join(f'p."{x}", ' for x in keys)
+    return body + f""", p AS ({rows})
+SELECT {outp}'Moving Average' AS model, {rnd_sql("avg(abs(f.y - p.forecast))")} AS mae,
+       {rnd_sql("sqrt(avg((f.y - p.forecast) * (f.y - p.forecast)))")} AS rmse,
+       {rnd_sig_sql("avg(abs((f.y - p.forecast) / greatest(abs(f.y), 1e-6))) * 100")} AS mape
+FROM p JOIN filled f ON p.ds = f.ds AND {on('p', 'f')} GROUP BY {", ".join("p." + c for c in kq)}"""
+
+
+_SALES_DAILY = 'SELECT "Date" AS ds, sum("Revenue") AS y FROM clean GROUP BY 1'
+_SALES_DAILY_REGION = 'SELECT "Region", "Date" AS ds, sum("Revenue") AS y FROM clean GROUP BY 1, 2'
+_EVENTS_DAILY = ("SELECT event_type, CAST(ts AS DATE) AS ds, sum(COALESCE(value, 0.0)) AS y FROM events "
+                 "WHERE ts IS NOT NULL GROUP BY 1, 2")
+
+
+def _ma_query(series, keys):
+    req = FB.full_request(FB.plan_requests(series, keys, 30), keys)
+    return rounded(FMA.moving_average(req, keys), R)
+
+
+@query("moving_average_forecast", oracle=_ma_sql(CLEAN_SALES, _SALES_DAILY, [], False))
+def q_moving_average_forecast(spark, sf):
+    return _ma_query(_sales_series(spark, sf, []), [])
+
+
+@query("moving_average_events", oracle=_ma_sql("ev AS (SELECT 1)", _EVENTS_DAILY, ["event_type"], False))
+def q_moving_average_events(spark, sf):
+    return _ma_query(_events_series(spark, sf), ["event_type"])
+
+
+@query("forecast_metrics", oracle=_ma_sql(CLEAN_SALES, _SALES_DAILY_REGION, ["Region"], True))
+def q_forecast_metrics(spark, sf):
+    keys = ["Region"]
+    plan = FB.plan_requests(_sales_series(spark, sf, keys), keys, 30)
+    fc = FMA.moving_average(FB.train_request(plan, keys), keys)
+    sc = FB.score(fc.select(*keys, "model", "ds", "forecast"), plan.where(F.col("split") == "test"), keys)
+    # MAPE spans many decades when actual days are zero: compare 6 significant digits
+    return rounded(sc.withColumn("mape", rnd_sig(F.col("mape"))), R)
+
+
+_LAGS = ", ".join(f"lag(y, {k}) OVER w AS lag_{k}" for k in range(1, 22))
+_ROLL = ", ".join(
+    f"CASE WHEN count(y) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) = {n} "
+    f"THEN {fn}(y) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END AS roll_{nm}_{n}"
+    for nm, fn in (("mean", "avg"), ("std", "stddev_samp")) for n in (7, 14))
+# window means of 1e-4-grid values sit on ties at 4 decimals; cents are tie-free here
+_FEAT_DIGITS = {"roll_mean_7": 2, "roll_mean_14": 2}
+_FEAT_COLS = ["ds", "y"] + [f"lag_{k}" for k in range(1, 22)] + [
+    "roll_mean_7", "roll_mean_14", "roll_std_7", "roll_std_14", "dayofweek", "month", "day"]
+
+
+@query("supervised_features", oracle=_gapfill_sql(CLEAN_SALES, _SALES_DAILY, []).replace(
+    "\nSELECT c.ds, ", "\n, g AS (SELECT c.ds, ", 1) + f"""
+)
+SELECT {", ".join(c if c in ("ds", "dayofweek", "month", "day") else f"{rnd_sql(c, _FEAT_DIGITS.get(c, R))} AS {c}" for c in _FEAT_COLS)}
+FROM (SELECT ds, y, {_LAGS}, {_ROLL}, CAST(isodow(ds) - 1 AS INTEGER) AS dayofweek,
+             CAST(month(ds) AS INTEGER) AS month, CAST(day(ds) AS INTEGER) AS day,
+             row_number() OVER w AS rn
+      FROM g WINDOW w AS (ORDER BY ds)) WHERE rn > 21""")
+def q_supervised_features(spark, sf):
+    return rounded(S.supervised_features(_sales_series(spark, sf, []), [], 21), R, _FEAT_DIGITS)
+
+
+@query("ets_forecast")
+def q_ets_forecast(spark, sf):
+    keys = ["Region"]
+    req = FB.full_request(FB.plan_requests(_sales_series(spark, sf, keys), keys, 30), keys)
+    return FETS.ets(req, keys)
+
+
+@query("arima_grid_best")
+def q_arima_grid_best(spark, sf):
+    keys = ["Region"]
+    req = FB.train_request(FB.plan_requests(_sales_series(spark, sf, keys), keys, 30), keys)
+    return FAR.arima(req, keys).groupBy(*keys).agg(F.first("extra").alias("config"), F.first("aic").alias("aic"),
+                                                   F.count(F.lit(1)).alias("steps"))
+
+
+@query("arima_forecast")
+def q_arima_forecast(spark, sf):
+    keys = ["Region"]
+    req = FB.full_request(FB.plan_requests(_sales_series(spark, sf, keys), keys, 30), keys)
+    return FAR.arima(req, keys).drop("cid", "aic")
+
+
+@query("forest_forecast")
+def q_forest_forecast(spark, sf):
+    keys = ["Region"]
+    req = FB.train_request(FB.plan_requests(_sales_series(spark, sf, keys), keys, 30), keys)
+    return FTR.forest_forecast(req, keys)
+
+
+@query("boosting_forecast")
+def q_boosting_forecast(spark, sf):
+    keys = ["Region"]
+    req = FB.train_request(FB.plan_requests(_sales_series(spark, sf, keys), keys, 30), keys)
+    return FTR.boosting_forecast(req, keys)
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf):
+    return FC.compare_forecasting_models(_events_series(spark, sf), ["event_type"], 30).comparison
+
+
+@query("best_forecast")
+def q_best_forecast(spark, sf):
+    return FC.compare_forecasting_models(_events_series(spark, sf), ["event_type"], 30).forecast
+
+
+@query("forecast_summary")
+def q_forecast_summary(spark, sf):
+    keys = ["Region"]
+    return FC.compare_forecasting_models(_sales_series(spark, sf, keys), keys, 30).summary

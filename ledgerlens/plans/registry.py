@@ -37,19 +37,36 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
+# A value that is a tie in exact arithmetic reaches the two engines a few ulps apart;
+# the tolerance sends both copies of such a tie up (it is far below any real gap).
+TIE_TOLERANCE = 1e-6
+
+
 def rnd(c, digits: int):
-    """Half-up rounding on the binary value: floor(x·10^d + 0.5) / 10^d.
+    """Half-up rounding on the binary value: floor(x·10^d + 0.5 + tol) / 10^d.
 
     Written the same way in the oracle SQL (`rnd_sql`), so both engines round a given double
     identically; the built-in `round` functions disagree on ties.
     """
     scale = 10 ** digits
-    return F.floor(c * F.lit(float(scale)) + F.lit(0.5)) / F.lit(float(scale))
+    return F.floor(c * F.lit(float(scale)) + F.lit(0.5 + TIE_TOLERANCE)) / F.lit(float(scale))
 
 
 def rnd_sql(expr: str, digits: int = 4) -> str:
     scale = float(10 ** digits)
-    return f"(floor(({expr}) * {scale} + 0.5) / {scale})"
+    return f"(floor(({expr}) * {scale} + {0.5 + TIE_TOLERANCE!r}) / {scale})"
+
+
+def rnd_sig(c, sig: int = 6):
+    """Round to `sig` significant digits (for values whose magnitude varies by many decades)."""
+    e = F.floor(F.log10(F.abs(c)))
+    scale = F.pow(F.lit(10.0), F.lit(sig - 1) - e)
+    return F.when(c == 0, c).otherwise(F.floor(c * scale + F.lit(0.5 + TIE_TOLERANCE)) / scale)
+
+
+def rnd_sig_sql(expr: str, sig: int = 6) -> str:
+    scale = f"pow(10.0, {sig - 1} - floor(log10(abs({expr}))))"
+    return f"(CASE WHEN ({expr}) = 0 THEN ({expr}) ELSE floor(({expr}) * {scale} + {0.5 + TIE_TOLERANCE!r}) / {scale} END)"
 
 
 def rounded(df: DataFrame, digits: int = 2, overrides: dict[str, int] | None = None) -> DataFrame:

@@ -29,6 +29,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.master(master).appName(app_name)
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
+    if master.startswith("local"):
+        # local mode runs everything in the driver JVM; its heap is the only memory knob
+        builder = builder.config("spark.driver.memory", os.environ.get("LEDGERLENS_DRIVER_MEMORY", "16g"))
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra_conf or {}).items():
