@@ -696,3 +696,54 @@ def q_best_forecast(spark, sf):
 def q_forecast_summary(spark, sf):
     keys = ["Region"]
     return FC.compare_forecasting_models(_sales_series(spark, sf, keys), keys, 30).summary
+
+
+# ---------------------------------------------------------------- users and sessions
+
+from ..operators import users as US  # noqa: E402
+
+AS_OF = "2024-01-20 00:00:00"
+_USERS_SQL = """users_v AS (
+  SELECT c_custkey AS id, lower(regexp_replace(c_name, '[^A-Za-z0-9]+', '.', 'g')) || '@example.com' AS email,
+         CASE WHEN lower(c_mktsegment) = 'building' THEN 'admin' WHEN lower(c_mktsegment) = 'machinery' THEN 'analyst'
+              ELSE 'viewer' END AS role
+  FROM customer)"""
+_SESSIONS_SQL = """sessions_v AS (
+  SELECT event_id AS id, 'tok-' || CAST(event_id AS VARCHAR) AS token, user_id, ts AS created_at,
+         ts + INTERVAL 7 DAY AS expires_at FROM events)"""
+
+
+@query("screen_signups", oracle=with_(_USERS_SQL, """req AS (
+  SELECT c_custkey AS request_id,
+    CASE WHEN c_custkey % 11 = 0 THEN '  '
+         WHEN c_custkey % 7 = 0 THEN replace(' ' || upper(lower(regexp_replace(c_name, '[^A-Za-z0-9]+', '.', 'g')) || '@' ||
+              CASE WHEN lower(c_mktsegment) = 'building' THEN 'example.com' ELSE 'example.org' END) || ' ', '@', ' at ')
+         ELSE ' ' || upper(lower(regexp_replace(c_name, '[^A-Za-z0-9]+', '.', 'g')) || '@' ||
+              CASE WHEN lower(c_mktsegment) = 'building' THEN 'example.com' ELSE 'example.org' END) || ' ' END AS email_raw,
+    CASE WHEN c_custkey % 3 = 0 THEN ' Admin ' WHEN c_custkey % 3 = 1 THEN 'analyst' ELSE c_mktsegment END AS role_raw
+  FROM customer)""", """r AS (
+  SELECT request_id, lower(trim(email_raw)) AS email,
+         CASE WHEN lower(trim(role_raw)) IN ('viewer', 'analyst', 'admin') THEN lower(trim(role_raw)) ELSE 'viewer' END AS role
+  FROM req)""", """r2 AS (
+  SELECT r.*, e.email IS NOT NULL AS taken, row_number() OVER (PARTITION BY r.email ORDER BY request_id) AS rn
+  FROM r LEFT JOIN (SELECT DISTINCT lower(trim(email)) AS email FROM users_v) e USING (email))""") + """
+SELECT request_id, email, role,
+  CASE WHEN email = '' OR NOT contains(email, '@') OR taken OR rn > 1 THEN 'rejected' ELSE 'ok' END AS status,
+  CASE WHEN email = '' OR NOT contains(email, '@') THEN 'Invalid email address.'
+       WHEN taken OR rn > 1 THEN 'Email already exists.' END AS reason
+FROM r2""")
+def q_screen_signups(spark, sf):
+    return US.screen_signups(TB.signup_requests(spark, sf), TB.users(spark, sf))
+
+
+@query("active_sessions", oracle=with_(_USERS_SQL, _SESSIONS_SQL) + f"""
+SELECT s.token, s.user_id, u.email, u.role, s.expires_at
+FROM sessions_v s JOIN users_v u ON u.id = s.user_id WHERE s.expires_at >= TIMESTAMP '{AS_OF}'""")
+def q_active_sessions(spark, sf):
+    return US.active_sessions(TB.sessions(spark, sf), TB.users(spark, sf), AS_OF)
+
+
+@query("purge_expired", oracle=with_(_SESSIONS_SQL) + f"""
+SELECT id, token, user_id, created_at, expires_at FROM sessions_v WHERE expires_at >= TIMESTAMP '{AS_OF}'""")
+def q_purge_expired(spark, sf):
+    return US.purge_expired(TB.sessions(spark, sf), AS_OF)

@@ -109,21 +109,38 @@ def events_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as a session table: one session per event, expiring seven days after `ts`."""
+    from ..operators.users import expiry
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("id"),
                     F.concat(F.lit("tok-"), F.col("event_id").cast("string")).alias("token"),
                     F.col("user_id"),
-                    F.col("ts").cast("timestamp").alias("created_at"),
-                    (F.col("ts").cast("timestamp") + F.expr("INTERVAL 7 DAYS")).alias("expires_at"))
+                    F.col("ts").alias("created_at"),
+                    expiry(F.col("ts")).alias("expires_at"))
+
+
+def user_email(name: F.Column, domain: str | F.Column = "example.com") -> F.Column:
+    dom = F.lit(domain) if isinstance(domain, str) else domain
+    return F.concat(F.lower(F.regexp_replace(name, "[^A-Za-z0-9]+", ".")), F.lit("@"), dom)
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`customer` as the user table (credential columns are not modelled)."""
     c = table(spark, sf_dir, "customer")
     seg = F.lower(F.col("c_mktsegment"))
-    return c.select(F.col("c_custkey").alias("id"),
-                    F.concat(F.lower(F.regexp_replace(F.col("c_name"), "[^A-Za-z0-9]+", ".")),
-                             F.lit("@example.com")).alias("email"),
+    return c.select(F.col("c_custkey").alias("id"), user_email(F.col("c_name")).alias("email"),
                     F.when(seg == "building", "admin").when(seg == "machinery", "analyst")
-                    .otherwise("viewer").alias("role"),
-                    F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"))
+                    .otherwise("viewer").alias("role"))
+
+
+def signup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-up batch from `customer`: mixed-case padded emails, some without '@' or empty,
+    building-segment customers on the existing domain, free-text roles."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    domain = F.when(F.lower(F.col("c_mktsegment")) == "building", "example.com").otherwise("example.org")
+    good = F.concat(F.lit(" "), F.upper(user_email(F.col("c_name"), domain)), F.lit(" "))
+    email = (F.when(k % 11 == 0, F.lit("  "))
+             .when(k % 7 == 0, F.regexp_replace(good, "@", " at "))
+             .otherwise(good))
+    role = F.when(k % 3 == 0, F.lit(" Admin ")).when(k % 3 == 1, F.lit("analyst")).otherwise(F.col("c_mktsegment"))
+    return c.select(k.alias("request_id"), email.alias("email_raw"), role.alias("role_raw"))
