@@ -10,6 +10,7 @@ series — documented deviation, the reference mixes train and full series there
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -61,7 +62,10 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
     train = train_request(plan, k)
     test = plan.where(F.col("split") == "test").select(*k, "ds", "y")
 
-    backtests = [_run(m, train, k, tree_params) for m in models]
+    # the models are independent jobs: submit them from parallel driver threads so the
+    # sequential boosting rounds overlap with the other fits
+    with ThreadPoolExecutor(max_workers=len(models)) as pool:
+        backtests = list(pool.map(lambda m: _run(m, train, k, tree_params), models))
     bt = backtests[0]
     for b in backtests[1:]:
         bt = bt.unionByName(b)
@@ -73,8 +77,7 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
     best = comparison.groupBy(*k).agg(F.min_by("model", F.struct("mape", "model_rank")).alias("best_model"))
 
     full = full_request(plan, k)
-    refits = []
-    for m in models:
+    def refit_one(m: str) -> DataFrame:
         name = _NAMES[m]
         chosen = best.where(F.col("best_model") == name).select(*k)
         req = full.join(chosen, k, "left_semi")
@@ -83,8 +86,11 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
             config = bt.where(F.col("model") == SARIMAX).join(chosen, k, "left_semi") \
                 .groupBy(*k).agg(F.first("extra").alias("extra"))
             config = config.join(_cid_table(series.sparkSession), "extra").select(*k, "cid")
-        refits.append(_run(m, req, k, tree_params, config).select(
-            *k, F.col("model").alias("best_model"), "step", "ds", "forecast", "lower", "upper"))
+        return _run(m, req, k, tree_params, config).select(
+            *k, F.col("model").alias("best_model"), "step", "ds", "forecast", "lower", "upper")
+
+    with ThreadPoolExecutor(max_workers=len(models)) as pool:
+        refits = list(pool.map(refit_one, models))
     # moving average: short series, segments whose backtests all failed, and failed refits
     refit = refits[0]
     for r in refits[1:]:

@@ -36,6 +36,10 @@ FOREST_DEPTH = 8
 # Memory for split statistics per pass: larger means fewer passes over the training rows.
 NODE_MEMORY_MB = 1024
 CHECKPOINT_EVERY = 5
+ROWS_PER_PARTITION = 200_000
+# Boosting keeps per-row predictions across rounds; checkpoint them every N rounds so a lost
+# executor recomputes at most N rounds (and the lineage stays shallow).
+GBT_CHECKPOINT_INTERVAL = 25
 
 
 def lag_count(n_train: int) -> int:
@@ -65,7 +69,7 @@ def _estimator(kind: str, params: dict):
                         maxIter=params.get("max_iter", BOOSTING_ROUNDS),
                         stepSize=params.get("step_size", BOOSTING_RATE),
                         maxDepth=params.get("max_depth", BOOSTING_DEPTH),
-                        maxMemoryInMB=NODE_MEMORY_MB, seed=SEED)
+                        maxMemoryInMB=NODE_MEMORY_MB, checkpointInterval=GBT_CHECKPOINT_INTERVAL, seed=SEED)
 
 
 def tree_forecast(request: DataFrame, keys: Sequence[str] = (), kind: str = "forest",
@@ -95,6 +99,10 @@ def tree_forecast(request: DataFrame, keys: Sequence[str] = (), kind: str = "for
     feats = S.supervised_features(scaled.select(*k, "ds", "y"), k, lags)
     assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
     train = assembler.transform(feats).select(*k, "ds", "features", F.col("y").alias("label"))
+    # iterative learners run several jobs per round: size partitions to the rows, not to
+    # the shuffle setting, so small pooled sets do not pay for hundreds of empty tasks
+    rows = train.count()
+    train = train.repartition(max(1, -(-rows // ROWS_PER_PARTITION))).cache()
     model = _estimator(kind, params).fit(train)
 
     # in-sample residual σ per segment, back on the original scale (population std)
