@@ -747,3 +747,45 @@ def q_active_sessions(spark, sf):
 SELECT id, token, user_id, created_at, expires_at FROM sessions_v WHERE expires_at >= TIMESTAMP '{AS_OF}'""")
 def q_purge_expired(spark, sf):
     return US.purge_expired(TB.sessions(spark, sf), AS_OF)
+
+
+# ---------------------------------------------------------------- sources, sinks, documents
+
+from ..operators import report as RP  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+
+
+@query("ingest_manifest")
+def q_ingest_manifest(spark, sf):
+    """Writes `raw_orders` as CSV into the shared scratch folder, then scans it back."""
+    path = FS.scratch_path(spark, "raw_orders_csv")
+    TB.raw_orders(spark, sf).write.mode("overwrite").option("header", True).csv(path)
+    return FS.ingest_manifest(FS.read_upload(spark, path, "csv"))
+
+
+@query("csv_roundtrip_clean")
+def q_csv_roundtrip_clean(spark, sf):
+    """Cleaned `raw_orders` written as CSV (S6), read back with inferred types (S1) and cleaned again."""
+    path = FS.scratch_path(spark, "raw_orders_upload")
+    TB.raw_orders(spark, sf).write.mode("overwrite").option("header", True).csv(path)
+    return rounded(C.clean_sales(FS.read_upload(spark, path, "csv"))[0], R)
+
+
+@query("sample_rows", oracle=with_(CLEAN_SALES) + """
+SELECT "Date", """ + rnd_sql('"Revenue"') + """ AS "Revenue", "Product", "Region" FROM clean
+ORDER BY "Date", "Revenue" DESC LIMIT 10""")
+def q_sample_rows(spark, sf):
+    top = FS.sample_rows(clean_sales_view(spark, sf), 10, ("Date", F.col("Revenue").desc()))
+    return rounded(top.select("Date", "Revenue", "Product", "Region"), R)
+
+
+@query("report_document")
+def q_report_document(spark, sf):
+    clean, roles = C.clean_sales(TB.sales(spark, sf))
+    return RP.analysis_document(clean, roles, ["Region"]).select("Region", "document")
+
+
+@query("report_insights_roundtrip", oracle=TS.insights_sql(CLEAN_SALES, "clean", ["Region"]))
+def q_report_insights_roundtrip(spark, sf):
+    clean, roles = C.clean_sales(TB.sales(spark, sf))
+    return RP.insights_from_document(RP.analysis_document(clean, roles, ["Region"]), ["Region"])
