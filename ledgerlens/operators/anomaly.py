@@ -33,7 +33,12 @@ def detect_anomalies(clean: DataFrame, keys: Sequence[str] = (), first_only: boo
     """
     user_keys = list(keys)
     df, k = seg_keys(clean, user_keys)
-    filled = S.gap_fill(S.daily(df, k), k).select(*k, "ds", "y")
+    return drop_seg(anomalies_from_daily(S.daily(df, k), k, first_only))
+
+
+def anomalies_from_daily(daily: DataFrame, k: list[str], first_only: bool = True) -> DataFrame:
+    """R1 on a daily (not gap-filled) frame `(k…, ds, y)`; keeps the key columns as given."""
+    filled = S.gap_fill(daily, k).select(*k, "ds", "y")
     bounds = iqr_bounds(filled, k).where(F.col("n_days") >= MIN_DAYS)
     flagged = (filled.join(bounds, k)
                .where((F.col("y") < F.col("lower")) | (F.col("y") > F.col("upper")))
@@ -44,10 +49,14 @@ def detect_anomalies(clean: DataFrame, keys: Sequence[str] = (), first_only: boo
     ranked = flagged.withColumn("rank", F.row_number().over(w)).drop("ds")
     if first_only:
         ranked = ranked.where(F.col("rank") <= REPORTED)
-    return drop_seg(ranked)
+    return ranked
 
 
 def anomaly_counts(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Number of reported anomalies (≤ 5) per segment, for the rule texts."""
     keys = list(keys)
     return detect_anomalies(clean, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("anomaly_count"))
+
+
+def anomaly_counts_from_daily(daily: DataFrame, k: list[str]) -> DataFrame:
+    return anomalies_from_daily(daily, k).groupBy(*k).agg(F.count(F.lit(1)).alias("anomaly_count"))

@@ -91,12 +91,13 @@ def analysis_frame(clean: DataFrame, keys: Sequence[str] = (), forecast: DataFra
     `forecast`, when given, is `(keys…, best_model, forecast_sum)` one row per segment.
     """
     user_keys = list(keys)
-    kp = K.calculate_kpis(clean, user_keys)
-    an = AN.anomaly_counts(clean, user_keys)
+    g, k = K.shared_rollup(clean, user_keys)        # one scan of the rows for KPIs and anomalies
+    kp = K.calculate_kpis(clean, user_keys, rollup=(g, k))
+    an = AN.anomaly_counts_from_daily(K.daily_from_rollup(g, k), k)
     if user_keys:
         out = kp.join(an, user_keys, "left")
     else:
-        out = kp.withColumn("__j", F.lit(0)).join(an.withColumn("__j", F.lit(0)), "__j", "left").drop("__j")
+        out = kp.withColumn("__j", F.lit(0)).join(an.drop(k[0]).withColumn("__j", F.lit(0)), "__j", "left").drop("__j")
     out = out.withColumn("anomaly_count", F.coalesce("anomaly_count", F.lit(0)).cast("bigint"))
     if forecast is not None:
         fc = forecast.select(*user_keys, "best_model", "forecast_sum")

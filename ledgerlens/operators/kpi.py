@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,8 +115,7 @@ def kpis_from_rollup(g: DataFrame, keys: list[str]) -> DataFrame:
         "first_ds", "last_ds")
     prod = _top_weak(g.where(F.col("level") == "product"), keys, "Product_", "product")
     reg = _top_weak(g.where(F.col("level") == "region"), keys, "Region_", "region")
-    days = (g.where(F.col("level") == "day").select(*keys, F.col("Date_").alias("ds"), F.col("rev").alias("y"))
-            .join(tot.select(*keys, "first_ds", "last_ds"), keys))
+    days = daily_from_rollup(g, keys).join(tot.select(*keys, "first_ds", "last_ds"), keys)
     growth = growth_from_days(days, keys)
 
     total = F.col("total_revenue")
@@ -141,14 +141,29 @@ def kpis_from_rollup(g: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def calculate_kpis(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def shared_rollup(clean: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The grouping-sets aggregate, persisted: its four branches prune different columns, so
+    without it every branch would rescan and rejoin the input. The persisted rows are the
+    aggregate (segments × (products + regions + days)), never raw rows; a lost block is
+    recomputed from lineage."""
+    df, k = seg_keys(clean, list(keys))
+    return segment_rollup(df, k).persist(StorageLevel.MEMORY_AND_DISK), k
+
+
+def daily_from_rollup(g: DataFrame, k: list[str]) -> DataFrame:
+    """A5 from the shared aggregate: `(k…, ds, y)`."""
+    return g.where(F.col("level") == "day").select(*k, F.col("Date_").alias("ds"), F.col("rev").alias("y"))
+
+
+def calculate_kpis(clean: DataFrame, keys: Sequence[str] = (), rollup=None) -> DataFrame:
     """The 21-field KPI record, one row per segment (`keys=[]` = whole table).
 
     An empty whole-table input gives the all-zero record, as the reference does.
+    `rollup` lets a caller share one `shared_rollup` between KPIs and other operators.
     """
     user_keys = list(keys)
-    df, k = seg_keys(clean, user_keys)
-    out = kpis_from_rollup(segment_rollup(df, k), k)
+    g, k = rollup if rollup is not None else shared_rollup(clean, user_keys)
+    out = kpis_from_rollup(g, k)
     out = drop_seg(out)
     if not user_keys:
         out = out.unionByName(zero_kpis(clean.sparkSession).join(out.limit(1).select(F.lit(1).alias("x")),
