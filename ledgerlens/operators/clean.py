@@ -40,6 +40,13 @@ def empty_cleaned(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CLEANED_SCHEMA)
 
 
+def require_rows(df: DataFrame, message: str = "No usable rows found after cleaning.") -> DataFrame:
+    """The API's empty guards (an action that reads at most one row)."""
+    if df.isEmpty():
+        raise ValueError(message)
+    return df
+
+
 def strip_headers(df: DataFrame) -> DataFrame:
     """Strip outer blanks from headers; a clash after stripping is an error."""
     names = [str(c).strip() for c in df.columns]

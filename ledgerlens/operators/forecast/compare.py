@@ -30,6 +30,9 @@ _NAMES = {"sarimax": SARIMAX, "ets": ETS, "forest": FOREST, "boosting": BOOSTING
 MSG_SHORT = "Not enough data. Used moving average fallback."
 MSG_ALL_FAILED = "All models failed. Used moving average fallback."
 MSG_BEST = "Best model selected: {name}"
+MSG_TOO_FEW = "Not enough dates for forecasting."
+NOT_ENOUGH = "Not enough data"
+MIN_DAYS = 5
 
 
 @dataclass
@@ -57,8 +60,16 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
     """`series` is a gap-filled daily frame `(keys…, ds, y)` (see `series.prepare_daily_series`)."""
     user_keys = list(keys)
     tree_params = tree_params or {}
-    series, k = seg_keys(series.select(*user_keys, "ds", "y"), user_keys)
-    plan = plan_requests(series, k, horizon).persist()
+    # P20: rows without a usable value are dropped before modelling
+    series, k = seg_keys(series.select(*user_keys, "ds", "y").where(F.col("y").isNotNull()), user_keys)
+    plan_all = plan_requests(series, k, horizon)
+    # Fewer than five calendar days -> no forecast, only a payload row
+    plan = plan_all.where(F.col("n") >= MIN_DAYS).persist()
+    too_few = (plan_all.where(F.col("n") < MIN_DAYS).groupBy(*k)
+               .agg(F.max("ds").alias("training_end"))
+               .select(*k, F.lit(NOT_ENOUGH).alias("best_model"), F.lit(0).alias("horizon"), "training_end",
+                       F.lit(0.0).alias("forecast_sum"), F.lit(0.0).alias("forecast_average"),
+                       F.lit(MSG_TOO_FEW).alias("message")))
     train = train_request(plan, k)
     test = plan.where(F.col("split") == "test").select(*k, "ds", "y")
 
@@ -112,13 +123,28 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
            .otherwise(F.concat(F.lit(MSG_BEST.split("{")[0]), F.col("best_model"))))
     summary = (totals.join(info, k).join(had_backtest, k, "left")
                .select(*k, "best_model", "horizon", "training_end", "forecast_sum", "forecast_average",
-                       msg.alias("message")))
+                       msg.alias("message"))
+               .unionByName(too_few))
     return ForecastResult(
         comparison=drop_seg(comparison.select(*k, "model", "mae", "rmse", "mape", "extra")),
         forecast=drop_seg(forecast),
         summary=drop_seg(summary))
 
 
+def forecast_overlay(series: DataFrame, forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Actual series and forecast with its band as one long frame with a `series` column."""
+    keys = list(keys)
+    actual = series.select(*keys, "ds", F.col("y").alias("value")).withColumn("series", F.lit("actual"))
+    fc = forecast.select(*keys, "ds", F.col("forecast").alias("value"), "lower", "upper") \
+        .withColumn("series", F.lit("forecast"))
+    return actual.unionByName(fc, allowMissingColumns=True)
+
+
+def write_bundle(result: ForecastResult, path: str, keys: Sequence[str] = ()) -> None:
+    """Append the bundle metadata (one JSON line per segment) to a shared folder."""
+    model_bundle(result, keys).write.mode("append").json(path)
+
+
 def _cid_table(spark) -> DataFrame:
     rows = [(cid, AR.config_text(o, so)) for cid, o, so in AR.CANDIDATES]
     return spark.createDataFrame(rows, "cid int, extra string")
@@ -134,4 +160,5 @@ def model_bundle(result: ForecastResult, keys: Sequence[str] = ()) -> DataFrame:
         .alias("meta"))
 
 
-__all__ = ["compare_forecasting_models", "ForecastResult", "model_bundle", "ALL_KEY"]
+__all__ = ["compare_forecasting_models", "ForecastResult", "model_bundle", "write_bundle",
+           "forecast_overlay", "ALL_KEY"]

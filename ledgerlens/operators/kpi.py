@@ -184,6 +184,36 @@ def zero_kpis(spark) -> DataFrame:
         "weak_region_share double, n_days int")
 
 
+def normalize_kpis(kpis: DataFrame) -> DataFrame:
+    """P18 + F9: dashboard names with fallbacks (first present column wins, else a default)."""
+    have = set(kpis.columns)
+
+    def pick(*names, default):
+        cols = [F.col(n) for n in names if n in have]
+        return F.coalesce(*cols, F.lit(default)) if cols else F.lit(default)
+
+    keep = [c for c in kpis.columns if c not in KPI_FIELDS]
+    return kpis.select(
+        *keep,
+        pick("total_revenue", default=0.0).alias("total_revenue"),
+        pick("avg_revenue", default=0.0).alias("avg_revenue"),
+        pick("total_records", default=0).alias("total_records"),
+        pick("profit", default=0.0).alias("profit"),
+        pick("margin", "margin_pct", default=0.0).alias("margin"),
+        pick("unique_items", "unique_products", default=0).alias("unique_items"),
+        pick("growth", "growth_pct", default=0.0).alias("growth"),
+        pick("volatility", "volatility_pct", default=0.0).alias("volatility"),
+        pick("top_product", default=None).cast("string").alias("top_product"),
+        pick("top_product_value", "top_product_revenue", default=0.0).alias("top_product_value"),
+        pick("weak_product", default=None).cast("string").alias("weak_product"),
+        pick("weak_product_value", "weak_product_revenue", default=0.0).alias("weak_product_value"),
+        pick("top_region", default=None).cast("string").alias("top_region"),
+        pick("top_region_value", "top_region_revenue", default=0.0).alias("top_region_value"),
+        pick("weak_region", default=None).cast("string").alias("weak_region"),
+        pick("weak_region_value", "weak_region_revenue", default=0.0).alias("weak_region_value"),
+        pick("unique_regions", default=0).alias("unique_regions"))
+
+
 def risk_columns(kpis: DataFrame) -> DataFrame:
     """R4 (High/Medium/Low), R5 (copilot elevated/controlled) and A24 (stability)."""
     # a missing volatility (one row) compares as not above any threshold

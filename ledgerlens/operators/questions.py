@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import currency, fixed, fixed_or_nan
+from ..plans.topk import group_top_k
 from . import insights as I
 from .insights import template
 
@@ -140,6 +141,6 @@ def answer_questions(questions: DataFrame, context: DataFrame, text_col: str = "
 
 def last_turns(conversations: DataFrame, n: int = HISTORY_TURNS, key: str = "conv_id",
                order: str = "turn") -> DataFrame:
-    """The last n messages of every conversation, in order."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return conversations.withColumn("__rk", F.row_number().over(w)).where(F.col("__rk") <= n).drop("__rk")
+    """The last n messages of every conversation (salted top-k, so one huge
+    conversation is ranked in many tasks, not one)."""
+    return group_top_k(conversations, [key], [F.col(order).desc()], n, "__rk").drop("__rk")

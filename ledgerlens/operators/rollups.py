@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import MONTHS, QUARTERS, WEEKDAYS
 from ..functions.numeric import strict_number
 from ..plans.joins import drop_seg, seg_keys
+from ..plans.topk import group_top_k
 from .kpi import PROFIT_RATIO
 
 CATEGORY_ORDERS = {"Month": MONTHS, "Quarter": QUARTERS, "Day": WEEKDAYS}
@@ -73,12 +74,7 @@ def top_products(clean: DataFrame, keys: Sequence[str] = (), k: int = TOP_PRODUC
     """
     keys = list(keys)
     agg = clean.groupBy(*keys, "Product").agg(F.sum("Revenue").alias("Revenue"))
-    if not keys:
-        top = agg.orderBy(F.col("Revenue").desc(), F.col("Product")).limit(k)
-        w = Window.orderBy(F.col("Revenue").desc(), F.col("Product"))  # k rows only
-        return top.withColumn("rank", F.row_number().over(w))
-    w = Window.partitionBy(*keys).orderBy(F.col("Revenue").desc(), F.col("Product"))
-    return agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return group_top_k(agg, keys, [F.col("Revenue").desc(), F.col("Product")], k)
 
 
 def region_revenue(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ transaction logic, not data work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Allowed roles, the default role, session lifetime and rejection messages.
@@ -33,8 +33,10 @@ def screen_signups(requests: DataFrame, users: DataFrame, id_col: str = "request
     r = requests.select(id_col, email.alias("email"),
                         F.when(role.isin(*ROLES), role).otherwise(F.lit(DEFAULT_ROLE)).alias("role"))
     existing = users.select(F.lower(F.trim("email")).alias("email")).distinct().withColumn("__taken", F.lit(True))
-    first = F.row_number().over(Window.partitionBy("email").orderBy(id_col))
-    r = r.join(existing, "email", "left").withColumn("__rn", first)
+    # earliest request per email by a partial aggregate (no window over one email's rows)
+    first = r.groupBy("email").agg(F.min(id_col).alias("__first"))
+    r = (r.join(existing, "email", "left").join(first, "email")
+         .withColumn("__rn", F.when(F.col(id_col) == F.col("__first"), 1).otherwise(2)))
     invalid = (F.col("email") == "") | ~F.col("email").contains("@")
     reason = (F.when(invalid, F.lit(MSG_INVALID_EMAIL))
               .when(F.col("__taken").isNotNull() | (F.col("__rn") > 1), F.lit(MSG_EMAIL_EXISTS)))

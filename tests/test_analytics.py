@@ -153,3 +153,8 @@ def test_answers_use_context(spark):
 def test_last_turns(spark):
     conv = spark.createDataFrame([(1, t, "user", str(t)) for t in range(15)], "conv_id int, turn int, role string, text string")
     assert sorted(r.turn for r in Q.last_turns(conv).collect()) == list(range(5, 15))
+
+
+def test_normalize_kpis_fallbacks(spark):
+    k = K.normalize_kpis(K.calculate_kpis(_clean(spark, [(0, 10, "p", "r")]))).first()
+    assert k.margin == pytest.approx(35.0) and k.unique_items == 1 and k.top_product_value == 10.0

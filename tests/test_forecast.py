@@ -118,3 +118,16 @@ def test_compare_selects_least_mape(spark):
     assert res.forecast.count() == 22
     fc = res.forecast.collect()
     assert all(r.lower <= r.upper for r in fc)
+
+
+def test_compare_guard_and_bundle(spark, tmp_path):
+    two = _series(spark, [1.0, 2.0, 3.0], key="tiny").unionByName(_series(spark, [5.0] * 12, key="short"))
+    res = CM.compare_forecasting_models(two, ["seg"], 30, models=("ets",))
+    got = {r.seg: r for r in res.summary.collect()}
+    assert got["tiny"].best_model == "Not enough data" and got["tiny"].message == CM.MSG_TOO_FEW
+    assert got["short"].best_model == "Moving Average"
+    assert res.forecast.where(F.col("seg") == "tiny").count() == 0
+    CM.write_bundle(res, str(tmp_path / "bundle"), ["seg"])
+    assert spark.read.json(str(tmp_path / "bundle")).count() == 2
+    ov = CM.forecast_overlay(two, res.forecast, ["seg"])
+    assert ov.where(F.col("series") == "forecast").count() == 3
