@@ -646,11 +646,64 @@ def q_supervised_features(spark, sf):
     return rounded(S.supervised_features(_sales_series(spark, sf, []), [], 21), R, _FEAT_DIGITS)
 
 
-@query("ets_forecast")
+def _ets_sql(ctes: str, daily_sql: str, key: str) -> str:
+    """Oracle for M6: the same Holt–Winters fold as a recursive CTE over the same grid, with
+    the operations in the same order (sequential sums, identical update formulas)."""
+    from itertools import product as _product
+    kq = f'"{key}"'
+    grid = ", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({g} AS DOUBLE))"
+                     for a, b, g in _product(FETS.ALPHAS, FETS.BETAS, FETS.GAMMAS))
+    g0 = FETS.GAMMAS[0]
+    return with_(
+        ctes, f"daily AS ({daily_sql})",
+        f"bounds AS (SELECT {kq}, min(ds) AS lo, max(ds) AS hi FROM daily GROUP BY {kq})",
+        f"""cal AS (SELECT {kq}, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS ds, lo,
+               CAST(datediff('day', lo, hi) + 1 AS INTEGER) AS n FROM bounds)""",
+        f"""filled AS (SELECT c.{kq}, c.ds, COALESCE(d.y, 0.0) AS y, CAST(datediff('day', c.lo, c.ds) AS INTEGER) AS t,
+               c.n, greatest(3, least(30, greatest(3, c.n // 4))) AS h
+             FROM cal c LEFT JOIN daily d ON c.ds = d.ds AND c.{kq} = d.{kq})""",
+        f"""ini AS (SELECT {kq}, n, h, max(ds) AS last_ds, list(y ORDER BY t) AS ys FROM filled GROUP BY {kq}, n, h)""",
+        f"""ini2 AS (SELECT *, n >= {FETS.MIN_SEASONAL} AS seasonal, ys[1:7] AS wk1, ys[8:14] AS wk2 FROM ini)""",
+        f"""ini3 AS (SELECT *, list_reduce(list_prepend(CAST(0.0 AS DOUBLE), wk1), lambda a, x: a + x) / len(wk1) AS m1,
+               list_reduce(list_prepend(CAST(0.0 AS DOUBLE), wk2), lambda a, x: a + x) / len(wk2) AS m2 FROM ini2)""",
+        f"""st0 AS (SELECT {kq}, n, h, last_ds,
+               CASE WHEN seasonal THEN m1 ELSE ys[1] END AS l,
+               CASE WHEN seasonal THEN (m2 - m1) / 7 WHEN n >= 2 THEN ys[2] - ys[1] ELSE CAST(0.0 AS DOUBLE) END AS b,
+               CASE WHEN seasonal THEN list_transform(wk1, lambda x: x - m1) ELSE CAST([0, 0, 0, 0, 0, 0, 0] AS DOUBLE[]) END AS s,
+               seasonal FROM ini3)""",
+        f"""grid AS (SELECT * FROM (VALUES {grid}) v(alpha, beta, graw))""",
+        f"""start AS (SELECT st0.*, alpha, beta, graw, CASE WHEN seasonal THEN graw ELSE CAST(0.0 AS DOUBLE) END AS gam
+                  FROM st0, grid WHERE seasonal OR graw = {g0})""",
+        f"""RECURSIVE rec AS (
+  SELECT {kq}, n, h, last_ds, alpha, beta, graw, gam, 0 AS t, l, b, s, CAST(0.0 AS DOUBLE) AS sse, CAST(0.0 AS DOUBLE) AS se FROM start
+  UNION ALL
+  SELECT {kq}, n, h, last_ds, alpha, beta, graw, gam, t + 1, lvl,
+         beta * (lvl - l) + (1 - beta) * b,
+         list_transform(s, lambda x, j: CASE WHEN j - 1 = t % 7 THEN gam * (y - lvl) + (1 - gam) * sv ELSE x END),
+         sse + err * err, se + err
+  FROM (SELECT r.*, f.y, r.s[(r.t % 7) + 1] AS sv,
+               f.y - (r.l + r.b + r.s[(r.t % 7) + 1]) AS err,
+               r.alpha * (f.y - r.s[(r.t % 7) + 1]) + (1 - r.alpha) * (r.l + r.b) AS lvl
+        FROM rec r JOIN filled f ON f.{kq} = r.{kq} AND f.t = r.t))""",
+        f"""fin AS (SELECT * FROM rec WHERE t = n)""",
+        f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {kq} ORDER BY sse, alpha, beta, graw) AS rk
+                                  FROM fin) WHERE rk = 1)""",
+        f"""fc AS (SELECT {kq}, last_ds, n, l, b, s,
+                  sqrt(greatest(sse / n - (se / n) * (se / n), 0.0)) AS sigma,
+                  CAST(unnest(generate_series(1, h)) AS INTEGER) AS step FROM best)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE rec AS", "rec AS") + f"""
+SELECT {kq}, 'Exponential Smoothing' AS model, step, CAST(last_ds + step AS DATE) AS ds,
+       {rnd_sql("l + step * b + s[((n + step - 1) % 7) + 1]")} AS forecast,
+       {rnd_sql("greatest(l + step * b + s[((n + step - 1) % 7) + 1] - 1.96 * sigma, 0.0)")} AS lower,
+       {rnd_sql("greatest(l + step * b + s[((n + step - 1) % 7) + 1] + 1.96 * sigma, 0.0)")} AS upper
+FROM fc"""
+
+
+@query("ets_forecast", oracle=_ets_sql(CLEAN_SALES, _SALES_DAILY_REGION, "Region"))
 def q_ets_forecast(spark, sf):
     keys = ["Region"]
     req = FB.full_request(FB.plan_requests(_sales_series(spark, sf, keys), keys, 30), keys)
-    return FETS.ets(req, keys)
+    return rounded(FETS.ets(req, keys), R)
 
 
 @query("arima_grid_best")
