@@ -73,11 +73,17 @@ def read_xlsx(spark: SparkSession, path: str, columns: list[str] | None = None)
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     if columns is None:
-        head = files.select("content").limit(1).collect()
+        # the header is parsed inside a task; only the header cells reach the driver
+        def header(batches):
+            for pdf in batches:
+                for content in pdf["content"]:
+                    first = first_sheet_rows(bytes(content))
+                    yield pd.DataFrame({"cells": [[None if c is None else str(c) for c in (first[0] if first else [])]]})
+                    return
+        head = files.select("content").limit(1).mapInPandas(header, "cells array<string>").collect()
         if not head:
             raise ValueError(f"no .xlsx files under {path}")
-        columns = [str(c).strip() if c is not None else f"column_{i}"
-                   for i, c in enumerate(first_sheet_rows(bytes(head[0][0]))[0])]
+        columns = [str(c).strip() if c is not None else f"column_{i}" for i, c in enumerate(head[0][0])]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     names = list(columns)
 
