@@ -121,7 +121,7 @@ WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS idx, count(*)
 d AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
              CAST(DATE '2024-12-31' - CAST(n - 1 - idx AS INTEGER) AS DATE) AS "Date",
              CAST(c_custkey AS DOUBLE) AS "Revenue", c_name AS "Product", 'Unknown' AS "Region",
-             0.0 AS "Quantity" FROM c)
+             CAST(0.0 AS DOUBLE) AS "Quantity" FROM c)
 """ + """SELECT c_custkey, c_name, c_nationkey, (floor((c_acctbal) * 10000.0 + 0.500001) / 10000.0) AS c_acctbal, c_mktsegment, "Date",
        "Revenue", "Product", "Region", "Quantity",
        CAST(month("Date") AS INTEGER) AS "MonthNum", strftime("Date", '%b') AS "Month",
@@ -315,7 +315,7 @@ _WEEKDAY_VALUES = ", ".join(f"({i}, '{d}')" for i, d in enumerate(WEEKDAYS))
 
 @query("rollup_any", oracle=with_(CLEAN_SALES) + """
 SELECT "Quarter", """ + rnd_sql('sum(COALESCE("Quantity", 0.0))') + """ AS "Quantity",
-       CAST(list_position(['Q1', 'Q2', 'Q3', 'Q4'], "Quarter") AS INTEGER) AS sort_pos
+       CAST(list_position(['Q1', 'Q2', 'Q3', 'Q4'], "Quarter") AS BIGINT) AS sort_pos
 FROM clean WHERE "Quarter" IS NOT NULL GROUP BY "Quarter\"""")
 def q_rollup_any(spark, sf):
     return rounded(RU.chart_rollup(clean_sales_view(spark, sf), "Quarter", "Quantity"), R)
