@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.joins import drop_seg, seg_keys
@@ -16,13 +16,14 @@ IQR_K = 1.5
 REPORTED = 5
 
 
-def iqr_bounds(filled: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact quartiles (linear interpolation) per segment and the two fences."""
-    q = F.percentile(F.col("y"), F.array(F.lit(0.25), F.lit(0.75)))
-    b = filled.groupBy(*keys).agg(q.alias("__q"), F.count(F.lit(1)).alias("n_days"))
-    q1, q3 = F.col("__q")[0], F.col("__q")[1]
-    return b.select(*keys, "n_days", q1.alias("q1"), q3.alias("q3"),
-                    (q1 - IQR_K * (q3 - q1)).alias("lower"), (q3 + IQR_K * (q3 - q1)).alias("upper"))
+def _quantile(sorted_ys: F.Column, n: F.Column, p: float) -> F.Column:
+    """Linear-interpolation quantile of a sorted array (pandas / `quantile_cont` rule)."""
+    pos = (n - 1) * p
+    i = F.floor(pos).cast("int")
+    frac = pos - i
+    a = F.element_at(sorted_ys, i + 1)
+    b = F.element_at(sorted_ys, F.least(i + 2, n))
+    return a + frac * (b - a)
 
 
 def detect_anomalies(clean: DataFrame, keys: Sequence[str] = (), first_only: bool = True) -> DataFrame:
@@ -37,19 +38,26 @@ def detect_anomalies(clean: DataFrame, keys: Sequence[str] = (), first_only: boo
 
 
 def anomalies_from_daily(daily: DataFrame, k: list[str], first_only: bool = True) -> DataFrame:
-    """R1 on a daily (not gap-filled) frame `(k…, ds, y)`; keeps the key columns as given."""
-    filled = S.gap_fill(daily, k).select(*k, "ds", "y")
-    bounds = iqr_bounds(filled, k).where(F.col("n_days") >= MIN_DAYS)
-    flagged = (filled.join(bounds, k)
-               .where((F.col("y") < F.col("lower")) | (F.col("y") > F.col("upper")))
-               .select(*k, F.date_format("ds", "yyyy-MM-dd").alias("date"), F.col("y").alias("value"),
-                       F.when(F.col("y") > F.col("upper"), "high").otherwise("low").alias("type"),
-                       "ds"))
-    w = Window.partitionBy(*k).orderBy("ds")
-    ranked = flagged.withColumn("rank", F.row_number().over(w)).drop("ds")
+    """R1 on a daily (not gap-filled) frame `(k…, ds, y)`; keeps the key columns as given.
+
+    Works on each segment's gap-filled calendar arrays (bounded by its date span): exact
+    quartiles from the sorted array, fences, flagged days in date order — one row per
+    segment until the final explode, so the daily rows are read once.
+    """
+    cal = S.segment_calendar(daily, k).where(F.col("n_days") >= MIN_DAYS)
+    srt = F.array_sort("ys")
+    q1, q3 = _quantile(srt, F.col("n_days"), 0.25), _quantile(srt, F.col("n_days"), 0.75)
+    b = cal.select(*k, "days", "ys", q1.alias("q1"), q3.alias("q3"))
+    b = b.withColumn("lower", F.col("q1") - IQR_K * (F.col("q3") - F.col("q1"))) \
+         .withColumn("upper", F.col("q3") + IQR_K * (F.col("q3") - F.col("q1")))
+    zipped = F.arrays_zip("days", "ys")
+    flagged = F.filter(zipped, lambda z: (z["ys"] < F.col("lower")) | (z["ys"] > F.col("upper")))
     if first_only:
-        ranked = ranked.where(F.col("rank") <= REPORTED)
-    return ranked
+        flagged = F.slice(flagged, 1, REPORTED)
+    out = b.select(*k, "upper", F.posexplode(flagged).alias("pos", "z"))
+    return out.select(*k, F.date_format(F.col("z.days"), "yyyy-MM-dd").alias("date"), F.col("z.ys").alias("value"),
+                      F.when(F.col("z.ys") > F.col("upper"), "high").otherwise("low").alias("type"),
+                      (F.col("pos") + 1).alias("rank"))
 
 
 def anomaly_counts(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

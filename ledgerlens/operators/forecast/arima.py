@@ -143,8 +143,10 @@ def _fit_group(keys: list[str]):
             ok = True
         except Exception:  # noqa: BLE001 - a failed fit is skipped, as in the reference
             fc, sd, aic, ok = np.full(h, np.nan), np.full(h, np.nan), np.nan, False
+        last = pd.Timestamp(pdf["ds"].iloc[-1])
         out = pd.DataFrame({
             "cid": int(row["cid"]), "step": np.arange(1, h + 1, dtype="int32"),
+            "ds": [(last + pd.Timedelta(days=i)).date() for i in range(1, h + 1)],
             "forecast": fc, "lower": fc - Z95 * sd, "upper": fc + Z95 * sd, "aic": aic, "ok": ok,
             "extra": config_text(order, seas)})
         for k, v in base.items():
@@ -169,21 +171,18 @@ def arima(request: DataFrame, keys: Sequence[str] = (), config: DataFrame | None
                                F.lit(o[2]).alias("q"), F.lit(so[0]).alias("sp"), F.lit(so[1]).alias("sd"),
                                F.lit(so[2]).alias("sq"), F.lit(so[3]).alias("ss"))
                       for cid, o, so in CANDIDATES])
-    fan = request.select(*keys, "t", "y", "n", "h", F.explode(cands).alias("c")).select(
-        *keys, "t", "y", "n", "h", "c.*")
+    fan = request.select(*keys, "ds", "t", "y", "n", "h", F.explode(cands).alias("c")).select(
+        *keys, "ds", "t", "y", "n", "h", "c.*")
     fan = fan.where((F.col("n") >= MIN_SEASONAL) | (F.col("ss") == 0))
     if config is not None:
         fan = fan.join(config.select(*keys, "cid"), keys + ["cid"], "left_semi")
     key_fields = [request.schema[k] for k in keys]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields] +
-                       ["cid int", "step int", "forecast double", "lower double", "upper double",
+                       ["cid int", "step int", "ds date", "forecast double", "lower double", "upper double",
                         "aic double", "ok boolean", "extra string"])
     fits = fan.groupBy(*keys, "cid").applyInPandas(_fit_group(keys), schema)
     good = fits.where(F.col("ok"))
     best = good.groupBy(*keys).agg(F.min_by("cid", F.struct("aic", "cid")).alias("cid"))
     chosen = good.join(best, keys + ["cid"], "left_semi")
-    last = request.groupBy(*keys).agg(F.max("ds").alias("last_ds"))
-    out = chosen.join(last, keys)
-    return drop_seg(out).select(*user_keys, F.lit(SARIMAX).alias("model"), "step",
-                      F.date_add("last_ds", F.col("step")).alias("ds"), "forecast", "lower", "upper",
-                      "extra", "cid", "aic")
+    return drop_seg(chosen).select(*user_keys, F.lit(SARIMAX).alias("model"), "step", "ds",
+                                   "forecast", "lower", "upper", "extra", "cid", "aic")

@@ -67,19 +67,6 @@ def full_request(plan: DataFrame, keys: Sequence[str]) -> DataFrame:
     return plan.select(*keys, "ds", "y", "t", "n", "h")
 
 
-def steps_after(last: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`(keys…, step, ds)` for steps 1..h after each segment's last day (J5 by step)."""
-    keys = list(keys)
-    return last.select(*keys, F.explode(F.sequence(F.lit(1), F.col("h"))).alias("step"), "last_ds") \
-        .withColumn("ds", F.date_add("last_ds", F.col("step"))).drop("last_ds")
-
-
-def last_day(request: DataFrame, keys: Sequence[str]) -> DataFrame:
-    keys = list(keys)
-    return request.groupBy(*keys).agg(F.max("ds").alias("last_ds"), F.first("h").alias("h"),
-                                      F.first("n").alias("n"))
-
-
 def band(forecast: F.Column, sigma: F.Column, clip: bool = True) -> tuple[F.Column, F.Column]:
     lo, hi = forecast - Z95 * sigma, forecast + Z95 * sigma
     if clip:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...plans.joins import drop_seg, seg_keys
-from .base import MOVING_AVERAGE, band, last_day, steps_after
+from .base import MOVING_AVERAGE, band
 
 # Fixed value: trailing window length.
 WINDOW = 7
@@ -28,10 +28,14 @@ def moving_average(request: DataFrame, keys: Sequence[str] = (), window: int = W
     rolling = F.when(F.col("n") >= window, F.avg("y").over(w.rowsBetween(-(window - 1), 0))) \
         .otherwise(F.avg("y").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     r = request.withColumn("__rm", rolling)
+    # one aggregate gives level, σ, last day and horizon, so the request is read once
     stats = r.groupBy(*keys).agg(
         F.avg(F.when(F.col("t") >= F.col("n") - F.least(F.lit(window), F.col("n")), F.col("y"))).alias("level"),
-        F.coalesce(F.stddev_pop(F.col("y") - F.col("__rm")), F.lit(0.0)).alias("sigma"))
-    out = steps_after(last_day(request, keys), keys).join(stats, keys)
+        F.coalesce(F.stddev_pop(F.col("y") - F.col("__rm")), F.lit(0.0)).alias("sigma"),
+        F.max("ds").alias("last_ds"), F.first("h").alias("h"))
+    out = stats.select(*keys, "level", "sigma", "last_ds",
+                       F.explode(F.sequence(F.lit(1), F.col("h"))).alias("step")) \
+        .withColumn("ds", F.date_add("last_ds", F.col("step")))
     lo, hi = band(F.col("level"), F.col("sigma"))
     return drop_seg(out.select(*keys, F.lit(model_name).alias("model"), "step", "ds",
                                F.col("level").alias("forecast"), lo.alias("lower"), hi.alias("upper")))

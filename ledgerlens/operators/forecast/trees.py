@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -83,6 +84,8 @@ def tree_forecast(request: DataFrame, keys: Sequence[str] = (), kind: str = "for
     spark = request.sparkSession
     ensure_checkpoint_dir(spark)
     request, k = seg_keys(request, user_keys)
+    # the learner passes over its input several times: keep the (daily-grain) request
+    request = request.persist(StorageLevel.MEMORY_AND_DISK)
     seg = (request.groupBy(*k)
            .agg(F.avg("y").alias("__mu"), F.first("n").alias("n"), F.first("h").alias("h"),
                 F.max("ds").alias("last_ds"),

@@ -25,11 +25,21 @@ def daily(df: DataFrame, keys: Sequence[str] = (), date_col: str = "Date",
             .agg(F.sum(value_col).alias("y")))
 
 
-def span(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """First and last day and gap-filled length per segment."""
-    return (series.groupBy(*keys)
-            .agg(F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"))
-            .withColumn("n_days", F.datediff("last_ds", "first_ds") + 1))
+def segment_calendar(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per segment: first/last day, length, the gap-filled days and values as arrays.
+
+    The daily sums of a segment fold into a map (at most one entry per calendar day, so the
+    group is bounded by the date span, not by the data) and the calendar is read back from
+    it — one pass over the input, no self-join.
+    """
+    keys = list(keys)
+    per = series.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("ds", "y"))).alias("__m"),
+        F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"))
+    days = F.sequence("first_ds", "last_ds", F.expr("INTERVAL 1 DAY"))
+    return per.select(*keys, "first_ds", "last_ds", days.alias("days"), "__m") \
+        .withColumn("ys", F.transform("days", lambda d: F.coalesce(F.element_at("__m", d), F.lit(0.0)))) \
+        .withColumn("n_days", F.size("days")).drop("__m")
 
 
 def gap_fill(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -38,13 +48,9 @@ def gap_fill(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Adds `t` (0-based day position) and `n_days` (series length).
     """
     keys = list(keys)
-    bounds = span(series, keys)
-    cal = bounds.select(*keys, "first_ds", "n_days",
-                        F.explode(F.sequence("first_ds", "last_ds", F.expr("INTERVAL 1 DAY")))
-                        .alias("ds"))
-    return (cal.join(series, keys + ["ds"], "left")
-            .select(*keys, "ds", F.coalesce(F.col("y"), F.lit(0.0)).alias("y"),
-                    F.datediff("ds", "first_ds").alias("t"), "n_days"))
+    cal = segment_calendar(series, keys)
+    return cal.select(*keys, "n_days", F.posexplode(F.arrays_zip("days", "ys")).alias("t", "z")) \
+        .select(*keys, F.col("z.days").alias("ds"), F.col("z.ys").alias("y"), "t", "n_days")
 
 
 def prepare_daily_series(df: DataFrame, keys: Sequence[str] = (), date_col: str = "Date",
