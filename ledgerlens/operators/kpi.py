@@ -63,81 +63,83 @@ def segment_rollup(clean: DataFrame, keys: Sequence[str]) -> DataFrame:
             .withColumnsRenamed({"__p": "Product_", "__r": "Region_", "__d": "Date_"}))
 
 
-def _top_weak(rows: DataFrame, keys: list[str], name: str, label: str) -> DataFrame:
-    """Top = highest revenue, ties by name; weak = lowest revenue, ties by name."""
-    item = F.struct(F.col(name).alias("name"), F.col("rev").alias("rev"))
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(f"unique_{label}s"),
-        F.min_by(item, F.struct((-F.col("rev")).alias("r"), F.col(name).alias("n"))).alias("top"),
-        F.min_by(item, F.struct(F.col("rev").alias("r"), F.col(name).alias("n"))).alias("weak"),
-    ).select(*keys, f"unique_{label}s",
-             F.col("top.name").alias(f"top_{label}"), F.col("top.rev").alias(f"top_{label}_revenue"),
-             F.col("weak.name").alias(f"weak_{label}"), F.col("weak.rev").alias(f"weak_{label}_revenue"))
-
-
-def growth_from_days(days: DataFrame, keys: list[str]) -> DataFrame:
-    """A6 on a daily (not gap-filled) frame `(keys, ds, y)` with `first_ds`, `last_ds`.
-
-    Gap days are zero, so period means are period sums over period lengths; no calendar
-    rows need to be materialised.
-    """
-    n = F.datediff("last_ds", "first_ds") + 1
-    pos = F.datediff("ds", "first_ds")
+def _growth(days: F.Column, first_ds: F.Column, last_ds: F.Column) -> F.Column:
+    """A6 from a segment's (ds, y) day array; gap days are zero, so period means are period
+    sums over period lengths and no calendar rows are materialised."""
+    n = F.datediff(last_ds, first_ds) + 1
     half = F.floor(n / 2)
-    s = lambda cond: F.sum(F.when(cond, F.col("y")).otherwise(F.lit(0.0)))
-    agg = (days.withColumn("__n", n).withColumn("__pos", pos).withColumn("__half", half)
-           .groupBy(*keys).agg(
-               F.first("__n").alias("n_days"),
-               s(F.col("__pos") >= F.col("__n") - GROWTH_WINDOW).alias("s_last"),
-               s((F.col("__pos") >= F.col("__n") - GROWTH_LONG_DAYS)
-                 & (F.col("__pos") < F.col("__n") - GROWTH_WINDOW)).alias("s_prev"),
-               s(F.col("__pos") >= F.col("__half")).alias("s_second"),
-               s(F.col("__pos") < F.col("__half")).alias("s_first"),
-               F.sum("y").alias("s_all")))
-    nd = F.col("n_days")
-    hf = F.floor(nd / 2)
-    recent = (F.when(nd >= GROWTH_LONG_DAYS, F.col("s_last") / GROWTH_WINDOW)
-              .when(nd >= GROWTH_MIN_DAYS, F.col("s_second") / (nd - hf))
-              .otherwise(F.col("s_all") / nd))
-    previous = (F.when(nd >= GROWTH_LONG_DAYS, F.col("s_prev") / GROWTH_WINDOW)
-                .when(nd >= GROWTH_MIN_DAYS, F.col("s_first") / hf)
-                .otherwise(F.col("s_all") / nd))
-    growth = (F.when(F.col("previous") > 0, (F.col("recent") - F.col("previous")) / F.col("previous") * 100)
-              .when(F.col("recent") > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
-    return (agg.select(*keys, "n_days", recent.alias("recent"), previous.alias("previous"))
-            .withColumn("growth_pct", growth))
+
+    def total(cond):
+        return F.aggregate(F.filter(days, lambda d: cond(F.datediff(d["ds"], first_ds))),
+                           F.lit(0.0), lambda a, d: a + d["y"])
+
+    s_last = total(lambda p: p >= n - GROWTH_WINDOW)
+    s_prev = total(lambda p: (p >= n - GROWTH_LONG_DAYS) & (p < n - GROWTH_WINDOW))
+    s_second = total(lambda p: p >= half)
+    s_first = total(lambda p: p < half)
+    s_all = total(lambda p: p >= 0)
+    recent = (F.when(n >= GROWTH_LONG_DAYS, s_last / GROWTH_WINDOW)
+              .when(n >= GROWTH_MIN_DAYS, s_second / (n - half)).otherwise(s_all / n))
+    previous = (F.when(n >= GROWTH_LONG_DAYS, s_prev / GROWTH_WINDOW)
+                .when(n >= GROWTH_MIN_DAYS, s_first / half).otherwise(s_all / n))
+    return (F.when(previous > 0, (recent - previous) / previous * 100)
+            .when(recent > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
 
 
 def kpis_from_rollup(g: DataFrame, keys: list[str]) -> DataFrame:
-    tot = g.where(F.col("level") == "total").select(
-        *keys, F.col("rev").alias("total_revenue"), F.col("avg_rev").alias("avg_revenue"),
-        F.col("n").alias("total_records"), "std_rev", "profit_sum", "has_profit",
-        "first_ds", "last_ds")
-    prod = _top_weak(g.where(F.col("level") == "product"), keys, "Product_", "product")
-    reg = _top_weak(g.where(F.col("level") == "region"), keys, "Region_", "region")
-    days = daily_from_rollup(g, keys).join(tot.select(*keys, "first_ds", "last_ds"), keys)
-    growth = growth_from_days(days, keys)
+    """The KPI record from the grouping-sets rows in one aggregation per segment.
+
+    Totals are the single `total` row; top/weak by `min_by` over the product/region rows
+    (ties by name); the day rows become one (ds, y) array per segment (bounded by its
+    calendar) for the growth windows. No joins, one shuffle over already-aggregated rows.
+    """
+    lvl = F.col("level")
+
+    def at(level: str, c: F.Column) -> F.Column:
+        return F.when(lvl == level, c)
+
+    def ranked(level: str, name: str, sign: int):
+        item = F.struct(F.col(name).alias("name"), F.col("rev").alias("rev"))
+        order = F.struct((F.col("rev") * sign).alias("r"), F.col(name).alias("n"))
+        return F.min_by(at(level, item), at(level, order))
+
+    agg = g.groupBy(*keys).agg(
+        F.max(at("total", F.col("rev"))).alias("total_revenue"),
+        F.max(at("total", F.col("avg_rev"))).alias("avg_revenue"),
+        F.max(at("total", F.col("n"))).alias("total_records"),
+        F.max(at("total", F.col("std_rev"))).alias("std_rev"),
+        F.max(at("total", F.col("profit_sum"))).alias("profit_sum"),
+        F.max(at("total", F.col("first_ds"))).alias("first_ds"),
+        F.max(at("total", F.col("last_ds"))).alias("last_ds"),
+        F.first("has_profit").alias("has_profit"),
+        F.count(at("product", F.lit(1))).alias("unique_products"),
+        F.count(at("region", F.lit(1))).alias("unique_regions"),
+        ranked("product", "Product_", -1).alias("tp"), ranked("product", "Product_", 1).alias("wp"),
+        ranked("region", "Region_", -1).alias("tr"), ranked("region", "Region_", 1).alias("wr"),
+        F.collect_list(at("day", F.struct(F.col("Date_").alias("ds"), F.col("rev").alias("y")))).alias("days"))
 
     total = F.col("total_revenue")
     profit = F.when(F.col("has_profit"), F.coalesce(F.col("profit_sum"), F.lit(0.0))) \
         .otherwise(total * PROFIT_RATIO)
-    share = lambda c: F.when(total > 0, F.col(c) / total * 100).otherwise(F.lit(0.0))
-    out = (tot.join(prod, keys, "left").join(reg, keys, "left").join(growth, keys, "left")
-           .withColumn("profit", profit))
+    share = lambda c: F.when(total > 0, c / total * 100).otherwise(F.lit(0.0))
+    out = agg.withColumn("profit", profit)
     return out.select(
         *keys,
         "total_revenue", "avg_revenue", "total_records", "profit",
         F.when(total > 0, F.col("profit") / total * 100).otherwise(F.lit(0.0)).alias("margin_pct"),
-        F.coalesce("unique_products", F.lit(0)).alias("unique_products"),
-        F.coalesce("unique_regions", F.lit(0)).alias("unique_regions"),
-        F.coalesce("growth_pct", F.lit(0.0)).alias("growth_pct"),
+        "unique_products", "unique_regions",
+        F.coalesce(_growth(F.col("days"), F.col("first_ds"), F.col("last_ds")), F.lit(0.0)).alias("growth_pct"),
         F.when(F.col("avg_revenue") > 0, F.col("std_rev") / F.col("avg_revenue") * 100)
         .otherwise(F.lit(0.0)).alias("volatility_pct"),
-        "top_product", "top_product_revenue", share("top_product_revenue").alias("top_product_share"),
-        "weak_product", "weak_product_revenue", share("weak_product_revenue").alias("weak_product_share"),
-        "top_region", "top_region_revenue", share("top_region_revenue").alias("top_region_share"),
-        "weak_region", "weak_region_revenue", share("weak_region_revenue").alias("weak_region_share"),
-        "n_days",
+        F.col("tp.name").alias("top_product"), F.col("tp.rev").alias("top_product_revenue"),
+        share(F.col("tp.rev")).alias("top_product_share"),
+        F.col("wp.name").alias("weak_product"), F.col("wp.rev").alias("weak_product_revenue"),
+        share(F.col("wp.rev")).alias("weak_product_share"),
+        F.col("tr.name").alias("top_region"), F.col("tr.rev").alias("top_region_revenue"),
+        share(F.col("tr.rev")).alias("top_region_share"),
+        F.col("wr.name").alias("weak_region"), F.col("wr.rev").alias("weak_region_revenue"),
+        share(F.col("wr.rev")).alias("weak_region_share"),
+        (F.datediff("last_ds", "first_ds") + 1).alias("n_days"),
     )
 
 
