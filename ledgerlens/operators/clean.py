@@ -143,6 +143,19 @@ def filter_or_all(df: DataFrame, filter_by: str | None, filter_value: str | None
     return df if hit.isEmpty() else hit
 
 
+def filter_values_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """T7 + X1 for several filter columns in one pass: (column, value) pairs are exploded
+    from each row and de-duplicated once, plus one `All` row per column."""
+    cols = list(columns) if columns is not None else filterable_columns(df)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("filter_by"), F.col(c).cast("string").alias("value"))
+                                for c in cols]))
+    vals = (df.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
+            .withColumn("is_all", F.lit(False)))
+    head = df.sparkSession.createDataFrame([(c, "All", True) for c in cols],
+                                           "filter_by string, value string, is_all boolean")
+    return head.unionByName(vals).orderBy("filter_by", F.col("is_all").desc(), "value")
+
+
 def filter_values(df: DataFrame, filter_by: str) -> DataFrame:
     """T7 + X1: `All` followed by the sorted distinct text values of one column."""
     vals = (df.select(F.col(filter_by).cast("string").alias("value"))

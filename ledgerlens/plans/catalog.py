@@ -172,12 +172,7 @@ UNION ALL SELECT DISTINCT 'Region', CAST("Region" AS VARCHAR), false FROM clean
 UNION ALL SELECT DISTINCT 'Quarter', CAST("Quarter" AS VARCHAR), false FROM clean WHERE "Quarter" IS NOT NULL
 UNION ALL SELECT DISTINCT 'Day', CAST("Day" AS VARCHAR), false FROM clean WHERE "Day" IS NOT NULL""")
 def q_filter_values(spark, sf):
-    df = clean_sales_view(spark, sf)
-    parts = [C.filter_values(df, c) for c in C.filterable_columns(df)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return C.filter_values_all(clean_sales_view(spark, sf))
 
 
 # ---------------------------------------------------------------- daily series

@@ -131,3 +131,14 @@ def test_compare_guard_and_bundle(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "bundle")).count() == 2
     ov = CM.forecast_overlay(two, res.forecast, ["seg"])
     assert ov.where(F.col("series") == "forecast").count() == 3
+
+
+def test_arima_prefers_seasonal_terms_on_weekly_data():
+    rng = np.random.default_rng(0)
+    t = np.arange(200)
+    y = 100 + 30 * np.sin(2 * np.pi * t / 7) + np.cumsum(rng.normal(0, 1, 200))
+    fits = []
+    for cid, o, so in AR.CANDIDATES:
+        fc, sd, aic = AR.fit_forecast(y, o, so, 7)
+        fits.append((aic, so))
+    assert min(fits)[1][3] == 7
