@@ -66,6 +66,17 @@ def write_cleaned(df: DataFrame, path: str, fmt: str = "csv", partition_by_month
         writer.parquet(path)
 
 
+def materialize_cleaned(df: DataFrame, path: str) -> DataFrame:
+    """Write cleaned rows once as year/month-partitioned Parquet and read them back.
+
+    Every dashboard operator starts from the cleaned table; at scale the star join and the
+    cleaner should run once, and later segment or date filters prune partitions and
+    columns at the scan instead of re-running the joins.
+    """
+    write_cleaned(df, path, fmt="parquet", partition_by_month=True)
+    return df.sparkSession.read.parquet(path).drop("year", "month")
+
+
 def sample_rows(df: DataFrame, n: int = 10, order_by=("Date",)) -> DataFrame:
     """The first n rows in `order_by` order (a distributed top-n; file order has no
     meaning in Spark, so the preview is defined by date, ties by the further columns)."""

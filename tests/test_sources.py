@@ -86,3 +86,9 @@ def test_analysis_document(spark):
     assert len(d["sample_rows"]) == 10 and d["schema"]["date_col"] == "order_date"
     whole = RP.analysis_document(clean, roles).collect()
     assert len(whole) == 1 and json.loads(whole[0].document)["kpis"]["total_records"] == clean.count()
+
+
+def test_materialize_cleaned(spark, tmp_path):
+    clean = C.clean_sales(TB.sales(spark, SF_SMALL))[0]
+    back = FS.materialize_cleaned(clean, str(tmp_path / "clean"))
+    assert back.count() == clean.count() and set(back.columns) == set(clean.columns)
