@@ -56,10 +56,11 @@ def write_cleaned(df: DataFrame, path: str, fmt: str = "csv", partition_by_month
     so later segment filters on time prune files."""
     w = df
     if partition_by_month:
-        w = df.withColumn("year", F.year("Date")).withColumn("month", F.month("Date"))
+        # own names: `month` would clash with the cleaned `Month` (names are case-insensitive)
+        w = df.withColumn("part_year", F.year("Date")).withColumn("part_month", F.month("Date"))
     writer = w.write.mode("overwrite")
     if partition_by_month:
-        writer = writer.partitionBy("year", "month")
+        writer = writer.partitionBy("part_year", "part_month")
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:
@@ -74,7 +75,7 @@ def materialize_cleaned(df: DataFrame, path: str) -> DataFrame:
     columns at the scan instead of re-running the joins.
     """
     write_cleaned(df, path, fmt="parquet", partition_by_month=True)
-    return df.sparkSession.read.parquet(path).drop("year", "month")
+    return df.sparkSession.read.parquet(path).drop("part_year", "part_month")
 
 
 def sample_rows(df: DataFrame, n: int = 10, order_by=("Date",)) -> DataFrame:

@@ -64,7 +64,7 @@ def test_manifest_and_csv_roundtrip(spark, tmp_path):
     assert sum(r.rows for r in man) == raw.count() and len(man) == 3
     assert man[0].columns == raw.columns
     FS.write_cleaned(C.clean_sales(back)[0], str(tmp_path / "pq"), fmt="parquet", partition_by_month=True)
-    assert spark.read.parquet(str(tmp_path / "pq")).where("year = 1996").count() > 0
+    assert spark.read.parquet(str(tmp_path / "pq")).where("part_year = 1996").count() > 0
 
 
 def test_group_top_k_matches_window(spark):
