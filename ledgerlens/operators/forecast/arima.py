@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...plans.joins import ALL_KEY, drop_seg, seg_keys
@@ -181,8 +181,10 @@ def arima(request: DataFrame, keys: Sequence[str] = (), config: DataFrame | None
                        ["cid int", "step int", "ds date", "forecast double", "lower double", "upper double",
                         "aic double", "ok boolean", "extra string"])
     fits = fan.groupBy(*keys, "cid").applyInPandas(_fit_group(keys), schema)
+    # winner per segment by a window over that segment's fit rows (≤ 20 candidates × h
+    # rows), so the fits are computed once rather than once per consumer
     good = fits.where(F.col("ok"))
-    best = good.groupBy(*keys).agg(F.min_by("cid", F.struct("aic", "cid")).alias("cid"))
-    chosen = good.join(best, keys + ["cid"], "left_semi")
+    best = F.min(F.struct("aic", "cid")).over(Window.partitionBy(*keys))
+    chosen = good.withColumn("__best", best).where(F.col("cid") == F.col("__best.cid")).drop("__best")
     return drop_seg(chosen).select(*user_keys, F.lit(SARIMAX).alias("model"), "step", "ds",
                                    "forecast", "lower", "upper", "extra", "cid", "aic")

@@ -88,17 +88,16 @@ def truthy(c: F.Column) -> F.Column:
 def analysis_frame(clean: DataFrame, keys: Sequence[str] = (), forecast: DataFrame | None = None) -> DataFrame:
     """KPIs + reported anomaly count (+ forecast model and sum) per segment.
 
-    `forecast`, when given, is `(keys…, best_model, forecast_sum)` one row per segment.
+    One aggregation over the shared grouping-sets rows yields the KPIs and each segment's
+    day array; the anomaly count is a column expression on that array, so no frame is
+    joined back to itself. `forecast`, when given, is `(keys…, best_model, forecast_sum)`.
     """
     user_keys = list(keys)
-    g, k = K.shared_rollup(clean, user_keys)        # one scan of the rows for KPIs and anomalies
-    kp = K.calculate_kpis(clean, user_keys, rollup=(g, k))
-    an = AN.anomaly_counts_from_daily(K.daily_from_rollup(g, k), k)
-    if user_keys:
-        out = kp.join(an, user_keys, "left")
-    else:
-        out = kp.withColumn("__j", F.lit(0)).join(an.drop(k[0]).withColumn("__j", F.lit(0)), "__j", "left").drop("__j")
-    out = out.withColumn("anomaly_count", F.coalesce("anomaly_count", F.lit(0)).cast("bigint"))
+    kp = K.calculate_kpis(clean, user_keys, with_days=True)
+    out = (kp.withColumn("anomaly_count",
+                         F.coalesce(AN.reported_count(F.col("day_map"), F.col("first_ds"), F.col("last_ds")),
+                                    F.lit(0)).cast("bigint"))
+           .drop("day_map", "first_ds", "last_ds"))
     if forecast is not None:
         fc = forecast.select(*user_keys, "best_model", "forecast_sum")
         if user_keys:
@@ -111,27 +110,32 @@ def analysis_frame(clean: DataFrame, keys: Sequence[str] = (), forecast: DataFra
     return out
 
 
-def insight_rows(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """R2 on an analysis frame: one row per emitted insight with its rule position."""
-    keys = list(keys)
-    g, v = F.col("growth_pct"), F.col("volatility_pct")
-    one = lambda c: fixed(c, 1)
+def insight_rules(frame_cols=F.col) -> F.Column:
+    """R2 as one array column of (type, title, detail, action) structs in rule order."""
+    c = frame_cols
+    g, v = c("growth_pct"), c("volatility_pct")
+    one = lambda x: fixed(x, 1)
     rules = F.array(
         F.when(g >= 0, _row(TREND_UP, g=one(g))).otherwise(_row(TREND_DOWN, g=one(F.abs(g)))),
-        F.when(truthy(F.col("top_product")), _row(TOP_PRODUCT, name=F.col("top_product"),
-               rev=currency(F.col("top_product_revenue")), share=one(F.col("top_product_share")))),
-        F.when(truthy(F.col("weak_product")), _row(WEAK_PRODUCT, name=F.col("weak_product"),
-               rev=currency(F.col("weak_product_revenue")), share=one(F.col("weak_product_share")))),
-        F.when(truthy(F.col("top_region")), _row(TOP_REGION, name=F.col("top_region"),
-               rev=currency(F.col("top_region_revenue")), share=one(F.col("top_region_share")))),
-        F.when(truthy(F.col("weak_region")), _row(WEAK_REGION, name=F.col("weak_region"),
-               rev=currency(F.col("weak_region_revenue")), share=one(F.col("weak_region_share")))),
+        F.when(truthy(c("top_product")), _row(TOP_PRODUCT, name=c("top_product"),
+               rev=currency(c("top_product_revenue")), share=one(c("top_product_share")))),
+        F.when(truthy(c("weak_product")), _row(WEAK_PRODUCT, name=c("weak_product"),
+               rev=currency(c("weak_product_revenue")), share=one(c("weak_product_share")))),
+        F.when(truthy(c("top_region")), _row(TOP_REGION, name=c("top_region"),
+               rev=currency(c("top_region_revenue")), share=one(c("top_region_share")))),
+        F.when(truthy(c("weak_region")), _row(WEAK_REGION, name=c("weak_region"),
+               rev=currency(c("weak_region_revenue")), share=one(c("weak_region_share")))),
         F.when(v > VOLATILITY_ALERT, _row(VOLATILE, v=fixed_or_nan(v, 0)))
         .otherwise(_row(STABLE, v=fixed_or_nan(v, 0))),
-        F.when(F.col("anomaly_count") > 0, _row(ANOMALIES, n=F.col("anomaly_count").cast("string"))),
+        F.when(c("anomaly_count") > 0, _row(ANOMALIES, n=c("anomaly_count").cast("string"))),
     )
-    rules = F.when(F.col("total_records") == 0, F.array(_row(NO_DATA))).otherwise(F.array_compact(rules))
-    return (frame.select(*keys, F.posexplode(rules).alias("pos", "insight"))
+    return F.when(c("total_records") == 0, F.array(_row(NO_DATA))).otherwise(F.array_compact(rules))
+
+
+def insight_rows(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """R2 on an analysis frame: one row per emitted insight with its rule position."""
+    keys = list(keys)
+    return (frame.select(*keys, F.posexplode(insight_rules()).alias("pos", "insight"))
             .select(*keys, "pos", "insight.type", "insight.title", "insight.detail", "insight.action"))
 
 
@@ -139,12 +143,13 @@ def generate_insights(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return insight_rows(analysis_frame(clean, keys), keys)
 
 
-def summary_columns(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def summary_columns(frame: DataFrame, keys: Sequence[str] = (), keep: bool = False) -> DataFrame:
     """Headline, bullets, summary text and up to five recommendations per segment.
 
     The forecast bullet is printed only when a forecast exists for the segment (Q28).
+    `keep` returns the frame's own columns too (so callers need no join back).
     """
-    keys = list(keys)
+    keys = list(frame.columns) if keep else list(keys)
     g, v = F.col("growth_pct"), F.col("volatility_pct")
     tp, tr = F.col("top_product"), F.col("top_region")
     has_fc = F.col("best_model").isNotNull()

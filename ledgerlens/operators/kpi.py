@@ -63,15 +63,16 @@ def segment_rollup(clean: DataFrame, keys: Sequence[str]) -> DataFrame:
             .withColumnsRenamed({"__p": "Product_", "__r": "Region_", "__d": "Date_"}))
 
 
-def _growth(days: F.Column, first_ds: F.Column, last_ds: F.Column) -> F.Column:
-    """A6 from a segment's (ds, y) day array; gap days are zero, so period means are period
+def _growth(day_map: F.Column, first_ds: F.Column, last_ds: F.Column) -> F.Column:
+    """A6 from a segment's day -> revenue map; gap days are zero, so period means are period
     sums over period lengths and no calendar rows are materialised."""
     n = F.datediff(last_ds, first_ds) + 1
     half = F.floor(n / 2)
+    entries = F.map_entries(day_map)
 
     def total(cond):
-        return F.aggregate(F.filter(days, lambda d: cond(F.datediff(d["ds"], first_ds))),
-                           F.lit(0.0), lambda a, d: a + d["y"])
+        return F.aggregate(F.filter(entries, lambda d: cond(F.datediff(d["key"], first_ds))),
+                           F.lit(0.0), lambda a, d: a + d["value"])
 
     s_last = total(lambda p: p >= n - GROWTH_WINDOW)
     s_prev = total(lambda p: (p >= n - GROWTH_LONG_DAYS) & (p < n - GROWTH_WINDOW))
@@ -86,7 +87,7 @@ def _growth(days: F.Column, first_ds: F.Column, last_ds: F.Column) -> F.Column:
             .when(recent > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
 
 
-def kpis_from_rollup(g: DataFrame, keys: list[str]) -> DataFrame:
+def kpis_from_rollup(g: DataFrame, keys: list[str], with_days: bool = False) -> DataFrame:
     """The KPI record from the grouping-sets rows in one aggregation per segment.
 
     Totals are the single `total` row; top/weak by `min_by` over the product/region rows
@@ -116,7 +117,9 @@ def kpis_from_rollup(g: DataFrame, keys: list[str]) -> DataFrame:
         F.count(at("region", F.lit(1))).alias("unique_regions"),
         ranked("product", "Product_", -1).alias("tp"), ranked("product", "Product_", 1).alias("wp"),
         ranked("region", "Region_", -1).alias("tr"), ranked("region", "Region_", 1).alias("wr"),
-        F.collect_list(at("day", F.struct(F.col("Date_").alias("ds"), F.col("rev").alias("y")))).alias("days"))
+        # an aggregate output, so later lambdas read it as an attribute (no per-element rebuild)
+        F.map_from_entries(F.collect_list(at("day", F.struct(F.col("Date_").alias("ds"), F.col("rev").alias("y")))))
+        .alias("day_map"))
 
     total = F.col("total_revenue")
     profit = F.when(F.col("has_profit"), F.coalesce(F.col("profit_sum"), F.lit(0.0))) \
@@ -128,7 +131,7 @@ def kpis_from_rollup(g: DataFrame, keys: list[str]) -> DataFrame:
         "total_revenue", "avg_revenue", "total_records", "profit",
         F.when(total > 0, F.col("profit") / total * 100).otherwise(F.lit(0.0)).alias("margin_pct"),
         "unique_products", "unique_regions",
-        F.coalesce(_growth(F.col("days"), F.col("first_ds"), F.col("last_ds")), F.lit(0.0)).alias("growth_pct"),
+        F.coalesce(_growth(F.col("day_map"), F.col("first_ds"), F.col("last_ds")), F.lit(0.0)).alias("growth_pct"),
         F.when(F.col("avg_revenue") > 0, F.col("std_rev") / F.col("avg_revenue") * 100)
         .otherwise(F.lit(0.0)).alias("volatility_pct"),
         F.col("tp.name").alias("top_product"), F.col("tp.rev").alias("top_product_revenue"),
@@ -140,6 +143,7 @@ def kpis_from_rollup(g: DataFrame, keys: list[str]) -> DataFrame:
         F.col("wr.name").alias("weak_region"), F.col("wr.rev").alias("weak_region_revenue"),
         share(F.col("wr.rev")).alias("weak_region_share"),
         (F.datediff("last_ds", "first_ds") + 1).alias("n_days"),
+        *(["day_map", "first_ds", "last_ds"] if with_days else []),
     )
 
 
@@ -157,19 +161,25 @@ def daily_from_rollup(g: DataFrame, k: list[str]) -> DataFrame:
     return g.where(F.col("level") == "day").select(*k, F.col("Date_").alias("ds"), F.col("rev").alias("y"))
 
 
-def calculate_kpis(clean: DataFrame, keys: Sequence[str] = (), rollup=None) -> DataFrame:
+def calculate_kpis(clean: DataFrame, keys: Sequence[str] = (), rollup=None,
+                   with_days: bool = False) -> DataFrame:
     """The 21-field KPI record, one row per segment (`keys=[]` = whole table).
 
     An empty whole-table input gives the all-zero record, as the reference does.
-    `rollup` lets a caller share one `shared_rollup` between KPIs and other operators.
+    `rollup` lets a caller share one `shared_rollup`; `with_days` keeps each segment's
+    day -> revenue map and date bounds so day-level rules can run as column expressions on the
+    same row (joining two frames derived from one cached aggregate would make Spark
+    re-derive one side instead of reading the cache).
     """
     user_keys = list(keys)
     g, k = rollup if rollup is not None else shared_rollup(clean, user_keys)
-    out = kpis_from_rollup(g, k)
+    out = kpis_from_rollup(g, k, with_days)
     out = drop_seg(out)
     if not user_keys:
-        out = out.unionByName(zero_kpis(clean.sparkSession).join(out.limit(1).select(F.lit(1).alias("x")),
-                                                                  how="left_anti"))
+        # whole table: the real record (≥ 1 row counted) outranks the all-zero one, which
+        # only survives for an empty input; a 2-row top-1, no emptiness probe
+        out = (out.unionByName(zero_kpis(clean.sparkSession), allowMissingColumns=True)
+               .orderBy(F.col("total_records").desc()).limit(1))
     return out
 
 

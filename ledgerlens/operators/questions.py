@@ -82,14 +82,10 @@ def chat_context(clean: DataFrame, keys: Sequence[str] = (), forecast: DataFrame
     """One flat record per segment: KPIs, summary and forecast fields."""
     keys = list(keys)
     frame = I.analysis_frame(clean, keys, forecast)
-    summ = I.summary_columns(frame, keys)
     cols = ["total_records", "total_revenue", "margin_pct", "growth_pct", "volatility_pct",
             "top_product", "top_region", "weak_product", "weak_region", "best_model", "forecast_sum"]
-    base = frame.select(*keys, *cols)
-    if keys:
-        return base.join(summ, keys)
-    j = F.lit(0)
-    return base.withColumn("__j", j).join(summ.withColumn("__j", j), "__j").drop("__j")
+    return I.summary_columns(frame, keys, keep=True).select(
+        *keys, *cols, "headline", "summary_text", "bullets", "recommendations")
 
 
 def answer(ctx_cols_prefix: str = "") -> F.Column:

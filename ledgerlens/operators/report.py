@@ -31,16 +31,19 @@ def analysis_document(clean: DataFrame, roles: RoleMap, keys: Sequence[str] = ()
     user_keys = list(keys)
     frame, k = seg_keys(I.analysis_frame(clean, user_keys, forecast_summary), user_keys)
     df, _ = seg_keys(clean, user_keys)
-    kpis = frame.select(*k, F.struct(*KPI_FIELDS).alias("kpis"))
-    summ = I.summary_columns(frame, k).select(*k, F.struct("headline", "summary_text", "bullets",
-                                                           "recommendations").alias("summary"))
-    ins = _collect_per_key(I.insight_rows(frame, k), k, "pos", "insights")
+    # every per-segment part is a column of the one analysis row: no self-joins
+    rules = I.insight_rules()
+    doc = I.summary_columns(frame, k, keep=True).select(
+        *k, F.struct(*KPI_FIELDS).alias("kpis"),
+        F.struct("headline", "summary_text", "bullets", "recommendations").alias("summary"),
+        F.transform(rules, lambda x, i: F.struct(i.alias("pos"), x["type"].alias("type"), x["title"].alias("title"),
+                                                 x["detail"].alias("detail"), x["action"].alias("action")))
+        .alias("insights"))
     samples = group_top_k(df, k, [F.col("Date"), F.col("Revenue").desc()], SAMPLE_ROWS, "row")
     smp = _collect_per_key(samples, k, "row", "sample_rows")
     schema_map = F.create_map(*[x for r, c in roles.as_dict().items() if r != "standard_columns"
                                 for x in (F.lit(r), F.lit(c).cast("string"))])
-    doc = (kpis.join(summ, k).join(ins, k, "left").join(smp, k, "left")
-           .withColumn("schema", schema_map))
+    doc = doc.join(smp, k, "left").withColumn("schema", schema_map)
     if forecast_summary is not None:
         fs, _ = seg_keys(forecast_summary, user_keys)
         doc = doc.join(fs.select(*k, F.struct("best_model", "horizon", "forecast_sum", "forecast_average",

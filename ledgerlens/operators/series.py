@@ -25,6 +25,19 @@ def daily(df: DataFrame, keys: Sequence[str] = (), date_col: str = "Date",
             .agg(F.sum(value_col).alias("y")))
 
 
+def calendar_values(day_map: F.Column, first_ds: F.Column, last_ds: F.Column) -> tuple[F.Column, F.Column]:
+    """The calendar days first..last and their values from a day -> value map, gaps 0.0.
+
+    `map_zip_with` against a zero-filled calendar map merges by hashed key (linear); a
+    per-day `element_at` lookup would scan the map for every day (quadratic in the span).
+    The result keeps the calendar map's key order.
+    """
+    days = F.sequence(first_ds, last_ds, F.expr("INTERVAL 1 DAY"))
+    zeros = F.map_from_arrays(days, F.array_repeat(F.lit(0.0), F.size(days)))
+    merged = F.map_zip_with(zeros, day_map, lambda k, zero, v: F.coalesce(v, zero))
+    return days, F.map_values(merged)
+
+
 def segment_calendar(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per segment: first/last day, length, the gap-filled days and values as arrays.
 
@@ -36,10 +49,9 @@ def segment_calendar(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     per = series.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("ds", "y"))).alias("__m"),
         F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"))
-    days = F.sequence("first_ds", "last_ds", F.expr("INTERVAL 1 DAY"))
-    return per.select(*keys, "first_ds", "last_ds", days.alias("days"), "__m") \
-        .withColumn("ys", F.transform("days", lambda d: F.coalesce(F.element_at("__m", d), F.lit(0.0)))) \
-        .withColumn("n_days", F.size("days")).drop("__m")
+    days, ys = calendar_values(F.col("__m"), F.col("first_ds"), F.col("last_ds"))
+    return (per.select(*keys, "first_ds", "last_ds", days.alias("days"), ys.alias("ys"))
+            .withColumn("n_days", F.size("days")))
 
 
 def gap_fill(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
