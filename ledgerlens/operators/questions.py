@@ -131,7 +131,9 @@ def answer_questions(questions: DataFrame, context: DataFrame, text_col: str = "
     if keys:
         joined = q.join(context, keys, "left")
     else:
-        joined = q.withColumn("__j", F.lit(0)).join(context.withColumn("__j", F.lit(0)), "__j", "left").drop("__j")
+        # whole-table context: a global aggregate, exactly one row -> a proven broadcast
+        joined = q.withColumn("__j", F.lit(0)).join(F.broadcast(context.withColumn("__j", F.lit(0))),
+                                                     "__j", "left").drop("__j")
     return joined.withColumn("answer", answer())
 
 
