@@ -61,3 +61,17 @@ def purge_expired(sessions: DataFrame, as_of: str) -> DataFrame:
     """The session table without expired rows (write it back to replace the old one)."""
     now = F.lit(as_of).cast(sessions.schema["expires_at"].dataType)
     return sessions.where(F.col("expires_at") >= now)
+
+
+def user_files(manifest: DataFrame, uploads: DataFrame, users: DataFrame) -> DataFrame:
+    """S9 `add_file`: attach ingest-manifest rows to the uploading user.
+
+    `uploads` maps `filename` to `user_id`; the result is one row per (user, file) with the
+    file metadata as a map, like the user's `files` list.
+    """
+    u = users.select(F.col("id").alias("user_id"), "email", "role")
+    meta = F.create_map(F.lit("rows"), F.col("rows").cast("string"),
+                        F.lit("columns"), F.array_join("columns", ","))
+    return (manifest.join(uploads.select("filename", "user_id"), "filename")
+            .join(u, "user_id")
+            .select("user_id", "email", "role", "filename", meta.alias("meta"), "uploaded_at"))

@@ -92,3 +92,14 @@ def test_materialize_cleaned(spark, tmp_path):
     clean = C.clean_sales(TB.sales(spark, SF_SMALL))[0]
     back = FS.materialize_cleaned(clean, str(tmp_path / "clean"))
     assert back.count() == clean.count() and set(back.columns) == set(clean.columns)
+
+
+def test_user_files(spark, tmp_path):
+    from ledgerlens.operators import users as US
+    out = str(tmp_path / "up")
+    TB.raw_orders(spark, SF_SMALL).repartition(2).write.option("header", True).csv(out)
+    man = FS.ingest_manifest(FS.read_upload(spark, out, "csv"))
+    names = [r.filename for r in man.collect()]
+    uploads = spark.createDataFrame([(n, 1) for n in names], "filename string, user_id bigint")
+    got = US.user_files(man, uploads, TB.users(spark, SF_SMALL)).collect()
+    assert len(got) == 2 and got[0].meta["columns"].startswith("order_id,invoice_date")
