@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...plans.joins import ALL_KEY, drop_seg, seg_keys
+from ...plans.joins import drop_seg, seg_keys
 from . import arima as AR
 from . import ets as ET
 from . import moving_average as MA
@@ -161,4 +161,4 @@ def model_bundle(result: ForecastResult, keys: Sequence[str] = ()) -> DataFrame:
 
 
 __all__ = ["compare_forecasting_models", "ForecastResult", "model_bundle", "write_bundle",
-           "forecast_overlay", "ALL_KEY"]
+           "forecast_overlay"]
