@@ -837,3 +837,26 @@ def q_report_document(spark, sf):
 def q_report_insights_roundtrip(spark, sf):
     clean, roles = C.clean_sales(TB.sales(spark, sf))
     return RP.insights_from_document(RP.analysis_document(clean, roles, ["Region"]), ["Region"])
+
+
+# Probe questions, one per intent (and the reference's two substring traps), asked next to
+# every user turn so each answer template is checked against the oracle.
+PROBE_QUESTIONS = [
+    "What is the top product?", "Any weak product to review?", "Which region needs attention?",
+    "Show the weak region", "Is revenue growth positive?", "What is the profit margin?",
+    "Show me the forecast outlook.", "Is the business stable?", "Give me a short business summary.",
+    "What should I do next?", "Which product is performing best?", "How many transactions?",
+]
+_PROBE_VALUES = ", ".join(f"(-1, {i}, {TS.lit(q)})" for i, q in enumerate(PROBE_QUESTIONS))
+
+
+@query("answers_with_probes", oracle=TS.answers_sql(CLEAN_SALES, "clean").replace(
+    "FROM conversations WHERE role = 'user')",
+    f"FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' "
+    f"UNION ALL SELECT * FROM (VALUES {_PROBE_VALUES}) v(conv_id, turn, text)))"))
+def q_answers_with_probes(spark, sf):
+    probes = spark.createDataFrame([(-1, i, q) for i, q in enumerate(PROBE_QUESTIONS)],
+                                   "conv_id bigint, turn bigint, text string")
+    qs = _user_turns(spark, sf).select("conv_id", "turn", "text").unionByName(probes)
+    out = QU.answer_questions(qs, QU.chat_context(clean_sales_view(spark, sf)))
+    return out.select("conv_id", "turn", "intent", "answer")
