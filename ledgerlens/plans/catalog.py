@@ -1,8 +1,9 @@
 """Every registered query, each with its DuckDB oracle when SQL can express it.
 
 All queries read the driver tables (or views Spark derives from them) in full.
-Doubles are rounded to 4 decimals in the compared outputs: revenue values are exact
-multiples of 1e-4, so the rounding never sits on a tie.
+Compared doubles are rounded to 8 significant digits (`registry.rnd`, written identically
+in the SQL): revenue values are exact multiples of 1e-4, so row values agree bit for bit,
+and sums differ only by float noise far below that granularity.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .kpi_sql import kpi_ctes
 from .oracle_sql import CLEAN_EVENTS, CLEAN_RAW_ORDERS, CLEAN_SALES, RAW_ORDERS, with_
 from .registry import query, rnd_sig, rnd_sig_sql, rnd_sql, rounded
 
-R = 4  # decimals kept in compared doubles
+R = 4  # legacy digits argument; rounding is by significant digits (registry.COMPARE_SIG)
 
 
 def clean_sales_view(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +78,7 @@ def q_detect_roles(spark, sf):
 # ---------------------------------------------------------------- cleaning
 
 @query("parse_amounts", oracle=with_(RAW_ORDERS) + """
-SELECT order_id, amount, (floor((TRY_CAST(regexp_replace(amount, '[^0-9.\\-]', '', 'g') AS DOUBLE)) * 10000.0 + 0.500001) / 10000.0) AS amount_value
+SELECT order_id, amount, """ + rnd_sql('''TRY_CAST(regexp_replace(amount, '[^0-9.\\-]', '', 'g') AS DOUBLE)''') + """ AS amount_value
 FROM raw_orders""")
 def q_parse_amounts(spark, sf):
     from ..functions.numeric import parse_amount
@@ -101,16 +102,16 @@ def q_parse_dates(spark, sf):
 
 
 @query("clean_sales", oracle=with_(CLEAN_RAW_ORDERS) + """
-SELECT order_id, invoice_date, amount, item, market, units, "Date", (floor(("Revenue") * 10000.0 + 0.500001) / 10000.0) AS "Revenue",
-       "Product", "Region", (floor(("Quantity") * 10000.0 + 0.500001) / 10000.0) AS "Quantity", "MonthNum", "Month", "Quarter", "Week", "Day"
+SELECT order_id, invoice_date, amount, item, market, units, "Date", """ + rnd_sql('''"Revenue"''') + """ AS "Revenue",
+       "Product", "Region", """ + rnd_sql('''"Quantity"''') + """ AS "Quantity", "MonthNum", "Month", "Quarter", "Week", "Day"
 FROM rclean""")
 def q_clean_sales(spark, sf):
     return rounded(clean_raw_orders(spark, sf), R)
 
 
 @query("clean_sales_view", oracle=with_(CLEAN_SALES) + """
-SELECT order_date, "Date", (floor(("Revenue") * 10000.0 + 0.500001) / 10000.0) AS "Revenue", "Product", "Region",
-       (floor(("Quantity") * 10000.0 + 0.500001) / 10000.0) AS "Quantity", "MonthNum", "Month", "Quarter", "Week", "Day"
+SELECT order_date, "Date", """ + rnd_sql('''"Revenue"''') + """ AS "Revenue", "Product", "Region",
+       """ + rnd_sql('''"Quantity"''') + """ AS "Quantity", "MonthNum", "Month", "Quarter", "Week", "Day"
 FROM clean""")
 def q_clean_sales_view(spark, sf):
     return rounded(clean_sales_view(spark, sf), R)
@@ -122,7 +123,7 @@ d AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
              CAST(DATE '2024-12-31' - CAST(n - 1 - idx AS INTEGER) AS DATE) AS "Date",
              CAST(c_custkey AS DOUBLE) AS "Revenue", c_name AS "Product", 'Unknown' AS "Region",
              CAST(0.0 AS DOUBLE) AS "Quantity" FROM c)
-""" + """SELECT c_custkey, c_name, c_nationkey, (floor((c_acctbal) * 10000.0 + 0.500001) / 10000.0) AS c_acctbal, c_mktsegment, "Date",
+""" + """SELECT c_custkey, c_name, c_nationkey, """ + rnd_sql('''c_acctbal''') + """ AS c_acctbal, c_mktsegment, "Date",
        "Revenue", "Product", "Region", "Quantity",
        CAST(month("Date") AS INTEGER) AS "MonthNum", strftime("Date", '%b') AS "Month",
        'Q' || CAST(quarter("Date") AS VARCHAR) AS "Quarter", CAST(weekofyear("Date") AS INTEGER) AS "Week",
@@ -147,7 +148,7 @@ def q_calendar_columns(spark, sf):
 # ---------------------------------------------------------------- filters
 
 @query("segment_filter", oracle=with_(CLEAN_SALES) + """
-SELECT "Date", (floor(("Revenue") * 10000.0 + 0.500001) / 10000.0) AS "Revenue", "Product", "Region", "Quarter", "Day"
+SELECT "Date", """ + rnd_sql('''"Revenue"''') + """ AS "Revenue", "Product", "Region", "Quarter", "Day"
 FROM clean WHERE CAST("Region" AS VARCHAR) = 'EUROPE'""")
 def q_segment_filter(spark, sf):
     df = C.segment_filter(clean_sales_view(spark, sf), "Region", "EUROPE")
@@ -155,10 +156,10 @@ def q_segment_filter(spark, sf):
 
 
 @query("segment_filter_fallback", oracle=with_(CLEAN_SALES) + """
-SELECT "Date", (floor(("Revenue") * 10000.0 + 0.500001) / 10000.0) AS "Revenue", "Product", "Region"
+SELECT "Date", """ + rnd_sql('''"Revenue"''') + """ AS "Revenue", "Product", "Region"
 FROM clean WHERE CAST("Region" AS VARCHAR) = 'ATLANTIS'
 UNION ALL
-SELECT "Date", (floor(("Revenue") * 10000.0 + 0.500001) / 10000.0) AS "Revenue", "Product", "Region"
+SELECT "Date", """ + rnd_sql('''"Revenue"''') + """ AS "Revenue", "Product", "Region"
 FROM clean WHERE NOT EXISTS (SELECT 1 FROM clean WHERE CAST("Region" AS VARCHAR) = 'ATLANTIS')""")
 def q_segment_filter_fallback(spark, sf):
     df = C.filter_or_all(clean_sales_view(spark, sf), "Region", "ATLANTIS")
@@ -178,21 +179,23 @@ def q_filter_values(spark, sf):
 # ---------------------------------------------------------------- daily series
 
 @query("daily_revenue", oracle=with_(CLEAN_SALES) + """
-SELECT "Date" AS ds, (floor((sum("Revenue")) * 10000.0 + 0.500001) / 10000.0) AS y FROM clean GROUP BY "Date\"""")
+SELECT "Date" AS ds, """ + rnd_sql('''sum("Revenue")''') + """ AS y FROM clean GROUP BY "Date\"""")
 def q_daily_revenue(spark, sf):
     return rounded(S.daily(clean_sales_view(spark, sf)), R)
 
 
-def _gapfill_sql(ctes: str, daily_sql: str, keys: list[str]) -> str:
-    """Oracle for J1: per-segment calendar from min to max day, left-joined to the daily sums."""
+def _gapfill_sql(ctes: str, daily_sql: str, keys: list[str], round_y: bool = True) -> str:
+    """Oracle for J1: per-segment calendar from min to max day, left-joined to the daily sums.
+    `round_y=False` keeps exact values when the result feeds further SQL."""
     kq = [f'"{c}"' for c in keys]
     k = "".join(f"{c}, " for c in kq)
     group = ("GROUP BY " + ", ".join(kq)) if keys else ""
     on = "".join(f" AND c.{c} = d.{c}" for c in kq)
+    y = rnd_sql("COALESCE(d.y, 0.0)") if round_y else "COALESCE(d.y, 0.0)"
     return with_(ctes, f"daily AS ({daily_sql})", f"""bounds AS (SELECT {k}min(ds) AS lo, max(ds) AS hi FROM daily {group})""",
                  f"""cal AS (SELECT {k}CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS ds, lo,
                CAST(datediff('day', lo, hi) + 1 AS INTEGER) AS n_days FROM bounds)""") + f"""
-SELECT {"".join(f"c.{c}, " for c in kq)}c.ds, (floor((COALESCE(d.y, 0.0)) * 10000.0 + 0.500001) / 10000.0) AS y,
+SELECT {"".join(f"c.{c}, " for c in kq)}c.ds, {y} AS y,
        CAST(datediff('day', c.lo, c.ds) AS INTEGER) AS t, c.n_days
 FROM cal c LEFT JOIN daily d ON c.ds = d.ds{on}"""
 
@@ -583,7 +586,7 @@ def _ma_sql(ctes: str, daily_sql: str, keys: list[str], backtest: bool) -> str:
     return body + f""", p AS ({rows})
 SELECT {outp}'Moving Average' AS model, {rnd_sql("avg(abs(f.y - p.forecast))")} AS mae,
        {rnd_sql("sqrt(avg((f.y - p.forecast) * (f.y - p.forecast)))")} AS rmse,
-       {rnd_sig_sql("avg(abs((f.y - p.forecast) / greatest(abs(f.y), 1e-6))) * 100")} AS mape
+       {rnd_sql(rnd_sig_sql("avg(abs((f.y - p.forecast) / greatest(abs(f.y), 1e-6))) * 100"))} AS mape
 FROM p JOIN filled f ON p.ds = f.ds AND {on('p', 'f')} GROUP BY {", ".join("p." + c for c in kq)}"""
 
 
@@ -629,7 +632,7 @@ _FEAT_COLS = ["ds", "y"] + [f"lag_{k}" for k in range(1, 22)] + [
     "roll_mean_7", "roll_mean_14", "roll_std_7", "roll_std_14", "dayofweek", "month", "day"]
 
 
-@query("supervised_features", oracle=_gapfill_sql(CLEAN_SALES, _SALES_DAILY, []).replace(
+@query("supervised_features", oracle=_gapfill_sql(CLEAN_SALES, _SALES_DAILY, [], round_y=False).replace(
     "\nSELECT c.ds, ", "\n, g AS (SELECT c.ds, ", 1) + f"""
 )
 SELECT {", ".join(c if c in ("ds", "dayofweek", "month", "day") else f"{rnd_sql(c, _FEAT_DIGITS.get(c, R))} AS {c}" for c in _FEAT_COLS)}
