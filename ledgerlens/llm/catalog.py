@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
-from .tables import read_table
+from . import exact_dedup, mixing
+from .tables import read_table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(mixing.sized(read_table(spark, sf_dir, "documents")), "mix-sized")
+    _, documents = mixing.mix(rows)
+    return documents.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_groups(read_table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,7 @@ FROM d WINDOW g AS (PARTITION BY norm)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op6_exact_dedup": op6_exact_dedup,
     }
 
