@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, simple8b
 from .tables import read_table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = simple8b.write_ids(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return simple8b.read_ids(files, with_ids=False).withColumnRenamed("id", "doc_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_groups(read_table(spark, sf_dir, "documents"))
 
@@ -36,6 +46,7 @@ FROM d WINDOW g AS (PARTITION BY norm)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_simple8b": op2_simple8b,
         "op6_exact_dedup": op6_exact_dedup,
     }
 
