@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, simple8b
+from . import byte_bpe, exact_dedup, mixing, simple8b
 from .tables import read_table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,10 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(files, with_ids=False).withColumnRenamed("id", "doc_id")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_groups(read_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_simple8b": op2_simple8b,
+        "op5_byte_bpe": op5_byte_bpe,
         "op6_exact_dedup": op6_exact_dedup,
     }
 
