@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, simple8b
+from . import byte_bpe, exact_dedup, mixing, quality, simple8b
 from .tables import read_table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +39,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "importance.*")
+
+
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -53,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simple8b": op2_simple8b,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_exact_dedup": op6_exact_dedup,
+        "op10_quality": op10_quality,
     }
 
 
