@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, quality, simple8b, substring_dedup
+from . import byte_bpe, exact_dedup, mixing, ngram_join, quality, simple8b, substring_dedup
 from .tables import read_table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +44,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "importance.*")
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_ngram_join": op8_ngram_join,
         "op10_quality": op10_quality,
     }
 
