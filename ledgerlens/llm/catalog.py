@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, ngram_join, quality, simple8b, substring_dedup
+from . import byte_bpe, exact_dedup, mixing, ngram_join, quality, secret_scan, simple8b, substring_dedup
 from .tables import read_table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +48,17 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"),
+                        secret_scan.as_text(F.col("spans")).alias("spans"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "importance.*")
@@ -69,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_ngram_join": op8_ngram_join,
+        "op9_secret_scan": op9_secret_scan,
         "op10_quality": op10_quality,
     }
 
