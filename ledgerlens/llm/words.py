@@ -43,7 +43,8 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int
 class Words:
     """Words of consecutive texts: byte spans [start, end) in `data`, and their text's number."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, between: np.ndarray = _SPACE):
+        """`between`: which byte values lie between words (after lower-casing A-Z, if `lower`)."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
         n = len(column)
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + n + 1]
@@ -52,7 +53,7 @@ class Words:
         data = whole[offsets[0]:offsets[-1]]
         self.offsets = offsets - offsets[0]
         self.data = _LOWER[data] if lower else data
-        inside = ~_SPACE[self.data]
+        inside = ~between[self.data]
         first = np.zeros(len(data) + 1, dtype=bool)
         first[self.offsets] = True
         begins, ends = inside.copy(), inside.copy()
