@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, ngram_join, quality, secret_scan, simple8b, substring_dedup, toxicity
+from . import ann_tree, byte_bpe, exact_dedup, mixing, ngram_join, quality, secret_scan, simple8b, substring_dedup, toxicity
 from .tables import read_table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,10 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(files, with_ids=False).withColumnRenamed("id", "doc_id")
 
 
+def op3_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), "id % 100 = 0", k=10)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two annotated categories as a chain: junk text first, whose odds the toxicity model sees."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_simple8b": op2_simple8b,
+        "op3_ann_tree": op3_ann_tree,
         "op4_toxicity": op4_toxicity,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_exact_dedup": op6_exact_dedup,
