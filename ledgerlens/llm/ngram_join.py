@@ -57,7 +57,7 @@ def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(rows: DataFrame, seen: object, width: int, percent: int, with_tokens: bool) -> DataFrame:
-    """(id, n, sig; tokens): sig, a 128-bit hash of the whole set, is null for documents that
+    """(id, text_hash, n, sig; tokens): sig, a 128-bit hash of the whole set, is null for documents that
     link with no other text; tokens are the hashes that may occur in other documents."""
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -78,13 +78,14 @@ def _sets(rows: DataFrame, seen: object, width: int, percent: int, with_tokens:
                     else:
                         sig.append(None)
                         tokens.append(None)
-                out = {"id": batch.column("id").slice(a, b - a), "n": pa.array(n, pa.int64()),
+                out = {"id": batch.column("id").slice(a, b - a), "text_hash": batch.column("text_hash").slice(a, b - a),
+                       "n": pa.array(n, pa.int64()),
                        "sig": pa.array(sig, pa.binary())}
                 if with_tokens:
                     out["tokens"] = pa.array(tokens, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(out)
 
-    return rows.mapInArrow(sets, f"id {id_type}, n long, sig binary" + ", tokens array<long>" * with_tokens)
+    return rows.mapInArrow(sets, f"id {id_type}, text_hash long, n long, sig binary" + ", tokens array<long>" * with_tokens)
 
 
 def _ranked(classes: DataFrame, percent: int) -> DataFrame:
@@ -133,8 +134,8 @@ def _with_component(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(known, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
 
 
-def _links(ranked: DataFrame, percent: int) -> DataFrame | None:
-    """(node, component) of the classes that link with another; None if there are none."""
+def _links(ranked: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes that link with another."""
     postings = written(ranked.select("cid", "n", "shared", F.explode("prefix1").alias("token")), "postings")
     edges = labels = first = tested = None
     for _ in range(HUB_ROUNDS):
@@ -172,11 +173,10 @@ def _hub_components(first: DataFrame, labels: DataFrame) -> DataFrame:
     return _with_component(first.withColumnRenamed("hub", "cid"), labels).select("token", F.col("comp").alias("hub_comp"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
-    """One row per document: identifier, n_shingles, component_id (the smallest identifier that
-    links reach, its own included)."""
+def _groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: id, text_hash, n, component_id."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     expected = text_bytes(rows) / 6
     seen = docs.sparkSession.sparkContext.broadcast(
         sketch.build(rows.select("text"), lambda column: shingles(column, width)[1], expected))
@@ -192,12 +192,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     names = groups.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = groups.join(names, "component").select(F.col("sig").alias("set"), "component_id")
     return members.join(named, F.col("sig") == F.col("set"), "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+        "id", "text_hash", "n", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+                       text_col: str = "text") -> DataFrame:
+    """One row per document: identifier, n_shingles, component_id (the smallest identifier that
+    links reach, its own included)."""
+    return _groups(docs, width, percent, id_col, text_col).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose identifier is their component's smallest, with docs' own columns."""
-    groups = jaccard_components(docs, width, percent, id_col, text_col)
-    stays = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stays")).distinct()
-    return docs.join(stays, F.col(f"`{id_col}`") == F.col("__stays"), "left_semi")
+    """The rows of `docs` whose identifier is their component's smallest, with docs' own columns.
+    Rows that repeat an identifier and text stay or go together."""
+    groups = _groups(docs, width, percent, id_col, text_col)
+    stays = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(
+        F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
+    text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    return docs.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (text_hash == F.col("__hash")), "left_semi")
