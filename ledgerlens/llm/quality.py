@@ -8,9 +8,9 @@ weight plus Gumbel noise, and the k largest keys are kept. The noise comes from
 the identifier, so reruns agree.
 
 The raw model counts every document's whole text. The target model is fitted on a bounded
-sample of labelled documents (`LABELLED`), half of which calibrate k: the least weight that
-good documents have, at a price of `GOOD_COST` junk documents for one good one; k is the number
-of documents that reach it.
+sample of labelled documents (`LABELLED`), half of which calibrate k: a cut of the
+weights is chosen at a price of `GOOD_COST` junk documents for one good one, in the middle of
+the gap where it falls; k is the number of documents that reach it.
 
 Defined results: a null or empty text has log weight 0 (neither good nor bad evidence);
 without any good or any bad labelled document every document is kept; rows with equal keys
@@ -177,7 +177,8 @@ def resample(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
         return ratio, float("-inf"), float("-inf")
     # price of a cut just below each labelled document: good ones lost, junk kept
     price = GOOD_COST * (np.cumsum(good) - good) + (np.cumsum(~good[::-1])[::-1])
-    least = float(known["log_weight"].to_numpy()[int(np.argmin(price))])
+    weight, best = known["log_weight"].to_numpy(), int(np.argmin(price))
+    least = float((weight[max(best - 1, 0)] + weight[best]) / 2)
     k = weights.where(F.col("log_weight") >= least).count()
     keys = weights.select(gumbel_key(F.col("id"), F.col("log_weight")).alias("key"))
     return ratio, least, kth_largest(keys, "key", k)
