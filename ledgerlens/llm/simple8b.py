@@ -5,8 +5,8 @@ id lowest. Selectors 1 to 14 name how many ids of how many bits a word packs (`P
 Selector 15 is the escape: the next 64-bit word is one id as it is, for ids of 2^60 and
 more. Selector 0 is not used. Every document starts at a word of its own.
 
-A file holds blocks of consecutive documents in ascending identifier order. A block has its
-number of ids, the words (little-endian), and for each document its identifier, number of
+A file holds blocks of consecutive documents in ascending identifier order. A block has the
+number of the file's ids before it and of its own, the words (little-endian), and for each document its identifier, number of
 ids and the offset of its first word, so that blocks and documents decode alone and whole
 blocks decode with array operations. The files are Parquet, written and committed by Spark;
 part numbers ascend with the identifiers.
@@ -18,6 +18,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_characters
 from .tables import shuffle_partitions, written
 from .wordwise import PartCache
 from .words import slices
@@ -36,9 +38,9 @@ PACKINGS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10,
             8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 ESCAPE = 15
 #: Text bytes of a block; a longer document has a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 
-BLOCKS = ("part int, block int, n_ids long, words binary, "
+BLOCKS = ("part int, before long, n_ids long, words binary, "
           "docs array<struct<id: {id}, n: long, word: long>>")
 
 
@@ -107,37 +109,72 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Most words: letters (of Latin-1), then marks. No apostrophe, which the tokenizer's pattern
+#: knows, and no bar, which stands between words below.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{}~]*)\Z")
+_PROBES = ["Then,", "ÊTRE", "straße...", "a<=", "Zu", "x!?"]
+
+
+class WordEncoder:
+    """Encodes words (no white space) with a tokenizer file, without special tokens.
+
+    Where the tokenizer lower-cases and splits letters from marks (probed), a plain word is
+    the model's tokens of its letters and of its marks, and these are kept too. Other words are
+    joined by bars and go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        self._bytes = {ord(c): "".join(byte_characters()[b] for b in c.encode())
+                       for c in map(chr, range(0xA0, 0x100))}
+        self._pieces = PartCache(self._encode_pieces)
+        bar = self._encode_texts(["|"])[0]
+        self._bar = int(bar[0]) if len(bar) == 1 else None
+        self._plain = False
+        self._plain = self.encode([w.encode() for w in _PROBES]) == self._encode_plain(
+            {w.encode(): _PLAIN.match(w) for w in _PROBES})
+
+    def _encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        return [b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(p.translate(self._bytes))])
+                for p in pieces]
+
+    def _encode_plain(self, matches: dict[bytes, re.Match]) -> list[bytes]:
+        pairs = [(m[1].lower(), m[2]) for m in matches.values()]
+        known = self._pieces.lookup(p for pair in pairs for p in pair if p)
+        known[""] = b""
+        return [known[a] + known[b] for a, b in pairs]
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        matches = {w: m for w in words if (m := _PLAIN.match(w.decode()))} if self._plain else {}
+        out = dict(zip(matches, self._encode_plain(matches), strict=True))
+        rest = [w for w in words if w not in out]
+        joined = [w for w in rest if b"|" not in w] if self._bar is not None else []
+        groups = [joined[i:i + 512] for i in range(0, len(joined), 512)]
+        alone = [w for w in rest if b"|" in w] if self._bar is not None else rest
+        found = self._encode_texts([b" | ".join(g).decode() for g in groups] + [w.decode() for w in alone])
+        for group, ids in zip(groups, found, strict=False):
+            cuts = np.flatnonzero(ids == self._bar)
+            if len(cuts) != len(group) - 1:
+                raise ValueError("a word's ids hold the id of a bar")
+            starts = [0, *(cuts + 1).tolist()]
+            for w, a, b in zip(group, starts, [*cuts.tolist(), len(ids)], strict=True):
+                out[w] = ids[a:b].tobytes()
+        out.update(zip(alone, (x.tobytes() for x in found[len(groups):]), strict=True))
+        return [out[w] for w in words]
+
+
 _LOADED: dict[str, PartCache] = {}
-#: A part between others; parts that hold it are encoded alone.
-_BAR = b"|"
 
 
 def word_encoder(path: str) -> PartCache:
-    """Encodes words (no white space) with the tokenizer file `path`, without special tokens."""
+    """The encoder of a tokenizer file, kept for the life of the process."""
     if path not in _LOADED:
-        from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_file(path)
-        bar = tokenizer.encode(_BAR.decode(), add_special_tokens=False).ids
-
-        def encode(words: list[bytes]) -> list[bytes]:
-            out: dict[bytes, bytes] = {}
-            joined = [w for w in words if _BAR not in w]
-            alone = [w for w in words if _BAR in w]
-            groups = [joined[i:i + 512] for i in range(0, len(joined), 512)] if len(bar) == 1 else []
-            if not groups:
-                alone = words
-            texts = [b" | ".join(g).decode() for g in groups] + [w.decode() for w in alone]
-            found = [np.asarray(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            for group, ids in zip(groups, found, strict=False):
-                cuts = np.flatnonzero(ids == bar[0])
-                assert len(cuts) == len(group) - 1
-                starts = [0, *(cuts + 1).tolist()]
-                for w, a, b in zip(group, starts, [*cuts.tolist(), len(ids)], strict=True):
-                    out[w] = ids[a:b].tobytes()
-            out.update(zip(alone, (x.tobytes() for x in found[len(groups):]), strict=True))
-            return [out[w] for w in words]
-
-        _LOADED[path] = PartCache(encode)
+        _LOADED[path] = PartCache(WordEncoder(path).encode)
     return _LOADED[path]
 
 
@@ -151,7 +188,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     schema = BLOCKS.format(id=ordered.schema["id"].dataType.simpleString())
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, block = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, before = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
@@ -165,11 +202,11 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
                 rows = pa.StructArray.from_arrays(
                     [batch.column("id").slice(a, b - a), pa.array(lengths), pa.array(first)], names=["id", "n", "word"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([lengths.sum()], pa.int64()),
+                    [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([lengths.sum()], pa.int64()),
                      pa.array([packed.astype("<u8").tobytes()], pa.binary()),
                      pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), rows)],
-                    names=["part", "block", "n_ids", "words", "docs"])
-                block += 1
+                    names=["part", "before", "n_ids", "words", "docs"])
+                before += int(lengths.sum())
 
     return written(ordered.mapInArrow(blocks, schema), "token-ids")
 
@@ -177,14 +214,12 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
 def read_ids(files: DataFrame, with_ids: bool = True) -> DataFrame:
     """Reads the files back: id, start (ids of all documents before it), n_tokens, ids_crc32 (of
     the ids as little-endian 32-bit integers) and, `with_ids`, the ids themselves."""
-    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a file
-    before = totals.select("part", F.coalesce(F.sum("n").over(
+    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    starts = totals.select("part", F.coalesce(F.sum("n").over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
-    sizes = files.select("part", "block", "n_ids")
-    offsets = (sizes.withColumn("in_part", F.coalesce(F.sum("n_ids").over(
-        Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .join(before, "part").select("part", "block", (F.col("part_start") + F.col("in_part")).alias("start")))
-    rows = files.join(offsets, ["part", "block"]).select("start", "words", "docs")
+    # one row a file, so it may be broadcast
+    rows = files.join(F.broadcast(starts), "part").select(
+        (F.col("part_start") + F.col("before")).alias("start"), "words", "docs")
     id_type = files.schema["docs"].dataType.elementType["id"].dataType.simpleString()
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

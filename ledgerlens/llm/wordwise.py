@@ -19,27 +19,19 @@ class PartCache:
         self._encode, self._kept, self._room = encode, {}, kept
 
     def lookup(self, parts: Iterable[bytes]) -> dict[bytes, bytes]:
-        """A mapping that holds every one of `parts`."""
-        new = [p for p in set(parts) if p not in self._kept]
-        if not new:
-            return self._kept
-        ids = self._encode(new)
-        if len(new) <= self._room:
-            self._kept.update(zip(new, ids, strict=True))
-            self._room -= len(new)
-            return self._kept
-        self._kept.update(zip(new[:self._room], ids[:self._room], strict=True))
-        rest = dict(zip(new[self._room:], ids[self._room:], strict=True))
-        self._room = 0
-        return _Both(self._kept, rest)
-
-
-class _Both(dict):
-    """Two mappings as one: this one first, then `kept`."""
-
-    def __init__(self, kept: dict, rest: dict):
-        super().__init__(rest)
-        self._more = kept
-
-    def __missing__(self, key):
-        return self._more[key]
+        """A mapping of just `parts`."""
+        known = dict.fromkeys(parts)
+        kept, new = self._kept, []
+        for p in known:
+            ids = kept.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                known[p] = ids
+        if new:
+            ids = self._encode(new)
+            known.update(zip(new, ids, strict=True))
+            if self._room:
+                kept.update(zip(new[:self._room], ids, strict=False))
+                self._room -= min(self._room, len(new))
+        return known
