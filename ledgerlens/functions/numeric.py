@@ -25,4 +25,5 @@ def strict_number(c: Column) -> Column:
 
 
 def zero_fill(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
+    """Null and NaN become 0.0."""
+    return F.coalesce(F.nanvl(c, F.lit(None).cast("double")), F.lit(0.0))

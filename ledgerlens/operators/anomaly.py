@@ -73,13 +73,3 @@ def anomalies_from_daily(daily: DataFrame, k: list[str], first_only: bool = True
     return out.select(*k, F.date_format(F.col("z.days"), "yyyy-MM-dd").alias("date"), F.col("z.ys").alias("value"),
                       F.when(F.col("z.ys") > F.col("z.hi"), "high").otherwise("low").alias("type"),
                       (F.col("pos") + 1).alias("rank"))
-
-
-def anomaly_counts(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Number of reported anomalies (≤ 5) per segment, for the rule texts."""
-    keys = list(keys)
-    return detect_anomalies(clean, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("anomaly_count"))
-
-
-def anomaly_counts_from_daily(daily: DataFrame, k: list[str]) -> DataFrame:
-    return anomalies_from_daily(daily, k).groupBy(*k).agg(F.count(F.lit(1)).alias("anomaly_count"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import calendar_columns, to_day
-from ..functions.numeric import parse_amount, strict_number
+from ..functions.numeric import parse_amount, strict_number, zero_fill
 from ..plans.ordering import with_row_index
 from .schema_map import STANDARD_COLUMNS, RoleMap, detect_roles, numeric_columns
 
@@ -55,10 +55,15 @@ def strip_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def _col(name: str) -> F.Column:
+    """A column by its exact name (a header may hold dots)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _text_or_unknown(df: DataFrame, col: str | None) -> F.Column:
     if col is None:
         return F.lit("Unknown")
-    return F.coalesce(F.col(col).cast("string"), F.lit("Unknown"))
+    return F.coalesce(_col(col).cast("string"), F.lit("Unknown"))
 
 
 def clean_sales(df: DataFrame, as_of: str | None = None, order_by: Sequence[str] | None = None,
@@ -75,8 +80,7 @@ def clean_sales(df: DataFrame, as_of: str | None = None, order_by: Sequence[str]
 
     # Date (P6) or the missing-date fallback
     if roles.date_col:
-        date_expr = to_day(F.col(roles.date_col), types[roles.date_col],
-                           *( [tuple(formats)] if formats else []))
+        date_expr = to_day(_col(roles.date_col), types[roles.date_col], tuple(formats or ()))
     else:
         if as_of is None:
             as_of_col = F.current_date()
@@ -89,17 +93,17 @@ def clean_sales(df: DataFrame, as_of: str | None = None, order_by: Sequence[str]
     # Revenue (P4, P8)
     if roles.revenue_col:
         rc, rt = roles.revenue_col, types[roles.revenue_col]
-        rev = F.col(rc).cast("double") if isinstance(rt, T.NumericType) else parse_amount(F.col(rc))
+        rev = _col(rc).cast("double") if isinstance(rt, T.NumericType) else parse_amount(_col(rc))
     else:
         nums = numeric_columns(df.drop("__row_idx", "row_total") if "__row_idx" in df.columns else df)
-        rev = F.col(nums[0]).cast("double") if nums else F.lit(0.0)
-    revenue = F.coalesce(rev, F.lit(0.0))
+        rev = _col(nums[0]).cast("double") if nums else F.lit(0.0)
+    revenue = zero_fill(rev)
 
     # Quantity (P10): strict coercion, zero fill
     if roles.quantity_col:
         qc, qt = roles.quantity_col, types[roles.quantity_col]
-        q = F.col(qc).cast("double") if isinstance(qt, T.NumericType) else strict_number(F.col(qc))
-        quantity = F.coalesce(q, F.lit(0.0))
+        q = _col(qc).cast("double") if isinstance(qt, T.NumericType) else strict_number(_col(qc))
+        quantity = zero_fill(q)
     else:
         quantity = F.lit(0.0)
 
@@ -111,7 +115,7 @@ def clean_sales(df: DataFrame, as_of: str | None = None, order_by: Sequence[str]
         "Quantity": quantity,
     }
     lowered = {c.lower() for c in CLEAN_COLUMNS}
-    keep = [F.col(f"`{c}`") for c in df.columns
+    keep = [_col(c) for c in df.columns
             if c.lower() not in lowered and c not in ("__row_idx", "row_total")]
     staged = df.select(*keep, *[e.alias(n) for n, e in new_cols.items()])
     out = staged.where(F.col("Date").isNotNull())                      # P11
@@ -128,19 +132,21 @@ def segment_filter(df: DataFrame, filter_by: str | None, filter_value: str | Non
     """L1: text equality on one column; `None`/`All`/unknown column pass everything through."""
     if filter_by in (None, "None") or filter_value in (None, "All") or filter_by not in df.columns:
         return df
-    return df.where(F.col(filter_by).cast("string") == F.lit(str(filter_value)))
+    return df.where(_col(filter_by).cast("string") == F.lit(str(filter_value)))
 
 
 def filter_or_all(df: DataFrame, filter_by: str | None, filter_value: str | None) -> DataFrame:
     """L2: the filtered rows, or every row when the filter matches nothing.
 
-    The emptiness test is `isEmpty` on the filtered rows: it stops at the first match, so a
-    matching filter costs one short job, and the full table is never scanned twice.
+    Lazy: whether any row matches is a one-row aggregate (stopping at the first match), joined
+    to the rows as a broadcast flag.
     """
     hit = segment_filter(df, filter_by, filter_value)
     if hit is df:
         return df
-    return df if hit.isEmpty() else hit
+    any_hit = hit.limit(1).agg((F.count(F.lit(1)) > 0).alias("__any"))
+    matches = F.coalesce(_col(filter_by).cast("string") == F.lit(str(filter_value)), F.lit(False))
+    return df.join(F.broadcast(any_hit)).where(matches | ~F.col("__any")).drop("__any")
 
 
 def filter_values_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

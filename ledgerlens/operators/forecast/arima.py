@@ -1,9 +1,9 @@
-"""M4/M5: seasonal ARIMA grid by Hannan–Rissanen least squares, one Python task per
-(segment, candidate).
+"""M4/M5: seasonal ARIMA grid by Hannan–Rissanen least squares, one Python group per segment.
 
-The candidate grid is fanned out with `explode` of a literal array, every (segment,
-candidate) group is fitted by `applyInPandas` (a group is one daily series, bounded by its
-calendar span), and the lowest AIC per segment is chosen with `min_by` in Spark.
+The daily rows of a segment are shuffled once; its group (one daily series, bounded by its
+calendar span) fits every candidate and keeps the one with the lowest AIC over a sample of
+days that all candidates share. If all fail, order (1, 1, 1) is fitted with what terms the
+series can bear, at last as a random walk.
 Seasonal terms enter as extra lag-7 regressors, not as a multiplicative polynomial
 (documented deviation from a state-space maximum-likelihood fit).
 """
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...plans.joins import ALL_KEY, drop_seg, seg_keys
@@ -27,12 +27,27 @@ MIN_SEASONAL = 28
 
 CANDIDATES = [(i * len(SEASONAL_ORDERS) + j, o, so)
               for i, o in enumerate(ORDERS) for j, so in enumerate(SEASONAL_ORDERS)]
+FALLBACK = (1, 1, 1)
+FALLBACK_CID = next(cid for cid, o, so in CANDIDATES if o == FALLBACK and not so[3])
 
 
 def config_text(order, seasonal) -> str:
     return f"order={tuple(order)}, seasonal={tuple(seasonal)}"
 
 
+def longest_loss(n: int) -> int:
+    """Days that the longest candidate for a series of `n` days loses to differencing and lags."""
+    loss = 0
+    for (p, d, q), (P, D, Q, s) in candidates(n):
+        loss = max(loss, d + s * D + max(p, q, s if P or Q else 0))
+    return min(loss, n - 1)
+
+
+def candidates(n: int) -> list[tuple]:
+    """The (order, seasonal order) pairs that a series of `n` days may take."""
+    return [(o, so) for _, o, so in CANDIDATES if n >= MIN_SEASONAL or not so[3]]
+
+
 def _lagmat(x: np.ndarray, lags: list[int], start: int) -> np.ndarray:
     return np.column_stack([x[start - k:len(x) - k] for k in lags]) if lags else np.empty((len(x) - start, 0))
 
@@ -51,8 +66,6 @@ def fit_forecast(y: np.ndarray, order, seasonal, h: int) -> tuple[np.ndarray, np
     ar = list(range(1, p + 1)) + ([s] if P else [])
     ma = list(range(1, q + 1)) + ([s] if Q else [])
     k = len(ar) + len(ma)
-    if m < 2 * (k + 5):
-        raise ValueError("series too short for this candidate")
     # stage 1: long autoregression for the innovations
     ehat = np.zeros(m)
     if ma:
@@ -63,8 +76,8 @@ def fit_forecast(y: np.ndarray, order, seasonal, h: int) -> tuple[np.ndarray, np
         start = L + max(ma + ar)
     else:
         start = max(ar) if ar else 0
-    if m - start < k + 3:
-        raise ValueError("not enough observations after lags")
+    if m - start < k + 1:
+        raise ValueError("fewer observations than least squares needs")
     # stage 2: regression on lagged values and lagged innovations
     X2 = np.column_stack([_lagmat(w, ar, start), _lagmat(ehat, ma, start)]) if k else np.empty((m - start, 0))
     if k:
@@ -86,8 +99,8 @@ def fit_forecast(y: np.ndarray, order, seasonal, h: int) -> tuple[np.ndarray, np
     sigma2 = float(np.mean(resid ** 2))
     if not np.isfinite(sigma2) or sigma2 <= 0:
         sigma2 = max(sigma2, 1e-12) if np.isfinite(sigma2) else 1e-12
-    # AIC on a sample common to every candidate (the last n - common_start days)
-    common = min(n - 1, 40)
+    # AIC on the days that no candidate for this length loses to differencing or lags
+    common = longest_loss(n)
     e_y = np.concatenate([np.zeros(lost), e])
     sc = e_y[common:]
     sse = float(np.sum(sc ** 2))
@@ -129,28 +142,47 @@ def fit_forecast(y: np.ndarray, order, seasonal, h: int) -> tuple[np.ndarray, np
     return fc, sd_k, float(aic)
 
 
+def fit_best(y: np.ndarray, h: int, cid: int | None = None) -> tuple[int, np.ndarray, np.ndarray, float]:
+    """(candidate, forecast, forecast std, AIC) of the best candidate, or of candidate `cid`.
+
+    A candidate that fails is left out; if all do, (1, 1, 1) is fitted with fewer terms."""
+    fits = []
+    for i, order, seasonal in CANDIDATES:
+        if (cid is None and (order, seasonal) in candidates(len(y))) or i == cid:
+            try:
+                fc, sd, aic = fit_forecast(y, order, seasonal, h)
+                fits.append((aic, i, fc, sd))
+            except (ValueError, np.linalg.LinAlgError):
+                continue
+    if fits:
+        aic, i, fc, sd = min(fits, key=lambda f: f[:2])
+        return i, fc, sd, aic
+    for order in (FALLBACK, (1, 1, 0), (0, 1, 0)):
+        try:
+            fc, sd, aic = fit_forecast(y, order, (0, 0, 0, 0), h)
+            break
+        except (ValueError, np.linalg.LinAlgError):
+            continue
+    else:
+        fc, sd, aic = np.full(h, float(y[-1])), np.zeros(h), float("inf")
+    return FALLBACK_CID, fc, sd, aic
+
+
 def _fit_group(keys: list[str]):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        row = pdf.iloc[0]
-        h = int(row["h"])
-        order = (int(row["p"]), int(row["d"]), int(row["q"]))
-        seas = (int(row["sp"]), int(row["sd"]), int(row["sq"]), int(row["ss"]))
-        base = {k: row[k] for k in keys}
-        try:
-            with np.errstate(all="ignore"):
-                fc, sd, aic = fit_forecast(pdf["y"].to_numpy(), order, seas, h)
-            ok = True
-        except Exception:  # noqa: BLE001 - a failed fit is skipped, as in the reference
-            fc, sd, aic, ok = np.full(h, np.nan), np.full(h, np.nan), np.nan, False
+        row, h = pdf.iloc[0], int(pdf["h"].iloc[0])
+        with np.errstate(all="ignore"):
+            cid, fc, sd, aic = fit_best(pdf["y"].to_numpy(dtype=float), h,
+                                        int(row["cid"]) if row["cid"] is not None and not pd.isna(row["cid"]) else None)
         last = pd.Timestamp(pdf["ds"].iloc[-1])
         out = pd.DataFrame({
-            "cid": int(row["cid"]), "step": np.arange(1, h + 1, dtype="int32"),
+            "cid": cid, "step": np.arange(1, h + 1, dtype="int32"),
             "ds": [(last + pd.Timedelta(days=i)).date() for i in range(1, h + 1)],
-            "forecast": fc, "lower": fc - Z95 * sd, "upper": fc + Z95 * sd, "aic": aic, "ok": ok,
-            "extra": config_text(order, seas)})
-        for k, v in base.items():
-            out.insert(0, k, v)
+            "forecast": fc, "lower": fc - Z95 * sd, "upper": fc + Z95 * sd, "aic": aic,
+            "extra": config_text(*CANDIDATES[cid][1:])})
+        for k in reversed(keys):
+            out.insert(0, k, row[k])
         return out
     return fn
 
@@ -160,31 +192,19 @@ def arima(request: DataFrame, keys: Sequence[str] = (), config: DataFrame | None
 
     Without `config` the whole grid is fitted and the lowest AIC wins; with `config`
     (`keys…, cid`) only that candidate is fitted (the refit of a chosen configuration).
-    Returns the forecast rows plus `extra` (the configuration text); segments whose every
-    candidate failed are absent.
+    Returns the forecast rows plus `extra` (the configuration text).
     """
     user_keys = list(keys)
     request, keys = seg_keys(request, user_keys)
     if config is not None and not user_keys:
         config = config.withColumn(ALL_KEY, F.lit(0))
-    cands = F.array(*[F.struct(F.lit(cid).alias("cid"), F.lit(o[0]).alias("p"), F.lit(o[1]).alias("d"),
-                               F.lit(o[2]).alias("q"), F.lit(so[0]).alias("sp"), F.lit(so[1]).alias("sd"),
-                               F.lit(so[2]).alias("sq"), F.lit(so[3]).alias("ss"))
-                      for cid, o, so in CANDIDATES])
-    fan = request.select(*keys, "ds", "t", "y", "n", "h", F.explode(cands).alias("c")).select(
-        *keys, "ds", "t", "y", "n", "h", "c.*")
-    fan = fan.where((F.col("n") >= MIN_SEASONAL) | (F.col("ss") == 0))
-    if config is not None:
-        fan = fan.join(config.select(*keys, "cid"), keys + ["cid"], "left_semi")
+    rows = request.select(*keys, "ds", "t", "y", "n", "h")
+    rows = (rows.withColumn("cid", F.lit(None).cast("int")) if config is None
+            else rows.join(config.select(*keys, "cid"), keys))
     key_fields = [request.schema[k] for k in keys]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields] +
                        ["cid int", "step int", "ds date", "forecast double", "lower double", "upper double",
-                        "aic double", "ok boolean", "extra string"])
-    fits = fan.groupBy(*keys, "cid").applyInPandas(_fit_group(keys), schema)
-    # winner per segment by a window over that segment's fit rows (≤ 20 candidates × h
-    # rows), so the fits are computed once rather than once per consumer
-    good = fits.where(F.col("ok"))
-    best = F.min(F.struct("aic", "cid")).over(Window.partitionBy(*keys))
-    chosen = good.withColumn("__best", best).where(F.col("cid") == F.col("__best.cid")).drop("__best")
-    return drop_seg(chosen).select(*user_keys, F.lit(SARIMAX).alias("model"), "step", "ds",
-                                   "forecast", "lower", "upper", "extra", "cid", "aic")
+                        "aic double", "extra string"])
+    fits = rows.groupBy(*keys).applyInPandas(_fit_group(keys), schema)
+    return drop_seg(fits).select(*user_keys, F.lit(SARIMAX).alias("model"), "step", "ds",
+                                 "forecast", "lower", "upper", "extra", "cid", "aic")

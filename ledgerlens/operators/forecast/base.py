@@ -28,8 +28,6 @@ BOOSTING = "Gradient Boosting"
 MOVING_AVERAGE = "Moving Average"
 MODEL_ORDER = [SARIMAX, ETS, FOREST, BOOSTING]
 
-FORECAST_COLS = ["model", "step", "ds", "forecast", "lower", "upper"]
-
 
 def clamp_horizon(n: F.Column, horizon: int) -> F.Column:
     """M2: max(3, min(horizon, max(3, n // 4)))."""

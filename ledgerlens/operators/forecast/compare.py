@@ -9,6 +9,7 @@ series — documented deviation, the reference mixes train and full series there
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...plans.joins import drop_seg, seg_keys
+from ...session import ensure_checkpoint_dir
 from . import arima as AR
 from . import ets as ET
 from . import moving_average as MA
@@ -37,31 +39,35 @@ MIN_DAYS = 5
 
 @dataclass
 class ForecastResult:
-    comparison: DataFrame   # keys…, model, mae, rmse, mape, extra
-    forecast: DataFrame     # keys…, best_model, step, ds, forecast, lower, upper
-    summary: DataFrame      # keys…, best_model, horizon, training_end, forecast_sum, forecast_average, message
+    comparison: DataFrame        # keys…, model, mae, rmse, mape, extra
+    forecast: DataFrame | None   # keys…, best_model, step, ds, forecast, lower, upper
+    summary: DataFrame | None    # keys…, best_model, horizon, training_end, forecast_sum, forecast_average, message
 
 
 def _run(model: str, request: DataFrame, keys: list[str], tree_params: dict,
-         config: DataFrame | None = None) -> DataFrame:
+         config: DataFrame | None = None, lags: DataFrame | None = None) -> DataFrame:
     if model == "sarimax":
         out = AR.arima(request, keys, config)
         return out.select(*keys, "model", "step", "ds", "forecast", "lower", "upper", "extra")
     if model == "ets":
         return ET.ets(request, keys).withColumn("extra", F.lit("seasonal=auto"))
     if model in ("forest", "boosting"):
-        return TR.tree_forecast(request, keys, model, **tree_params.get(model, {}))
+        return TR.tree_forecast(request, keys, model, lags, **tree_params.get(model, {}))
     raise ValueError(model)
 
 
 def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), horizon: int = 30,
                                models: Sequence[str] = ALL_MODELS,
-                               tree_params: dict | None = None) -> ForecastResult:
-    """`series` is a gap-filled daily frame `(keys…, ds, y)` (see `series.prepare_daily_series`)."""
+                               tree_params: dict | None = None, refit: bool = True) -> ForecastResult:
+    """`refit=False` gives the comparison alone, without a fit on the whole series.
+
+    `series` is a gap-filled daily frame `(keys…, ds, y)` (see `series.prepare_daily_series`)."""
     user_keys = list(keys)
+    ensure_checkpoint_dir(series.sparkSession)
     tree_params = tree_params or {}
     # P20: rows without a usable value are dropped before modelling
-    series, k = seg_keys(series.select(*user_keys, "ds", "y").where(F.col("y").isNotNull()), user_keys)
+    usable = F.col("y").isNotNull() & ~F.isnan("y")
+    series, k = seg_keys(series.select(*user_keys, "ds", "y").where(usable), user_keys)
     plan_all = plan_requests(series, k, horizon)
     # Fewer than five calendar days -> no forecast, only a payload row
     plan = plan_all.where(F.col("n") >= MIN_DAYS).persist()
@@ -74,44 +80,50 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
     test = plan.where(F.col("split") == "test").select(*k, "ds", "y")
 
     # the models are independent jobs: submit them from parallel driver threads so the
-    # sequential boosting rounds overlap with the other fits
+    # sequential boosting rounds overlap with the other fits. A model that fails is left out.
+    def attempt(model: str, request: DataFrame, *more) -> DataFrame | None:
+        try:
+            return _run(model, request, k, tree_params, *more).checkpoint()
+        except Exception as error:  # noqa: BLE001 - the reference skips a model that fails
+            warnings.warn(f"{_NAMES[model]} left out: {error}", stacklevel=2)
+            return None
+
     with ThreadPoolExecutor(max_workers=len(models)) as pool:
-        backtests = list(pool.map(lambda m: _run(m, train, k, tree_params), models))
-    bt = backtests[0]
-    for b in backtests[1:]:
-        bt = bt.unionByName(b)
-    bt = bt.persist()
+        backtests = [b for b in pool.map(lambda m: attempt(m, train), models) if b is not None]
+    bt = _all_of(backtests, train, k)
     scores = score(bt.select(*k, "model", "ds", "forecast"), test, k)
     extra = bt.groupBy(*k, "model").agg(F.first("extra").alias("extra"))
     rank = F.array_position(F.array(*[F.lit(m) for m in MODEL_ORDER]), F.col("model"))
-    comparison = scores.join(extra, k + ["model"]).withColumn("model_rank", rank).persist()
-    best = comparison.groupBy(*k).agg(F.min_by("model", F.struct("mape", "model_rank")).alias("best_model"))
+    comparison = scores.join(extra, k + ["model"]).withColumn("model_rank", rank).checkpoint()
+    best = comparison.groupBy(*k).agg(F.min_by("model", F.struct("mape", "model_rank")).alias("best_model"),
+                                      F.min_by("extra", F.struct("mape", "model_rank")).alias("extra"))
+    result = drop_seg(comparison.select(*k, "model", "mae", "rmse", "mape", "extra"))
+    if not refit:
+        plan.unpersist()
+        return ForecastResult(result, None, None)
 
     full = full_request(plan, k)
-    def refit_one(m: str) -> DataFrame:
-        name = _NAMES[m]
-        chosen = best.where(F.col("best_model") == name).select(*k)
-        req = full.join(chosen, k, "left_semi")
-        config = None
+    winners = {r.best_model for r in best.select("best_model").distinct().collect()}  # at most the models
+
+    def refit_one(m: str) -> DataFrame | None:
+        chosen = best.where(F.col("best_model") == _NAMES[m])
+        req = full.join(chosen.select(*k), k, "left_semi")
+        config = lags = None
         if m == "sarimax":
-            config = bt.where(F.col("model") == SARIMAX).join(chosen, k, "left_semi") \
-                .groupBy(*k).agg(F.first("extra").alias("extra"))
-            config = config.join(_cid_table(series.sparkSession), "extra").select(*k, "cid")
-        return _run(m, req, k, tree_params, config).select(
-            *k, F.col("model").alias("best_model"), "step", "ds", "forecast", "lower", "upper")
+            config = chosen.join(_cid_table(series.sparkSession), "extra").select(*k, "cid")
+        elif m in ("forest", "boosting"):  # the lags of the backtest
+            lags = chosen.select(*k, F.regexp_extract("extra", r"lags=(\d+)", 1).cast("int").alias("lags"))
+        return attempt(m, req, config, lags)
 
     with ThreadPoolExecutor(max_workers=len(models)) as pool:
-        refits = list(pool.map(refit_one, models))
+        refits = [r for r in pool.map(refit_one, [m for m in models if _NAMES[m] in winners]) if r is not None]
     # moving average: short series, segments whose backtests all failed, and failed refits
-    refit = refits[0]
-    for r in refits[1:]:
-        refit = refit.unionByName(r)
-    refit = refit.persist()
-    covered = refit.select(*k).distinct()
-    ma_req = full.join(covered, k, "left_anti")
+    refitted = _all_of(refits, train, k).select(*k, F.col("model").alias("best_model"), "step", "ds", "forecast",
+                                                "lower", "upper")
+    ma_req = full.join(refitted.select(*k).distinct(), k, "left_anti")
     ma = MA.moving_average(ma_req, k).select(*k, F.col("model").alias("best_model"), "step", "ds",
                                              "forecast", "lower", "upper")
-    forecast = refit.unionByName(ma)
+    forecast = refitted.unionByName(ma)
 
     info = plan.groupBy(*k).agg(F.first("h").alias("horizon"), F.max("ds").alias("training_end"),
                                 F.first("n").alias("n"))
@@ -125,10 +137,19 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
                .select(*k, "best_model", "horizon", "training_end", "forecast_sum", "forecast_average",
                        msg.alias("message"))
                .unionByName(too_few))
-    return ForecastResult(
-        comparison=drop_seg(comparison.select(*k, "model", "mae", "rmse", "mape", "extra")),
-        forecast=drop_seg(forecast),
-        summary=drop_seg(summary))
+    return ForecastResult(comparison=result, forecast=drop_seg(forecast), summary=drop_seg(summary))
+
+
+def _all_of(parts: list[DataFrame], like: DataFrame, k: list[str]) -> DataFrame:
+    """The union of model outputs; an empty one of the same columns if there are none."""
+    columns = [*k, "model", "step", "ds", "forecast", "lower", "upper", "extra"]
+    if not parts:
+        return like.limit(0).select(*k, F.lit("").alias("model"), F.lit(0).alias("step"), "ds", F.col("y").alias("forecast"),
+                                    F.col("y").alias("lower"), F.col("y").alias("upper"), F.lit("").alias("extra"))
+    out = parts[0].select(*columns)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*columns))
+    return out
 
 
 def forecast_overlay(series: DataFrame, forecast: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

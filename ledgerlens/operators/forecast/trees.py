@@ -1,7 +1,7 @@
 """Random-forest and gradient-boosting forecasts with recursive multi-step prediction.
 
-One pooled Spark ML model is trained over every segment at once (targets scaled by the
-segment's training mean, so series of different size share trees). Prediction is
+One pooled Spark ML model is trained over all segments with the same lag count (targets
+scaled by the segment's training mean, so series of different size share trees). Prediction is
 recursive: each step builds the next feature row from a per-segment history array with
 SQL expressions, runs `model.transform` on one row per segment, and appends the floored
 prediction. The driver loops over *steps* (at most the horizon), never over data; the
@@ -32,12 +32,14 @@ BOOSTING_DEPTH = 3
 SEED = 42
 MAX_LAGS, MIN_LAGS, LAG_DIVISOR = 21, 7, 3
 ROLL_WINDOWS = (7, 14)
-# Own choice: Spark trees need a depth bound (the reference grows forest trees fully).
+# Own choice, a public argument (`max_depth`): Spark bounds the depth by 30 and the reference
+# grows forest trees fully; deeper trees cost time and memory (see README, Deviations).
 FOREST_DEPTH = 8
 # Memory for split statistics per pass: larger means fewer passes over the training rows.
 NODE_MEMORY_MB = 1024
 CHECKPOINT_EVERY = 5
-ROWS_PER_PARTITION = 200_000
+# Training rows of a partition, up to one partition a core.
+LEAST_ROWS = 2_000
 # Boosting keeps per-row predictions across rounds; checkpoint them every N rounds so a lost
 # executor recomputes at most N rounds (and the lineage stays shallow).
 GBT_CHECKPOINT_INTERVAL = 25
@@ -54,10 +56,11 @@ def feature_columns(n_lags: int) -> list[str]:
             + ["dayofweek", "month", "day"])
 
 
-def _sample_std(arr: F.Column, size: int) -> F.Column:
+def _population_std(arr: F.Column, size: int) -> F.Column:
+    """At prediction the reference takes the population std, in training the sample std."""
     mean = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / size
     ss = F.aggregate(arr, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.sqrt(ss / (size - 1))
+    return F.sqrt(ss / size)
 
 
 def _estimator(kind: str, params: dict):
@@ -65,6 +68,7 @@ def _estimator(kind: str, params: dict):
         return RandomForestRegressor(featuresCol="features", labelCol="label",
                                      numTrees=params.get("num_trees", FOREST_TREES),
                                      maxDepth=params.get("max_depth", FOREST_DEPTH),
+                                     featureSubsetStrategy="all",
                                      maxMemoryInMB=NODE_MEMORY_MB, seed=SEED)
     return GBTRegressor(featuresCol="features", labelCol="label",
                         maxIter=params.get("max_iter", BOOSTING_ROUNDS),
@@ -74,48 +78,68 @@ def _estimator(kind: str, params: dict):
 
 
 def tree_forecast(request: DataFrame, keys: Sequence[str] = (), kind: str = "forest",
-                  n_lags: int | None = None, **params) -> DataFrame:
-    """Forecast h steps per segment with a pooled tree model (`kind` = forest | boosting).
+                  n_lags: int | DataFrame | None = None, **params) -> DataFrame:
+    """Forecast h steps per segment with tree models (`kind` = forest | boosting).
 
-    `n_lags` defaults to the M12 rule applied to the shortest training series, so one
-    feature layout serves the pooled model. Returns the standard forecast rows plus `extra`.
+    Each segment takes the lag count of its own length (M12), or `n_lags`: one number, or
+    (keys…, lags). Segments with equal lag counts (15 values at most) share one pooled
+    model. Returns the standard forecast rows plus `extra`.
     """
     user_keys = list(keys)
     spark = request.sparkSession
     ensure_checkpoint_dir(spark)
     request, k = seg_keys(request, user_keys)
+    if isinstance(n_lags, DataFrame):
+        chosen, _ = seg_keys(n_lags, user_keys)
+        request = request.join(chosen.select(*k, "lags"), k)
+    elif n_lags is not None:
+        request = request.withColumn("lags", F.lit(int(n_lags)))
+    else:
+        by_length = F.floor(F.col("n") / LAG_DIVISOR).cast("int")
+        request = request.withColumn("lags", F.least(F.lit(MAX_LAGS), F.greatest(F.lit(MIN_LAGS), by_length)))
     # the learner passes over its input several times: keep the (daily-grain) request
     request = request.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = sorted(r.lags for r in request.select("lags").distinct().collect())
+        parts = [_pooled(request.where(F.col("lags") == n), user_keys, k, kind, n, params) for n in counts]
+    finally:
+        request.unpersist()
+    out = parts[0] if parts else _empty(spark, user_keys, request)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _pooled(request: DataFrame, user_keys: list[str], k: list[str], kind: str, lags: int, params: dict) -> DataFrame:
+    """One pooled model for the segments of `request`; the small result is checkpointed."""
     seg = (request.groupBy(*k)
            .agg(F.avg("y").alias("__mu"), F.first("n").alias("n"), F.first("h").alias("h"),
                 F.max("ds").alias("last_ds"),
                 F.min_by("y", "t").alias("__first"))
-           .withColumn("scale", F.when(F.col("__mu") > 0, F.col("__mu")).otherwise(F.lit(1.0)))).cache()
-    stats = seg.agg(F.min("n").alias("n_min"), F.max("h").alias("h_max")).first()
-    if stats is None or stats["n_min"] is None:
-        return _empty(spark, user_keys, request)
-    lags = n_lags or lag_count(int(stats["n_min"]))
-    h_max = int(stats["h_max"])
+           .withColumn("scale", F.when(F.col("__mu") > 0, F.col("__mu")).otherwise(F.lit(1.0)))).checkpoint()
+    h_max = int(seg.agg(F.max("h")).first()[0])
     cols = feature_columns(lags)
 
     scaled = request.join(seg.select(*k, "scale"), k).withColumn("y", F.col("y") / F.col("scale"))
     feats = S.supervised_features(scaled.select(*k, "ds", "y"), k, lags)
-    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
     train = assembler.transform(feats).select(*k, "ds", "features", F.col("y").alias("label"))
     # iterative learners run several jobs per round: size partitions to the rows, not to
     # the shuffle setting, so small pooled sets do not pay for hundreds of empty tasks
     rows = train.count()
-    train = train.repartition(max(1, -(-rows // ROWS_PER_PARTITION))).cache()
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    train = train.repartition(max(1, min(cores, rows // LEAST_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
     model = _estimator(kind, params).fit(train)
 
     # in-sample residual σ per segment, back on the original scale (population std)
     resid = (model.transform(train).join(seg.select(*k, "scale"), k)
              .groupBy(*k).agg(F.coalesce(F.stddev_pop((F.col("label") - F.col("prediction")) * F.col("scale")),
-                                         F.lit(0.0)).alias("sigma")))
+                                         F.lit(0.0)).alias("sigma"))).checkpoint()
+    train.unpersist()
 
     # history: the last lags+14 scaled values, left-padded with the series' first value
     need = lags + max(ROLL_WINDOWS)
-    tail = (scaled.where(F.col("t") >= F.col("n") - need) if "n" in scaled.columns else scaled)
+    tail = scaled.where(F.col("t") >= F.col("n") - need)
     hist = tail.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("__pts"))
     state = (seg.join(hist, k).join(resid, k, "left")
              .withColumn("hist", F.transform("__pts", lambda p: p["y"]))
@@ -131,7 +155,7 @@ def tree_forecast(request: DataFrame, keys: Sequence[str] = (), kind: str = "for
         for w in ROLL_WINDOWS:
             fcols[f"roll_mean_{w}"] = F.aggregate(F.slice("hist", -w, w), F.lit(0.0), lambda a, x: a + x) / w
         for w in ROLL_WINDOWS:
-            fcols[f"roll_std_{w}"] = _sample_std(F.slice("hist", -w, w), w)
+            fcols[f"roll_std_{w}"] = _population_std(F.slice("hist", -w, w), w)
         fcols["dayofweek"] = F.weekday(future)
         fcols["month"] = F.month(future)
         fcols["day"] = F.dayofmonth(future)
@@ -146,6 +170,7 @@ def tree_forecast(request: DataFrame, keys: Sequence[str] = (), kind: str = "for
         if step % CHECKPOINT_EVERY == 0:
             state = state.checkpoint()
 
+    state = state.checkpoint()
     out = state.select(*k, "last_ds", "scale", "sigma", F.posexplode("preds").alias("pos", "p"))
     fc = F.col("p") * F.col("scale")
     lo, hi = band(fc, F.col("sigma"))
@@ -153,7 +178,7 @@ def tree_forecast(request: DataFrame, keys: Sequence[str] = (), kind: str = "for
     res = out.select(*k, F.lit(name).alias("model"), (F.col("pos") + 1).alias("step"),
                      F.date_add("last_ds", F.col("pos") + 1).alias("ds"), fc.alias("forecast"),
                      lo.alias("lower"), hi.alias("upper"), F.lit(f"lags={lags}").alias("extra"))
-    return drop_seg(res)
+    return drop_seg(res).drop("lags")
 
 
 def _empty(spark, keys, request) -> DataFrame:

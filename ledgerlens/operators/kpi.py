@@ -156,11 +156,6 @@ def shared_rollup(clean: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, lis
     return segment_rollup(df, k).persist(StorageLevel.MEMORY_AND_DISK), k
 
 
-def daily_from_rollup(g: DataFrame, k: list[str]) -> DataFrame:
-    """A5 from the shared aggregate: `(k…, ds, y)`."""
-    return g.where(F.col("level") == "day").select(*k, F.col("Date_").alias("ds"), F.col("rev").alias("y"))
-
-
 def calculate_kpis(clean: DataFrame, keys: Sequence[str] = (), rollup=None,
                    with_days: bool = False) -> DataFrame:
     """The 21-field KPI record, one row per segment (`keys=[]` = whole table).

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,47 +83,56 @@ def top_products(clean: DataFrame, keys: Sequence[str] = (), k: int = TOP_PRODUC
 
 def region_revenue(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Revenue by region (the pie panel), sorted by revenue descending."""
-    return clean.groupBy(*keys, "Region").agg(F.sum("Revenue").alias("Revenue"))
+    keys = list(keys)
+    out = clean.groupBy(*keys, "Region").agg(F.sum("Revenue").alias("Revenue"))
+    return out.orderBy(*keys, F.col("Revenue").desc(), "Region")
 
 
 def product_region(clean: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A16 + A23: Revenue, Profit, Quantity per (Product, Region) plus the marker size.
 
     Profit is the `Profit` column when present, else revenue × 0.35 (documented fallback).
-    The segment maximum comes from a second aggregate joined back on the segment keys.
+    The segment maximum is a second aggregate over the same exchange (it takes the maximum of
+    whole rows, so both sides read the same columns and the input is scanned once); for the
+    whole table it is one row and joins as a broadcast. Sorted by revenue within a segment.
     """
-    user_keys = list(keys)
-    df, k = seg_keys(clean, user_keys)
-    profit = (F.coalesce(F.col("Profit").try_cast("double"), F.lit(0.0)) if "Profit" in df.columns
+    keys = list(keys)
+    profit = (F.coalesce(F.col("Profit").try_cast("double"), F.lit(0.0)) if "Profit" in clean.columns
               else F.col("Revenue") * PROFIT_RATIO)
-    perf = (df.groupBy(*k, "Product", "Region")
+    perf = (clean.groupBy(*keys, "Product", "Region")
             .agg(F.sum("Revenue").alias("Revenue"), F.sum(profit).alias("Profit"),
                  F.sum("Quantity").alias("Quantity")))
-    mx = perf.groupBy(*k).agg(F.max("Revenue").alias("__max"))
+    largest = F.max(F.struct("Revenue", "Profit", "Quantity")).getField("Revenue").alias("__max")
+    mx = perf.groupBy(*keys).agg(largest)
     denom = F.when(F.col("__max") > 0, F.col("__max")).otherwise(F.lit(1.0))
     size = F.least(F.lit(MARKER_MAX), F.greatest(F.lit(MARKER_MIN), F.col("Revenue") / denom * MARKER_MAX))
-    return drop_seg(perf.join(mx, k).withColumn("PointSize", size).drop("__max"))
+    both = perf.join(mx, keys) if keys else perf.join(F.broadcast(mx))
+    return both.withColumn("PointSize", size).drop("__max").orderBy(*keys, F.col("Revenue").desc(), "Product", "Region")
 
 
 def heatmap(clean: DataFrame, keys: Sequence[str] = (), months: Sequence[str] | None = None) -> DataFrame:
     """Weekday × month revenue; absent cells 0, absent weekdays a null row (Q26).
 
-    The pivot runs once over the rows with the explicit 12-month list (no hidden distinct
-    job); which months are present is read from that small, persisted pivot — not from
-    another pass over the data — and absent months are dropped as the reference does.
+    One lazy plan over the explicit list of months (all twelve unless given); the reference
+    drops months without data, which `drop_absent_months` does at the sink.
     """
-    user_keys = list(keys)
+    user_keys, months = list(keys), list(months or MONTHS)
     df, k = seg_keys(clean, user_keys)
-    piv = (df.groupBy(*k, "Day").pivot("Month", MONTHS).agg(F.sum("Revenue"))
-           .persist(StorageLevel.MEMORY_AND_DISK))
-    if months is None:
-        flags = piv.agg(*[F.max(F.col(m).isNotNull().cast("int")).alias(m) for m in MONTHS]).first()
-        months = [m for m in MONTHS if flags is not None and flags[m]]
-    months = list(months)
-    piv = piv.select(*k, "Day", *months).na.fill(0.0, subset=months)
+    piv = df.groupBy(*k, "Day").pivot("Month", months).agg(F.sum("Revenue")).na.fill(0.0, subset=months)
+    # the seven weekdays of a segment against its at most seven pivot rows, folded into a map
+    cells = F.struct(*[F.col(f"`{m}`") for m in months])
+    per_seg = piv.groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("Day", cells.alias("cells")))).alias("__m"))
     days = F.array(*[F.lit(d) for d in WEEKDAYS])
-    dom = piv.select(*k).distinct().select(*k, F.posexplode(days).alias("day_pos", "Day"))
-    return drop_seg(dom.join(piv, k + ["Day"], "left"))
+    out = (per_seg.select(*k, "__m", F.posexplode(days).alias("day_pos", "Day"))
+           .withColumn("__c", F.try_element_at("__m", F.col("Day"))))
+    return drop_seg(out.select(*k, "day_pos", "Day", *[F.col("__c").getField(m).alias(m) for m in months]))
+
+
+def drop_absent_months(table: DataFrame) -> DataFrame:
+    """The heatmap without the months that hold no revenue anywhere (an action: one row is read)."""
+    months = [c for c in table.columns if c in MONTHS]
+    seen = table.agg(*[F.max(F.col(m) != 0).alias(m) for m in months]).first()
+    return table.drop(*[m for m in months if not seen[m]])
 
 
 def data_quality(clean: DataFrame, keys: Sequence[str] = (), schema_fields: int = 5) -> DataFrame:

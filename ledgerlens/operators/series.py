@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import to_day
-from ..functions.numeric import strict_number
+from ..functions.numeric import strict_number, zero_fill
 
 
 def daily(df: DataFrame, keys: Sequence[str] = (), date_col: str = "Date",
@@ -72,21 +72,11 @@ def prepare_daily_series(df: DataFrame, keys: Sequence[str] = (), date_col: str
     v = F.col(value_col)
     value = v.cast("double") if isinstance(types[value_col], T.NumericType) else strict_number(v)
     staged = (df.select(*keys, to_day(F.col(date_col), types[date_col]).alias("__d"),
-                        F.coalesce(value, F.lit(0.0)).alias("__v"))
+                        zero_fill(value).alias("__v"))
               .where(F.col("__d").isNotNull()))
     return gap_fill(daily(staged, keys, "__d", "__v"), keys)
 
 
-def with_order(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Ascending and descending day rank plus the series length per segment."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys)
-    return (series
-            .withColumn("rn", F.row_number().over(w.orderBy("ds")))
-            .withColumn("rn_desc", F.row_number().over(w.orderBy(F.col("ds").desc())))
-            .withColumn("n", F.count(F.lit(1)).over(w)))
-
-
 def supervised_features(series: DataFrame, keys: Sequence[str] = (), n_lags: int = 21) -> DataFrame:
     """M7: lags 1..n_lags, trailing mean/std over 7 and 14 previous days, calendar features.
 

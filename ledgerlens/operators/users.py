@@ -32,16 +32,19 @@ def screen_signups(requests: DataFrame, users: DataFrame, id_col: str = "request
     role = F.lower(F.trim(F.col("role_raw")))
     r = requests.select(id_col, email.alias("email"),
                         F.when(role.isin(*ROLES), role).otherwise(F.lit(DEFAULT_ROLE)).alias("role"))
+    # blank, null and malformed emails are decided here, so they are no join key
+    valid = F.coalesce(F.col("email").contains("@"), F.lit(False))
+    bad = r.where(~valid).withColumn("reason", F.lit(MSG_INVALID_EMAIL))
+    good = r.where(valid)
     existing = users.select(F.lower(F.trim("email")).alias("email")).distinct().withColumn("__taken", F.lit(True))
     # earliest request per email by a partial aggregate (no window over one email's rows)
-    first = r.groupBy("email").agg(F.min(id_col).alias("__first"))
-    r = (r.join(existing, "email", "left").join(first, "email")
-         .withColumn("__rn", F.when(F.col(id_col) == F.col("__first"), 1).otherwise(2)))
-    invalid = (F.col("email") == "") | ~F.col("email").contains("@")
-    reason = (F.when(invalid, F.lit(MSG_INVALID_EMAIL))
-              .when(F.col("__taken").isNotNull() | (F.col("__rn") > 1), F.lit(MSG_EMAIL_EXISTS)))
-    return r.select(id_col, "email", "role", F.when(reason.isNull(), "ok").otherwise("rejected").alias("status"),
-                    reason.alias("reason"))
+    first = good.groupBy("email").agg(F.min(id_col).alias("__first"))
+    late = F.col("__taken").isNotNull() | (F.col(id_col) != F.col("__first"))
+    good = (good.join(existing, "email", "left").join(first, "email")
+            .withColumn("reason", F.when(late, F.lit(MSG_EMAIL_EXISTS))))
+    out = good.select(id_col, "email", "role", "reason").unionByName(bad.select(id_col, "email", "role", "reason"))
+    return out.select(id_col, "email", "role", F.when(F.col("reason").isNull(), "ok").otherwise("rejected").alias("status"),
+                      "reason")
 
 
 def active_sessions(sessions: DataFrame, users: DataFrame, as_of: str) -> DataFrame:

@@ -735,12 +735,14 @@ def q_boosting_forecast(spark, sf):
 
 @query("model_comparison")
 def q_model_comparison(spark, sf):
-    return FC.compare_forecasting_models(_events_series(spark, sf), ["event_type"], 30).comparison
+    keys = ["Region"]
+    return FC.compare_forecasting_models(_sales_series(spark, sf, keys), keys, 30, refit=False).comparison
 
 
 @query("best_forecast")
 def q_best_forecast(spark, sf):
-    return FC.compare_forecasting_models(_events_series(spark, sf), ["event_type"], 30).forecast
+    keys = ["Region"]
+    return FC.compare_forecasting_models(_sales_series(spark, sf, keys), keys, 30).forecast
 
 
 @query("forecast_summary")
@@ -814,12 +816,17 @@ def q_ingest_manifest(spark, sf):
     return FS.ingest_manifest(FS.read_upload(spark, path, "csv"))
 
 
-@query("csv_roundtrip_clean")
+@query("csv_roundtrip_clean", oracle=with_(CLEAN_RAW_ORDERS) + """
+SELECT order_id, "Date", """ + rnd_sql('"Revenue"') + """ AS "Revenue", "Product", COALESCE(NULLIF("Region", ''), 'Unknown') AS "Region",
+       """ + rnd_sql('"Quantity"') + """ AS "Quantity", "MonthNum", "Month", "Quarter", "Week", "Day" FROM rclean""")
 def q_csv_roundtrip_clean(spark, sf):
-    """Cleaned `raw_orders` written as CSV (S6), read back with inferred types (S1) and cleaned again."""
-    path = FS.scratch_path(spark, "raw_orders_upload")
-    TB.raw_orders(spark, sf).write.mode("overwrite").option("header", True).csv(path)
-    return rounded(C.clean_sales(FS.read_upload(spark, path, "csv"))[0], R)
+    """`raw_orders` cleaned, written as CSV by the cleaned-data sink (S6), read back with inferred
+    types (S1) and cleaned again: the cleaner leaves cleaned rows as they are (but for the
+    empty region, which CSV cannot tell from a missing one)."""
+    path = FS.scratch_path(spark, "cleaned_csv")
+    FS.write_cleaned(clean_raw_orders(spark, sf).select("order_id", *C.STANDARD_COLUMNS), path)
+    again = C.clean_sales(FS.read_upload(spark, path, "csv"))[0]
+    return rounded(again.select(F.col("order_id").cast("bigint").alias("order_id"), *C.CLEAN_COLUMNS), R)
 
 
 @query("sample_rows", oracle=with_(CLEAN_SALES) + """

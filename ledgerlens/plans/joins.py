@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and a constant segment key for whole-table results."""
+"""A constant segment key for whole-table results."""
 
 from __future__ import annotations
 
@@ -10,16 +10,6 @@ from pyspark.sql import functions as F
 ALL_KEY = "__segment"
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast `df` only when it provably has at most `max_rows` rows.
-
-    The check reads at most `max_rows + 1` rows. Beyond the bound the frame is returned
-    as is and the planner keeps a shuffle join (AQE may still convert it at run time).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def seg_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Give a frame a grouping key: the user's keys, or one constant key for the whole table.
 

@@ -28,12 +28,12 @@ def query(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, QueryFn]:
-    from . import catalog  # noqa: F401  (registers everything)
+    from . import catalog, catalog_checks  # noqa: F401  (they register everything)
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog  # noqa: F401
+    from . import catalog, catalog_checks  # noqa: F401
     return dict(_ORACLE)
 
 

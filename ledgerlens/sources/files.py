@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,21 +35,23 @@ def read_upload(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
 
 
 def ingest_manifest(raw: DataFrame) -> DataFrame:
-    """One `FileRecord` per input file: filename, rows, columns, uploaded_at.
+    """One `FileRecord` per input file: path, filename, rows, columns, uploaded_at.
 
-    Uses the file-source `_metadata` column, so it works for any number of files.
+    Uses the file-source `_metadata` column, so it works for any number of files; files of
+    one name in different folders stay apart.
     """
     cols = F.array(*[F.lit(c) for c in raw.columns])
-    return (raw.select(F.col("_metadata.file_name").alias("filename"))
-            .groupBy("filename").agg(F.count(F.lit(1)).alias("rows"))
-            .select("filename", "rows", cols.alias("columns"),
+    return (raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"))
+            .groupBy("path", "filename").agg(F.count(F.lit(1)).alias("rows"))
+            .select("path", "filename", "rows", cols.alias("columns"),
                     F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("uploaded_at")))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder under the session's shared checkpoint folder (never a machine-local temp dir)."""
+    """A fresh folder under the session's shared checkpoint folder (never a machine-local temp
+    dir), so that runs that share the folder do not overwrite each other."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/ledgerlens/{name}"
+    return f"{base}/ledgerlens/{name}-{uuid.uuid4().hex}"
 
 
 def write_cleaned(df: DataFrame, path: str, fmt: str = "csv", partition_by_month: bool = False) -> None:

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.joins import bounded_broadcast
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -23,9 +21,9 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`sales(order_date, revenue, product, region, quantity)`, one row per lineitem.
 
     Join order keeps the big sides on sort-merge/shuffle-hash joins keyed by their own
-    keys (lineitem–orders on the order key, then part on the part key) and only the
-    25-row nation⋈region geography behind a checked broadcast. Every projection is
-    declared before the joins so the scans read only the needed columns.
+    keys (lineitem–orders on the order key, then part on the part key); Spark broadcasts the
+    25-row nation⋈region geography by its size. Every projection is declared before the
+    joins so the scans read only the needed columns.
     """
     t = lambda n: table(spark, sf_dir, n)
     geo = (t("nation").select("n_nationkey", "n_regionkey")
@@ -33,7 +31,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "r_name"))
     cust = (t("customer").select("c_custkey", "c_nationkey")
-            .join(bounded_broadcast(geo, 10_000), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
             .select("c_custkey", "r_name"))
     orders = (t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
               .join(cust, F.col("o_custkey") == F.col("c_custkey"))
@@ -100,6 +98,62 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                     item.alias("item"), market.alias("market"), units.alias("units"))
 
 
+#: Text layouts of `dated_orders`, by `o_orderkey % len`; the last three: no date, null, day first
+#: where the day tells (else month first).
+DATE_LAYOUTS = ("yyyy-MM-dd", "yyyy-MM", "d-MMM-yyyy", "M/d/yyyy", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss'Z'",
+                "yyyy-MM-dd HH:mm:ss.SSS", "yyyyMMdd", "MMM d, yyyy", "EEEE, MMMM d, yyyy", "yyyy/M/d", "d MMMM yyyy",
+                "MMM yyyy", "yyyy-MM-dd'T'HH:mm:ss+05:30", "yyyy-MM-dd hh:mm a", "yyyy.MM.dd", "?", "null", "dd/MM/yyyy")
+
+
+def dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`orders` with its date written in one of `DATE_LAYOUTS`: order_id, layout, order_date, amount."""
+    o = table(spark, sf_dir, "orders")
+    layout = (F.col("o_orderkey") % len(DATE_LAYOUTS)).cast("int")
+    d = F.col("o_orderdate")
+    text = F.lit(None).cast("string")
+    for i, name in enumerate(DATE_LAYOUTS):
+        if name == "?":
+            written = F.lit("soon")
+        elif name == "null":
+            continue
+        elif name == "dd/MM/yyyy":
+            written = F.when(F.dayofmonth(d) > 12, F.date_format(d, name)).otherwise(F.date_format(d, "MM/dd/yyyy"))
+        else:
+            written = F.date_format(d, name)
+        text = F.when(layout == i, written).otherwise(text)
+    return o.select(F.col("o_orderkey").alias("order_id"), layout.alias("layout"), text.alias("order_date"),
+                    F.floor("o_totalprice").cast("bigint").alias("amount"))
+
+
+def nan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`orders` as an upload whose revenue and quantity hold nulls and NaN."""
+    o = table(spark, sf_dir, "orders")
+    k, nan = F.col("o_orderkey"), F.lit(float("nan"))
+    return o.select(k.alias("order_id"), F.to_date("o_orderdate").alias("order_date"),
+                    F.when(k % 5 == 0, nan).when(k % 5 == 1, F.lit(None)).otherwise(F.floor("o_totalprice").cast("double")).alias("revenue"),
+                    F.col("o_orderpriority").alias("product"), F.col("o_orderstatus").alias("region"),
+                    F.when(k % 7 == 0, nan).otherwise((k % 50).cast("double")).alias("quantity"))
+
+
+def dotted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`orders` as an upload with dots in its headers."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("order.key"), F.to_date("o_orderdate").alias("Order.Date"),
+                    F.concat(F.lit("$"), F.floor("o_totalprice").cast("bigint").cast("string")).alias("Net.Amount"),
+                    F.col("o_orderpriority").alias("Item.Type"), F.col("o_orderstatus").alias("Market.Area"),
+                    (F.col("o_orderkey") % 9).cast("string").alias("Units.Sold"))
+
+
+def odd_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-up batch in which three of five emails are null, blank or without '@'."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    email = (F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.lit("   ")).when(k % 5 == 2, F.lit("nobody"))
+             .when(k % 5 == 3, F.concat(F.lit("User"), (k % 20).cast("string"), F.lit("@Example.net ")))
+             .otherwise(user_email(F.col("c_name"))))
+    return c.select(k.alias("request_id"), email.cast("string").alias("email_raw"), F.lit(" Viewer").alias("role_raw"))
+
+
 def events_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` seen as a sales upload: `event_time, value, event_type` (30 days of January 2024)."""
     e = table(spark, sf_dir, "events")
