@@ -7,15 +7,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators import insights as INS
+from ..operators import questions as QU
 from ..operators import report as RP
 from ..operators import users as US
 from ..operators.forecast import base as FB
 from ..operators.forecast import compare as FC
+from ..operators.forecast import moving_average as FMA
 from ..sources import files as FS
 from ..sources import tables as TB
 from . import catalog as K
+from . import text_sql as TS
 from .oracle_sql import CLEAN_SALES, RAW_ORDERS, with_
-from .registry import query, rnd_sql, rounded
+from .registry import query, rounded
 
 _N = len(TB.DATE_LAYOUTS)
 _DATED = f"""dated AS (
@@ -179,3 +183,59 @@ def q_best_forecast_check(spark, sf):
     return out.select(*keys, "steps", "last_day", "models_compared",
                       (F.try_element_at("mapes", F.col("best_model")) == F.col("least")).alias("best_has_least_mape"),
                       (near("forecast_sum", "s") & near("forecast_average", "a")).alias("totals_agree"))
+
+
+# ---------------------------------------------------------------- texts with a forecast
+
+def _moving_average_total(spark, sf, keys):
+    """(keys…, best_model, forecast_sum) of the moving-average forecast."""
+    request = FB.full_request(FB.plan_requests(K._sales_series(spark, sf, keys), keys, 30), keys)
+    rows = FMA.moving_average(request, keys)
+    return rows.groupBy(*keys, F.col("model").alias("best_model")).agg(F.sum("forecast").alias("forecast_sum"))
+
+
+@query("executive_summary_forecast", oracle=TS.summary_sql(CLEAN_SALES, "clean", ["Region"], forecast=True))
+def q_executive_summary_forecast(spark, sf):
+    """Summary and recommendations with a forecast present."""
+    keys = ["Region"]
+    out = INS.executive_summary(K.clean_sales_view(spark, sf), keys, _moving_average_total(spark, sf, keys))
+    return K._summary_out(out, keys)
+
+
+@query("answers_forecast", oracle=TS.answers_sql(CLEAN_SALES, "clean", forecast=True).replace(
+    "FROM conversations WHERE role = 'user')",
+    f"FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' "
+    f"UNION ALL SELECT * FROM (VALUES {K._PROBE_VALUES}) v(conv_id, turn, text)))"))
+def q_answers_forecast(spark, sf):
+    """Every user turn and the probes, answered with a forecast present."""
+    probes = spark.createDataFrame([(-1, i, q) for i, q in enumerate(K.PROBE_QUESTIONS)], "conv_id bigint, turn bigint, text string")
+    asked = K._user_turns(spark, sf).select("conv_id", "turn", "text").unionByName(probes)
+    context = QU.chat_context(K.clean_sales_view(spark, sf), [], _moving_average_total(spark, sf, []))
+    return QU.answer_questions(asked, context).select("conv_id", "turn", "intent", "answer")
+
+
+@query("report_document_forecast", oracle=with_(CLEAN_SALES, _SERIES) + """
+SELECT "Region", 'Moving Average' AS best_model, h AS horizon, CAST(h AS BIGINT) AS n_rows,
+       strftime(hi + 1, '%Y-%m-%d') AS first_date FROM plan""")
+def q_report_document_forecast(spark, sf):
+    """The forecast part of the JSON document, read back."""
+    keys = ["Region"]
+    clean, roles = C.clean_sales(TB.sales(spark, sf))
+    request = FB.full_request(FB.plan_requests(K._sales_series(spark, sf, keys), keys, 30), keys)
+    rows = FMA.moving_average(request, keys)
+    summary = rows.groupBy(*keys, F.col("model").alias("best_model")).agg(
+        F.max("step").alias("horizon"), F.sum("forecast").alias("forecast_sum"), F.avg("forecast").alias("forecast_average"),
+        F.lit("").alias("message"))
+    docs = RP.analysis_document(clean, roles, keys, summary, rows)
+    schema = "struct<forecast: struct<best_model: string, horizon: int>, forecast_rows: array<struct<step: int, date: string>>>"
+    return docs.select("Region", F.from_json("document", schema).alias("d")).select(
+        "Region", "d.forecast.best_model", "d.forecast.horizon", F.size("d.forecast_rows").cast("bigint").alias("n_rows"),
+        F.col("d.forecast_rows")[0]["date"].alias("first_date"))
+
+
+@query("last_three_turns", oracle="""
+SELECT conv_id, turn, role, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rk FROM conversations) WHERE rk <= 3""")
+def q_last_three_turns(spark, sf):
+    """The history cut at three turns: most conversations are longer, so the cut shows."""
+    return QU.last_turns(TB.table(spark, sf, "conversations"), 3).select("conv_id", "turn", "role", "text")

@@ -107,9 +107,22 @@ SELECT {out_keys}CAST(row_number() OVER (PARTITION BY {kl} ORDER BY rule) - 1 AS
 FROM rules"""
 
 
-def summary_ctes(keys: list[str], k: list[str]) -> str:
-    """CTE `s`: headline, summary_text and newline-joined recommendations per segment (no forecast)."""
+def forecast_ctes(k: list[str]) -> str:
+    """CTE `fsum(keys, best_model, forecast_sum)`: the moving-average forecast of the gap-filled days
+    (`a_filled`): the mean of the last seven days at every step of the clamped horizon of 30."""
     kl = ", ".join(k)
+    return f""", fs0 AS (SELECT {kl}, y, row_number() OVER (PARTITION BY {kl} ORDER BY ds DESC) AS rd,
+                    count(*) OVER (PARTITION BY {kl}) AS n FROM a_filled),
+fsum AS (SELECT {kl}, 'Moving Average' AS best_model,
+                avg(y) FILTER (rd <= 7) * greatest(3, least(30, greatest(3, max(n) // 4))) AS forecast_sum FROM fs0 GROUP BY {kl})"""
+
+
+def summary_ctes(keys: list[str], k: list[str], forecast: bool = False) -> str:
+    """CTE `s`: headline, summary_text and newline-joined recommendations per segment, with the
+    forecast of `fsum` if wanted."""
+    kl = ", ".join(k)
+    f = (f"ff AS (SELECT f.*, fsum.best_model, fsum.forecast_sum FROM f LEFT JOIN fsum USING ({kl}))" if forecast
+         else "ff AS (SELECT * FROM f)")
     bullets = [
         tpl(I.BULLET_TOTAL, x=cur("total_revenue")),
         tpl(I.BULLET_AVERAGE, x=cur("avg_revenue")),
@@ -117,28 +130,31 @@ def summary_ctes(keys: list[str], k: list[str]) -> str:
         f"CASE WHEN {truthy('top_product')} THEN {tpl(I.BULLET_TOP_PRODUCT, name='top_product', x=cur('top_product_revenue'))} END",
         f"CASE WHEN {truthy('top_region')} THEN {tpl(I.BULLET_TOP_REGION, name='top_region', x=cur('top_region_revenue'))} END",
     ]
+    if forecast:
+        bullets.append(f"CASE WHEN best_model IS NOT NULL THEN {tpl(I.BULLET_FORECAST, model='best_model', x=cur('forecast_sum'))} END")
     recs = [
         (1, "growth_pct < 0", lit(I.REC_GROWTH)),
         (2, f"volatility_pct > {I.VOLATILITY_ALERT}", lit(I.REC_VOLATILITY)),
         (3, truthy("top_product"), tpl(I.REC_TOP_PRODUCT, name="top_product")),
         (4, truthy("top_region"), tpl(I.REC_TOP_REGION, name="top_region")),
         (5, "anomaly_count > 0", lit(I.REC_ANOMALIES)),
-    ]
-    rec_rows = "\nUNION ALL ".join(f"SELECT {kl}, {n} AS rn, {txt} AS rec FROM f WHERE {cond}" for n, cond, txt in recs)
-    return f""", rc AS ({rec_rows}),
+    ] + ([(6, "forecast_sum > 0", lit(I.REC_FORECAST))] if forecast else [])
+    rec_rows = "\nUNION ALL ".join(f"SELECT {kl}, {n} AS rn, {txt} AS rec FROM ff WHERE {cond}" for n, cond, txt in recs)
+    return f""", {f},
+rc AS ({rec_rows}),
 rc5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {kl} ORDER BY rn) AS o FROM rc) WHERE o <= {I.MAX_RECOMMENDATIONS}),
 rj AS (SELECT {kl}, string_agg(rec, chr(10) ORDER BY rn) AS recs, count(*) AS n_recs FROM rc5 GROUP BY {kl}),
-s AS (SELECT f.*, CASE WHEN growth_pct >= 0 THEN {lit(I.HEADLINE_UP)} ELSE {lit(I.HEADLINE_DOWN)} END AS headline,
+s AS (SELECT ff.*, CASE WHEN growth_pct >= 0 THEN {lit(I.HEADLINE_UP)} ELSE {lit(I.HEADLINE_DOWN)} END AS headline,
              concat_ws(' ', {", ".join(bullets)}) AS summary_text,
              COALESCE(rj.recs, {lit(I.REC_DEFAULT)}) AS recommendations_text,
              CAST(COALESCE(rj.n_recs, 1) AS INTEGER) AS n_recommendations
-      FROM f LEFT JOIN rj USING ({kl}))"""
+      FROM ff LEFT JOIN rj USING ({kl}))"""
 
 
-def summary_sql(src_ctes: str, src: str, keys: list[str]) -> str:
+def summary_sql(src_ctes: str, src: str, keys: list[str], forecast: bool = False) -> str:
     head, k = analysis_ctes(src_ctes, src, keys)
     out_keys = "".join(f'"{c}", ' for c in keys)
-    return head + summary_ctes(keys, k) + f"""
+    return head + (forecast_ctes(k) if forecast else "") + summary_ctes(keys, k, forecast) + f"""
 SELECT {out_keys}headline, summary_text, recommendations_text, n_recommendations FROM s"""
 
 
@@ -165,7 +181,7 @@ def intent_sql(col: str) -> str:
     return "CASE " + " ".join(whens) + " ELSE 'general' END"
 
 
-def answers_sql(src_ctes: str, src: str) -> str:
+def answers_sql(src_ctes: str, src: str, forecast: bool = False) -> str:
     """Answers to the user turns of `conversations` from the whole-table context."""
     head, k = analysis_ctes(src_ctes, src, [])
     A = Q.ANSWERS
@@ -185,12 +201,13 @@ def answers_sql(src_ctes: str, src: str) -> str:
   WHEN 'growth' THEN CASE WHEN c.growth_pct >= 0 THEN {tpl(A['growth_up'], growth=growth, total=total)}
                           ELSE {tpl(A['growth_down'], growth=growth)} END
   WHEN 'margin' THEN {tpl(A['margin'], margin=margin)}
-  WHEN 'forecast' THEN {lit(A['forecast_missing'])}
+  WHEN 'forecast' THEN {tpl(A['forecast'], model='c.best_model', fsum=cur('c.forecast_sum', True)) if forecast
+                        else lit(A['forecast_missing'])}
   WHEN 'risk' THEN CASE WHEN c.volatility_pct > 40 OR c.growth_pct < 0 THEN {tpl(A['risk_elevated'], vol=vol, growth=growth)}
                         ELSE {tpl(A['risk_controlled'], vol=vol, growth=growth)} END
   WHEN 'summary' THEN {tpl(A['summary'], headline='c.headline', text='c.summary_text')}
   WHEN 'actions' THEN {tpl(A['actions'], recs=recs3)}
   ELSE {tpl(A['general'], total=total, margin=margin, growth=growth, vol=vol, tp=tp, tr=tr)} END"""
-    return head + summary_ctes([], k) + f""",
+    return head + (forecast_ctes(k) if forecast else "") + summary_ctes([], k, forecast) + f""",
 q AS (SELECT conv_id, turn, text, {intent_sql('text')} AS intent FROM conversations WHERE role = 'user')
 SELECT q.conv_id, q.turn, q.intent, {ans} AS answer FROM q, s AS c"""

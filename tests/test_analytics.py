@@ -101,6 +101,8 @@ def test_weekday_and_heatmap_domains(spark):
     clean = _clean(spark, rows)
     hm = {r.Day: r for r in RU.heatmap(clean).collect()}
     assert hm["Monday"].Jan == 10.0 and hm["Tuesday"].Jan is None and len(hm) == 7
+    assert hm["Monday"].Feb == 0.0
+    assert RU.drop_absent_months(RU.heatmap(clean)).columns == ["day_pos", "Day", "Jan"]
 
 
 def test_insight_order_and_texts(spark):
