@@ -23,7 +23,7 @@ from . import arima as AR
 from . import ets as ET
 from . import moving_average as MA
 from . import trees as TR
-from .base import (BOOSTING, ETS, FOREST, MODEL_ORDER, MOVING_AVERAGE, SARIMAX, full_request,
+from .base import (BOOSTING, ETS, FOREST, MODEL_ORDER, MOVING_AVERAGE, SARIMAX, Z95, full_request,
                    plan_requests, score, train_request)
 
 ALL_MODELS = ("sarimax", "ets", "forest", "boosting")
@@ -35,6 +35,7 @@ MSG_BEST = "Best model selected: {name}"
 MSG_TOO_FEW = "Not enough dates for forecasting."
 NOT_ENOUGH = "Not enough data"
 MIN_DAYS = 5
+HISTORY_TAIL = 120
 
 
 @dataclass
@@ -45,21 +46,23 @@ class ForecastResult:
 
 
 def _run(model: str, request: DataFrame, keys: list[str], tree_params: dict,
-         config: DataFrame | None = None, lags: DataFrame | None = None) -> DataFrame:
+         config: DataFrame | None = None, lags: DataFrame | None = None, save_to: str | None = None) -> DataFrame:
     if model == "sarimax":
         out = AR.arima(request, keys, config)
         return out.select(*keys, "model", "step", "ds", "forecast", "lower", "upper", "extra")
     if model == "ets":
         return ET.ets(request, keys).withColumn("extra", F.lit("seasonal=auto"))
     if model in ("forest", "boosting"):
-        return TR.tree_forecast(request, keys, model, lags, **tree_params.get(model, {}))
+        return TR.tree_forecast(request, keys, model, lags, save_to, **tree_params.get(model, {}))
     raise ValueError(model)
 
 
 def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), horizon: int = 30,
                                models: Sequence[str] = ALL_MODELS,
-                               tree_params: dict | None = None, refit: bool = True) -> ForecastResult:
-    """`refit=False` gives the comparison alone, without a fit on the whole series.
+                               tree_params: dict | None = None, refit: bool = True,
+                               save_to: str | None = None) -> ForecastResult:
+    """`refit=False` gives the comparison alone, without a fit on the whole series; `save_to`
+    names a shared folder for the winners (M14): refitted tree models and `bundle`.
 
     `series` is a gap-filled daily frame `(keys…, ds, y)` (see `series.prepare_daily_series`)."""
     user_keys = list(keys)
@@ -113,7 +116,7 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
             config = chosen.join(_cid_table(series.sparkSession), "extra").select(*k, "cid")
         elif m in ("forest", "boosting"):  # the lags of the backtest
             lags = chosen.select(*k, F.regexp_extract("extra", r"lags=(\d+)", 1).cast("int").alias("lags"))
-        return attempt(m, req, config, lags)
+        return attempt(m, req, config, lags, save_to)
 
     with ThreadPoolExecutor(max_workers=len(models)) as pool:
         refits = [r for r in pool.map(refit_one, [m for m in models if _NAMES[m] in winners]) if r is not None]
@@ -137,9 +140,30 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
                .select(*k, "best_model", "horizon", "training_end", "forecast_sum", "forecast_average",
                        msg.alias("message"))
                .unionByName(too_few))
+    if save_to:
+        _bundle(plan, forecast, best, info, k, save_to).write.mode("overwrite").parquet(f"{save_to.rstrip('/')}/bundle")
     return ForecastResult(comparison=result, forecast=drop_seg(forecast), summary=drop_seg(summary))
 
 
+def _bundle(plan: DataFrame, forecast: DataFrame, best: DataFrame, info: DataFrame, k: list[str], folder: str) -> DataFrame:
+    """One row a segment: best_model, config (its parameters as text), horizon, training_end,
+    feature_columns and model_path (tree models), history_tail (the last HISTORY_TAIL values),
+    residual_std (from the first step's band) and saved_at."""
+    tail = (plan.where(F.col("t") >= F.col("n") - HISTORY_TAIL).groupBy(*k)
+            .agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("points"))
+            .select(*k, F.transform("points", lambda p: p["y"]).alias("history_tail")))
+    first = forecast.where("step = 1").select(*k, "best_model", ((F.col("upper") - F.col("forecast")) / Z95).alias("residual_std"))
+    lags = F.regexp_extract("extra", r"lags=(\d+)", 1)
+    kind = F.when(F.col("best_model") == FOREST, "forest").when(F.col("best_model") == BOOSTING, "boosting")
+    numbered = F.transform(F.sequence(F.lit(1), lags.try_cast("int")), lambda i: F.concat(F.lit("lag_"), i.cast("string")))
+    others = F.array(*[F.lit(c) for c in TR.feature_columns(0)])
+    return (first.join(best.select(*k, "extra"), k, "left").join(info, k).join(tail, k)
+            .select(*k, "best_model", F.col("extra").alias("config"), "horizon", "training_end", "history_tail", "residual_std",
+                    F.when(kind.isNotNull(), F.concat(numbered, others)).alias("feature_columns"),
+                    F.when(kind.isNotNull(), F.concat(F.lit(folder.rstrip("/") + "/"), kind, F.lit("-lags-"), lags)).alias("model_path"),
+                    F.current_timestamp().alias("saved_at")))
+
+
 def _all_of(parts: list[DataFrame], like: DataFrame, k: list[str]) -> DataFrame:
     """The union of model outputs; an empty one of the same columns if there are none."""
     columns = [*k, "model", "step", "ds", "forecast", "lower", "upper", "extra"]

@@ -78,12 +78,13 @@ def _estimator(kind: str, params: dict):
 
 
 def tree_forecast(request: DataFrame, keys: Sequence[str] = (), kind: str = "forest",
-                  n_lags: int | DataFrame | None = None, **params) -> DataFrame:
+                  n_lags: int | DataFrame | None = None, save_to: str | None = None, **params) -> DataFrame:
     """Forecast h steps per segment with tree models (`kind` = forest | boosting).
 
     Each segment takes the lag count of its own length (M12), or `n_lags`: one number, or
     (keys…, lags). Segments with equal lag counts (15 values at most) share one pooled
-    model. Returns the standard forecast rows plus `extra`.
+    model, which is saved under `save_to` if given (`model_path`). Returns the standard forecast
+    rows plus `extra`.
     """
     user_keys = list(keys)
     spark = request.sparkSession
@@ -101,7 +102,7 @@ def tree_forecast(request: DataFrame, keys: Sequence[str] = (), kind: str = "for
     request = request.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = sorted(r.lags for r in request.select("lags").distinct().collect())
-        parts = [_pooled(request.where(F.col("lags") == n), user_keys, k, kind, n, params) for n in counts]
+        parts = [_pooled(request.where(F.col("lags") == n), user_keys, k, kind, n, params, save_to) for n in counts]
     finally:
         request.unpersist()
     out = parts[0] if parts else _empty(spark, user_keys, request)
@@ -110,7 +111,12 @@ def tree_forecast(request: DataFrame, keys: Sequence[str] = (), kind: str = "for
     return out
 
 
-def _pooled(request: DataFrame, user_keys: list[str], k: list[str], kind: str, lags: int, params: dict) -> DataFrame:
+def model_path(folder: str, kind: str, lags: int) -> str:
+    return f"{folder.rstrip('/')}/{kind}-lags-{lags}"
+
+
+def _pooled(request: DataFrame, user_keys: list[str], k: list[str], kind: str, lags: int, params: dict,
+            save_to: str | None = None) -> DataFrame:
     """One pooled model for the segments of `request`; the small result is checkpointed."""
     seg = (request.groupBy(*k)
            .agg(F.avg("y").alias("__mu"), F.first("n").alias("n"), F.first("h").alias("h"),
@@ -130,6 +136,8 @@ def _pooled(request: DataFrame, user_keys: list[str], k: list[str], kind: str, l
     cores = train.sparkSession.sparkContext.defaultParallelism
     train = train.repartition(max(1, min(cores, rows // LEAST_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
     model = _estimator(kind, params).fit(train)
+    if save_to:
+        model.write().overwrite().save(model_path(save_to, kind, lags))
 
     # in-sample residual σ per segment, back on the original scale (population std)
     resid = (model.transform(train).join(seg.select(*k, "scale"), k)

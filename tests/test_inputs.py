@@ -196,3 +196,22 @@ def test_a_failing_model_is_left_out(spark):
     with pytest.warns(UserWarning, match="left out"):
         r = CM.compare_forecasting_models(series(spark, {"a": 60}), ["seg"], 7, models=("forest", "ets"), tree_params=params)
     assert [x.model for x in r.comparison.collect()] == ["Exponential Smoothing"] and r.forecast.count() == 7
+
+
+def test_saved_winner_predicts_again(spark, tmp_path):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import RandomForestRegressionModel
+    params = {"forest": {"num_trees": 5, "max_depth": 3}}
+    r = CM.compare_forecasting_models(series(spark, {"a": 130}), ["seg"], 7, models=("forest",), tree_params=params,
+                                      save_to=str(tmp_path))
+    saved = spark.read.parquet(str(tmp_path / "bundle")).first()
+    first = r.forecast.where("step = 1").first()
+    assert saved.best_model == "Random Forest" and saved.config == "lags=21" and len(saved.history_tail) == 120
+    assert saved.horizon == 7 and saved.residual_std >= 0 and len(saved.feature_columns) == 28
+    values = [x.y for x in series(spark, {"a": 130}).orderBy("ds").collect()]
+    assert saved.history_tail == pytest.approx(values[-120:])
+    scale, h = np.mean(values), np.asarray(saved.history_tail) / np.mean(values)
+    row = [*h[::-1][:21], h[-7:].mean(), h[-14:].mean(), h[-7:].std(), h[-14:].std(),
+           first.ds.weekday(), first.ds.month, first.ds.day]
+    model = RandomForestRegressionModel.load(saved.model_path)
+    assert model.predict(Vectors.dense(row)) * scale == pytest.approx(first.forecast)
