@@ -38,8 +38,10 @@ FOREST_DEPTH = 8
 # Memory for split statistics per pass: larger means fewer passes over the training rows.
 NODE_MEMORY_MB = 1024
 CHECKPOINT_EVERY = 5
-# Training rows of a partition, up to one partition a core.
-LEAST_ROWS = 2_000
+# Least training rows of a partition, up to one partition a core. A forest takes few, heavy
+# passes over its rows; boosting takes thousands of light ones, where every task costs more than
+# it computes until partitions are larger.
+LEAST_ROWS = {"forest": 500, "boosting": 20_000}
 # Boosting keeps per-row predictions across rounds; checkpoint them every N rounds so a lost
 # executor recomputes at most N rounds (and the lineage stays shallow).
 GBT_CHECKPOINT_INTERVAL = 25
@@ -134,7 +136,7 @@ def _pooled(request: DataFrame, user_keys: list[str], k: list[str], kind: str, l
     # the shuffle setting, so small pooled sets do not pay for hundreds of empty tasks
     rows = train.count()
     cores = train.sparkSession.sparkContext.defaultParallelism
-    train = train.repartition(max(1, min(cores, rows // LEAST_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.repartition(max(1, min(cores, rows // LEAST_ROWS[kind]))).persist(StorageLevel.MEMORY_AND_DISK)
     model = _estimator(kind, params).fit(train)
     if save_to:
         model.write().overwrite().save(model_path(save_to, kind, lags))

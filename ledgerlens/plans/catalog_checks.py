@@ -14,7 +14,6 @@ from ..operators import users as US
 from ..operators.forecast import base as FB
 from ..operators.forecast import compare as FC
 from ..operators.forecast import moving_average as FMA
-from ..sources import files as FS
 from ..sources import tables as TB
 from . import catalog as K
 from . import text_sql as TS
