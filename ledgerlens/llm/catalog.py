@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from . import ann_tree, byte_bpe, exact_dedup, mixing, ngram_join, quality, secret_scan, simple8b, substring_dedup, toxicity
 from .tables import read_table, written
 
-WORD = r"[^\x20\x09-\x0D]+"
-
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -1,9 +1,7 @@
-import hashlib
 import random
 import re
 
 from ledgerlens.llm import secret_scan as S
-from ledgerlens.llm.catalog import WORD
 
 from .cases import SCHEMA, as_rows, docs, rows
 
@@ -71,4 +69,3 @@ def test_text_form_and_empty(spark):
     df = docs(spark, [(1, "x token=abcdef", *[None] * 12)])
     assert as_rows(S.find_secrets(df).select(S.as_text("spans"))) == [("assign:2:14",)]
     assert as_rows(S.find_secrets(spark.createDataFrame([], SCHEMA))) == []
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and re.compile(WORD)
