@@ -68,9 +68,11 @@ class Repeated:
         return out
 
 
-def build(texts: DataFrame, hashes: Callable[[pa.Array], np.ndarray], expected: float) -> Repeated:
-    """The sketch of all hashes of the one text column of `texts`; `expected`: about how many."""
-    cells = power_of_two(4 * expected, 1 << 16, MOST_CELLS)
+def build(texts: DataFrame, hashes: Callable[[pa.Array], np.ndarray], expected: float,
+          cells_each: float = 4) -> Repeated:
+    """The sketch of all hashes of the one text column of `texts`; `expected`: about how many,
+    `cells_each`: cells of a row for each of them."""
+    cells = power_of_two(cells_each * expected, 1 << 16, MOST_CELLS)
     blocks = power_of_two(expected / BLOCK_HITS, 64, cells >> 10)
     bits, block_bits = cells.bit_length() - 1, (cells // blocks).bit_length() - 1
 
