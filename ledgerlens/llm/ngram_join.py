@@ -15,7 +15,7 @@ Steps:
 4. Links are not listed pair by pair within a group. In each bucket (prefix token) every class
    is first compared with a hub, the class with the fewest rare tokens, twice; connected classes
    form components. Then all pairs of a bucket that are still in different components are
-   compared, within size bounds. Pairs in the same component need no comparison, so no link
+   compared, within bounds by sizes and by the tokens left after their first common one. Pairs in the same component need no comparison, so no link
    between components is lost.
 
 Defined results: a null text counts as empty; a document without words has an empty set and
@@ -111,8 +111,9 @@ def _ranked(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _bounds(percent: int):
-    """Whether sizes alone allow a link: at best the smaller count of shared tokens is common."""
-    common = F.least("shared_a", "shared_b")
+    """Whether a pair whose first common token is this one can link: at best the rest of the side
+    with fewer tokens left is common. A pair that links passes at its first common token."""
+    common = F.least("rest_a", "rest_b")
     return common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent
 
 
@@ -136,19 +137,21 @@ def _with_component(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _links(ranked: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the classes that link with another."""
-    postings = written(ranked.select("cid", "n", "shared", F.explode("prefix1").alias("token")), "postings")
+    # rest: shared tokens from this one on
+    postings = ranked.select("cid", "n", "shared", F.posexplode("prefix1").alias("pos", "token"))
+    postings = written(postings.select("cid", "n", (F.col("n") - F.col("shared")).alias("rare"),
+                                       (F.col("shared") - F.col("pos")).alias("rest"), "token"), "postings")
     edges = labels = first = tested = None
     for _ in range(HUB_ROUNDS):
         now = _with_component(postings, labels)
         if first is not None:  # those that the first hub's component does not hold
             now = now.join(_hub_components(first, labels), "token").where("comp <> hub_comp").drop("hub_comp")
-        hub = now.groupBy("token").agg(F.min(F.struct(
-            (F.col("n") - F.col("shared")).alias("rare"), "cid", "n", "shared")).alias("hub"))
-        hub = hub.select("token", F.col("hub.cid").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.shared").alias("shared_b"))
+        hub = now.groupBy("token").agg(F.min(F.struct("rare", "cid", "n", "rest")).alias("hub"))
+        hub = hub.select("token", F.col("hub.cid").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.rest").alias("rest_b"))
         if first is None:
             hub = written(hub, "hubs")
             first = hub.select("token", F.col("b").alias("hub"))
-        pairs = written(now.withColumnsRenamed({"cid": "a", "n": "n_a", "shared": "shared_a"}).join(hub, "token")
+        pairs = written(now.withColumnsRenamed({"cid": "a", "n": "n_a", "rest": "rest_a"}).join(hub, "token")
                         .where("a <> b").where(_bounds(percent)).select("a", "b").distinct(), "hub-pairs")
         found = written(_verified(pairs, ranked, percent), "hub-links")
         edges = found if edges is None else edges.unionByName(found)
@@ -156,12 +159,12 @@ def _links(ranked: DataFrame, percent: int) -> DataFrame:
         labels = components(edges)
     # every pair of a bucket in different components has a side outside its first hub's
     now = written(_with_component(postings, labels), "postings")
-    least = now.groupBy("token").agg(F.min("n").alias("n_b"), F.max("shared").alias("shared_b"))
-    left = now.withColumnsRenamed({"cid": "a", "n": "n_a", "shared": "shared_a", "comp": "comp_a"})
+    least = now.groupBy("token").agg(F.min("n").alias("n_b"))
+    left = now.withColumnsRenamed({"cid": "a", "n": "n_a", "rest": "rest_a", "comp": "comp_a"}).drop("rare")
     left = left.join(_hub_components(first, labels), "token").where("comp_a <> hub_comp").drop("hub_comp")
     left = left.join(least, "token").where(
-        F.col("shared_a") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared_a")) * percent).drop("n_b", "shared_b")
-    right = now.withColumnsRenamed({"cid": "b", "n": "n_b", "shared": "shared_b", "comp": "comp_b"})
+        F.col("rest_a") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("rest_a")) * percent).drop("n_b")
+    right = now.withColumnsRenamed({"cid": "b", "n": "n_b", "rest": "rest_b", "comp": "comp_b"}).drop("rare")
     rest = (left.join(right, "token").where(F.col("comp_a") != F.col("comp_b")).where(_bounds(percent))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -179,12 +182,13 @@ def _groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     expected = text_bytes(rows) / 6
     seen = docs.sparkSession.sparkContext.broadcast(
-        sketch.build(rows.select("text"), lambda column: shingles(column, width)[1], expected))
+        sketch.build(rows.select("text"), lambda column: shingles(column, width)[1], expected, cells_each=2))
     members = written(_sets(rows, seen, width, percent, False), "members")
     classes = (_sets(rows, seen, width, percent, True).where("sig is not null").groupBy("sig")
                .agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
     # written, so the numbers stay as they are
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    seen.unpersist()
     ranked = written(_ranked(classes, percent), "ranked")
     labels = _links(ranked, percent)
     groups = classes.select("sig", "least_id", F.col("cid").alias("node")).join(labels, "node", "left")
