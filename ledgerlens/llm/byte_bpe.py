@@ -18,6 +18,7 @@ an empty result.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -56,12 +57,14 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.lengths = np.asarray([len(t) for t in self.tokens], dtype=np.int64)
-        self._tokenizer = _library_tokenizer(ranks)
+        self._ranks, self._tokenizer = ranks, None  # decoding needs no tokenizer
         self.cache = PartCache(self._encode)
 
     def _encode(self, parts: list[bytes]) -> list[bytes]:
         """Parts after the first begin with a space, so the joined text is cut between them;
         the ids' byte lengths show where each part's ids end."""
+        if self._tokenizer is None:
+            self._tokenizer, self._ranks = _library_tokenizer(self._ranks), None
         out: dict[bytes, bytes] = {}
         spaced = [p for p in parts if p[:1] == b" " and len(p) > 1]
         groups = [spaced[i:i + 512] for i in range(0, len(spaced), 512)]
@@ -98,6 +101,15 @@ class ByteBPE:
         inside = (text & 0xC0) == 0x80
         return (np.cumsum(~inside) - 1)[begin], inside[begin]
 
+    def split_counts(self, ids: list[bytes], texts: list[bytes]) -> np.ndarray:
+        """How many of each text's ids begin inside a character."""
+        n = np.asarray([len(x) // 4 for x in ids], dtype=np.int64)
+        inside = np.zeros(0, dtype=bool)
+        if n.sum():
+            inside = self.offsets(np.frombuffer(b"".join(ids), "<u4"), np.frombuffer(b"".join(texts), np.uint8))[1]
+        ends, split = np.cumsum(n), np.append(0, np.cumsum(inside))
+        return split[ends] - split[ends - n]
+
 
 def _library_tokenizer(ranks: dict[bytes, int]):
     """A tokenizers BPE model whose merges follow from the ranks: a token merges the two parts
@@ -144,15 +156,13 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
             for a, b in slices(column, SLICE_BYTES):
                 texts = column.slice(a, b - a).to_pylist()
                 ids = bpe.encode(texts)
-                n = np.asarray([len(x) // 4 for x in ids], dtype=np.int64)
-                begin, inside = bpe.offsets(np.frombuffer(b"".join(ids), dtype="<u4"),
-                                            np.frombuffer(b"".join(texts), dtype=np.uint8)) \
-                    if n.sum() else (np.zeros(0, np.int64), np.zeros(0, bool))
-                ends = np.cumsum(n)
-                split = np.append(0, np.cumsum(inside))
                 out = {"id": batch.column("id").slice(a, b - a), "ids": pa.array(ids, pa.binary()),
-                       "n_split": pa.array(split[ends] - split[ends - n])}
+                       "n_split": pa.array(bpe.split_counts(ids, texts))}
                 if with_offsets:
+                    n = np.asarray([len(x) // 4 for x in ids], dtype=np.int64)
+                    begin = bpe.offsets(np.frombuffer(b"".join(ids), "<u4"), np.frombuffer(b"".join(texts), np.uint8))[0] \
+                        if n.sum() else n[:0]
+                    ends = np.cumsum(n)
                     chars = np.cumsum([len(t.decode()) for t in texts])
                     base = np.repeat(np.append(0, chars[:-1]), n)
                     out["offsets"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()),
@@ -180,7 +190,24 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes every text: identifier, n_tokens, ids_sha256, decoded_sha256, n_split."""
-    both = decode(encode(docs, ranks, id_col, text_col), ranks)
-    return both.select(F.col("id").alias(id_col), F.expr("div(octet_length(ids), 4)").alias("n_tokens"),
-                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
+    """Encodes and decodes every text in one pass: identifier, n_tokens, ids_sha256, decoded_sha256,
+    n_split. Only digests leave the task."""
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    id_type = slim.schema["id"].dataType.simpleString()
+
+    def tripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(ranks)
+        for batch in batches:
+            column = batch.column("text").cast(pa.large_binary())
+            for a, b in slices(column, SLICE_BYTES):
+                texts = column.slice(a, b - a).to_pylist()
+                ids = bpe.encode(texts)
+                yield pa.RecordBatch.from_pydict({
+                    "id": batch.column("id").slice(a, b - a),
+                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
+                    "n_split": pa.array(bpe.split_counts(ids, texts))})
+
+    out = slim.mapInArrow(tripped, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")
+    return out.withColumnRenamed("id", id_col)
