@@ -32,19 +32,19 @@ from .words import Words, run_hash, slices
 
 #: Windows that a task holds before it sends them, windows of a bucket, and text bytes of a
 #: bucket of documents.
-HELD = 2 << 20
+HELD = 1 << 19
 BUCKET_WINDOWS = 8 << 20
 BUCKET_BYTES = 16 << 20
 
 
 class Marks:
-    """Windows (or decisions on them) as arrays: document, hash of its text, its bucket (home), first
-    word, and for windows still to be decided their 96-bit hash (key, tag)."""
+    """Windows (or decisions on them) as arrays: document, 32-bit hash of its text (to tell rows of
+    one identifier apart), first word, and for windows still to be decided their 96-bit hash."""
 
-    FIELDS = ("doc", "text", "home", "pos", "key", "tag")
+    FIELDS = ("doc", "text", "pos", "key", "tag")
 
-    def __init__(self, doc, text, home, pos, key=None, tag=None):
-        self.doc, self.text, self.home, self.pos, self.key, self.tag = doc, text, home, pos, key, tag
+    def __init__(self, doc, text, pos, key=None, tag=None):
+        self.doc, self.text, self.pos, self.key, self.tag = doc, text, pos, key, tag
 
     def __len__(self) -> int:
         return len(self.doc)
@@ -53,7 +53,11 @@ class Marks:
         return Marks(*(None if x is None else x[where] for x in (getattr(self, f) for f in self.FIELDS)))
 
     def decided(self) -> Marks:
-        return Marks(self.doc, self.text, self.home, self.pos)
+        return Marks(self.doc, self.text, self.pos)
+
+    def home(self, buckets: int) -> np.ndarray:
+        """The bucket of each mark's document, as `dedup_substrings` deals the documents."""
+        return ((self.doc ^ self.text) % buckets).astype(np.int32)
 
     @staticmethod
     def join(parts: list[Marks]) -> Marks:
@@ -65,7 +69,7 @@ class Marks:
         n = len(self)
         begins = starts_of_runs(self.doc, self.text)
         parts = [np.asarray([n, len(begins), self.key is not None], "<i8"),
-                 self.doc[begins].astype("<i8"), self.text[begins].astype("<i8"), self.home[begins].astype("<i4"),
+                 self.doc[begins].astype("<i8"), self.text[begins].astype("<i4"),
                  np.diff(np.append(begins, n)).astype("<u4"),
                  (self.pos & 0xFFFF).astype("<u2"), (self.pos >> 16).astype("<u2")]
         if self.key is not None:
@@ -83,10 +87,10 @@ class Marks:
             at += out.nbytes
             return out
 
-        doc, text, home, runs = read("<i8", docs), read("<i8", docs), read("<i4", docs), read("<u4", docs)
+        doc, text, runs = read("<i8", docs), read("<i4", docs).astype(np.int64), read("<u4", docs)
         pos = read("<u2", n).astype(np.int64)
         pos = pos | read("<u2", n).astype(np.int64) << 16
-        out = Marks(np.repeat(doc, runs), np.repeat(text, runs), np.repeat(home, runs), pos)
+        out = Marks(np.repeat(doc, runs), np.repeat(text, runs), pos)
         if keyed:
             out.key, out.tag = read("<u8", n), read("<u4", n)
         return out
@@ -128,8 +132,10 @@ def dedup_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", t
     expected = total / 6
     doc_buckets = power_of_two(total / BUCKET_BYTES, 16, 1 << 30)
     buckets = power_of_two(expected / BUCKET_WINDOWS, 16, 1 << 30)
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    rows = rows.withColumn("doc_bucket", F.pmod(F.xxhash64("id", "text_hash"), F.lit(doc_buckets)).cast("int"))
+    rows = rows.withColumn("text_hash", F.hash("text").cast("long"))
+    # a null identifier has no marks; its rows spread by their texts
+    rows = rows.withColumn("doc_bucket", F.pmod(F.coalesce("id", F.lit(0)).bitwiseXOR(F.col("text_hash")),
+                                                F.lit(doc_buckets)).cast("int"))
 
     def window_hashes(column: pa.Array) -> np.ndarray:
         words = Words(column)
@@ -150,7 +156,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", t
         later = marks.later()
         open_, gone = marks.take(~later), marks.take(later).decided()
         yield from sent("open", open_, ((open_.key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32))
-        yield from sent("gone", gone, gone.home)
+        yield from sent("gone", gone, gone.home(doc_buckets))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = shared.value
@@ -158,7 +164,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", t
         for batch in batches:
             known = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
             doc = batch.column("id").fill_null(0).to_numpy()
-            text, home = batch.column("text_hash").to_numpy(), batch.column("doc_bucket").to_numpy()
+            text = batch.column("text_hash").to_numpy()
             for a, b in slices(batch.column("text")):
                 words = Words(batch.column("text").slice(a, b - a))
                 hashes = words.hashes()
@@ -167,7 +173,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", t
                 first, key = first[may], key[may]
                 tag = (run_hash(hashes, first, first + width, 1) >> np.uint64(32)).astype(np.uint32)
                 at = words.text[first]
-                held.append(Marks(doc[a:b][at], text[a:b][at], home[a:b][at], first - words.word_offset[at], key, tag))
+                held.append(Marks(doc[a:b][at], text[a:b][at], first - words.word_offset[at], key, tag))
                 n += len(first)
                 if n >= HELD:
                     yield from settle(held)
@@ -181,7 +187,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", t
             return table.select(["bucket", "marks"])
         marks = Marks.join([Marks.unpack(x) for x in table.column("marks").to_pylist()])
         marks = marks.take(marks.later()).decided()
-        dealt = [(b, m.take(np.lexsort((m.pos, m.text, m.doc)))) for b, m in marks.dealt(marks.home)]
+        dealt = [(b, m.take(np.lexsort((m.pos, m.text, m.doc)))) for b, m in marks.dealt(marks.home(doc_buckets))]
         return pa.table({"bucket": pa.array([b for b, _ in dealt], pa.int32()),
                          "marks": pa.array([m.pack() for _, m in dealt], pa.binary())})
 
