@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import written
+from .tables import small_batches, written
 
 #: Fixed patterns: kind, pattern, and what a match needs.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -151,7 +151,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(base, base_type), pa.array(more, candidate_type)],
                                              names=["id", "base", "candidates"])
 
-    return written(slim.mapInArrow(spans, f"id {id_type}, base {_SPAN}, candidates {_CANDIDATE}"), "secrets")
+    return written(small_batches(slim).mapInArrow(spans, f"id {id_type}, base {_SPAN}, candidates {_CANDIDATE}"), "secrets")
 
 
 def least_scores(scanned: DataFrame) -> DataFrame:

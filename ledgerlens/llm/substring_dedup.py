@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .tables import power_of_two, text_bytes
+from .tables import power_of_two, small_batches, text_bytes
 from .words import Words, run_hash, slices
 
 #: Windows that a task holds before it sends them, windows of a bucket, and text bytes of a
@@ -215,7 +215,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", t
                          "n_removed": pa.array(n_removed, pa.int64()),
                          "kept_text": pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(pa.string())})
 
-    marks = (rows.mapInArrow(candidates, "kind string, bucket int, marks binary").groupBy("kind", "bucket")
+    marks = (small_batches(rows).mapInArrow(candidates, "kind string, bucket int, marks binary").groupBy("kind", "bucket")
              .applyInArrow(resolve, "bucket int, marks binary"))
     out = (rows.groupBy("doc_bucket").cogroup(marks.groupBy("bucket"))
            .applyInArrow(finish, "id long, n_words long, n_removed long, kept_text string"))

@@ -28,6 +28,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of an Arrow batch on its way to a Python worker.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session from now on sends at most BATCH_ROWS rows to a Python worker at a time.
+
+    Spark counts rows, not bytes: with its 10,000 rows a batch of long texts would take
+    gigabytes in the JVM and in every worker. The plan runs later, so the setting stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_batches
 from .words import Words, mix, slices
 
 LABELLED = 12_000
@@ -202,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("label_id", *ys)],
                                                   pa.array([x.tobytes() for x in found], pa.binary())], names=list(types))
 
-    table = rows.mapInArrow(extract, ", ".join(f"{k} {v}" for k, v in types.items())).orderBy("label_id").toArrow()
+    table = small_batches(rows).mapInArrow(extract, ", ".join(f"{k} {v}" for k, v in types.items())).orderBy("label_id").toArrow()
     texts = [np.frombuffer(x, dtype=np.uint64) for x in table.column("features").to_pylist()]
     return train_chain(texts, np.column_stack([table.column(y).to_numpy() for y in ys]).astype(float))
 
@@ -227,7 +228,7 @@ def score(docs: DataFrame, chain: Chain, categories: Sequence[str], id_col: str
 
     names = ["id", *[x for i in range(len(categories)) for x in (f"p{i}", f"is{i}")]]
     kinds = [id_type, *["double", "boolean"] * len(categories)]
-    out = rows.mapInArrow(scored, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    out = small_batches(rows).mapInArrow(scored, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
     return out.select(F.col("id").alias(id_col), *[F.col(x).alias(y) for i, c in enumerate(categories)
                                                    for x, y in ((f"p{i}", f"p_{c}"), (f"is{i}", c))])
 
