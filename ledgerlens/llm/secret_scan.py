@@ -1,14 +1,17 @@
 """Secret scan: three fixed patterns and a battery of randomness tests.
 
-The patterns give the base spans. Besides, every run of 20 or more encoding characters that no
-base span covers is a candidate. Its encoding is inferred from its characters, and its digits
+The patterns give the base spans. Besides, runs of encoding characters are cut at '=' and at the
+edges of base spans, and in each piece every longest stretch of 20 or more characters that one
+alphabet holds is a candidate. Its encoding is the smallest alphabet that holds it, and its digits
 in that alphabet are tested for randomness: chi-squared uniformity, runs about the median, and
-serial correlation. The score is the Bonferroni-combined p-value of "this is random".
+serial correlation. The score is the Bonferroni-combined p-value of "this is random". Stretches
+without a letter and of one repeated character are no candidates. Accepted candidates that overlap
+(a token and the path around it) are joined to one span.
 
 A natural string can pass the tests when it is short, so the least score is set for each
 stratum (encoding, power of two of the length) by target-decoy control of the false-discovery
 rate: every candidate has a decoy, the same number of characters of that alphabet taken from
-the text around it, and the least score is the smallest at which decoys are at most
+the text around its run, and the least score is the smallest at which decoys are at most
 `FALSE_DISCOVERIES` of the candidates that reach it. All candidates of all texts count.
 
 Defined results: a null text counts as empty and has no spans; offsets count code points, ends
@@ -43,6 +46,7 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 ALPHABETS = {"hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base36": DIGITS + LOWER,
              "BASE36": DIGITS + UPPER, "base62": DIGITS + UPPER + LOWER, "base64": UPPER + LOWER + DIGITS + "+/",
              "base64url": UPPER + LOWER + DIGITS + "-_"}
+STRETCHES = [re.compile(f"[{re.escape(a)}]{{20,}}") for a in ALPHABETS.values()]
 _VALUES = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
 
 LEAST_P = 0.01
@@ -62,9 +66,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def infer_encoding(run: str) -> str | None:
-    """The smallest alphabet of a run that mixes letters and digits; None for other runs."""
+    """The smallest alphabet of a run; None for runs without a letter or of one repeated character."""
     used = set(run)
-    if not used & set(DIGITS) or not used & set(LOWER + UPPER):
+    if len(used) < 2 or not used & set(LOWER + UPPER):
         return None
     return next((name for name, a in ALPHABETS.items() if used <= set(a)), None)
 
@@ -99,26 +103,37 @@ def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def uncovered(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run that no base span covers."""
+    out = []
+    for s, _, e in base:
+        if s < end and start < e:
+            out.append((start, s))
+            start = max(start, e)
+    return [(s, e) for s, e in [*out, (start, end)] if e - s >= 20]
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+    """The candidates of a text by start, outer ones first."""
     out = []
     for m in CANDIDATE.finditer(text):
-        run = m.group().rstrip("=")
-        start, end = m.start(), m.start() + len(run)
-        if len(run) < 20 or any(s < end and start < e for s, _, e in base):
-            continue
-        encoding = infer_encoding(run)
-        if encoding is None:
-            continue
-        value = _VALUES[encoding]
-        around = _decoy(text, end, start, value, len(run))
-        out.append({"start": start, "end": end, "encoding": encoding, "band": len(run).bit_length(),
-                    "score": randomness([value[c] for c in run], len(value)),
-                    "decoy": randomness([value[c] for c in around], len(value)) if len(around) == len(run) else None})
+        for piece in uncovered(m.start(), m.end(), base):
+            found = {x.span() for stretch in STRETCHES for x in stretch.finditer(text, *piece)}
+            for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
+                run = text[start:end]
+                encoding = infer_encoding(run)
+                if encoding is None:
+                    continue
+                value = _VALUES[encoding]
+                around = _decoy(text, m.end(), m.start(), value, len(run))
+                out.append({"start": start, "end": end, "encoding": encoding, "band": len(run).bit_length(),
+                            "score": randomness([value[c] for c in run], len(value)),
+                            "decoy": randomness([value[c] for c in around], len(value)) if len(around) == len(run) else None})
     return out
 
 
 def _decoy(text: str, after: int, before: int, value: dict, n: int) -> str:
-    """The next `n` characters of the alphabet after a candidate, then from the text's start."""
+    """The next `n` characters of the alphabet after a candidate's run, then from the text's start."""
     found: list[str] = []
     for part in ((after, len(text)), (0, before)):
         for i in range(*part):
@@ -171,6 +186,16 @@ def least_scores(scanned: DataFrame) -> DataFrame:
             .agg((F.min("bin") / BINS).alias("least")))
 
 
+def _joined(spans, c):
+    """Spans with a candidate that starts no earlier; what it overlaps grows, what holds it stays."""
+    def span(start, end):
+        return F.array(F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end")))
+    last = F.try_element_at(spans, F.lit(-1))
+    return (F.when(c["end"] <= last["end"], spans)
+            .when(c["start"] < last["end"], F.concat(F.slice(spans, 1, F.size(spans) - 1), span(last["start"], c["end"])))
+            .otherwise(F.concat(spans, span(c["start"], c["end"]))))
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: identifier and spans, array<struct<start, kind, end>> by start, then kind
     (0 assign, 1 access, 2 hex, 3 random)."""
@@ -182,8 +207,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def accepted(c):
         return F.coalesce(c["score"] >= F.try_element_at(least, F.concat(c["encoding"], F.lit("/"), c["band"].cast("string"))),
                           F.lit(False))
-    random = F.transform(F.filter("candidates", accepted), lambda c: F.struct(
-        c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+    random = F.aggregate(F.filter("candidates", accepted), F.array().cast(_SPAN), _joined)
     return scanned.select(F.col("id").alias(id_col), F.sort_array(F.concat("base", random)).alias("spans"))
 
 

@@ -69,3 +69,35 @@ def test_text_form_and_empty(spark):
     df = docs(spark, [(1, "x token=abcdef", *[None] * 12)])
     assert as_rows(S.find_secrets(df).select(S.as_text("spans"))) == [("assign:2:14",)]
     assert as_rows(S.find_secrets(spark.createDataFrame([], SCHEMA))) == []
+
+
+def test_tokens_inside_longer_runs_are_found(spark):
+    """NAME=token, a token in a path, what a base span leaves of a run, and a token without a digit."""
+    rng = random.Random(11)
+    tail = " and then some more words follow here so that a decoy of that length can be found in the text itself"
+    made, want = [], []
+    for i in range(200):
+        before, after, alphabet = [("auth=", "", "base62"), ("/v1/files/", "_x", "base62"), ("f" * 24, "", "base64url"),
+                                   ("key ", "", "letters")][i % 4]
+        alphabet = S.LOWER + S.UPPER if alphabet == "letters" else S.ALPHABETS[alphabet]
+        token = "G" + "".join(rng.choice(alphabet) for _ in range(39))
+        made.append((i, before + token + after + tail, *[None] * 12))
+        want.append((len(before), len(before) + len(token)))
+    spans = {int(r.doc_id): r.spans for r in S.find_secrets(docs(spark, made)).collect()}
+    for kind in range(4):
+        hits = [any(x.kind == 3 and x.start <= s and e <= x.end for x in spans[i])
+                for i, (s, e) in enumerate(want) if i % 4 == kind]
+        assert sum(hits) >= 0.9 * len(hits), (kind, sum(hits))
+    for found in spans.values():  # overlapping candidates become one span
+        found = [x for x in found if x.kind == 3]
+        assert all(a.end <= b.start for a, b in zip(found, found[1:], strict=False))
+
+
+def test_base64_and_base64url_are_cut_apart():
+    rng = random.Random(5)
+    token = "".join(rng.choice(S.ALPHABETS["base62"]) for _ in range(30))
+    text = f"x/{token}_y"
+    got = {(c["start"], c["end"], c["encoding"]) for c in S.candidates(text, [])}
+    assert got == {(0, 32, "base64"), (2, 34, "base64url"), (2, 32, "base62")}
+    assert [(c["start"], c["end"]) for c in S.candidates("k=" + token, [])] == [(2, 32)]
+    assert [(c["start"], c["end"]) for c in S.candidates(token + token, [(25, 2, 30)])] == [(0, 25), (30, 60)]
