@@ -51,7 +51,7 @@ def _run(model: str, request: DataFrame, keys: list[str], tree_params: dict,
         out = AR.arima(request, keys, config)
         return out.select(*keys, "model", "step", "ds", "forecast", "lower", "upper", "extra")
     if model == "ets":
-        return ET.ets(request, keys).withColumn("extra", F.lit("seasonal=auto"))
+        return ET.ets(request, keys, refine=True).withColumn("extra", F.lit("seasonal=auto"))
     if model in ("forest", "boosting"):
         return TR.tree_forecast(request, keys, model, lags, save_to, **tree_params.get(model, {}))
     raise ValueError(model)

@@ -3,7 +3,10 @@
 Each segment's training values become one array (bounded by its calendar span); the
 array is paired with a fixed smoothing-parameter grid by `explode` of a literal array,
 the level/trend/season recursion runs as a higher-order `aggregate` with a struct state,
-and the grid point with the least one-step SSE wins. No Python runs on the executors.
+and the grid point with the least one-step SSE wins. With `refine`, the three parameters and
+the start states are then searched one after another from that point, by parabolas through
+three points, until the SSE stops falling; the search is a fold inside the segment's row.
+No Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -18,18 +21,91 @@ from .base import ETS, band
 
 SEASON = 7
 MIN_SEASONAL = 28
-# Smoothing-parameter grid (level α, trend β, season γ); own choice, the reference optimises.
+# Smoothing-parameter grid (level α, trend β, season γ): the start of the search.
 ALPHAS = [0.1, 0.3, 0.5, 0.8]
 BETAS = [0.01, 0.1, 0.3]
 GAMMAS = [0.05, 0.2, 0.5]
+# The search ends when a sweep over all coordinates lowers the SSE by less than this share and the
+# smoothing parameters' steps are this fine. The sweeps are a guard against an endless fold.
+LEAST_FALL = 1e-8
+FINEST_STEP = 1e-4
+MOST_SWEEPS = 2000
 
 
 def _mean(arr: F.Column) -> F.Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / F.size(arr)
 
 
-def ets_state(request: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fitted final state per segment: level, trend, season array, residual σ, chosen (α, β, γ)."""
+def _let(value: F.Column, body) -> F.Column:
+    """`body(value)` with the value computed once: a lambda computes what it names each time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sse(ys: F.Column, p: F.Column) -> F.Column:
+    """One-step SSE of [α, β, γ, level, trend, 7 seasons], in error-correction form."""
+    a, b, g = (F.element_at(p, i) for i in (1, 2, 3))
+    init = F.struct(F.element_at(p, 4).alias("l"), F.element_at(p, 5).alias("b"), F.slice(p, 6, SEASON).alias("s"),
+                    F.lit(0.0).alias("sse"))
+
+    def step(acc, y):
+        def corrected(e):
+            season = F.element_at(acc["s"], 1) + g * (1 - a) * e
+            return F.struct((acc["l"] + acc["b"] + a * e).alias("l"), (acc["b"] + a * b * e).alias("b"),
+                            F.concat(F.slice(acc["s"], 2, SEASON - 1), F.array(season)).alias("s"),
+                            (acc["sse"] + e * e).alias("sse"))
+        return _let(y - (acc["l"] + acc["b"] + F.element_at(acc["s"], 1)), corrected)
+    return F.aggregate(ys, init, step, lambda acc: acc["sse"])
+
+
+def _refined(ys: F.Column, start: F.Column, sse: F.Column, seasonal: F.Column) -> F.Column:
+    """The array of `_sse` that lowers the SSE no more, searched coordinate by coordinate from `start`."""
+    coordinates = F.when(seasonal, F.sequence(F.lit(1), F.lit(5 + SEASON))).otherwise(F.array(*map(F.lit, (1, 2, 4, 5))))
+    spread = F.sqrt(sse / F.size(ys))
+    steps = F.concat(F.array_repeat(F.lit(0.1), 3), F.array(spread, spread / 10), F.array_repeat(spread, SEASON))
+    init = F.struct(start.alias("p"), steps.alias("d"), sse.alias("sse"), sse.alias("before"), (sse > 0).alias("live"))
+
+    def put(array, i, value):
+        return F.transform(array, lambda v, j: F.when(j == i - 1, value).otherwise(v))
+
+    def move(acc, i):
+        x, d, f = F.element_at(acc["p"], i), F.element_at(acc["d"], i), acc["sse"]
+
+        def inside(v):
+            return F.when(i <= 3, F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))).otherwise(v)
+
+        def point(v):
+            return _let(inside(v), lambda u: F.struct(_let(put(acc["p"], i, u), lambda p: _sse(ys, p)).alias("sse"), u.alias("x")))
+
+        def vertex(c):
+            lo, hi = c["lo"], c["hi"]
+            left, right = (x - lo["x"]) * (f - hi["sse"]), (x - hi["x"]) * (f - lo["sse"])
+            v = x - F.try_divide((x - lo["x"]) * left - (x - hi["x"]) * right, 2 * (left - right))
+            v = F.when(F.isnan(v), x).otherwise(F.coalesce(v, x))
+            return F.array_min(F.array(F.struct(f.alias("sse"), x.alias("x")), lo, hi,
+                                       point(F.least(F.greatest(v, x - 4 * d), x + 4 * d))))
+
+        def moved(best):
+            return F.struct(put(acc["p"], i, best["x"]).alias("p"),
+                            put(acc["d"], i, F.greatest(F.abs(best["x"] - x), d / 4)).alias("d"), best["sse"].alias("sse"),
+                            acc["before"].alias("before"), acc["live"].alias("live"))
+        ends = F.struct(point(x - d).alias("lo"), point(x + d).alias("hi"))
+        return _let(_let(ends, vertex), moved)
+
+    def sweep(acc, _):
+        def judged(end):
+            falls = end["before"] - end["sse"] > LEAST_FALL * end["before"]
+            coarse = F.exists(F.slice(end["d"], 1, F.when(seasonal, 3).otherwise(2)), lambda d: d > FINEST_STEP)
+            return F.struct(end["p"].alias("p"), end["d"].alias("d"), end["sse"].alias("sse"), end["sse"].alias("before"),
+                            ((end["sse"] > 0) & (falls | coarse)).alias("live"))
+        return F.when(acc["live"], _let(F.aggregate(coordinates, acc, move), judged)).otherwise(acc)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_SWEEPS)), init, sweep, lambda acc: acc["p"])
+
+
+def ets_state(request: DataFrame, keys: Sequence[str], refine: bool = False) -> DataFrame:
+    """Fitted final state per segment: level, trend, season array, residual σ, chosen (α, β, γ).
+
+    `refine` searches on from the best grid point; without it the grid point stands, which is what the
+    SQL of `ets_forecast` states."""
     keys = list(keys)
     pts = request.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("t", "y"))).alias("__pts"),
@@ -66,11 +142,20 @@ def ets_state(request: DataFrame, keys: Sequence[str]) -> DataFrame:
         return F.struct(lvl.alias("l"), trend.alias("b"), season.alias("s"), (acc["i"] + 1).alias("i"),
                         (acc["sse"] + err * err).alias("sse"), (acc["se"] + err).alias("se"))
 
-    fitted = fan.select(*keys, "n", "h", "last_ds", "p", F.aggregate("ys", init, step).alias("st"))
+    start = ["ys", "l0", "b0", "s0", "seasonal"] if refine else []
+    fitted = fan.select(*keys, "n", "h", "last_ds", *start, "p", F.aggregate("ys", init, step).alias("st"))
     best = fitted.groupBy(*keys).agg(
-        F.first("n").alias("n"), F.first("h").alias("h"), F.first("last_ds").alias("last_ds"),
+        *[F.first(c).alias(c) for c in ("n", "h", "last_ds", *start)],
         F.min_by(F.struct("p", "st"),
                  F.struct(F.col("st.sse"), F.col("p.alpha"), F.col("p.beta"), F.col("p.gamma"))).alias("w"))
+    if refine:
+        at = F.concat(F.array("w.p.alpha", "w.p.beta", F.when(F.col("seasonal"), F.col("w.p.gamma")).otherwise(F.lit(0.0)),
+                              F.col("l0").cast("double"), F.col("b0").cast("double")), "s0")
+        found = best.withColumn("x", _refined(F.col("ys"), at, F.col("w.st.sse"), F.col("seasonal")))
+        point = F.struct(*[F.element_at("x", i + 1).alias(name) for i, name in enumerate(("alpha", "beta", "gamma"))])
+        found = found.select(*keys, "n", "h", "last_ds", "ys", "seasonal", point.alias("p"), F.element_at("x", 4).alias("l0"),
+                             F.element_at("x", 5).alias("b0"), F.slice("x", 6, SEASON).alias("s0"))
+        best = found.select(*keys, "n", "h", "last_ds", F.struct("p", F.aggregate("ys", init, step).alias("st")).alias("w"))
     nn = F.col("n").cast("double")
     var = F.col("w.st.sse") / nn - (F.col("w.st.se") / nn) * (F.col("w.st.se") / nn)
     return best.select(*keys, "n", "h", "last_ds", F.col("w.st.l").alias("level"), F.col("w.st.b").alias("trend"),
@@ -79,10 +164,10 @@ def ets_state(request: DataFrame, keys: Sequence[str]) -> DataFrame:
                        F.col("w.p.gamma").alias("gamma"))
 
 
-def ets(request: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def ets(request: DataFrame, keys: Sequence[str] = (), refine: bool = False) -> DataFrame:
     """Point forecast l + k·b + s[(n+k−1) mod 7]; band ±1.96σ clipped at 0 (point not clipped)."""
     keys = list(keys)
-    st = ets_state(request, keys)
+    st = ets_state(request, keys, refine)
     out = st.select(*keys, "n", "last_ds", "level", "trend", "season", "sigma",
                     F.explode(F.sequence(F.lit(1), F.col("h"))).alias("step"))
     sidx = ((F.col("n") + F.col("step") - 1) % SEASON) + 1

@@ -77,6 +77,55 @@ def test_ets_matches_numpy_grid(spark, n):
     assert fc[0].forecast == pytest.approx(l + tr + s[n % 7])
 
 
+def _hw_sse(ys, x, seasonal):
+    a, b, g, l, tr, *s = x
+    sse = 0.0
+    for i, y in enumerate(ys):
+        e = y - (l + tr + s[i % 7])
+        sse += e * e
+        l, tr = l + tr + a * e, tr + a * b * e
+        s[i % 7] += (g * (1 - a) * e if seasonal else 0.0)
+    return sse
+
+
+@pytest.mark.parametrize("n,alpha", [(24, 0.95), (160, 0.95), (160, 0.02)])
+def test_refined_ets_is_an_optimum_between_grid_points(spark, n, alpha):
+    rng = np.random.default_rng(8)
+    l, s, ys = 200.0, 20 * np.sin(2 * np.pi * np.arange(7) / 7) * (n >= 28), []
+    for i in range(n):
+        e = rng.normal(0, 5)
+        ys.append(l + s[i % 7] + e)
+        l += alpha * e
+    seasonal = n >= ET.MIN_SEASONAL
+    req = _request(spark, ys, 3)
+    grid, st = ET.ets_state(req, ["seg"]).first(), ET.ets_state(req, ["seg"], refine=True).first()
+    base = min(_hw_numpy(ys, a, b, g, seasonal)[0] for a in ET.ALPHAS for b in ET.BETAS for g in ET.GAMMAS)
+    assert (st.alpha, st.beta) != (grid.alpha, grid.beta)
+    # sigma is the deviation of the one-step errors; the optimum lies below every grid point
+    assert st.sigma ** 2 * n < 0.99 * base
+    # the start states and parameters of the search: no small change of one lowers the error further
+    ys_, x0 = F.array(*[F.lit(float(y)) for y in ys]), [0.3, 0.1, 0.2 * seasonal, ys[0], 0.0] + [0.0] * 7
+    x = spark.range(1).select(ET._refined(ys_, F.array(*map(F.lit, x0)), F.lit(float(_hw_sse(ys, x0, seasonal))),
+                                          F.lit(seasonal)).alias("x")).first().x
+    least = _hw_sse(ys, x, seasonal)
+    for i in range(12) if seasonal else (0, 1, 3, 4):
+        for d in (-1e-3, 1e-3):
+            y = list(x)
+            y[i] = min(1.0, max(0.0, y[i] + d)) if i < 3 else y[i] + d
+            assert _hw_sse(ys, y, seasonal) > least * (1 - 1e-5), (i, d)
+
+
+def test_comparison_takes_the_refined_ets(spark):
+    rng = np.random.default_rng(9)
+    ys = 200 + np.cumsum(rng.normal(0, 5, 90))
+    series = _series(spark, ys)
+    plan = B.plan_requests(series, ["seg"], 30)
+    want = B.score(ET.ets(B.train_request(plan, ["seg"]), ["seg"], refine=True).select("seg", "model", "ds", "forecast"),
+                   plan.where(F.col("split") == "test").select("seg", "ds", "y"), ["seg"]).first()
+    got = CM.compare_forecasting_models(series, ["seg"], 30, models=("ets",), refit=False).comparison.first()
+    assert got.mape == pytest.approx(want.mape)
+
+
 def test_arima_recovers_ar_coefficient():
     rng = np.random.default_rng(3)
     n, phi = 600, 0.6
