@@ -35,6 +35,8 @@ ROLL_WINDOWS = (7, 14)
 # Own choice, a public argument (`max_depth`): Spark bounds the depth by 30 and the reference
 # grows forest trees fully; deeper trees cost time and memory (see README, Deviations).
 FOREST_DEPTH = 8
+# Candidate splits a feature, a public argument (`max_bins`); the reference tries every threshold.
+BINS = 32
 # Memory for split statistics per pass: larger means fewer passes over the training rows.
 NODE_MEMORY_MB = 1024
 CHECKPOINT_EVERY = 5
@@ -70,12 +72,13 @@ def _estimator(kind: str, params: dict):
         return RandomForestRegressor(featuresCol="features", labelCol="label",
                                      numTrees=params.get("num_trees", FOREST_TREES),
                                      maxDepth=params.get("max_depth", FOREST_DEPTH),
+                                     maxBins=params.get("max_bins", BINS),
                                      featureSubsetStrategy="all",
                                      maxMemoryInMB=NODE_MEMORY_MB, seed=SEED)
     return GBTRegressor(featuresCol="features", labelCol="label",
                         maxIter=params.get("max_iter", BOOSTING_ROUNDS),
                         stepSize=params.get("step_size", BOOSTING_RATE),
-                        maxDepth=params.get("max_depth", BOOSTING_DEPTH),
+                        maxDepth=params.get("max_depth", BOOSTING_DEPTH), maxBins=params.get("max_bins", BINS),
                         maxMemoryInMB=NODE_MEMORY_MB, checkpointInterval=GBT_CHECKPOINT_INTERVAL, seed=SEED)
 
 

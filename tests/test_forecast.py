@@ -11,6 +11,7 @@ from ledgerlens.operators.forecast import base as B
 from ledgerlens.operators.forecast import compare as CM
 from ledgerlens.operators.forecast import ets as ET
 from ledgerlens.operators.forecast import moving_average as MA
+from ledgerlens.operators.forecast import trees as TR
 
 D0 = dt.date(2024, 1, 1)
 
@@ -191,3 +192,10 @@ def test_arima_prefers_seasonal_terms_on_weekly_data():
         fc, sd, aic = AR.fit_forecast(y, o, so, 7)
         fits.append((aic, so))
     assert min(fits)[1][3] == 7
+
+
+def test_depth_and_bins_of_the_trees_are_arguments(spark):
+    for kind in ("forest", "boosting"):
+        model = TR._estimator(kind, {"max_depth": 30, "max_bins": 256})
+        assert (model.getMaxDepth(), model.getMaxBins()) == (30, 256)
+        assert TR._estimator(kind, {}).getMaxBins() == TR.BINS
