@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, byte_bpe, exact_dedup, mixing, ngram_join, quality, secret_scan, simple8b, substring_dedup, toxicity
+from . import (ann_tree, byte_bpe, exact_dedup, merkle, mixing, ngram_join, quality, secret_scan, simple8b,
+               substring_dedup, toxicity)
 from .tables import read_table, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,6 +74,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "importance.*")
 
 
+def tampered_count() -> Column:
+    """n_chars, one more where 7 divides the CRC-32 of the decimal doc_id."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return F.when(hit, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars")).cast("decimal(21,0)")
+
+
+def merkle_digest(docs: DataFrame) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    out = merkle.manifest(docs, fields, "doc_id", "lang", {"n_chars": tampered_count()})
+
+    def hexed(c: str) -> Column:
+        return F.lower(F.hex(c)).alias(c)
+    proof = F.array_join(F.transform("proof", lambda h: F.lower(F.hex(h))), "")
+    return out.select("doc_id", hexed("leaf"), hexed("subroot"), hexed("root"), F.sha2(proof, 256).alias("proof_sha256"),
+                      hexed("folded_root"), "verified")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_digest(read_table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -80,6 +102,65 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY norm)
 """
 
+def _field(name: str) -> str:
+    text = f"CAST({name} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+# CRC-32 is not among DuckDB's functions: bit by bit over the digits, from its polynomial
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [1::BIGINT, 1, 1, 1, 1, 1, 1, 1]),
+                          lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))"""
+
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+         {_leaf("CASE WHEN crc % 7 = 0 THEN n_chars::HUGEINT + 1 ELSE n_chars END")} AS claimed
+  FROM (SELECT *, xor({_CRC32}, 4294967295) AS crc FROM documents)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree FROM leaves
+), levels AS (
+  SELECT tree, 0 AS level, pos, leaf AS hash, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(hash, '' ORDER BY pos)), max((n + 1) // 2)
+  FROM levels WHERE n > 1 GROUP BY tree, level, pos // 2
+), subroots AS (SELECT tree, hash AS subroot FROM levels WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, tree - 1 AS pos, subroot AS hash, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(hash, '' ORDER BY pos)), max((n + 1) // 2)
+  FROM upper WHERE n > 1 GROUP BY level, pos // 2
+), nodes AS (
+  SELECT tree, level, pos, hash FROM levels WHERE n > 1
+  UNION ALL SELECT 0, level, pos, hash FROM upper WHERE n > 1
+), starts AS (
+  SELECT *, (SELECT max(level) FROM levels l WHERE l.tree = placed.tree) AS depth FROM placed
+), climb AS (
+  SELECT tree AS of, pos AS leaf_pos, tree, depth, 0 AS level, pos, claimed AS folded, '' AS proof FROM starts
+  UNION ALL
+  SELECT c.of, c.leaf_pos, up.tree, c.depth, up.level, up.pos,
+         CASE WHEN c.level = c.depth AND c.tree > 0 THEN c.folded
+              WHEN c.pos % 2 = 1 THEN sha256(s.hash || c.folded) ELSE sha256(c.folded || coalesce(s.hash, '')) END,
+         CASE WHEN c.level = c.depth AND c.tree > 0 THEN c.proof ELSE c.proof || coalesce(s.hash, '') END
+  FROM climb c
+  LEFT JOIN nodes s ON s.tree = c.tree AND s.level = c.level AND s.pos = xor(c.pos, 1),
+  LATERAL (SELECT CASE WHEN c.level = c.depth AND c.tree > 0 THEN 0 ELSE c.tree END AS tree,
+                  CASE WHEN c.level = c.depth AND c.tree > 0 THEN 0 ELSE c.level + 1 END AS level,
+                  CASE WHEN c.level = c.depth AND c.tree > 0 THEN c.tree - 1 ELSE c.pos // 2 END AS pos) up
+  WHERE c.tree > 0 OR c.level < (SELECT max(level) FROM upper)
+)
+SELECT p.doc_id, p.leaf, r.subroot, u.hash AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root,
+       c.folded = u.hash AS verified
+FROM placed p JOIN subroots r USING (tree)
+JOIN climb c ON c.of = p.tree AND c.leaf_pos = p.pos AND c.tree = 0 AND c.level = (SELECT max(level) FROM upper)
+JOIN upper u ON u.n = 1
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -93,10 +174,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_secret_scan": op9_secret_scan,
         "op10_quality": op10_quality,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_dedup": OP6_SQL,
+        "op13_merkle_manifest": OP13_SQL,
     }
