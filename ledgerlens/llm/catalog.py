@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann_tree, byte_bpe, exact_dedup, merkle, mixing, ngram_join, quality, secret_scan, simple8b,
-               substring_dedup, toxicity)
+from . import (ann_tree, byte_bpe, decontaminate, exact_dedup, merkle, mixing, ngram_join, quality, ranked_search,
+               secret_scan, simple8b, substring_dedup, toxicity)
 from .tables import read_table, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,6 +74,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "importance.*")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"),
+                                        width=10, slop=5)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"),
+                        F.size("near_items").cast("long").alias("n_near_items"))
+
+
+def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
 def tampered_count() -> Column:
     """n_chars, one more where 7 divides the CRC-32 of the decimal doc_id."""
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -101,6 +114,47 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW g AS (PARTITION BY norm)
 """
+_LOWERED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+item AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(list_slice(w, s, s + least(len(w), 10) - 1), ' ') AS words
+         FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(s) WHERE len(w) > 0),
+near AS (SELECT DISTINCT item_id, k, list_distinct(string_split(words, ' ')) AS need FROM item),
+place AS (SELECT r, s, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS words
+          FROM d, (SELECT DISTINCT k FROM item), unnest(range(1, len(w) - k + 2)) AS t(s)),
+hit AS (SELECT r, item_id, s, item.k AS k FROM place JOIN item USING (words)),
+word_at AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+rarest AS (SELECT item_id, k, need, arg_min(x, coalesce(n, 0)) AS word FROM (SELECT item_id, k, need, unnest(need) AS x FROM near)
+           LEFT JOIN (SELECT word AS x, count(*) AS n FROM word_at GROUP BY word) USING (x) GROUP BY ALL),
+close AS (SELECT DISTINCT r, item_id FROM rarest JOIN word_at USING (word) JOIN d USING (r),
+          unnest(range(greatest(p - k - 4, 1), p + 1)) AS t(s) WHERE list_has_all(list_slice(w, s, s + k + 4), need)),
+found AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+          FROM hit GROUP BY r),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + k)) AS t(p) GROUP BY r),
+nearby AS (SELECT r, count(*) AS n_near FROM (SELECT * FROM close EXCEPT SELECT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN found USING (r) LEFT JOIN covered USING (r) LEFT JOIN nearby USING (r)
+"""
+
+_TERMS = rf"unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+OP12_SQL = f"""
+WITH t AS (SELECT doc_id, r, term, count(*) AS tf FROM (SELECT doc_id, r, {_TERMS} AS term FROM (SELECT *, row_number() OVER () AS r FROM documents))
+           GROUP BY ALL),
+doc AS (SELECT r, sum(tf)::BIGINT AS n FROM t GROUP BY r),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM doc),
+term AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, total GROUP BY term),
+part AS (SELECT t.doc_id, t.r, t.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // l))) AS score
+         FROM t JOIN doc USING (r) JOIN term USING (term), total),
+item AS (SELECT item_id, i, {_TERMS} AS term FROM (SELECT *, row_number() OVER () AS i FROM benchmark)),
+scored AS (SELECT item_id, i, doc_id, r, sum(score)::BIGINT AS score FROM item JOIN part USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER g AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW g AS (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) QUALIFY rank <= 20
+"""
+
 
 def _field(name: str) -> str:
     text = f"CAST({name} AS VARCHAR)"
@@ -174,6 +228,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_secret_scan": op9_secret_scan,
         "op10_quality": op10_quality,
+        "op11_decontaminate": op11_decontaminate,
+        "op12_dual_tree": op12_dual_tree,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
@@ -181,5 +237,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_dedup": OP6_SQL,
+        "op11_decontaminate": OP11_SQL,
+        "op12_dual_tree": OP12_SQL,
         "op13_merkle_manifest": OP13_SQL,
     }

@@ -19,6 +19,11 @@ SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Between maximal runs of digits, a-z and characters outside ASCII (after A-Z is lower-cased).
+NOT_ALPHANUMERIC = np.zeros(256, dtype=bool)
+NOT_ALPHANUMERIC[:128] = True
+NOT_ALPHANUMERIC[ord("0"):ord("9") + 1] = NOT_ALPHANUMERIC[ord("a"):ord("z") + 1] = False
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -53,7 +58,7 @@ class Words:
         data = whole[offsets[0]:offsets[-1]]
         self.offsets = offsets - offsets[0]
         self.data = _LOWER[data] if lower else data
-        inside = ~between[self.data]
+        self.inside = inside = ~between[self.data]
         first = np.zeros(len(data) + 1, dtype=bool)
         first[self.offsets] = True
         begins, ends = inside.copy(), inside.copy()
@@ -68,6 +73,12 @@ class Words:
         self.count = np.diff(self.word_offset)
         self.text = np.repeat(np.arange(n), self.count)
 
+    def terms(self) -> pa.DictionaryArray:
+        """The words themselves, each distinct one stored once."""
+        offsets = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
+        letters = pa.py_buffer(self.data[self.inside])
+        return pa.LargeStringArray.from_buffers(len(self.start), pa.py_buffer(offsets), letters).dictionary_encode()
+
     def hashes(self) -> np.ndarray:
         """One 64-bit hash a word."""
         power, inverse = powers(_BYTE_BASE, len(self.data) + 1)
