@@ -1,23 +1,29 @@
-"""M4/M5: seasonal ARIMA grid by Hannan–Rissanen least squares, one Python group per segment.
-
-The daily rows of a segment are shuffled once; its group (one daily series, bounded by its
-calendar span) fits every candidate and keeps the one with the lowest AIC over a sample of
-days that all candidates share. If all fail, order (1, 1, 1) is fitted with what terms the
-series can bear, at last as a random walk.
-Seasonal terms enter as extra lag-7 regressors, not as a multiplicative polynomial
-(documented deviation from a state-space maximum-likelihood fit).
+"""M4/M5: seasonal ARIMA grid by Hannan–Rissanen least squares, as joins and grouped sums.
+
+Each segment's daily values are one array (bounded by its calendar span). It is joined with the
+candidates its length allows, so every later row is one candidate of one segment:
+
+1. A long autoregression per differencing and length gives innovations. Its Gram matrix is a grouped sum
+   over products of lags, solved by elimination on arrays.
+2. A second regression on lagged values and lagged innovations, again by grouped sums, gives the
+   coefficients of each candidate.
+3. A fold over the days gives the errors, a fold over the horizon the forecast, and the ψ recursion on
+   the product polynomial its interval. The least AIC over days that all candidates share wins by `min_by`.
+
+A candidate that cannot be fitted carries the reason in `error`; if none can, (0, 1, 0) stands in. Seasonal
+terms enter as extra lag-7 regressors, not as a multiplicative polynomial (documented deviation from a
+state-space maximum-likelihood fit). Everything is JVM expressions; no Python runs on the executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...plans.joins import ALL_KEY, drop_seg, seg_keys
+from ...session import ensure_checkpoint_dir
 from .base import SARIMAX, Z95
 
 # The candidate grid, in the reference's order.
@@ -25,166 +31,272 @@ ORDERS = [(1, 1, 0), (1, 1, 1), (2, 1, 1), (0, 1, 1), (2, 0, 1)]
 SEASONAL_ORDERS = [(1, 1, 1, 7), (1, 1, 0, 7), (0, 1, 1, 7), (0, 0, 0, 0)]
 MIN_SEASONAL = 28
 
+SEASON = 7
 CANDIDATES = [(i * len(SEASONAL_ORDERS) + j, o, so)
               for i, o in enumerate(ORDERS) for j, so in enumerate(SEASONAL_ORDERS)]
 FALLBACK = (1, 1, 1)
 FALLBACK_CID = next(cid for cid, o, so in CANDIDATES if o == FALLBACK and not so[3])
+#: Stands in where no candidate can be fitted.
+WALK_CID = -1
+#: Least days of the long autoregression, and pivots below this share of their diagonal count as zero.
+LONG_AR = 10
+SINGULAR = 1e-12
+#: Values and errors that a forecast looks back on: lags up to 7, one difference and one seasonal difference.
+TAIL = SEASON + 1 + SEASON
+
+MSG_TOO_FEW = "fewer observations than least squares needs"
+MSG_NOT_FINITE = "non-finite fit"
 
 
 def config_text(order, seasonal) -> str:
     return f"order={tuple(order)}, seasonal={tuple(seasonal)}"
 
 
-def longest_loss(n: int) -> int:
-    """Days that the longest candidate for a series of `n` days loses to differencing and lags."""
-    loss = 0
-    for (p, d, q), (P, D, Q, s) in candidates(n):
-        loss = max(loss, d + s * D + max(p, q, s if P or Q else 0))
-    return min(loss, n - 1)
-
-
-def candidates(n: int) -> list[tuple]:
-    """The (order, seasonal order) pairs that a series of `n` days may take."""
-    return [(o, so) for _, o, so in CANDIDATES if n >= MIN_SEASONAL or not so[3]]
-
-
-def _lagmat(x: np.ndarray, lags: list[int], start: int) -> np.ndarray:
-    return np.column_stack([x[start - k:len(x) - k] for k in lags]) if lags else np.empty((len(x) - start, 0))
-
-
-def fit_forecast(y: np.ndarray, order, seasonal, h: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit one candidate; return (point forecast, forecast std, AIC). Raises on failure."""
-    p, d, q = order
-    P, D, Q, s = seasonal
-    y = np.asarray(y, dtype=float)
-    n = len(y)
-    w = np.diff(y) if d else y.copy()
-    if D:
-        w = w[s:] - w[:-s]
-    lost = d + (s if D else 0)
-    m = len(w)
-    ar = list(range(1, p + 1)) + ([s] if P else [])
-    ma = list(range(1, q + 1)) + ([s] if Q else [])
-    k = len(ar) + len(ma)
-    # stage 1: long autoregression for the innovations
-    ehat = np.zeros(m)
-    if ma:
-        L = int(min(max(10, max(ma) + max(ar or [0])), max(1, m // 3)))
-        X1 = _lagmat(w, list(range(1, L + 1)), L)
-        beta1, *_ = np.linalg.lstsq(X1, w[L:], rcond=None)
-        ehat[L:] = w[L:] - X1 @ beta1
-        start = L + max(ma + ar)
-    else:
-        start = max(ar) if ar else 0
-    if m - start < k + 1:
-        raise ValueError("fewer observations than least squares needs")
-    # stage 2: regression on lagged values and lagged innovations
-    X2 = np.column_stack([_lagmat(w, ar, start), _lagmat(ehat, ma, start)]) if k else np.empty((m - start, 0))
-    if k:
-        coef, *_ = np.linalg.lstsq(X2, w[start:], rcond=None)
-    else:
-        coef = np.empty(0)
-    if not np.all(np.isfinite(coef)):
-        raise ValueError("non-finite coefficients")
-    a = dict(zip(ar, coef[:len(ar)]))
-    b = dict(zip(ma, coef[len(ar):]))
-    # innovations by the fitted recursion over the whole differenced series
-    e = np.zeros(m)
-    for t in range(m):
-        pred = sum(c * w[t - i] for i, c in a.items() if t - i >= 0)
-        pred += sum(c * e[t - j] for j, c in b.items() if t - j >= 0)
-        e[t] = w[t] - pred
-    fit_from = min(start, m - 1)
-    resid = e[fit_from:]
-    sigma2 = float(np.mean(resid ** 2))
-    if not np.isfinite(sigma2) or sigma2 <= 0:
-        sigma2 = max(sigma2, 1e-12) if np.isfinite(sigma2) else 1e-12
-    # AIC on the days that no candidate for this length loses to differencing or lags
-    common = longest_loss(n)
-    e_y = np.concatenate([np.zeros(lost), e])
-    sc = e_y[common:]
-    sse = float(np.sum(sc ** 2))
-    aic = len(sc) * np.log(max(sse, 1e-300) / len(sc)) + 2 * (k + 1)
-    # full AR polynomial in y: (1 - Σ a_i B^i)(1 - B)^d (1 - B^s)^D
-    phi = np.zeros(max(ar or [0]) + 1)
-    phi[0] = 1.0
-    for i, c in a.items():
-        phi[i] -= c
-    if d:
-        phi = np.convolve(phi, [1.0, -1.0])
-    if D:
-        sd = np.zeros(s + 1)
-        sd[0], sd[s] = 1.0, -1.0
-        phi = np.convolve(phi, sd)
-    cfull = -phi[1:]
-    theta = np.zeros(max(ma or [0]) + 1)
-    theta[0] = 1.0
-    for j, c in b.items():
-        theta[j] = c
-    ye = list(y)
-    ee = list(e_y)
-    fc = np.empty(h)
-    for step in range(h):
-        t = n + step
-        v = sum(cfull[i - 1] * ye[t - i] for i in range(1, len(cfull) + 1) if t - i >= 0)
-        v += sum(theta[j] * ee[t - j] for j in range(1, len(theta)) if t - j >= 0)
-        fc[step] = v
-        ye.append(v)
-        ee.append(0.0)
-    psi = np.zeros(h)
-    for j in range(h):
-        val = theta[j] if j < len(theta) else 0.0
-        val += sum(cfull[i - 1] * psi[j - i] for i in range(1, min(j, len(cfull)) + 1))
-        psi[j] = val if j else 1.0
-    sd_k = np.sqrt(sigma2 * np.cumsum(psi ** 2))
-    if not (np.all(np.isfinite(fc)) and np.all(np.isfinite(sd_k)) and np.isfinite(aic)):
-        raise ValueError("non-finite forecast")
-    return fc, sd_k, float(aic)
-
-
-def fit_best(y: np.ndarray, h: int, cid: int | None = None) -> tuple[int, np.ndarray, np.ndarray, float]:
-    """(candidate, forecast, forecast std, AIC) of the best candidate, or of candidate `cid`.
-
-    A candidate that fails is left out; if all do, (1, 1, 1) is fitted with fewer terms."""
-    fits = []
-    for i, order, seasonal in CANDIDATES:
-        if (cid is None and (order, seasonal) in candidates(len(y))) or i == cid:
-            try:
-                fc, sd, aic = fit_forecast(y, order, seasonal, h)
-                fits.append((aic, i, fc, sd))
-            except (ValueError, np.linalg.LinAlgError):
-                continue
-    if fits:
-        aic, i, fc, sd = min(fits, key=lambda f: f[:2])
-        return i, fc, sd, aic
-    for order in (FALLBACK, (1, 1, 0), (0, 1, 0)):
-        try:
-            fc, sd, aic = fit_forecast(y, order, (0, 0, 0, 0), h)
-            break
-        except (ValueError, np.linalg.LinAlgError):
-            continue
-    else:
-        fc, sd, aic = np.full(h, float(y[-1])), np.zeros(h), float("inf")
-    return FALLBACK_CID, fc, sd, aic
-
-
-def _fit_group(keys: list[str]):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        row, h = pdf.iloc[0], int(pdf["h"].iloc[0])
-        with np.errstate(all="ignore"):
-            cid, fc, sd, aic = fit_best(pdf["y"].to_numpy(dtype=float), h,
-                                        int(row["cid"]) if row["cid"] is not None and not pd.isna(row["cid"]) else None)
-        last = pd.Timestamp(pdf["ds"].iloc[-1])
-        out = pd.DataFrame({
-            "cid": cid, "step": np.arange(1, h + 1, dtype="int32"),
-            "ds": [(last + pd.Timedelta(days=i)).date() for i in range(1, h + 1)],
-            "forecast": fc, "lower": fc - Z95 * sd, "upper": fc + Z95 * sd, "aic": aic,
-            "extra": config_text(*CANDIDATES[cid][1:])})
-        for k in reversed(keys):
-            out.insert(0, k, row[k])
-        return out
-    return fn
+def _terms(order, seasonal) -> tuple[list[int], list[int]]:
+    (p, _, q), (P, _, Q, s) = order, seasonal
+    return list(range(1, p + 1)) + ([s] if P else []), list(range(1, q + 1)) + ([s] if Q else [])
+
+
+def candidate_rows() -> list[tuple]:
+    """(cid, d, D, ar, ma, reach, min_days, loss, extra): `reach` is what the long autoregression must span (0: none
+    needed), `loss` the days lost to differencing and lags."""
+    out = []
+    for cid, order, seasonal in [*CANDIDATES, (WALK_CID, (0, 1, 0), (0, 0, 0, 0))]:
+        (p, d, q), (P, D, Q, s) = order, seasonal
+        ar, ma = _terms(order, seasonal)
+        text = config_text(*CANDIDATES[FALLBACK_CID][1:]) if cid == WALK_CID else config_text(order, seasonal)
+        out.append((cid, d, D, ar, ma, max(ma) + max(ar, default=0) if ma else 0, MIN_SEASONAL if s else 0,
+                    d + s * D + max(p, q, s if P or Q else 0), text))
+    return out
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once: a lambda computes what it names each time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _computed(df: DataFrame, keep: Sequence, **columns: Column) -> DataFrame:
+    """`keep` and `columns`, whose expressions later projections do not take apart again."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def _difference(x: Column, lag: int) -> Column:
+    n = F.greatest(F.size(x) - lag, F.lit(0))
+    return F.zip_with(F.slice(x, lag + 1, n), F.slice(x, 1, n), lambda a, b: a - b)
+
+
+def _differenced(ys: Column, d: Column, D: Column) -> Column:
+    return _let(F.when(d == 1, _difference(ys, 1)).otherwise(ys),
+                lambda w: F.when(D == 1, _difference(w, SEASON)).otherwise(w))
+
+
+def _gram(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Per group: `sums`, the upper triangle (row by row) of Σ z zᵀ over the rows' arrays `z` of equal length."""
+    pairs = F.flatten(F.transform("z", lambda u, i: F.transform(
+        F.slice("z", i + 1, F.size("z") - i), lambda v, j: F.struct(i.alias("i"), (i + j).alias("j"), (u * v).alias("p")))))
+    sums = rows.select(*group, F.inline(pairs)).groupBy(*group, "i", "j").agg(F.sum("p").alias("p"))
+    return (sums.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("i", "j", "p"))).alias("entries"))
+            .select(*group, F.transform("entries", lambda e: e["p"]).alias("sums")))
+
+
+def _solved(sums: Column, k: Column) -> Column:
+    """The k least-squares coefficients from the triangle of `_gram` over [target, regressors…], by Gauss–Jordan
+    elimination; a regressor that depends on earlier ones takes no part (coefficient 0)."""
+    def at(i, j):
+        low, high = F.least(i, j), F.greatest(i, j)
+        return F.get(sums, (low * (k + 1) - F.floor(low * (low - 1) / 2) + high - low).cast("int"))
+
+    matrix = F.transform(F.sequence(F.lit(1), k), lambda i: F.transform(
+        F.sequence(F.lit(1), k + 1), lambda j: F.when(j <= k, at(i, j)).otherwise(at(F.lit(0), i))))
+
+    def eliminate(a, c):
+        pivot_row = F.get(a, c)
+
+        def reduced(pivot):
+            good = pivot > SINGULAR * at(c + 1, c + 1)
+            return F.transform(a, lambda row, i: F.when(i == c, F.transform(row, lambda v: F.when(good, v / pivot).otherwise(F.lit(0.0))))
+                               .when(good, F.zip_with(row, pivot_row, lambda v, w: v - F.get(row, c) / pivot * w)).otherwise(row))
+        return _let(F.get(pivot_row, c), reduced)
+    return _let(matrix, lambda m: F.aggregate(F.sequence(F.lit(0), k - 1), m, eliminate,
+                                              lambda a: F.transform(a, lambda row: F.element_at(row, -1))))
+
+
+def _polynomial(lags: Column, coefficients: Column, sign: int) -> Column:
+    """[1, sign·c₁, …, sign·c₇] with the coefficients at their lags."""
+    terms = F.arrays_zip(lags.alias("lag"), coefficients.alias("c"))
+    return F.transform(F.sequence(F.lit(0), F.lit(SEASON)), lambda i: F.when(i == 0, F.lit(1.0)).otherwise(
+        F.aggregate(terms, F.lit(0.0), lambda s, z: s + F.when(z["lag"] == i, sign * z["c"]).otherwise(F.lit(0.0)))))
+
+
+def polynomial_product(x: Column, y: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(x) + F.size(y) - 2), lambda k: F.aggregate(
+        F.transform(x, lambda v, i: v * F.coalesce(F.get(y, k - i), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v))
+
+
+def autoregression(ar: Column, a: Column, d: Column, D: Column) -> Column:
+    """The coefficients c₁, c₂, … of past values in the next one: 1 − Σ cᵢBⁱ = (1 − Σ aᵢBⁱ)(1 − B)ᵈ(1 − B⁷)ᴰ."""
+    seasonal = F.array(*[F.lit(v) for v in (1.0, *[0.0] * (SEASON - 1), -1.0)])
+    once = _let(_polynomial(ar, a, -1), lambda x: F.when(d == 1, polynomial_product(x, F.array(F.lit(1.0), F.lit(-1.0)))).otherwise(x))
+    full = _let(once, lambda x: F.when(D == 1, polynomial_product(x, seasonal)).otherwise(x))
+    return _let(full, lambda x: F.transform(F.slice(x, 2, F.size(x) - 1), lambda v: -v))
+
+
+def _recent(c: Column, past: Column) -> Column:
+    """Σ cᵢ · (the i-th last of `past`)."""
+    return F.aggregate(F.transform(c, lambda v, i: v * F.coalesce(F.get(past, F.size(past) - 1 - i), F.lit(0.0))),
+                       F.lit(0.0), lambda s, v: s + v)
+
+
+def forecast_path(c: Column, theta: Column, y_tail: Column, e_tail: Column, h: Column) -> Column:
+    """h values: each from the values and errors before it, future errors being 0. `theta`: θ₁, θ₂, …"""
+    init = F.struct(y_tail.alias("y"), e_tail.alias("e"))
+
+    def step(acc, _):
+        return F.struct(F.concat(acc["y"], F.array(_recent(c, acc["y"]) + _recent(theta, acc["e"]))).alias("y"),
+                        F.concat(acc["e"], F.array(F.lit(0.0))).alias("e"))
+    return F.aggregate(F.sequence(F.lit(1), h), init, step, lambda acc: F.slice(acc["y"], F.size(y_tail) + 1, h))
+
+
+def psi_weights(c: Column, theta: Column, h: Column) -> Column:
+    """ψ₀ = 1, ψⱼ = θⱼ + Σ cᵢ ψⱼ₋ᵢ, the first h of them."""
+    def step(psi, j):
+        return F.concat(psi, F.array(F.coalesce(F.get(theta, j - 1), F.lit(0.0)) + _recent(c, psi)))
+    return F.slice(F.aggregate(F.sequence(F.lit(1), h), F.array(F.lit(1.0)), step), 1, h)
+
+
+def running_deviation(psi: Column, sigma2: Column) -> Column:
+    """√(σ² Σ ψ²) up to each step."""
+    sums = F.aggregate(psi, F.array().cast("array<double>"),
+                       lambda acc, v: F.concat(acc, F.array(F.coalesce(F.element_at(F.concat(F.array(F.lit(0.0)), acc), -1), F.lit(0.0)) + v * v)))
+    return F.transform(sums, lambda s: F.sqrt(sigma2 * s))
+
+
+def fit_candidates(request: DataFrame, keys: Sequence[str], config: DataFrame | None = None) -> DataFrame:
+    """One row a (segment, candidate): its terms, coefficients a and b, sigma2, aic, y_tail, e_tail and `error`.
+
+    With `config` (keys…, cid) a segment gets that candidate alone (and the stand-in)."""
+    k = list(keys)
+    spark = request.sparkSession
+    rows = candidate_rows()
+    # few bytes and much to compute: dealt by a fixed number, which adaptive execution leaves as it is
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    points = request.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("t", F.col("y").cast("double").alias("y")))).alias("points"),
+                                     F.first("n").alias("n"), F.first("h").alias("h"), F.max("ds").alias("last_ds"))
+    series = _computed(points, [*k, "n", "h", "last_ds", (F.col("n") >= MIN_SEASONAL).alias("long")],
+                       ys=F.transform("points", lambda p: p["y"]))
+
+    # what the candidates regress on: one row a segment, differencing and reach
+    kinds = sorted({(r[1], r[2], r[5]) for r in rows})
+    kind = F.explode(F.array(*[F.struct(*[F.lit(v).alias(name) for v, name in zip(x, ("d", "D_", "reach"), strict=True)]) for x in kinds]))
+    base = series.select(*k, "n", "h", "last_ds", "long", "ys", kind.alias("kind")).select("*", "kind.*").drop("kind")
+    base = base.where((F.col("D_") == 0) | F.col("long")).repartition(parts, *k, "d", "D_", "reach")
+    base = _computed(base, [*k, "n", "h", "last_ds", "long", "d", "D_", "reach", F.slice("ys", -1 * F.least(F.size("ys"), F.lit(TAIL)), TAIL).alias("y_tail")],
+                     w=_differenced(F.col("ys"), F.col("d"), F.col("D_")))
+    base = base.withColumn("m", F.size("w")).withColumn(
+        "L", F.when(F.col("reach") > 0, F.least(F.greatest(F.lit(LONG_AR), F.col("reach")), F.greatest(F.lit(1), F.floor(F.col("m") / 3).cast("int"))))
+        .otherwise(F.lit(0)))
+
+    # 1: the long autoregression
+    of_kind = [*k, "d", "D_", "reach"]
+    lagged = F.transform(F.sequence(F.col("L"), F.col("m") - 1),
+                         lambda t: F.struct(F.reverse(F.slice("w", t - F.col("L") + 1, F.col("L") + 1)).alias("z")))
+    long_rows = base.where((F.col("L") > 0) & (F.col("m") > F.col("L"))).select(*of_kind, F.inline(lagged))
+    size = F.floor((F.sqrt(8.0 * F.size("sums") + 1) - 1) / 2).cast("int") - 1  # regressors of a triangle
+    phi = _gram(long_rows, of_kind)
+    # a few numbers a segment, which both the regression and the errors need
+    ensure_checkpoint_dir(spark)
+    phi = _computed(phi, of_kind, phi=_solved(F.col("sums"), size)).checkpoint()
+    noise = F.transform("w", lambda x, t: F.when(t >= F.col("L"), x - F.aggregate(
+        F.transform("phi", lambda c, i: c * F.get("w", t - i - 1)), F.lit(0.0), lambda s, v: s + v)).otherwise(F.lit(0.0)))
+    base = base.join(phi, of_kind, "left")
+    base = _computed(base, [*of_kind, "n", "h", "last_ds", "long", "y_tail", "w", "m", "L"],
+                     noise=F.when(F.col("phi").isNotNull(), noise).otherwise(F.transform("w", lambda x: F.lit(0.0))))
+
+    # 2: one row a candidate of a segment, and its regression
+    table = spark.createDataFrame([(*r[:6], bool(is_long), r[7], r[8]) for r in rows for is_long in (0, 1) if is_long or not r[6]],
+                                  "cid int, d int, D_ int, ar array<int>, ma array<int>, reach int, long boolean, loss int, extra string")
+    shared = {is_long: max(r[7] for r in rows if is_long or not r[6]) for is_long in (False, True)}
+    fits = base.join(F.broadcast(table), ["d", "D_", "reach", "long"])  # a fixed table of 26 rows
+    if config is not None:
+        chosen = config.select(*k, F.col("cid").alias("__cid"))
+        fits = fits.join(chosen, k).where(F.col("cid").isin(WALK_CID) | (F.col("cid") == F.col("__cid"))).drop("__cid")
+    fits = fits.repartition(parts, *k, "cid")
+    furthest = F.coalesce(F.array_max(F.concat("ar", "ma")), F.lit(0))
+    fits = fits.withColumns({"k": F.size("ar") + F.size("ma"), "start": F.col("L") + furthest})
+    fits = fits.withColumn("feasible", (F.col("m") - F.col("start") >= F.col("k") + 1) | (F.col("cid") == WALK_CID))
+    of_fit = [*k, "cid"]
+    regressors = F.transform(F.sequence(F.col("start"), F.col("m") - 1), lambda t: F.struct(F.concat(
+        F.array(F.get("w", t)), F.transform("ar", lambda i: F.get("w", t - i)), F.transform("ma", lambda j: F.get("noise", t - j))).alias("z")))
+    solved = _gram(fits.where("feasible AND k > 0").select(*of_fit, F.inline(regressors)), of_fit)
+    solved = _computed(solved, of_fit, coefficients=_solved(F.col("sums"), size))
+    fits = fits.join(solved, of_fit, "left").withColumn("coefficients", F.coalesce("coefficients", F.array().cast("array<double>")))
+    fits = fits.withColumns({"a": F.slice("coefficients", 1, F.size("ar")), "b": F.slice("coefficients", F.size("ar") + 1, F.size("ma")),
+                             "lost": F.col("d") + SEASON * F.col("D_"),
+                             "common": F.least(F.when(F.col("long"), shared[True]).otherwise(shared[False]), F.col("n") - 1)})
+
+    # 3: errors of the fitted recursion over all days
+    init = F.struct(F.lit(0).alias("t"), F.array_repeat(F.lit(0.0), SEASON).alias("e"), F.lit(0.0).alias("s2"), F.lit(0.0).alias("s2c"))
+
+    def step(acc, x):
+        past = F.aggregate(F.arrays_zip(F.col("ar").alias("lag"), F.col("a").alias("c")), F.lit(0.0),
+                           lambda s, z: s + z["c"] * F.coalesce(F.get("w", acc["t"] - z["lag"]), F.lit(0.0)))
+        noise = F.aggregate(F.arrays_zip(F.col("ma").alias("lag"), F.col("b").alias("c")), F.lit(0.0),
+                            lambda s, z: s + z["c"] * F.get(acc["e"], SEASON - z["lag"]))
+
+        def with_error(e):
+            return F.struct((acc["t"] + 1).alias("t"), F.concat(F.slice(acc["e"], 2, SEASON - 1), F.array(e)).alias("e"),
+                            (acc["s2"] + F.when(acc["t"] >= F.least(F.col("start"), F.col("m") - 1), e * e).otherwise(F.lit(0.0))).alias("s2"),
+                            (acc["s2c"] + F.when(acc["t"] + F.col("lost") >= F.col("common"), e * e).otherwise(F.lit(0.0))).alias("s2c"))
+        return _let(x - past - noise, with_error)
+    fits = _computed(fits, [*of_fit, "n", "h", "last_ds", "extra", "k", "d", "D_", "ar", "ma", "a", "b", "y_tail", "m", "start", "common", "feasible"],
+                     run=F.when(F.col("feasible"), F.aggregate("w", init, step)))
+    used = F.greatest(F.col("m") - F.least(F.col("start"), F.col("m") - 1), F.lit(1))
+    counted = F.col("n") - F.col("common")
+    fits = fits.select(*of_fit, "n", "h", "last_ds", "extra", "d", "D_", "ar", "ma", "a", "b", "y_tail", "feasible",
+                       F.col("run.e").alias("e_tail"), F.greatest(F.col("run.s2") / used, F.lit(1e-12)).alias("sigma2"),
+                       (counted * F.ln(F.greatest(F.col("run.s2c"), F.lit(1e-300)) / counted) + 2 * (F.col("k") + 1)).alias("aic"))
+    finite = F.coalesce(F.abs("sigma2") < float("inf"), F.lit(False)) & F.coalesce(F.abs("aic") < float("inf"), F.lit(False))
+    error = F.when(~F.col("feasible"), F.lit(MSG_TOO_FEW)).when(~finite, F.lit(MSG_NOT_FINITE))
+    return fits.withColumn("error", error).drop("feasible")
+
+
+def forecast_fits(fits: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """`keep` and the arrays `path` and `deviation` of h steps, from fitted rows alone (no series is read)."""
+    c = _computed(fits, [*keep, "h", "y_tail", "e_tail", "sigma2"],
+                  c=autoregression(F.col("ar"), F.col("a"), F.col("d"), F.col("D_")),
+                  theta=F.slice(_polynomial(F.col("ma"), F.col("b"), 1), 2, SEASON))
+    return _computed(c, keep, path=forecast_path(F.col("c"), F.col("theta"), F.col("y_tail"), F.col("e_tail"), F.col("h")),
+                     deviation=_let(psi_weights(F.col("c"), F.col("theta"), F.col("h")), lambda p: running_deviation(p, F.col("sigma2"))))
+
+
+def best_fits(request: DataFrame, keys: Sequence[str], config: DataFrame | None = None) -> DataFrame:
+    """The fitted row of least AIC per segment (ties to the earlier candidate), with its `path` and `deviation`, and
+    `errors`: what kept other candidates out. A candidate whose forecast is not finite is out as well."""
+    k = list(keys)
+    fits = fit_candidates(request, k, config)
+    state = [c for c in fits.columns if c not in k]
+    fits = forecast_fits(fits, [*k, *state])
+    finite = F.forall(F.concat("path", "deviation"), lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    fits = fits.withColumn("error", F.when(F.col("error").isNull() & ~finite, F.lit(MSG_NOT_FINITE)).otherwise(F.col("error")))
+    good = F.col("error").isNull()
+    order = F.when(good, F.struct((F.col("cid") == WALK_CID).alias("last"), F.col("aic"), F.col("cid")))
+    columns = [*[c for c in state if c != "error"], "path", "deviation"]
+    best = fits.groupBy(*k).agg(F.min_by(F.struct(*columns), order).alias("best"),
+                                F.array_sort(F.collect_set(F.when(~good, F.concat_ws(": ", "extra", "error")))).alias("errors"))
+    return best.select(*k, "best.*", "errors").withColumn(
+        "cid", F.when(F.col("cid") == WALK_CID, FALLBACK_CID).otherwise(F.col("cid")))
+
+
+def steps_of(forecasts: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One row a step: step, ds, forecast, lower, upper."""
+    rows = forecasts.select(*keep, "last_ds", F.posexplode(F.arrays_zip("path", "deviation")).alias("pos", "z"))
+    fc, sd = F.col("z.path"), F.col("z.deviation")
+    return rows.select(*keep, (F.col("pos") + 1).alias("step"), F.date_add("last_ds", F.col("pos") + 1).alias("ds"),
+                       fc.alias("forecast"), (fc - Z95 * sd).alias("lower"), (fc + Z95 * sd).alias("upper"))
 
 
 def arima(request: DataFrame, keys: Sequence[str] = (), config: DataFrame | None = None) -> DataFrame:
@@ -198,13 +310,6 @@ def arima(request: DataFrame, keys: Sequence[str] = (), config: DataFrame | None
     request, keys = seg_keys(request, user_keys)
     if config is not None and not user_keys:
         config = config.withColumn(ALL_KEY, F.lit(0))
-    rows = request.select(*keys, "ds", "t", "y", "n", "h")
-    rows = (rows.withColumn("cid", F.lit(None).cast("int")) if config is None
-            else rows.join(config.select(*keys, "cid"), keys))
-    key_fields = [request.schema[k] for k in keys]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields] +
-                       ["cid int", "step int", "ds date", "forecast double", "lower double", "upper double",
-                        "aic double", "extra string"])
-    fits = rows.groupBy(*keys).applyInPandas(_fit_group(keys), schema)
-    return drop_seg(fits).select(*user_keys, F.lit(SARIMAX).alias("model"), "step", "ds",
+    rows = steps_of(best_fits(request, keys, config), [*keys, "extra", "cid", "aic"])
+    return drop_seg(rows).select(*user_keys, F.lit(SARIMAX).alias("model"), "step", "ds",
                                  "forecast", "lower", "upper", "extra", "cid", "aic")

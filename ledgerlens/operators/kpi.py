@@ -1,21 +1,19 @@
 """KPI record per segment.
 
-One scan of the cleaned rows feeds a GROUPING SETS aggregate over
-`(keys) , (keys, Product), (keys, Region), (keys, Date)`; partial aggregation happens
-map-side, so the shuffle carries one row per group, never raw rows. The four branches
-below read that one aggregate (the exchange is reused), and the final joins are
-one-row-per-segment on the segment keys.
+The cleaned rows become mergeable states per (Product, Region, Date) and the segment keys
+(`kpi_state`), written once. The record of a segment merges from them level by level (total, product,
+region, day), and a last aggregate puts the four levels of a segment into one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.joins import drop_seg, seg_keys
+from . import kpi_state as ST
 
 KPI_FIELDS = [
     "total_revenue", "avg_revenue", "total_records", "profit", "margin_pct", "unique_products",
@@ -34,35 +32,6 @@ RISK_HIGH_VOLATILITY = 40
 RISK_MEDIUM_VOLATILITY = 35
 
 
-def segment_rollup(clean: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The shared grouping-sets aggregate; `level` is total / product / region / day.
-
-    Product, Region and Date are grouped under private names so segment keys may include
-    Product or Region themselves.
-    """
-    has_profit = "Profit" in clean.columns
-    profit = F.col("Profit").try_cast("double") if has_profit else F.lit(None).cast("double")
-    base = clean.select(*keys, F.col("Date").alias("__d"), F.col("Product").alias("__p"),
-                        F.col("Region").alias("__r"),
-                        F.col("Revenue").cast("double").alias("rev"), profit.alias("pr"))
-    k = list(keys)
-    g = (base.groupingSets([k, k + ["__p"], k + ["__r"], k + ["__d"]], *k, "__p", "__r", "__d")
-         .agg(F.sum("rev").alias("rev"),
-              F.count(F.lit(1)).alias("n"),
-              F.avg("rev").alias("avg_rev"),
-              F.stddev_samp("rev").alias("std_rev"),
-              F.sum("pr").alias("profit_sum"),
-              F.min("__d").alias("first_ds"),
-              F.max("__d").alias("last_ds"),
-              F.grouping("__p").alias("g_prod"),
-              F.grouping("__r").alias("g_reg"),
-              F.grouping("__d").alias("g_day")))
-    level = (F.when(F.col("g_prod") == 0, "product").when(F.col("g_reg") == 0, "region")
-             .when(F.col("g_day") == 0, "day").otherwise("total"))
-    return (g.withColumn("level", level).withColumn("has_profit", F.lit(has_profit))
-            .withColumnsRenamed({"__p": "Product_", "__r": "Region_", "__d": "Date_"}))
-
-
 def _growth(day_map: F.Column, first_ds: F.Column, last_ds: F.Column) -> F.Column:
     """A6 from a segment's day -> revenue map; gap days are zero, so period means are period
     sums over period lengths and no calendar rows are materialised."""
@@ -88,7 +57,7 @@ def _growth(day_map: F.Column, first_ds: F.Column, last_ds: F.Column) -> F.Colum
 
 
 def kpis_from_rollup(g: DataFrame, keys: list[str], with_days: bool = False) -> DataFrame:
-    """The KPI record from the grouping-sets rows in one aggregation per segment.
+    """The KPI record from the rows of the four levels in one aggregation per segment.
 
     Totals are the single `total` row; top/weak by `min_by` over the product/region rows
     (ties by name); the day rows become one (ds, y) array per segment (bounded by its
@@ -112,7 +81,7 @@ def kpis_from_rollup(g: DataFrame, keys: list[str], with_days: bool = False) ->
         F.max(at("total", F.col("profit_sum"))).alias("profit_sum"),
         F.max(at("total", F.col("first_ds"))).alias("first_ds"),
         F.max(at("total", F.col("last_ds"))).alias("last_ds"),
-        F.first("has_profit").alias("has_profit"),
+        F.max(at("total", F.col("has_profit"))).alias("has_profit"),
         F.count(at("product", F.lit(1))).alias("unique_products"),
         F.count(at("region", F.lit(1))).alias("unique_regions"),
         ranked("product", "Product_", -1).alias("tp"), ranked("product", "Product_", 1).alias("wp"),
@@ -147,33 +116,30 @@ def kpis_from_rollup(g: DataFrame, keys: list[str], with_days: bool = False) ->
     )
 
 
-def shared_rollup(clean: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """The grouping-sets aggregate, persisted: its four branches prune different columns, so
-    without it every branch would rescan and rejoin the input. The persisted rows are the
-    aggregate (segments × (products + regions + days)), never raw rows; a lost block is
-    recomputed from lineage."""
-    df, k = seg_keys(clean, list(keys))
-    return segment_rollup(df, k).persist(StorageLevel.MEMORY_AND_DISK), k
+def written_states(clean: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The states of `clean` by its segment keys, written once: every level merges from the same files."""
+    return ST.write_states(ST.daily_states(clean, keys))
 
 
-def calculate_kpis(clean: DataFrame, keys: Sequence[str] = (), rollup=None,
-                   with_days: bool = False) -> DataFrame:
+def calculate_kpis(clean: DataFrame, keys: Sequence[str] = (), with_days: bool = False) -> DataFrame:
     """The 21-field KPI record, one row per segment (`keys=[]` = whole table).
 
-    An empty whole-table input gives the all-zero record, as the reference does.
-    `rollup` lets a caller share one `shared_rollup`; `with_days` keeps each segment's
-    day -> revenue map and date bounds so day-level rules can run as column expressions on the
-    same row (joining two frames derived from one cached aggregate would make Spark
-    re-derive one side instead of reading the cache).
+    An empty whole-table input gives the all-zero record, as the reference does. `with_days` keeps
+    each segment's day -> revenue map and date bounds so day-level rules can run as column
+    expressions on the same row.
     """
+    return kpis_from_states(written_states(clean, keys), keys, with_days)
+
+
+def kpis_from_states(states: DataFrame, keys: Sequence[str] = (), with_days: bool = False) -> DataFrame:
+    """The KPI record from states alone, of whatever days, segments and batches they are."""
     user_keys = list(keys)
-    g, k = rollup if rollup is not None else shared_rollup(clean, user_keys)
-    out = kpis_from_rollup(g, k, with_days)
-    out = drop_seg(out)
+    states, k = seg_keys(states, user_keys)
+    out = drop_seg(kpis_from_rollup(ST.level_rollup(states, k), k, with_days))
     if not user_keys:
         # whole table: the real record (≥ 1 row counted) outranks the all-zero one, which
         # only survives for an empty input; a 2-row top-1, no emptiness probe
-        out = (out.unionByName(zero_kpis(clean.sparkSession), allowMissingColumns=True)
+        out = (out.unionByName(zero_kpis(states.sparkSession), allowMissingColumns=True)
                .orderBy(F.col("total_records").desc()).limit(1))
     return out
 

@@ -127,20 +127,6 @@ def test_comparison_takes_the_refined_ets(spark):
     assert got.mape == pytest.approx(want.mape)
 
 
-def test_arima_recovers_ar_coefficient():
-    rng = np.random.default_rng(3)
-    n, phi = 600, 0.6
-    e = rng.normal(0, 1, n)
-    w = np.zeros(n)
-    for t in range(1, n):
-        w[t] = phi * w[t - 1] + e[t]
-    y = np.cumsum(w) + 100          # ARIMA(1,1,0)
-    fc, sd, aic = AR.fit_forecast(y, (1, 1, 0), (0, 0, 0, 0), 5)
-    # next step of the differenced series is phi * last difference
-    assert fc[0] - y[-1] == pytest.approx(phi * (y[-1] - y[-2]), abs=0.3)
-    assert sd[0] == pytest.approx(1.0, abs=0.15) and np.all(np.diff(sd) > 0)
-
-
 def test_arima_grid_picks_a_candidate(spark):
     rng = np.random.default_rng(4)
     ys = 100 + np.cumsum(rng.normal(0, 1, 80))
@@ -183,17 +169,6 @@ def test_compare_guard_and_bundle(spark, tmp_path):
     assert ov.where(F.col("series") == "forecast").count() == 3
 
 
-def test_arima_prefers_seasonal_terms_on_weekly_data():
-    rng = np.random.default_rng(0)
-    t = np.arange(200)
-    y = 100 + 30 * np.sin(2 * np.pi * t / 7) + np.cumsum(rng.normal(0, 1, 200))
-    fits = []
-    for cid, o, so in AR.CANDIDATES:
-        fc, sd, aic = AR.fit_forecast(y, o, so, 7)
-        fits.append((aic, so))
-    assert min(fits)[1][3] == 7
-
-
 def test_depth_and_bins_of_the_trees_are_arguments(spark):
     for kind in ("forest", "boosting"):
         model = TR._estimator(kind, {"max_depth": 30, "max_bins": 256})
