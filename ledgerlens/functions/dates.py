@@ -50,12 +50,23 @@ def _text_day(text: Column) -> Column:
     return F.coalesce(*found)
 
 
+# The years whose days 64-bit nanoseconds hold in full.
+FIRST_YEAR, LAST_YEAR = 1678, 2261
+
+
 def to_day(c: Column, dtype: T.DataType, formats: Sequence[str] = ()) -> Column:
     """Coerce any date-like column to a DateType at midnight; unparseable -> null.
 
     Text dates are recognised row by row (documented deviation: the reference infers one
-    layout from the first value and nulls the rest); `formats` are tried first.
+    layout from the first value and nulls the rest); `formats` are tried first. Days outside
+    FIRST_YEAR..LAST_YEAR count as unparseable, as they do in the reference, so one odd row cannot make
+    a calendar of millions of days.
     """
+    day = _any_day(c, dtype, formats)
+    return F.when(day.between(F.lit(f"{FIRST_YEAR}-01-01").cast("date"), F.lit(f"{LAST_YEAR}-12-31").cast("date")), day)
+
+
+def _any_day(c: Column, dtype: T.DataType, formats: Sequence[str]) -> Column:
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.to_date(c)
     if isinstance(dtype, T.IntegralType):

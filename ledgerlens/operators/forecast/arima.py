@@ -17,13 +17,14 @@ state-space maximum-likelihood fit). Everything is JVM expressions; no Python ru
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...plans.joins import ALL_KEY, drop_seg, seg_keys
 from ...session import ensure_checkpoint_dir
+from .arrays import computed, let, solved, total, triangle_at
 from .base import SARIMAX, Z95
 
 # The candidate grid, in the reference's order.
@@ -38,9 +39,8 @@ FALLBACK = (1, 1, 1)
 FALLBACK_CID = next(cid for cid, o, so in CANDIDATES if o == FALLBACK and not so[3])
 #: Stands in where no candidate can be fitted.
 WALK_CID = -1
-#: Least days of the long autoregression, and pivots below this share of their diagonal count as zero.
+#: Least days of the long autoregression.
 LONG_AR = 10
-SINGULAR = 1e-12
 #: Values and errors that a forecast looks back on: lags up to 7, one difference and one seasonal difference.
 TAIL = SEASON + 1 + SEASON
 
@@ -70,27 +70,13 @@ def candidate_rows() -> list[tuple]:
     return out
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with the value computed once: a lambda computes what it names each time."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _computed(df: DataFrame, keep: Sequence, **columns: Column) -> DataFrame:
-    """`keep` and `columns`, whose expressions later projections do not take apart again."""
-    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
-def _dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-
 def _difference(x: Column, lag: int) -> Column:
     n = F.greatest(F.size(x) - lag, F.lit(0))
     return F.zip_with(F.slice(x, lag + 1, n), F.slice(x, 1, n), lambda a, b: a - b)
 
 
 def _differenced(ys: Column, d: Column, D: Column) -> Column:
-    return _let(F.when(d == 1, _difference(ys, 1)).otherwise(ys),
+    return let(F.when(d == 1, _difference(ys, 1)).otherwise(ys),
                 lambda w: F.when(D == 1, _difference(w, SEASON)).otherwise(w))
 
 
@@ -103,26 +89,14 @@ def _gram(rows: DataFrame, group: Sequence[str]) -> DataFrame:
             .select(*group, F.transform("entries", lambda e: e["p"]).alias("sums")))
 
 
-def _solved(sums: Column, k: Column) -> Column:
-    """The k least-squares coefficients from the triangle of `_gram` over [target, regressors…], by Gauss–Jordan
-    elimination; a regressor that depends on earlier ones takes no part (coefficient 0)."""
+def _regressed(sums: Column, k: Column) -> Column:
+    """The k least-squares coefficients from the triangle of `_gram` over [target, regressors…]; a regressor that
+    depends on earlier ones takes no part (coefficient 0)."""
     def at(i, j):
-        low, high = F.least(i, j), F.greatest(i, j)
-        return F.get(sums, (low * (k + 1) - F.floor(low * (low - 1) / 2) + high - low).cast("int"))
-
+        return triangle_at(sums, k + 1, i, j)
     matrix = F.transform(F.sequence(F.lit(1), k), lambda i: F.transform(
         F.sequence(F.lit(1), k + 1), lambda j: F.when(j <= k, at(i, j)).otherwise(at(F.lit(0), i))))
-
-    def eliminate(a, c):
-        pivot_row = F.get(a, c)
-
-        def reduced(pivot):
-            good = pivot > SINGULAR * at(c + 1, c + 1)
-            return F.transform(a, lambda row, i: F.when(i == c, F.transform(row, lambda v: F.when(good, v / pivot).otherwise(F.lit(0.0))))
-                               .when(good, F.zip_with(row, pivot_row, lambda v, w: v - F.get(row, c) / pivot * w)).otherwise(row))
-        return _let(F.get(pivot_row, c), reduced)
-    return _let(matrix, lambda m: F.aggregate(F.sequence(F.lit(0), k - 1), m, eliminate,
-                                              lambda a: F.transform(a, lambda row: F.element_at(row, -1))))
+    return solved(matrix, k, lambda c: at(c + 1, c + 1))
 
 
 def _polynomial(lags: Column, coefficients: Column, sign: int) -> Column:
@@ -133,22 +107,21 @@ def _polynomial(lags: Column, coefficients: Column, sign: int) -> Column:
 
 
 def polynomial_product(x: Column, y: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(x) + F.size(y) - 2), lambda k: F.aggregate(
-        F.transform(x, lambda v, i: v * F.coalesce(F.get(y, k - i), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v))
+    return F.transform(F.sequence(F.lit(0), F.size(x) + F.size(y) - 2), lambda k: total(
+        F.transform(x, lambda v, i: v * F.coalesce(F.get(y, k - i), F.lit(0.0)))))
 
 
 def autoregression(ar: Column, a: Column, d: Column, D: Column) -> Column:
     """The coefficients c₁, c₂, … of past values in the next one: 1 − Σ cᵢBⁱ = (1 − Σ aᵢBⁱ)(1 − B)ᵈ(1 − B⁷)ᴰ."""
     seasonal = F.array(*[F.lit(v) for v in (1.0, *[0.0] * (SEASON - 1), -1.0)])
-    once = _let(_polynomial(ar, a, -1), lambda x: F.when(d == 1, polynomial_product(x, F.array(F.lit(1.0), F.lit(-1.0)))).otherwise(x))
-    full = _let(once, lambda x: F.when(D == 1, polynomial_product(x, seasonal)).otherwise(x))
-    return _let(full, lambda x: F.transform(F.slice(x, 2, F.size(x) - 1), lambda v: -v))
+    once = let(_polynomial(ar, a, -1), lambda x: F.when(d == 1, polynomial_product(x, F.array(F.lit(1.0), F.lit(-1.0)))).otherwise(x))
+    full = let(once, lambda x: F.when(D == 1, polynomial_product(x, seasonal)).otherwise(x))
+    return let(full, lambda x: F.transform(F.slice(x, 2, F.size(x) - 1), lambda v: -v))
 
 
 def _recent(c: Column, past: Column) -> Column:
     """Σ cᵢ · (the i-th last of `past`)."""
-    return F.aggregate(F.transform(c, lambda v, i: v * F.coalesce(F.get(past, F.size(past) - 1 - i), F.lit(0.0))),
-                       F.lit(0.0), lambda s, v: s + v)
+    return total(F.transform(c, lambda v, i: v * F.coalesce(F.get(past, F.size(past) - 1 - i), F.lit(0.0))))
 
 
 def forecast_path(c: Column, theta: Column, y_tail: Column, e_tail: Column, h: Column) -> Column:
@@ -186,7 +159,7 @@ def fit_candidates(request: DataFrame, keys: Sequence[str], config: DataFrame |
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = request.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("t", F.col("y").cast("double").alias("y")))).alias("points"),
                                      F.first("n").alias("n"), F.first("h").alias("h"), F.max("ds").alias("last_ds"))
-    series = _computed(points, [*k, "n", "h", "last_ds", (F.col("n") >= MIN_SEASONAL).alias("long")],
+    series = computed(points, [*k, "n", "h", "last_ds", (F.col("n") >= MIN_SEASONAL).alias("long")],
                        ys=F.transform("points", lambda p: p["y"]))
 
     # what the candidates regress on: one row a segment, differencing and reach
@@ -194,7 +167,7 @@ def fit_candidates(request: DataFrame, keys: Sequence[str], config: DataFrame |
     kind = F.explode(F.array(*[F.struct(*[F.lit(v).alias(name) for v, name in zip(x, ("d", "D_", "reach"), strict=True)]) for x in kinds]))
     base = series.select(*k, "n", "h", "last_ds", "long", "ys", kind.alias("kind")).select("*", "kind.*").drop("kind")
     base = base.where((F.col("D_") == 0) | F.col("long")).repartition(parts, *k, "d", "D_", "reach")
-    base = _computed(base, [*k, "n", "h", "last_ds", "long", "d", "D_", "reach", F.slice("ys", -1 * F.least(F.size("ys"), F.lit(TAIL)), TAIL).alias("y_tail")],
+    base = computed(base, [*k, "n", "h", "last_ds", "long", "d", "D_", "reach", F.slice("ys", -1 * F.least(F.size("ys"), F.lit(TAIL)), TAIL).alias("y_tail")],
                      w=_differenced(F.col("ys"), F.col("d"), F.col("D_")))
     base = base.withColumn("m", F.size("w")).withColumn(
         "L", F.when(F.col("reach") > 0, F.least(F.greatest(F.lit(LONG_AR), F.col("reach")), F.greatest(F.lit(1), F.floor(F.col("m") / 3).cast("int"))))
@@ -209,11 +182,11 @@ def fit_candidates(request: DataFrame, keys: Sequence[str], config: DataFrame |
     phi = _gram(long_rows, of_kind)
     # a few numbers a segment, which both the regression and the errors need
     ensure_checkpoint_dir(spark)
-    phi = _computed(phi, of_kind, phi=_solved(F.col("sums"), size)).checkpoint()
-    noise = F.transform("w", lambda x, t: F.when(t >= F.col("L"), x - F.aggregate(
-        F.transform("phi", lambda c, i: c * F.get("w", t - i - 1)), F.lit(0.0), lambda s, v: s + v)).otherwise(F.lit(0.0)))
+    phi = computed(phi, of_kind, phi=_regressed(F.col("sums"), size)).checkpoint()
+    noise = F.transform("w", lambda x, t: F.when(t >= F.col("L"), x - total(
+        F.transform("phi", lambda c, i: c * F.get("w", t - i - 1)))).otherwise(F.lit(0.0)))
     base = base.join(phi, of_kind, "left")
-    base = _computed(base, [*of_kind, "n", "h", "last_ds", "long", "y_tail", "w", "m", "L"],
+    base = computed(base, [*of_kind, "n", "h", "last_ds", "long", "y_tail", "w", "m", "L"],
                      noise=F.when(F.col("phi").isNotNull(), noise).otherwise(F.transform("w", lambda x: F.lit(0.0))))
 
     # 2: one row a candidate of a segment, and its regression
@@ -231,9 +204,9 @@ def fit_candidates(request: DataFrame, keys: Sequence[str], config: DataFrame |
     of_fit = [*k, "cid"]
     regressors = F.transform(F.sequence(F.col("start"), F.col("m") - 1), lambda t: F.struct(F.concat(
         F.array(F.get("w", t)), F.transform("ar", lambda i: F.get("w", t - i)), F.transform("ma", lambda j: F.get("noise", t - j))).alias("z")))
-    solved = _gram(fits.where("feasible AND k > 0").select(*of_fit, F.inline(regressors)), of_fit)
-    solved = _computed(solved, of_fit, coefficients=_solved(F.col("sums"), size))
-    fits = fits.join(solved, of_fit, "left").withColumn("coefficients", F.coalesce("coefficients", F.array().cast("array<double>")))
+    fitted = _gram(fits.where("feasible AND k > 0").select(*of_fit, F.inline(regressors)), of_fit)
+    fitted = computed(fitted, of_fit, coefficients=_regressed(F.col("sums"), size))
+    fits = fits.join(fitted, of_fit, "left").withColumn("coefficients", F.coalesce("coefficients", F.array().cast("array<double>")))
     fits = fits.withColumns({"a": F.slice("coefficients", 1, F.size("ar")), "b": F.slice("coefficients", F.size("ar") + 1, F.size("ma")),
                              "lost": F.col("d") + SEASON * F.col("D_"),
                              "common": F.least(F.when(F.col("long"), shared[True]).otherwise(shared[False]), F.col("n") - 1)})
@@ -251,8 +224,8 @@ def fit_candidates(request: DataFrame, keys: Sequence[str], config: DataFrame |
             return F.struct((acc["t"] + 1).alias("t"), F.concat(F.slice(acc["e"], 2, SEASON - 1), F.array(e)).alias("e"),
                             (acc["s2"] + F.when(acc["t"] >= F.least(F.col("start"), F.col("m") - 1), e * e).otherwise(F.lit(0.0))).alias("s2"),
                             (acc["s2c"] + F.when(acc["t"] + F.col("lost") >= F.col("common"), e * e).otherwise(F.lit(0.0))).alias("s2c"))
-        return _let(x - past - noise, with_error)
-    fits = _computed(fits, [*of_fit, "n", "h", "last_ds", "extra", "k", "d", "D_", "ar", "ma", "a", "b", "y_tail", "m", "start", "common", "feasible"],
+        return let(x - past - noise, with_error)
+    fits = computed(fits, [*of_fit, "n", "h", "last_ds", "extra", "k", "d", "D_", "ar", "ma", "a", "b", "y_tail", "m", "start", "common", "feasible"],
                      run=F.when(F.col("feasible"), F.aggregate("w", init, step)))
     used = F.greatest(F.col("m") - F.least(F.col("start"), F.col("m") - 1), F.lit(1))
     counted = F.col("n") - F.col("common")
@@ -266,11 +239,11 @@ def fit_candidates(request: DataFrame, keys: Sequence[str], config: DataFrame |
 
 def forecast_fits(fits: DataFrame, keep: Sequence[str]) -> DataFrame:
     """`keep` and the arrays `path` and `deviation` of h steps, from fitted rows alone (no series is read)."""
-    c = _computed(fits, [*keep, "h", "y_tail", "e_tail", "sigma2"],
+    c = computed(fits, [*keep, "h", "y_tail", "e_tail", "sigma2"],
                   c=autoregression(F.col("ar"), F.col("a"), F.col("d"), F.col("D_")),
                   theta=F.slice(_polynomial(F.col("ma"), F.col("b"), 1), 2, SEASON))
-    return _computed(c, keep, path=forecast_path(F.col("c"), F.col("theta"), F.col("y_tail"), F.col("e_tail"), F.col("h")),
-                     deviation=_let(psi_weights(F.col("c"), F.col("theta"), F.col("h")), lambda p: running_deviation(p, F.col("sigma2"))))
+    return computed(c, keep, path=forecast_path(F.col("c"), F.col("theta"), F.col("y_tail"), F.col("e_tail"), F.col("h")),
+                     deviation=let(psi_weights(F.col("c"), F.col("theta"), F.col("h")), lambda p: running_deviation(p, F.col("sigma2"))))
 
 
 def best_fits(request: DataFrame, keys: Sequence[str], config: DataFrame | None = None) -> DataFrame:

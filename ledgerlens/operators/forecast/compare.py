@@ -2,14 +2,13 @@
 the whole series, and report the comparison, the forecast rows and the payload totals.
 
 Segments shorter than 20 days skip the backtest and get the moving average on the full
-series. A model that fails for a segment is simply absent from that segment's comparison;
-a segment with no successful backtest falls back to the moving average (on the full
+series. A model that fails for a segment is absent from that segment's comparison alone, and `failures`
+says why (a Spark job that fails is raised); a segment with no successful backtest falls back to the moving average (on the full
 series — documented deviation, the reference mixes train and full series there).
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -20,8 +19,7 @@ from pyspark.sql import functions as F
 from ...plans.joins import drop_seg, seg_keys
 from ...session import ensure_checkpoint_dir
 from . import arima as AR
-from . import ets as ET
-from . import moving_average as MA
+from . import store as ST
 from . import trees as TR
 from .base import (BOOSTING, ETS, FOREST, MODEL_ORDER, MOVING_AVERAGE, SARIMAX, Z95, full_request,
                    plan_requests, score, train_request)
@@ -34,6 +32,11 @@ MSG_ALL_FAILED = "All models failed. Used moving average fallback."
 MSG_BEST = "Best model selected: {name}"
 MSG_TOO_FEW = "Not enough dates for forecasting."
 NOT_ENOUGH = "Not enough data"
+# Own texts: why a model fails for one segment.
+ERR_VALUES = "the series holds values that are not finite"
+ERR_NO_FIT = "the model could not be fitted"
+ERR_STEPS = "the forecast has too few steps"
+ERR_FORECAST = "the forecast is not finite"
 MIN_DAYS = 5
 HISTORY_TAIL = 120
 
@@ -43,18 +46,21 @@ class ForecastResult:
     comparison: DataFrame        # keys…, model, mae, rmse, mape, extra
     forecast: DataFrame | None   # keys…, best_model, step, ds, forecast, lower, upper
     summary: DataFrame | None    # keys…, best_model, horizon, training_end, forecast_sum, forecast_average, message
+    failures: DataFrame | None = None  # keys…, model, error: why a model is missing from a segment's comparison or refit
 
 
-def _run(model: str, request: DataFrame, keys: list[str], tree_params: dict,
-         config: DataFrame | None = None, lags: DataFrame | None = None, save_to: str | None = None) -> DataFrame:
-    if model == "sarimax":
-        out = AR.arima(request, keys, config)
-        return out.select(*keys, "model", "step", "ds", "forecast", "lower", "upper", "extra")
-    if model == "ets":
-        return ET.ets(request, keys, refine=True).withColumn("extra", F.lit("seasonal=auto"))
-    if model in ("forest", "boosting"):
-        return TR.tree_forecast(request, keys, model, lags, save_to, **tree_params.get(model, {}))
-    raise ValueError(model)
+def _judged(rows: DataFrame, request: DataFrame, k: list[str], model: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of the segments that `model` succeeded for, failures: keys…, model, error).
+
+    A segment fails alone: it has no forecast, fewer steps than asked for, or values that are not finite."""
+    asked = request.groupBy(*k).agg(F.first("h").alias("__h"), F.every(F.abs("y") < float("inf")).alias("__usable"))
+    finite = F.every(*[F.coalesce(sum(F.abs(c) for c in map(F.col, ("forecast", "lower", "upper"))) < float("inf"), F.lit(False))])
+    got = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("__steps"), finite.alias("__finite"))
+    error = (F.when(~F.col("__usable"), F.lit(ERR_VALUES)).when(F.col("__steps").isNull(), F.lit(ERR_NO_FIT))
+             .when(F.col("__steps") < F.col("__h"), F.lit(ERR_STEPS)).when(~F.col("__finite"), F.lit(ERR_FORECAST)))
+    failed = (asked.join(got, k, "left").select(*k, F.lit(model).alias("model"), error.alias("error"))
+              .where(F.col("error").isNotNull()))
+    return rows.join(failed.select(*k), k, "left_anti"), failed
 
 
 def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), horizon: int = 30,
@@ -62,7 +68,8 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
                                tree_params: dict | None = None, refit: bool = True,
                                save_to: str | None = None) -> ForecastResult:
     """`refit=False` gives the comparison alone, without a fit on the whole series; `save_to`
-    names a shared folder for the winners (M14): refitted tree models and `bundle`.
+    names a shared folder for the winners (M14): refitted tree models, `bundle` and a store of states (`store`),
+    each under the run's identifier.
 
     `series` is a gap-filled daily frame `(keys…, ds, y)` (see `series.prepare_daily_series`)."""
     user_keys = list(keys)
@@ -82,18 +89,16 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
     train = train_request(plan, k)
     test = plan.where(F.col("split") == "test").select(*k, "ds", "y")
 
-    # the models are independent jobs: submit them from parallel driver threads so the
-    # sequential boosting rounds overlap with the other fits. A model that fails is left out.
-    def attempt(model: str, request: DataFrame, *more) -> DataFrame | None:
-        try:
-            return _run(model, request, k, tree_params, *more).checkpoint()
-        except Exception as error:  # noqa: BLE001 - the reference skips a model that fails
-            warnings.warn(f"{_NAMES[model]} left out: {error}", stacklevel=2)
-            return None
+    # the models are independent jobs: submit them from parallel driver threads so the sequential boosting
+    # rounds overlap with the other fits. A job that fails is raised; a segment that fails is told in the result.
+    def backtest(model: str) -> tuple[DataFrame, DataFrame]:
+        fitted = ST.fit(model, train, k, **tree_params.get(model, {}))
+        return _judged(ST.forecast_states(fitted, k).checkpoint(), train, k, _NAMES[model])
 
     with ThreadPoolExecutor(max_workers=len(models)) as pool:
-        backtests = [b for b in pool.map(lambda m: attempt(m, train), models) if b is not None]
-    bt = _all_of(backtests, train, k)
+        tests = list(pool.map(backtest, models))
+    bt, failed = _all_of([rows for rows, _ in tests]), _all_of([failures for _, failures in tests])
+    failed = failed.checkpoint()
     scores = score(bt.select(*k, "model", "ds", "forecast"), test, k)
     extra = bt.groupBy(*k, "model").agg(F.first("extra").alias("extra"))
     rank = F.array_position(F.array(*[F.lit(m) for m in MODEL_ORDER]), F.col("model"))
@@ -103,12 +108,15 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
     result = drop_seg(comparison.select(*k, "model", "mae", "rmse", "mape", "extra"))
     if not refit:
         plan.unpersist()
-        return ForecastResult(result, None, None)
+        return ForecastResult(result, None, None, drop_seg(failed))
 
     full = full_request(plan, k)
     winners = {r.best_model for r in best.select("best_model").distinct().collect()}  # at most the models
 
-    def refit_one(m: str) -> DataFrame | None:
+    run_id = ST.new_run()
+    folder = f"{save_to.rstrip('/')}/models/{run_id}" if save_to else None
+
+    def refit_one(m: str) -> tuple[ST.Fitted, DataFrame, DataFrame]:
         chosen = best.where(F.col("best_model") == _NAMES[m])
         req = full.join(chosen.select(*k), k, "left_semi")
         config = lags = None
@@ -116,17 +124,20 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
             config = chosen.join(_cid_table(series.sparkSession), "extra").select(*k, "cid")
         elif m in ("forest", "boosting"):  # the lags of the backtest
             lags = chosen.select(*k, F.regexp_extract("extra", r"lags=(\d+)", 1).cast("int").alias("lags"))
-        return attempt(m, req, config, lags, save_to)
+        fitted = ST.fit(m, req, k, config, lags, folder, **tree_params.get(m, {}))
+        fitted = ST.Fitted(fitted.states.checkpoint(), fitted.nodes)
+        rows, failures = _judged(ST.forecast_states(fitted, k).checkpoint(), req, k, _NAMES[m])
+        return ST.Fitted(fitted.states.join(failures.select(*k), k, "left_anti"), fitted.nodes), rows, failures
 
     with ThreadPoolExecutor(max_workers=len(models)) as pool:
-        refits = [r for r in pool.map(refit_one, [m for m in models if _NAMES[m] in winners]) if r is not None]
+        refits = list(pool.map(refit_one, [m for m in models if _NAMES[m] in winners]))
     # moving average: short series, segments whose backtests all failed, and failed refits
-    refitted = _all_of(refits, train, k).select(*k, F.col("model").alias("best_model"), "step", "ds", "forecast",
-                                                "lower", "upper")
-    ma_req = full.join(refitted.select(*k).distinct(), k, "left_anti")
-    ma = MA.moving_average(ma_req, k).select(*k, F.col("model").alias("best_model"), "step", "ds",
-                                             "forecast", "lower", "upper")
-    forecast = refitted.unionByName(ma)
+    columns = [*k, F.col("model").alias("best_model"), "step", "ds", "forecast", "lower", "upper"]
+    done = [rows.select(*columns) for _, rows, _ in refits]
+    ma_req = full.join(_all_of([rows.select(*k) for rows in done]).distinct(), k, "left_anti") if done else full
+    average = ST.fit("average", ma_req, k)
+    forecast = _all_of([*done, ST.forecast_states(average, k).select(*columns)])
+    failed = _all_of([failed, *[failures for _, _, failures in refits]])
 
     info = plan.groupBy(*k).agg(F.first("h").alias("horizon"), F.max("ds").alias("training_end"),
                                 F.first("n").alias("n"))
@@ -141,8 +152,11 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
                        msg.alias("message"))
                .unionByName(too_few))
     if save_to:
-        _bundle(plan, forecast, best, info, k, save_to).write.mode("overwrite").parquet(f"{save_to.rstrip('/')}/bundle")
-    return ForecastResult(comparison=result, forecast=drop_seg(forecast), summary=drop_seg(summary))
+        # one bundle row a segment, read by people, and the states that forecast again
+        bundle = _bundle(plan, forecast, best, info, k, folder)
+        bundle.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(f"{save_to.rstrip('/')}/bundle")
+        ST.save(ST.together([fitted for fitted, _, _ in refits] + [average]), save_to, run_id=run_id)
+    return ForecastResult(result, drop_seg(forecast), drop_seg(summary), drop_seg(failed))
 
 
 def _bundle(plan: DataFrame, forecast: DataFrame, best: DataFrame, info: DataFrame, k: list[str], folder: str) -> DataFrame:
@@ -164,15 +178,11 @@ def _bundle(plan: DataFrame, forecast: DataFrame, best: DataFrame, info: DataFra
                     F.current_timestamp().alias("saved_at")))
 
 
-def _all_of(parts: list[DataFrame], like: DataFrame, k: list[str]) -> DataFrame:
-    """The union of model outputs; an empty one of the same columns if there are none."""
-    columns = [*k, "model", "step", "ds", "forecast", "lower", "upper", "extra"]
-    if not parts:
-        return like.limit(0).select(*k, F.lit("").alias("model"), F.lit(0).alias("step"), "ds", F.col("y").alias("forecast"),
-                                    F.col("y").alias("lower"), F.col("y").alias("upper"), F.lit("").alias("extra"))
-    out = parts[0].select(*columns)
+def _all_of(parts: Sequence[DataFrame]) -> DataFrame:
+    """The union of frames of the same columns."""
+    out = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part.select(*columns))
+        out = out.unionByName(part)
     return out
 
 

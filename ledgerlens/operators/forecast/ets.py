@@ -1,12 +1,13 @@
-"""M6: additive Holt–Winters (trend, + weekly season when n ≥ 28) as a SQL `aggregate`.
+"""M6: additive Holt–Winters (trend, + weekly season when n ≥ 28) as folds over arrays.
 
 Each segment's training values become one array (bounded by its calendar span); the
 array is paired with a fixed smoothing-parameter grid by `explode` of a literal array,
 the level/trend/season recursion runs as a higher-order `aggregate` with a struct state,
-and the grid point with the least one-step SSE wins. With `refine`, the three parameters and
-the start states are then searched one after another from that point, by parabolas through
-three points, until the SSE stops falling; the search is a fold inside the segment's row.
-No Python runs on the executors.
+and the grid point with the least one-step SSE wins. With `refine`, a damped Gauss–Newton search
+goes on from that point over the smoothing parameters and the start states: its fold carries the
+derivatives of level, trend and season, so one pass over the series gives the SSE, its gradient and
+its normal matrix. A segment whose search ends without an optimum is flagged. No Python runs on the
+executors.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import computed, let, solved, triangle, triangle_at
 from .base import ETS, band
 
 SEASON = 7
@@ -25,22 +27,18 @@ MIN_SEASONAL = 28
 ALPHAS = [0.1, 0.3, 0.5, 0.8]
 BETAS = [0.01, 0.1, 0.3]
 GAMMAS = [0.05, 0.2, 0.5]
-# The search ends when a sweep over all coordinates lowers the SSE by less than this share and the
-# smoothing parameters' steps are this fine. The sweeps are a guard against an endless fold.
-LEAST_FALL = 1e-8
-FINEST_STEP = 1e-4
-MOST_SWEEPS = 2000
+# The search ends when the errors are orthogonal to every derivative (the largest cosine is below ORTHOGONAL); a
+# segment that needs more passes over its series, or finds no lower SSE at any damping, is flagged as not converged.
+ORTHOGONAL = 1e-6
+MOST_PASSES = 300
+MOST_DAMPING = 1e10
+PARAMETERS = 5 + SEASON
 
 
 def _mean(arr: F.Column) -> F.Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / F.size(arr)
 
 
-def _let(value: F.Column, body) -> F.Column:
-    """`body(value)` with the value computed once: a lambda computes what it names each time."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _sse(ys: F.Column, p: F.Column) -> F.Column:
     """One-step SSE of [α, β, γ, level, trend, 7 seasons], in error-correction form."""
     a, b, g = (F.element_at(p, i) for i in (1, 2, 3))
@@ -53,60 +51,105 @@ def _sse(ys: F.Column, p: F.Column) -> F.Column:
             return F.struct((acc["l"] + acc["b"] + a * e).alias("l"), (acc["b"] + a * b * e).alias("b"),
                             F.concat(F.slice(acc["s"], 2, SEASON - 1), F.array(season)).alias("s"),
                             (acc["sse"] + e * e).alias("sse"))
-        return _let(y - (acc["l"] + acc["b"] + F.element_at(acc["s"], 1)), corrected)
+        return let(y - (acc["l"] + acc["b"] + F.element_at(acc["s"], 1)), corrected)
     return F.aggregate(ys, init, step, lambda acc: acc["sse"])
 
 
-def _refined(ys: F.Column, start: F.Column, sse: F.Column, seasonal: F.Column) -> F.Column:
-    """The array of `_sse` that lowers the SSE no more, searched coordinate by coordinate from `start`."""
-    coordinates = F.when(seasonal, F.sequence(F.lit(1), F.lit(5 + SEASON))).otherwise(F.array(*map(F.lit, (1, 2, 4, 5))))
-    spread = F.sqrt(sse / F.size(ys))
-    steps = F.concat(F.array_repeat(F.lit(0.1), 3), F.array(spread, spread / 10), F.array_repeat(spread, SEASON))
-    init = F.struct(start.alias("p"), steps.alias("d"), sse.alias("sse"), sse.alias("before"), (sse > 0).alias("live"))
-
-    def put(array, i, value):
-        return F.transform(array, lambda v, j: F.when(j == i - 1, value).otherwise(v))
-
-    def move(acc, i):
-        x, d, f = F.element_at(acc["p"], i), F.element_at(acc["d"], i), acc["sse"]
-
-        def inside(v):
-            return F.when(i <= 3, F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))).otherwise(v)
-
-        def point(v):
-            return _let(inside(v), lambda u: F.struct(_let(put(acc["p"], i, u), lambda p: _sse(ys, p)).alias("sse"), u.alias("x")))
-
-        def vertex(c):
-            lo, hi = c["lo"], c["hi"]
-            left, right = (x - lo["x"]) * (f - hi["sse"]), (x - hi["x"]) * (f - lo["sse"])
-            v = x - F.try_divide((x - lo["x"]) * left - (x - hi["x"]) * right, 2 * (left - right))
-            v = F.when(F.isnan(v), x).otherwise(F.coalesce(v, x))
-            return F.array_min(F.array(F.struct(f.alias("sse"), x.alias("x")), lo, hi,
-                                       point(F.least(F.greatest(v, x - 4 * d), x + 4 * d))))
+def _errors(ys: Column, p: Column) -> Column:
+    """At `p` (see `_sse`): sse, gradient (Σ e ∂e/∂pᵢ) and normal (the triangle of Σ ∂e/∂pᵢ ∂e/∂pⱼ), in one pass."""
+    a, b, g = (F.element_at(p, i) for i in (1, 2, 3))
 
-        def moved(best):
-            return F.struct(put(acc["p"], i, best["x"]).alias("p"),
-                            put(acc["d"], i, F.greatest(F.abs(best["x"] - x), d / 4)).alias("d"), best["sse"].alias("sse"),
-                            acc["before"].alias("before"), acc["live"].alias("live"))
-        ends = F.struct(point(x - d).alias("lo"), point(x + d).alias("hi"))
-        return _let(_let(ends, vertex), moved)
+    def unit(i):
+        return F.array(*[F.lit(1.0 if j == i else 0.0) for j in range(PARAMETERS)])
+    init = F.struct(F.element_at(p, 4).alias("l"), F.element_at(p, 5).alias("b"), F.slice(p, 6, SEASON).alias("s"),
+                    unit(3).alias("dl"), unit(4).alias("db"), F.array(*[unit(5 + i) for i in range(SEASON)]).alias("ds"),
+                    F.lit(0.0).alias("sse"), F.array_repeat(F.lit(0.0), PARAMETERS).alias("gradient"),
+                    F.array_repeat(F.lit(0.0), PARAMETERS * (PARAMETERS + 1) // 2).alias("normal"))
 
-    def sweep(acc, _):
-        def judged(end):
-            falls = end["before"] - end["sse"] > LEAST_FALL * end["before"]
-            coarse = F.exists(F.slice(end["d"], 1, F.when(seasonal, 3).otherwise(2)), lambda d: d > FINEST_STEP)
-            return F.struct(end["p"].alias("p"), end["d"].alias("d"), end["sse"].alias("sse"), end["sse"].alias("before"),
-                            ((end["sse"] > 0) & (falls | coarse)).alias("live"))
-        return F.when(acc["live"], _let(F.aggregate(coordinates, acc, move), judged)).otherwise(acc)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_SWEEPS)), init, sweep, lambda acc: acc["p"])
+    def step(acc, y):
+        def with_error(e):
+            dl, db, ds = acc["dl"], acc["db"], F.element_at(acc["ds"], 1)
+
+            def with_derivative(de):
+                def moved(start, gain, own):  # start + gain · de, and what the parameters themselves add
+                    return F.transform(start, lambda v, i: v + gain * F.get(de, i) + own(i))
+                level = moved(F.zip_with(dl, db, lambda u, v: u + v), a, lambda i: F.when(i == 0, e).otherwise(F.lit(0.0)))
+                trend = moved(db, a * b, lambda i: F.when(i == 0, b * e).when(i == 1, a * e).otherwise(F.lit(0.0)))
+                season = moved(ds, g * (1 - a), lambda i: F.when(i == 0, -g * e).when(i == 2, (1 - a) * e).otherwise(F.lit(0.0)))
+                return F.struct(
+                    (acc["l"] + acc["b"] + a * e).alias("l"), (acc["b"] + a * b * e).alias("b"),
+                    F.concat(F.slice(acc["s"], 2, SEASON - 1), F.array(F.element_at(acc["s"], 1) + g * (1 - a) * e)).alias("s"),
+                    level.alias("dl"), trend.alias("db"), F.concat(F.slice(acc["ds"], 2, SEASON - 1), F.array(season)).alias("ds"),
+                    (acc["sse"] + e * e).alias("sse"), F.zip_with(acc["gradient"], de, lambda u, v: u + e * v).alias("gradient"),
+                    F.zip_with(acc["normal"], triangle(de), lambda u, v: u + v).alias("normal"))
+            return let(F.transform(dl, lambda v, i: -(v + F.get(db, i) + F.get(ds, i))), with_derivative)
+        return let(y - (acc["l"] + acc["b"] + F.element_at(acc["s"], 1)), with_error)
+    return F.aggregate(ys, init, step, lambda acc: F.struct(acc["sse"].alias("sse"), acc["gradient"].alias("gradient"),
+                                                            acc["normal"].alias("normal")))
+
+
+def _searched(ys: Column, start: Column, seasonal: Column) -> Column:
+    """(p, sse, converged, passes): Levenberg–Marquardt steps from `start`, the smoothing parameters kept in [0, 1].
+
+    A parameter at its bound whose gradient points outwards stays; without a season γ and the seasonal states stay 0."""
+    n = F.lit(PARAMETERS)
+
+    def diagonal(at, i):
+        return triangle_at(at["normal"], n, i, i)
+
+    def free(p, at, i):
+        v, slope = F.get(p, i), F.get(at["gradient"], i)
+        bound = (i < 3) & (((v <= 0) & (slope > 0)) | ((v >= 1) & (slope < 0)))
+        return (seasonal | i.isin(0, 1, 3, 4)) & ~bound & (diagonal(at, i) > 0)
+
+    def orthogonal(p, at):
+        """No free parameter's derivative has a component along the errors."""
+        return (at["sse"] <= 0) | ~F.exists(F.sequence(F.lit(0), n - 1), lambda i: free(p, at, i) & (
+            F.abs(F.get(at["gradient"], i)) > ORTHOGONAL * F.sqrt(diagonal(at, i) * at["sse"])))
+
+    def proposed(p, at, damping):
+        def with_free(who):
+            rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), n), lambda j: F.when(
+                ~F.get(who, i), F.when(i == j, F.lit(1.0)).otherwise(F.lit(0.0)))
+                .when(j == n, -F.get(at["gradient"], i)).when(i == j, diagonal(at, i) * (1 + damping))
+                .when(F.get(who, j), triangle_at(at["normal"], n, i, j)).otherwise(F.lit(0.0))))
+            step = solved(rows, n, lambda c: F.when(F.get(who, c), diagonal(at, c)).otherwise(F.lit(1.0)))
+            return F.zip_with(p, step, lambda v, d: v + d)
+        moved = let(F.transform(F.sequence(F.lit(0), n - 1), lambda i: free(p, at, i)), with_free)
+        return F.transform(moved, lambda v, i: F.when(i < 3, F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))).otherwise(v))
+
+    def state(p, at, damping, passes):
+        return let(orthogonal(p, at), lambda done: F.struct(
+            p.alias("p"), at.alias("at"), damping.alias("damping"), passes.alias("passes"), done.alias("converged"),
+            (~done & (damping < MOST_DAMPING)).alias("live")))
+
+    def step(acc, _):
+        def judged(trial):
+            better = trial["at"]["sse"] < acc["at"]["sse"]
+            return F.when(better, state(trial["p"], trial["at"], F.greatest(acc["damping"] / 8, F.lit(1e-12)), acc["passes"] + 1)) \
+                .otherwise(state(acc["p"], acc["at"], acc["damping"] * 4, acc["passes"] + 1))
+        tried = let(proposed(acc["p"], acc["at"], acc["damping"]),
+                    lambda p: F.struct(p.alias("p"), _errors(ys, p).alias("at")))
+        return F.when(acc["live"], let(tried, judged)).otherwise(acc)
+    begin = let(_errors(ys, start), lambda at: state(start, at, F.lit(1e-3), F.lit(1)))
+    return F.aggregate(F.sequence(F.lit(2), F.lit(MOST_PASSES)), begin, step, lambda acc: F.struct(
+        acc["p"].alias("p"), acc["at"]["sse"].alias("sse"), acc["converged"].alias("converged"), acc["passes"].alias("passes")))
+
+
+def _refined(ys: Column, start: Column, sse: Column, seasonal: Column) -> Column:
+    """The parameters and start states that `_searched` finds."""
+    return F.when(sse > 0, _searched(ys, start, seasonal)["p"]).otherwise(start)
 
 
 def ets_state(request: DataFrame, keys: Sequence[str], refine: bool = False) -> DataFrame:
     """Fitted final state per segment: level, trend, season array, residual σ, chosen (α, β, γ).
 
-    `refine` searches on from the best grid point; without it the grid point stands, which is what the
-    SQL of `ets_forecast` states."""
+    `refine` searches on from the best grid point and adds the series, what was found (start, sse), whether it is
+    an optimum (converged) and how many passes it took; without it the grid point stands, which is what the SQL
+    of `ets_grid_forecast` states."""
     keys = list(keys)
+    # much to compute on few bytes: dealt by a fixed number, which adaptive execution leaves as it is
+    parts = int(request.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pts = request.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("t", "y"))).alias("__pts"),
         F.first("n").alias("n"), F.first("h").alias("h"), F.max("ds").alias("last_ds"))
@@ -124,6 +167,7 @@ def ets_state(request: DataFrame, keys: Sequence[str], refine: bool = False) ->
                       s0.alias("s0"), seasonal.alias("seasonal"), F.explode(grid).alias("p"))
            # without a season γ is irrelevant: keep one γ per (α, β)
            .where(F.col("seasonal") | (F.col("p.gamma") == GAMMAS[0])))
+    fan = fan.repartition(parts, *keys, "p")
     a, b = F.col("p.alpha"), F.col("p.beta")
     g = F.when(F.col("seasonal"), F.col("p.gamma")).otherwise(F.lit(0.0))
 
@@ -148,30 +192,57 @@ def ets_state(request: DataFrame, keys: Sequence[str], refine: bool = False) ->
         *[F.first(c).alias(c) for c in ("n", "h", "last_ds", *start)],
         F.min_by(F.struct("p", "st"),
                  F.struct(F.col("st.sse"), F.col("p.alpha"), F.col("p.beta"), F.col("p.gamma"))).alias("w"))
+    kept = []
     if refine:
         at = F.concat(F.array("w.p.alpha", "w.p.beta", F.when(F.col("seasonal"), F.col("w.p.gamma")).otherwise(F.lit(0.0)),
                               F.col("l0").cast("double"), F.col("b0").cast("double")), "s0")
-        found = best.withColumn("x", _refined(F.col("ys"), at, F.col("w.st.sse"), F.col("seasonal")))
-        point = F.struct(*[F.element_at("x", i + 1).alias(name) for i, name in enumerate(("alpha", "beta", "gamma"))])
-        found = found.select(*keys, "n", "h", "last_ds", "ys", "seasonal", point.alias("p"), F.element_at("x", 4).alias("l0"),
-                             F.element_at("x", 5).alias("b0"), F.slice("x", 6, SEASON).alias("s0"))
-        best = found.select(*keys, "n", "h", "last_ds", F.struct("p", F.aggregate("ys", init, step).alias("st")).alias("w"))
+        found = computed(best.withColumn("x", at).repartition(parts, *keys), [*keys, "n", "h", "last_ds", "ys", "seasonal"],
+                         found=_searched(F.col("ys"), F.col("x"), F.col("seasonal")))
+        x = F.col("found.p")
+        point = F.struct(*[F.element_at(x, i + 1).alias(name) for i, name in enumerate(("alpha", "beta", "gamma"))])
+        kept = ["ys", "seasonal", "start", "sse", "converged", "passes"]
+        found = found.select(*keys, "n", "h", "last_ds", "ys", "seasonal", point.alias("p"), F.element_at(x, 4).alias("l0"),
+                             F.element_at(x, 5).alias("b0"), F.slice(x, 6, SEASON).alias("s0"), x.alias("start"), "found.sse",
+                             "found.converged", "found.passes")
+        best = found.select(*keys, "n", "h", "last_ds", *kept, F.struct("p", F.aggregate("ys", init, step).alias("st")).alias("w"))
     nn = F.col("n").cast("double")
     var = F.col("w.st.sse") / nn - (F.col("w.st.se") / nn) * (F.col("w.st.se") / nn)
+    if not refine:
+        best, kept = best.withColumn("grid_sse", F.col("w.st.sse")), ["grid_sse"]
     return best.select(*keys, "n", "h", "last_ds", F.col("w.st.l").alias("level"), F.col("w.st.b").alias("trend"),
                        F.col("w.st.s").alias("season"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sigma"),
                        F.col("w.p.alpha").alias("alpha"), F.col("w.p.beta").alias("beta"),
-                       F.col("w.p.gamma").alias("gamma"))
+                       F.col("w.p.gamma").alias("gamma"), *kept)
 
 
-def ets(request: DataFrame, keys: Sequence[str] = (), refine: bool = False) -> DataFrame:
-    """Point forecast l + k·b + s[(n+k−1) mod 7]; band ±1.96σ clipped at 0 (point not clipped)."""
+def optimality(request: DataFrame, keys: Sequence[str] = (), share: float = 1e-3) -> DataFrame:
+    """Per segment what `refine` found, tested from outside: sse, grid_sse (of the best grid point), converged, and
+    least_nearby, the least SSE after moving one parameter or start state by `share` (of 1, or of the errors' size)."""
     keys = list(keys)
-    st = ets_state(request, keys, refine)
-    out = st.select(*keys, "n", "last_ds", "level", "trend", "season", "sigma",
-                    F.explode(F.sequence(F.lit(1), F.col("h"))).alias("step"))
+    fit = ets_state(request, keys, refine=True)
+    size = F.sqrt(F.col("sse") / F.size("ys"))
+    moves = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PARAMETERS - 1)), lambda i: F.array(
+        *[F.struct(i.alias("i"), (sign * share * F.when(i < 3, F.lit(1.0)).otherwise(size)).alias("by")) for sign in (-1, 1)])))
+    moves = F.filter(moves, lambda m: F.col("seasonal") | m["i"].isin(0, 1, 3, 4))
+    nearby = F.transform(moves, lambda m: let(F.transform("start", lambda v, i: F.when(i != m["i"], v).when(
+        i < 3, F.least(F.greatest(v + m["by"], F.lit(0.0)), F.lit(1.0))).otherwise(v + m["by"])), lambda p: _sse(F.col("ys"), p)))
+    grid = ets_state(request, keys).select(*keys, "grid_sse")
+    return fit.select(*keys, "sse", "converged", "passes", F.array_min(nearby).alias("least_nearby")).join(grid, keys)
+
+
+def steps_of(states: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """keep…, step, ds, forecast, lower, upper: l + k·b + s[(n+k−1) mod 7], the band clipped at 0 (the point is not)."""
+    out = states.select(*keep, "n", "last_ds", "level", "trend", "season", "sigma",
+                        F.explode(F.sequence(F.lit(1), F.col("h"))).alias("step"))
     sidx = ((F.col("n") + F.col("step") - 1) % SEASON) + 1
     fc = F.col("level") + F.col("step") * F.col("trend") + F.element_at(F.col("season"), sidx.cast("int"))
     lo, hi = band(fc, F.col("sigma"))
-    return out.select(*keys, F.lit(ETS).alias("model"), "step", F.date_add("last_ds", F.col("step")).alias("ds"),
+    return out.select(*keep, "step", F.date_add("last_ds", F.col("step")).alias("ds"),
                       fc.alias("forecast"), lo.alias("lower"), hi.alias("upper"))
+
+
+def ets(request: DataFrame, keys: Sequence[str] = (), refine: bool = False) -> DataFrame:
+    """The forecast rows of `ets_state`."""
+    keys = list(keys)
+    rows = steps_of(ets_state(request, keys, refine), keys)
+    return rows.select(*keys, F.lit(ETS).alias("model"), "step", "ds", "forecast", "lower", "upper")

@@ -25,9 +25,12 @@ def _collect_per_key(df: DataFrame, keys: list[str], order: str, name: str) -> D
 
 def analysis_document(clean: DataFrame, roles: RoleMap, keys: Sequence[str] = (),
                       forecast_summary: DataFrame | None = None,
-                      forecast_rows: DataFrame | None = None) -> DataFrame:
-    """One row per segment: schema roles, KPI struct, summary, insights, forecast, sample rows,
-    plus the whole record as JSON text (`document`)."""
+                      forecast_rows: DataFrame | None = None, comparison: DataFrame | None = None) -> DataFrame:
+    """One row per segment: schema roles, KPI struct, summary, insights, forecast, model comparison, sample
+    rows, plus the whole record as JSON text (`document`).
+
+    `comparison` has keys…, model, mae, rmse, mape and extra; the document lists it by MAPE, with the
+    configuration where `extra` is known."""
     user_keys = list(keys)
     frame, k = seg_keys(I.analysis_frame(clean, user_keys, forecast_summary), user_keys)
     df, _ = seg_keys(clean, user_keys)
@@ -52,6 +55,11 @@ def analysis_document(clean: DataFrame, roles: RoleMap, keys: Sequence[str] = ()
         fr, _ = seg_keys(forecast_rows, user_keys)
         fr = fr.select(*k, "step", F.date_format("ds", "yyyy-MM-dd").alias("date"), "forecast", "lower", "upper")
         doc = doc.join(_collect_per_key(fr, k, "step", "forecast_rows"), k, "left")
+    if comparison is not None:
+        cm, _ = seg_keys(comparison, user_keys)
+        extra = F.col("extra") if "extra" in cm.columns else F.lit(None).cast("string")
+        cm = cm.select(*k, "mape", "model", "mae", "rmse", extra.alias("extra"))  # a row a model
+        doc = doc.join(_collect_per_key(cm, k, "mape", "comparison"), k, "left")
     payload = [c for c in doc.columns if c not in k]
     return drop_seg(doc.withColumn("document", F.to_json(F.struct(*payload))))
 
@@ -60,3 +68,10 @@ def insights_from_document(doc: DataFrame, keys: Sequence[str] = ()) -> DataFram
     """List of records back to rows."""
     keys = list(keys)
     return doc.select(*keys, F.inline("insights")).select(*keys, "pos", "type", "title", "detail", "action")
+
+
+def comparison_from_document(doc: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The model comparison of the JSON text back to rows."""
+    keys = list(keys)
+    schema = "struct<comparison: array<struct<model: string, mae: double, rmse: double, mape: double, extra: string>>>"
+    return doc.select(*keys, F.inline(F.from_json("document", schema)["comparison"]))

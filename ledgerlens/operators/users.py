@@ -1,12 +1,16 @@
 """User and session tables as batch jobs.
 
+Stored tables are laid out for what is asked of them: sessions in folders by the day they expire, so a
+purge touches expired days only; both tables sorted by their lookup key with Bloom filters, so a point
+lookup skips files and row groups.
+
 Credentials (password length, hashing, tokens) are not modelled: they are online
 transaction logic, not data work.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Allowed roles, the default role, session lifetime and rejection messages.
@@ -66,6 +70,53 @@ def purge_expired(sessions: DataFrame, as_of: str) -> DataFrame:
     return sessions.where(F.col("expires_at") >= now)
 
 
+def _sorted_by(df: DataFrame, key: str, distinct: int):
+    """A writer of files sorted by `key`, whose row groups carry a Bloom filter of it."""
+    return (df.sortWithinPartitions(key).write.option(f"parquet.bloom.filter.enabled#{key}", "true")
+            .option(f"parquet.bloom.filter.expected.ndv#{key}", str(distinct)))
+
+
+def store_sessions(sessions: DataFrame, path: str, mode: str = "append", distinct: int = 100_000) -> None:
+    """Sessions in folders by expiry day; `distinct`: about how many tokens a row group holds."""
+    dealt = sessions.withColumn("expiry_day", F.to_date("expires_at")).repartitionByRange("expiry_day", "token")
+    _sorted_by(dealt, "token", distinct).mode(mode).partitionBy("expiry_day").parquet(path)
+
+
+def stored_sessions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def store_users(users: DataFrame, path: str, mode: str = "overwrite", distinct: int = 100_000) -> None:
+    """Users in files by ranges of their normalised email (`email_key`)."""
+    keyed = users.withColumn("email_key", F.lower(F.trim("email")))
+    _sorted_by(keyed.repartitionByRange("email_key"), "email_key", distinct).mode(mode).parquet(path)
+
+
+def user_for_email(users: DataFrame, email: str) -> DataFrame:
+    """L6 point lookup on stored users by normalised email (a filter that reaches the files' Bloom filters)."""
+    return users.where(F.col("email_key") == F.lit(email.strip().lower())).drop("email_key")
+
+
+def purge_stored(spark: SparkSession, path: str, as_of: str) -> None:
+    """Takes expired sessions out of the store at `path`. Folders of days that are over go, the folder of the day
+    of `as_of` is rewritten, and no other file is touched."""
+    table = stored_sessions(spark, path)
+    now = F.lit(as_of).cast(table.schema["expires_at"].dataType)
+    today = F.to_date(now)
+    over = [r.expiry_day for r in table.where(F.col("expiry_day") < today).select("expiry_day").distinct().collect()]  # one row a day
+    border = table.where((F.col("expiry_day") == today) & (F.col("expires_at") >= now)).checkpoint()  # one day's sessions
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if border.isEmpty():
+        over += [r.d for r in spark.range(1).select(today.alias("d")).collect()]
+    else:
+        _sorted_by(border, "token", 100_000).mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("expiry_day").parquet(path)
+    for day in over:
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/expiry_day={day.isoformat()}")
+        files.delete(gone, True)
+
+
 def user_files(manifest: DataFrame, uploads: DataFrame, users: DataFrame) -> DataFrame:
     """S9 `add_file`: attach ingest-manifest rows to the uploading user.
 

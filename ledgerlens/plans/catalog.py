@@ -697,11 +697,12 @@ SELECT {kq}, 'Exponential Smoothing' AS model, step, CAST(last_ds + step AS DATE
 FROM fc"""
 
 
-@query("ets_forecast", oracle=_ets_sql(CLEAN_SALES, _SALES_DAILY_REGION, "Region"))
+@query("ets_forecast")
 def q_ets_forecast(spark, sf):
+    """The optimised forecast; `ets_optimum_check` tests its optimum, `ets_grid_forecast` states the grid it starts from."""
     keys = ["Region"]
     req = FB.full_request(FB.plan_requests(_sales_series(spark, sf, keys), keys, 30), keys)
-    return rounded(FETS.ets(req, keys), R)
+    return rounded(FETS.ets(req, keys, refine=True), R)
 
 
 @query("arima_grid_best")

@@ -28,12 +28,12 @@ def query(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, QueryFn]:
-    from . import catalog, catalog_checks, catalog_states  # noqa: F401  (they register everything)
+    from . import catalog, catalog_checks, catalog_models, catalog_states  # noqa: F401  (they register everything)
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog, catalog_checks, catalog_states  # noqa: F401
+    from . import catalog, catalog_checks, catalog_models, catalog_states  # noqa: F401
     return dict(_ORACLE)
 
 

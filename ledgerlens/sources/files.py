@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,52 @@ def ingest_manifest(raw: DataFrame) -> DataFrame:
                     F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("uploaded_at")))
 
 
+def listed_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """Every file under `path` (no contents are read): path, filename, length, modified."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"),
+                     F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_modification_time").alias("modified")))
+    return files
+
+
+LEDGER = ("path string, filename string, length long, modified timestamp, rows long, columns array<string>, uploaded_at timestamp")
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The records taken so far; none if nothing is there yet."""
+    reader = spark.read.schema(LEDGER)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def take_files(spark: SparkSession, folder: str, ledger_path: str, fmt: str = "csv") -> DataFrame:
+    """Records the files of `folder` that the ledger does not have yet, and returns those records.
+
+    A file is known by path, length and time of change. The listing is joined with the row counts,
+    so a file without data rows has its record (0 rows) as well."""
+    new = listed_files(spark, folder, f".{fmt}").join(
+        ledger(spark, ledger_path).select("path", "length", "modified"), ["path", "length", "modified"], "left_anti")
+    new = new.persist()  # the listing: one row a file
+    try:
+        paths = [r.path for r in new.select("path").toLocalIterator()]
+        if paths:
+            raw = spark.read.parquet(*paths) if fmt == "parquet" else spark.read.option("header", True).csv(paths)
+            counts = raw.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+            columns = F.array(*[F.lit(c) for c in raw.columns])
+            records = new.join(counts, "path", "left").select(
+                "path", "filename", "length", "modified", F.coalesce("rows", F.lit(0)).alias("rows"), columns.alias("columns"),
+                F.current_timestamp().alias("uploaded_at"))
+            records.write.mode("append").parquet(ledger_path)
+        taken = spark.createDataFrame([(p,) for p in paths], "path string")
+    finally:
+        new.unpersist()
+    return ledger(spark, ledger_path).join(taken, "path", "left_semi")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder (never a machine-local temp
     dir), so that runs that share the folder do not overwrite each other."""

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import numpy_arima as NA
 from conftest import SF_SMALL
 from ledgerlens.functions.dates import to_day
 from ledgerlens.operators import clean as C
@@ -26,7 +27,7 @@ LAYOUTS = {
     "2024-01-15 11:30 PM": D, "1/15/2024 9:05 am": D, "15th Jan 2024": D, "2024-Jan-15": D, " 2024-01-15 ": D,
     "2024-01": date(2024, 1, 1), "Jan 2024": date(2024, 1, 1), "Jan-2024": date(2024, 1, 1), "2024": date(2024, 1, 1),
     "1/5/2024": date(2024, 1, 5), "2024-02-29": date(2024, 2, 29),
-    "2023-02-29": None, "2024-13-01": None, "32/01/2024": None, "13/13/2024": None, "soon": None, "": None, "12": None,
+    "9999-01-01": None, "1500-01-01": None, "2023-02-29": None, "2024-13-01": None, "32/01/2024": None, "13/13/2024": None, "soon": None, "": None, "12": None,
     "2024-01-15 nonsense": None, "Mayhem 2024x": None,
 }
 
@@ -129,27 +130,39 @@ def test_builders_run_no_job(spark):
 
 # ---------------------------------------------------------------- forecasts
 
-@pytest.mark.parametrize("n", [15, 23, 28, 41, 100])
-def test_arima_choice_rests_on_many_days(n):
-    sample = n - AR.longest_loss(n)
-    assert sample >= n - 16 and sample >= 10
-    rng = np.random.default_rng(n)
-    y = 50 + np.cumsum(rng.normal(size=n))
-    fits = {}
-    for i, order, seasonal in AR.CANDIDATES:
-        if (order, seasonal) in AR.candidates(n):
-            try:
-                fits[i] = AR.fit_forecast(y, order, seasonal, 3)[2]
-            except ValueError:
-                pass
-    cid, fc, sd, aic = AR.fit_best(y, 3)
-    assert aic == min(fits.values()) and fits[cid] == aic and np.isfinite(fc).all() and (sd >= 0).all()
-
-
-def test_arima_falls_back_when_no_candidate_fits():
-    for y in ([3.0], [1.0, 2.0], [1.0, 2.0, 4.0]):
-        cid, fc, sd, _ = AR.fit_best(np.asarray(y), 4)
-        assert cid == AR.FALLBACK_CID and len(fc) == 4 and np.isfinite(fc).all() and np.isfinite(sd).all()
+def arima_request(spark, data, h):
+    from ledgerlens.operators.forecast import base as B
+    rows = [(str(s), i, float(v)) for s, ys in data.items() for i, v in enumerate(ys)]
+    df = spark.createDataFrame(rows, "seg string, t int, y double")
+    df = df.select("seg", F.date_add(F.lit("2024-01-01").cast("date"), F.col("t")).alias("ds"), "y")
+    return B.with_length(df, ["seg"]).withColumn("h", F.lit(h))
+
+
+def test_arima_choice_rests_on_many_days(spark):
+    data = {n: 50 + np.cumsum(np.random.default_rng(n).normal(size=n)) for n in (15, 23, 28, 41, 100)}
+    got = {int(r.seg): r for r in AR.best_fits(arima_request(spark, data, 3), ["seg"]).collect()}
+    for n, y in data.items():
+        sample = n - NA.longest_loss(n)
+        assert sample >= n - 16 and sample >= 10
+        fits = {}
+        for i, order, seasonal in AR.CANDIDATES:
+            if (order, seasonal) in NA.candidates(n):
+                try:
+                    fits[i] = NA.fit_forecast(y, order, seasonal, 3)[2]
+                except ValueError:
+                    pass
+        best = got[n]
+        assert best.aic == pytest.approx(min(fits.values())) and fits[best.cid] == pytest.approx(best.aic)
+        assert np.isfinite(best.path).all() and np.min(best.deviation) >= 0
+
+
+def test_arima_falls_back_when_no_candidate_fits(spark):
+    data = {"a": [3.0], "b": [1.0, 2.0]}
+    got = AR.best_fits(arima_request(spark, data, 4), ["seg"]).collect()
+    assert len(got) == 2
+    for r in got:
+        assert r.cid == AR.FALLBACK_CID and len(r.path) == 4 and np.isfinite(r.path).all() and np.isfinite(r.deviation).all()
+        assert any(AR.MSG_TOO_FEW in e for e in r.errors)
 
 
 def series(spark, lengths):
@@ -191,11 +204,30 @@ def test_comparison_keeps_segments_with_nan_days_and_lags_of_the_backtest(spark)
     assert only.forecast is None and {x.seg: x.extra for x in only.comparison.collect()} == comparison
 
 
-def test_a_failing_model_is_left_out(spark):
+def test_a_segment_that_fails_loses_one_model_for_itself(spark):
+    """Values whose squares overflow: least squares fails, the trees work on scaled values."""
+    s = series(spark, {"a": 60, "big": 60, "odd": 60})
+    s = s.withColumn("y", F.when(F.col("seg") == "big", F.col("y") * 1e160).otherwise(F.col("y")))
+    s = s.withColumn("y", F.when((F.col("seg") == "odd") & (F.col("ds") == "2024-02-01"), float("inf")).otherwise(F.col("y")))
+    params = {"forest": {"num_trees": 5, "max_depth": 3}}
+    r = CM.compare_forecasting_models(s, ["seg"], 7, models=("sarimax", "forest"), tree_params=params)
+    alone = CM.compare_forecasting_models(s.where("seg = 'a'"), ["seg"], 7, models=("sarimax",), tree_params=params, refit=False)
+    rows = {(x.seg, x.model): x for x in r.comparison.collect()}
+    assert set(rows) == {("a", "SARIMAX"), ("a", "Random Forest"), ("big", "Random Forest")}
+    assert rows["a", "SARIMAX"].mape == pytest.approx(alone.comparison.first().mape)
+    failed = {(x.seg, x.model): x.error for x in r.failures.collect()}
+    assert set(failed) == {("big", "SARIMAX"), ("odd", "SARIMAX"), ("odd", "Random Forest")}
+    assert failed["odd", "SARIMAX"] == CM.ERR_VALUES and failed["big", "SARIMAX"] == CM.ERR_NO_FIT
+    best = {x.seg: (x.best_model, x.message) for x in r.summary.collect()}
+    assert best["big"][0] == "Random Forest" and best["odd"] == ("Moving Average", CM.MSG_ALL_FAILED)
+    assert alone.failures.count() == 0
+
+
+def test_a_job_that_fails_is_raised(spark):
+    from pyspark.errors import IllegalArgumentException
     params = {"forest": {"max_depth": 99}}  # Spark refuses more than 30
-    with pytest.warns(UserWarning, match="left out"):
-        r = CM.compare_forecasting_models(series(spark, {"a": 60}), ["seg"], 7, models=("forest", "ets"), tree_params=params)
-    assert [x.model for x in r.comparison.collect()] == ["Exponential Smoothing"] and r.forecast.count() == 7
+    with pytest.raises(IllegalArgumentException, match="maxDepth"):
+        CM.compare_forecasting_models(series(spark, {"a": 60}), ["seg"], 7, models=("forest", "ets"), tree_params=params)
 
 
 def test_saved_winner_predicts_again(spark, tmp_path):
