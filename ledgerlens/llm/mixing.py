@@ -168,11 +168,10 @@ def mix(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                    length_col: str = "n_chars", **how) -> DataFrame:
-    """The mix as documents with docs' own columns: one row for every pass over a document that the
-    mix takes words from. A whole document is unchanged; of the last one of a source, which its
-    target cuts, the row has the first words, joined by one space (and `length_col`, if there, their
-    length)."""
+                    **how) -> DataFrame:
+    """The mix as documents with docs' own columns: one row, with its whole text, for every pass over a document
+    that the mix takes words from. The last document of a source, which its target would cut, is whole as well,
+    so a source goes over its target by less than one document."""
     schedule, _ = mix(written(sized(docs, id_col, text_col, source_col), "mix-sized"), **how)
     passes = schedule.groupBy(F.col("row_hash").alias("t_hash"), F.col("id").alias("t_id"), F.col("copy").alias("t_copy"),
                               "pass").agg(F.sum("words").alias("words"))
@@ -181,16 +180,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("row_hash", "id").orderBy("row_hash")))
     same = ((F.col("row_hash") == F.col("t_hash")) & (F.col("copy") == F.col("t_copy"))
             & F.col("id").eqNullSafe(F.col("t_id")))
-    text = F.col("row").getField(text_col)
-    cut = F.col("words") < word_count(text)
-    first = F.array_join(F.slice(F.split(F.btrim(text, F.lit(SPACE)), r"[\x20\x09-\x0D]+"), 1, F.col("words").cast("int")), " ")
-    taken = rows.join(passes, same).withColumn("part", F.when(cut, first))
-    columns = []
-    for c in docs.columns:
-        value = F.col("row").getField(c)
-        if c == text_col:
-            value = F.coalesce("part", value)
-        elif c == length_col:
-            value = F.when(F.col("part").isNotNull(), F.char_length("part").cast(docs.schema[c].dataType)).otherwise(value)
-        columns.append(value.alias(c))
-    return taken.select(*columns)
+    return rows.join(passes, same).select("row.*")

@@ -212,7 +212,8 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, id_col
     """The rows of `docs` whose identifier is their component's smallest, with docs' own columns.
     Rows that repeat an identifier and text stay or go together."""
     groups = _groups(docs, width, percent, id_col, text_col)
-    stays = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(
-        F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
-    text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    return docs.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (text_hash == F.col("__hash")), "left_semi")
+    stays = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id", F.col("text_hash").alias("hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"),
+                       F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("own_hash"))
+    kept = rows.join(stays, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left_semi")
+    return kept.select("row.*")

@@ -184,21 +184,26 @@ def resample(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
     return ratio, least, kth_largest(keys, "key", k)
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
-    """`docs` with log_weight, sample_key and kept (struct column `importance`)."""
+def _weighed(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str) -> DataFrame:
+    """Two struct columns: `row` (docs' own columns) and `importance` (log_weight, sample_key and kept)."""
     ratio, _, cut = resample(docs, labels, label, id_col, text_col)
     if ratio is None:
         ratio = np.zeros(BUCKETS)
-    name = "__log_weight"
-    weighed = with_log_weight(docs, ratio, text_col, name)
-    key = gumbel_key(F.col(f"`{id_col}`"), F.col(name))
-    return weighed.withColumn("importance", F.struct(
-        F.col(name).alias("log_weight"), key.alias("sample_key"), (key >= F.lit(cut)).alias("kept"))).drop(name)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    weighed = with_log_weight(rows, ratio)
+    key = gumbel_key(F.col("id"), F.col("log_weight"))
+    return weighed.select("row", F.struct("log_weight", key.alias("sample_key"), (key >= F.lit(cut)).alias("kept")).alias("importance"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """`docs` with log_weight, sample_key and kept (struct column `importance`, in place of one of that name)."""
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "importance"]
+    return _weighed(docs, labels, label, id_col, text_col).select(*columns, "importance")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
-    """The documents that are sampled, with docs' own columns."""
-    return classify(docs, labels, label, id_col, text_col).where("importance.kept").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that are sampled, with docs' own columns, whatever their names."""
+    return _weighed(docs, labels, label, id_col, text_col).where("importance.kept").select("row.*")

@@ -10,8 +10,10 @@ without a letter and of one repeated character are no candidates. Accepted candi
 
 A natural string can pass the tests when it is short, so the least score is set for each
 stratum (encoding, power of two of the length) by target-decoy control of the false-discovery
-rate: every candidate has a decoy, the same number of characters of that alphabet taken from
-the text around its run, and the least score is the smallest at which decoys are at most
+rate: a candidate's decoy is the same number of characters of that alphabet from the text around
+its run, leaving out all runs that may hold candidates, so that in a list of secrets the next secret is no
+decoy. A text of nothing but candidates gives no decoys; those of the stratum's other candidates then
+stand for them in proportion. The least score is the smallest at which decoys are at most
 `FALSE_DISCOVERIES` of the candidates that reach it. All candidates of all texts count.
 
 Defined results: a null text counts as empty and has no spans; offsets count code points, ends
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -113,11 +116,34 @@ def uncovered(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tu
     return [(s, e) for s, e in [*out, (start, end)] if e - s >= 20]
 
 
+class Ground:
+    """What lies outside the runs of encoding characters, from which decoys are drawn: it holds no candidate."""
+
+    def __init__(self, text: str, runs: list[tuple[int, int]]):
+        edges = [0, *[x for run in runs for x in run], len(text)]
+        self._parts = [(edges[i], edges[i + 1]) for i in range(0, len(edges), 2)]
+        self._text, self._of = text, {}
+
+    def decoy(self, encoding: str, after: int, n: int) -> str | None:
+        """The next `n` characters of the alphabet after a place in the text, then from its start; None if there are fewer."""
+        if encoding not in self._of:
+            value = _VALUES[encoding]
+            places = [i for s, e in self._parts for i in range(s, e) if self._text[i] in value]
+            self._of[encoding] = places, "".join([self._text[i] for i in places])
+        places, letters = self._of[encoding]
+        if len(letters) < n:
+            return None
+        at = bisect_left(places, after)
+        return letters[at:at + n] + letters[:max(0, at + n - len(letters))]
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """The candidates of a text by start, outer ones first."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        for piece in uncovered(m.start(), m.end(), base):
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    ground = Ground(text, runs)
+    for run_start, run_end in runs:
+        for piece in uncovered(run_start, run_end, base):
             found = {x.span() for stretch in STRETCHES for x in stretch.finditer(text, *piece)}
             for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
                 run = text[start:end]
@@ -125,25 +151,13 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
                 if encoding is None:
                     continue
                 value = _VALUES[encoding]
-                around = _decoy(text, m.end(), m.start(), value, len(run))
+                around = ground.decoy(encoding, run_end, len(run))
                 out.append({"start": start, "end": end, "encoding": encoding, "band": len(run).bit_length(),
                             "score": randomness([value[c] for c in run], len(value)),
-                            "decoy": randomness([value[c] for c in around], len(value)) if len(around) == len(run) else None})
+                            "decoy": None if around is None else randomness([value[c] for c in around], len(value))})
     return out
 
 
-def _decoy(text: str, after: int, before: int, value: dict, n: int) -> str:
-    """The next `n` characters of the alphabet after a candidate's run, then from the text's start."""
-    found: list[str] = []
-    for part in ((after, len(text)), (0, before)):
-        for i in range(*part):
-            if text[i] in value:
-                found.append(text[i])
-                if len(found) == n:
-                    return "".join(found)
-    return "".join(found)
-
-
 _SPAN = "array<struct<start: int, kind: int, end: int>>"
 _CANDIDATE = "array<struct<start: int, end: int, encoding: string, band: int, score: double, decoy: double>>"
 
@@ -179,6 +193,9 @@ def least_scores(scanned: DataFrame) -> DataFrame:
     counts = binned("score", 0).unionByName(binned("decoy", 1)).groupBy("encoding", "band", "bin").agg(
         F.sum("decoy").alias("decoys"), F.sum(1 - F.col("decoy")).alias("targets"))
     # at most BINS rows a stratum
+    whole = Window.partitionBy("encoding", "band")
+    share = F.sum("targets").over(whole) / F.greatest(F.sum("decoys").over(whole), F.lit(1))
+    counts = counts.withColumn("decoys", F.col("decoys") * F.greatest(share, F.lit(1.0)))
     higher = Window.partitionBy("encoding", "band").orderBy(F.col("bin").desc())
     totals = counts.select("encoding", "band", "bin", F.sum("decoys").over(higher).alias("decoys"),
                            F.sum("targets").over(higher).alias("targets"))

@@ -5,6 +5,8 @@ a count-min sketch. The second pass groups exactly, by a 96-bit hash, only the w
 the sketch takes to repeat (it overestimates, so none is lost) and finds, for each, the
 smallest document that has it. Words that a window covers in any other document go.
 
+The 96 bits of a window come from two independent hashes of its words, halves of a keyed 128-bit hash.
+
 In the second pass a task first settles the windows that repeat among its own documents, and
 sends only those of its smallest document on; so a window that a third of all documents share
 arrives once a task. Windows travel as packed arrays, dealt to buckets by hash, whose number
@@ -167,11 +169,11 @@ def dedup_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", t
             text = batch.column("text_hash").to_numpy()
             for a, b in slices(batch.column("text")):
                 words = Words(batch.column("text").slice(a, b - a))
-                hashes = words.hashes()
+                hashes, others = words.hash_pair()
                 first, key = words.windows(hashes, width)
                 may = repeated(key) & known[a:b][words.text[first]]
                 first, key = first[may], key[may]
-                tag = (run_hash(hashes, first, first + width, 1) >> np.uint64(32)).astype(np.uint32)
+                tag = (run_hash(others, first, first + width, 1) >> np.uint64(32)).astype(np.uint32)
                 at = words.text[first]
                 held.append(Marks(doc[a:b][at], text[a:b][at], first - words.word_offset[at], key, tag))
                 n += len(first)

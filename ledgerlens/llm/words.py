@@ -9,6 +9,7 @@ works on whole texts; callers cut an Arrow batch into slices of bounded bytes wi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
 _MASK = (1 << 64) - 1
-# odd multipliers of the polynomial hashes (fixed, so that every task and rerun agrees)
-_BYTE_BASE = 0x9E3779B97F4A7C15
+# the key of the word hash and the odd multipliers of the polynomials over it (fixed, so that every task and rerun agrees)
+_KEY = b"words of a corpus"
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -79,12 +80,18 @@ class Words:
         letters = pa.py_buffer(self.data[self.inside])
         return pa.LargeStringArray.from_buffers(len(self.start), pa.py_buffer(offsets), letters).dictionary_encode()
 
+    def hash_pair(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes a word: the halves of a keyed cryptographic hash, taken once for each
+        distinct word, so that no two words are made to collide by how they are built."""
+        terms = self.terms()
+        digests = b"".join([blake2b(w, digest_size=16, key=_KEY).digest() for w in terms.dictionary.cast(pa.large_binary()).to_pylist()])
+        halves = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
+        code = terms.indices.to_numpy()
+        return halves[code, 0], halves[code, 1]
+
     def hashes(self) -> np.ndarray:
         """One 64-bit hash a word."""
-        power, inverse = powers(_BYTE_BASE, len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start])
+        return self.hash_pair()[0]
 
     def windows(self, hashes: np.ndarray, width: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every run of `width` words that lies in one text."""

@@ -135,3 +135,14 @@ def test_given_tables_catch_toxic_and_leave_clean(spark):
     n = {(r.toxic, r.true): r["count"] for r in t}
     assert n[(True, 1)] / (n[(True, 1)] + n.get((False, 1), 0)) >= 0.9
     assert n.get((True, 0), 0) <= 0.005 * n[(False, 0)]
+
+
+def test_kept_documents_keep_columns_of_any_name(spark, made):
+    data, _, _, known = made
+    names = ["importance", "row", "id", "log_weight", "__log_weight", "label_id", "good", "key"]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    df = spark.createDataFrame([(r[0], r[1], *[f"{n}{r[0]}" for n in names]) for r in data], schema)
+    kept = quality.keep_good(df, known)
+    assert kept.schema == df.schema
+    got = kept.collect()
+    assert len(got) > 10 and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)

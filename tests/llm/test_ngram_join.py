@@ -84,3 +84,24 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in range(200, 260)] + [(5, 5), (7, 200)]
     got = dict(as_rows(components(spark.createDataFrame(edges, "a long, b long"))))
     assert got == {**{i: 100 for i in range(100, 141)}, 7: 7, **{x: 7 for x in range(200, 260)}}
+
+
+def parity_word(n, flip):
+    """Bytes by the parity of their place's bits: it and its complement collide in every polynomial hash modulo 2^64."""
+    return "".join("ab"[(bin(i).count("1") & 1) ^ flip] for i in range(n))
+
+
+def test_words_built_to_collide_do_not_link(spark):
+    rest = " ".join(f"w{i}" for i in range(30))
+    data = [(i, f"{parity_word(n, flip)} {rest[:20]} {parity_word(n, flip)}", *[None] * 12)
+            for i, (n, flip) in enumerate([(1024, 0), (1024, 1), (2048, 0), (2048, 1)])]
+    assert Counter(as_rows(ngram_join.jaccard_components(docs(spark, data), 4, 85))) == expected(data, 4, 85)
+
+
+def test_kept_rows_keep_columns_of_any_name(spark):
+    names = ["__id", "__hash", "row", "own_id", "own_hash", "hash", "id", "component_id"]
+    df = spark.createDataFrame([(i, "a b c d e f g" if i < 3 else f"text {i} of its own", *[f"{n}{i}" for n in names]) for i in range(6)],
+                               "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = ngram_join.one_of_each_group(df, 5, 80)
+    assert kept.schema == df.schema and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
+    assert all(r[n] == f"{n}{r.doc_id}" for r in kept.collect() for n in names)

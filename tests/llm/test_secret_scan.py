@@ -101,3 +101,41 @@ def test_base64_and_base64url_are_cut_apart():
     assert got == {(0, 32, "base64"), (2, 34, "base64url"), (2, 32, "base62")}
     assert [(c["start"], c["end"]) for c in S.candidates("k=" + token, [])] == [(2, 32)]
     assert [(c["start"], c["end"]) for c in S.candidates(token + token, [(25, 2, 30)])] == [(0, 25), (30, 60)]
+
+
+def test_dumps_of_tokens_are_found(spark):
+    """Lists of 1, 8 and 100 random tokens a document, alone and between lines of prose; prose itself stays clean."""
+    rng = random.Random(21)
+    vocabulary = ["and", "then", "some", "more", "words", "follow", "here", "so", "that", "it", "reads", "like", "text"]
+
+    def prose():
+        return " ".join(rng.choice(vocabulary) for _ in range(12))
+    made, want = [], {}
+    for i, n in enumerate([1] * 30 + [8] * 30 + [100] * 5):
+        lines, at, places = [], 0, []
+        for _ in range(n):
+            if i % 2:
+                lines.append(prose())
+            token = "".join(rng.choice(S.ALPHABETS["base62"]) for _ in range(32))
+            lines.append(("KEY_%d=" % len(places) if i % 3 == 0 else "") + token)
+            places.append(token)
+        text = "\n".join(lines)
+        made.append((i, text, *[None] * 12))
+        want[i] = [(text.index(t), text.index(t) + 32) for t in places]
+    clean = [(1000 + i, "\n".join(prose() for _ in range(30)) + " a_rather_long_name_of_some_file_version_two", *[None] * 12) for i in range(60)]
+    spans = {int(r.doc_id): [x for x in r.spans if x.kind == 3] for r in S.find_secrets(docs(spark, made + clean)).collect()}
+    for size in (1, 8, 100):
+        for mixed in (0, 1):
+            of = [(i, s, e) for i, places in want.items() if len(places) == size and i % 2 == mixed for s, e in places]
+            hits = [any(x.start <= s and e <= x.end for x in spans[i]) for i, s, e in of]
+            assert sum(hits) >= 0.9 * len(hits), (size, mixed, sum(hits), len(hits))
+    found = sum(len(x) for x in spans.values())
+    false = sum(len(spans[i]) for i, *_ in clean)
+    assert false <= S.FALSE_DISCOVERIES * found
+
+
+def test_decoys_leave_out_candidates():
+    text = "AbCdEfGhIjKlMnOpQrStUvWx plain words " + "ZyXwVuTsRqPoNmLkJiHg" + " end of it all"
+    ground = S.Ground(text, [m.span() for m in S.CANDIDATE.finditer(text)])
+    assert ground.decoy("base62", 24, 20) == "plainwordsendofitall"
+    assert ground.decoy("base62", 60, 12) == "dofitallplai" and ground.decoy("base62", 0, 21) is None

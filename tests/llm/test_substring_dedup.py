@@ -49,6 +49,15 @@ def test_repeated_identifier_with_other_texts(spark):
     assert Counter(as_rows(substring_dedup.dedup_substrings(docs(spark, data)))) == expected(data, 13)
 
 
+def test_words_built_to_collide_stay(spark):
+    """Words by the parity of their places' bits collide in every polynomial hash modulo 2^64."""
+    def parity(n, flip):
+        return "".join("ab"[(bin(i).count("1") & 1) ^ flip] for i in range(n))
+    tail, head = " ".join(f"w{i}" for i in range(18)), " ".join(f"v{i}" for i in range(12))
+    data = [(i, f"{head} {parity(n, flip)} {tail}", *[None] * 12) for i, (n, flip) in enumerate([(1024, 0), (1024, 1), (4096, 0), (4096, 1)])]
+    assert Counter(as_rows(substring_dedup.dedup_substrings(docs(spark, data)))) == expected(data, 13)
+
+
 def test_empty(spark):
     assert as_rows(substring_dedup.dedup_substrings(spark.createDataFrame([], SCHEMA))) == []
 
