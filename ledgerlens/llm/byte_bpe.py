@@ -58,6 +58,11 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.lengths = np.asarray([len(t) for t in self.tokens], dtype=np.int64)
+        chars = byte_characters()
+        #: each token as the library's vocabulary writes it, and the byte table turned round
+        self.names = ["".join([chars[b] for b in t]) for t in self.tokens]
+        self.byte_of = np.zeros(512, dtype=np.uint8)
+        self.byte_of[[ord(c) for c in chars]] = np.arange(256)
         self._ranks, self._tokenizer = ranks, None  # decoding needs no tokenizer
         self.cache = PartCache(self._encode)
 
@@ -91,8 +96,10 @@ class ByteBPE:
         return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
     def decode(self, ids: bytes) -> bytes:
-        """The bytes of ids; join the results of several stretches before reading them as UTF-8."""
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        """The bytes of ids: their characters, each turned back into its byte. A stretch may begin or end inside a
+        character of the text; join the results of several stretches before reading them as UTF-8."""
+        written = "".join(map(self.names.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return self.byte_of[np.frombuffer(written.encode("utf-16-le"), dtype="<u2")].tobytes()
 
     def offsets(self, ids: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(character at which each id begins, whether it begins inside a character) for the

@@ -5,7 +5,9 @@ good) and one of all text, give every document a log importance weight: the mean
 of its n-grams, shrunk for short texts. Documents are then sampled without replacement in
 proportion to their (tempered) weights by Gumbel top-k: each document's key is its scaled log
 weight plus Gumbel noise, and the k largest keys are kept. The noise comes from a hash of
-the identifier, so reruns agree.
+the identifier, so reruns agree. At the default scale (`TEMPER`) the noise decides only among documents
+within about 0.02 of the cut: the sample is then nearly the plain cut, which is what a filter of junk needs;
+a smaller scale samples more freely.
 
 The raw model counts every document's whole text. The target model is fitted on a bounded
 sample of labelled documents (`LABELLED`), half of which calibrate k: a cut of the

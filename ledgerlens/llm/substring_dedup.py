@@ -10,7 +10,8 @@ The 96 bits of a window come from two independent hashes of its words, halves of
 In the second pass a task first settles the windows that repeat among its own documents, and
 sends only those of its smallest document on; so a window that a third of all documents share
 arrives once a task. Windows travel as packed arrays, dealt to buckets by hash, whose number
-follows the input; decisions travel to buckets of documents, where whole texts meet them.
+follows the input; decisions travel to buckets of documents, where they become ranges of
+covered words; a join brings each document its ranges.
 
 Defined results: a null text has no words; a document with fewer words than a window stays
 whole; rows with a null identifier stay whole and remove nothing; rows that repeat an
@@ -21,7 +22,6 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ from . import sketch
 from .tables import power_of_two, small_batches, text_bytes
 from .words import Words, run_hash, slices
 
-#: Windows that a task holds before it sends them, windows of a bucket, and text bytes of a
-#: bucket of documents.
+#: Windows that a task holds before it sends them, windows of a bucket, and text bytes of the
+#: documents whose decisions meet in a bucket.
 HELD = 1 << 19
 BUCKET_WINDOWS = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -135,10 +135,6 @@ def dedup_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", t
     doc_buckets = power_of_two(total / BUCKET_BYTES, 16, 1 << 30)
     buckets = power_of_two(expected / BUCKET_WINDOWS, 16, 1 << 30)
     rows = rows.withColumn("text_hash", F.hash("text").cast("long"))
-    # a null identifier has no marks; its rows spread by their texts
-    rows = rows.withColumn("doc_bucket", F.pmod(F.coalesce("id", F.lit(0)).bitwiseXOR(F.col("text_hash")),
-                                                F.lit(doc_buckets)).cast("int"))
-
     def window_hashes(column: pa.Array) -> np.ndarray:
         words = Words(column)
         return words.windows(words.hashes(), width)[1]
@@ -193,32 +189,45 @@ def dedup_substrings(docs: DataFrame, width: int = 13, id_col: str = "doc_id", t
         return pa.table({"bucket": pa.array([b for b, _ in dealt], pa.int32()),
                          "marks": pa.array([m.pack() for _, m in dealt], pa.binary())})
 
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Takes the marked windows out of the documents of one bucket."""
-        covered: dict[tuple[int, int], list[np.ndarray]] = {}
-        for data in right.column("marks").to_pylist():
-            marks = Marks.unpack(data)
-            begins = starts_of_runs(marks.doc, marks.text)
-            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(marks)], strict=False):
-                covered.setdefault((int(marks.doc[a]), int(marks.text[a])), []).append(marks.pos[a:b])
-        n_words, n_removed, kept = [], [], []
-        for doc, text_hash, text in zip(left.column("id").to_pylist(), left.column("text_hash").to_pylist(),
-                                        left.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-            words = text.split()  # at space and 0x09-0x0D
-            n_words.append(len(words))
-            found = covered.get((doc, text_hash))
-            if found:
-                pos = np.concatenate(found)
-                change = np.bincount(pos, minlength=len(words) + 1) - np.bincount(pos + width, minlength=len(words) + 1)
-                words = list(compress(words, (np.cumsum(change[:-1]) == 0).tolist()))
-            n_removed.append(n_words[-1] - len(words))
-            kept.append(b" ".join(words))
-        return pa.table({"id": left.column("id"), "n_words": pa.array(n_words, pa.int64()),
-                         "n_removed": pa.array(n_removed, pa.int64()),
-                         "kept_text": pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(pa.string())})
+    def covered(key: tuple, table: pa.Table) -> pa.Table:
+        """What the marks of one bucket's documents cover: word ranges [start, end), one row a document."""
+        marks = Marks.join([Marks.unpack(x) for x in table.column("marks").to_pylist()])
+        marks = marks.take(np.lexsort((marks.pos, marks.text, marks.doc)))
+        new_doc = np.zeros(len(marks), dtype=bool)
+        new_doc[starts_of_runs(marks.doc, marks.text)] = True
+        new = new_doc.copy()
+        new[1:] |= marks.pos[1:] > marks.pos[:-1] + width
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(marks)) - 1
+        spans = np.stack([marks.pos[first], marks.pos[last] + width], axis=1).ravel()
+        begins = np.flatnonzero(new_doc[first])
+        edges = np.append(begins, len(first)) * 2
+        return pa.table({"doc": pa.array(marks.doc[first[begins]], pa.int64()), "doc_text": pa.array(marks.text[first[begins]], pa.int64()),
+                         "spans": pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(spans.astype(np.int32)))})
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Takes the covered words out of each document, slice by slice."""
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                n_words, n_removed, kept = [], [], []
+                for text, spans in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column("spans").to_pylist(), strict=True):
+                    words = text.split()  # at space and 0x09-0x0D
+                    n_words.append(len(words))
+                    if spans:
+                        edges = [0, *spans, len(words)]
+                        words = [w for i in range(0, len(edges), 2) for w in words[edges[i]:edges[i + 1]]]
+                    n_removed.append(n_words[-1] - len(words))
+                    kept.append(b" ".join(words))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                     pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(pa.string())],
+                    names=["id", "n_words", "n_removed", "kept_text"])
 
     marks = (small_batches(rows).mapInArrow(candidates, "kind string, bucket int, marks binary").groupBy("kind", "bucket")
              .applyInArrow(resolve, "bucket int, marks binary"))
-    out = (rows.groupBy("doc_bucket").cogroup(marks.groupBy("bucket"))
-           .applyInArrow(finish, "id long, n_words long, n_removed long, kept_text string"))
+    spans = marks.groupBy("bucket").applyInArrow(covered, "doc long, doc_text long, spans array<int>")
+    # a join, not a group: rows that repeat a document, however many, stream past its ranges; a null identifier has none
+    found = rows.join(spans, (F.col("id") == F.col("doc")) & (F.col("text_hash") == F.col("doc_text")), "left")
+    out = found.select("id", "text", "spans").mapInArrow(finish, "id long, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("id", id_col)

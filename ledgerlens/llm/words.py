@@ -84,7 +84,7 @@ class Words:
         """Two independent 64-bit hashes a word: the halves of a keyed cryptographic hash, taken once for each
         distinct word, so that no two words are made to collide by how they are built."""
         terms = self.terms()
-        digests = b"".join([blake2b(w, digest_size=16, key=_KEY).digest() for w in terms.dictionary.cast(pa.large_binary()).to_pylist()])
+        digests = b"".join([_DIGESTS.get(w) or _digest(w) for w in terms.dictionary.cast(pa.large_binary()).to_pylist()])
         halves = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
         code = terms.indices.to_numpy()
         return halves[code, 0], halves[code, 1]
@@ -102,6 +102,18 @@ class Words:
         return first, run_hash(hashes, first, first + width, which)
 
 
+#: Digests of the first words that a process meets, for the life of the process (at most KEPT_WORDS short ones).
+KEPT_WORDS, KEPT_LENGTH = 100_000, 32
+_DIGESTS: dict[bytes, bytes] = {}
+
+
+def _digest(word: bytes) -> bytes:
+    out = blake2b(word, digest_size=16, key=_KEY).digest()
+    if len(_DIGESTS) < KEPT_WORDS and len(word) <= KEPT_LENGTH:
+        _DIGESTS[word] = out
+    return out
+
+
 def run_hash(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hash of each run [first, last) of word hashes; `which` picks one of two hashes."""
     power, inverse = powers(_WORD_BASES[which], len(hashes) + 1)
