@@ -12,13 +12,14 @@ executors.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import computed, let, solved, triangle, triangle_at
+from .arrays import computed, dot, let, solved, total, triangle_at
 from .base import ETS, band
 
 SEASON = 7
@@ -27,9 +28,10 @@ MIN_SEASONAL = 28
 ALPHAS = [0.1, 0.3, 0.5, 0.8]
 BETAS = [0.01, 0.1, 0.3]
 GAMMAS = [0.05, 0.2, 0.5]
-# The search ends when the errors are orthogonal to every derivative (the largest cosine is below ORTHOGONAL); a
-# segment that needs more passes over its series, or finds no lower SSE at any damping, is flagged as not converged.
+# The search ends when the errors are orthogonal to every derivative (the largest cosine is below ORTHOGONAL), or when
+# a step lowers the SSE, and promised to lower it, by no more than the share LEAST_FALL; a segment that needs more passes over its series, or finds no lower SSE at any damping, is flagged as not converged.
 ORTHOGONAL = 1e-6
+LEAST_FALL = 1e-9
 MOST_PASSES = 300
 MOST_DAMPING = 1e10
 PARAMETERS = 5 + SEASON
@@ -59,6 +61,10 @@ def _errors(ys: Column, p: Column) -> Column:
     """At `p` (see `_sse`): sse, gradient (Σ e ∂e/∂pᵢ) and normal (the triangle of Σ ∂e/∂pᵢ ∂e/∂pⱼ), in one pass."""
     a, b, g = (F.element_at(p, i) for i in (1, 2, 3))
 
+    # the places of the triangle, as one constant
+    pairs = F.from_json(F.lit(json.dumps([{"i": i, "j": j} for i in range(PARAMETERS) for j in range(i, PARAMETERS)])),
+                        "array<struct<i: int, j: int>>")
+
     def unit(i):
         return F.array(*[F.lit(1.0 if j == i else 0.0) for j in range(PARAMETERS)])
     init = F.struct(F.element_at(p, 4).alias("l"), F.element_at(p, 5).alias("b"), F.slice(p, 6, SEASON).alias("s"),
@@ -81,7 +87,7 @@ def _errors(ys: Column, p: Column) -> Column:
                     F.concat(F.slice(acc["s"], 2, SEASON - 1), F.array(F.element_at(acc["s"], 1) + g * (1 - a) * e)).alias("s"),
                     level.alias("dl"), trend.alias("db"), F.concat(F.slice(acc["ds"], 2, SEASON - 1), F.array(season)).alias("ds"),
                     (acc["sse"] + e * e).alias("sse"), F.zip_with(acc["gradient"], de, lambda u, v: u + e * v).alias("gradient"),
-                    F.zip_with(acc["normal"], triangle(de), lambda u, v: u + v).alias("normal"))
+                    F.zip_with(acc["normal"], pairs, lambda u, ij: u + F.get(de, ij["i"]) * F.get(de, ij["j"])).alias("normal"))
             return let(F.transform(dl, lambda v, i: -(v + F.get(db, i) + F.get(ds, i))), with_derivative)
         return let(y - (acc["l"] + acc["b"] + F.element_at(acc["s"], 1)), with_error)
     return F.aggregate(ys, init, step, lambda acc: F.struct(acc["sse"].alias("sse"), acc["gradient"].alias("gradient"),
@@ -91,7 +97,9 @@ def _errors(ys: Column, p: Column) -> Column:
 def _searched(ys: Column, start: Column, seasonal: Column) -> Column:
     """(p, sse, converged, passes): Levenberg–Marquardt steps from `start`, the smoothing parameters kept in [0, 1].
 
-    A parameter at its bound whose gradient points outwards stays; without a season γ and the seasonal states stay 0."""
+    The errors are linear in the start states, so only the smoothing parameters' steps are damped; the damping
+    follows how much of the predicted fall a step brings. A parameter at its bound whose gradient points outwards
+    stays; without a season γ and the seasonal states stay 0."""
     n = F.lit(PARAMETERS)
 
     def diagonal(at, i):
@@ -111,27 +119,39 @@ def _searched(ys: Column, start: Column, seasonal: Column) -> Column:
         def with_free(who):
             rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), n), lambda j: F.when(
                 ~F.get(who, i), F.when(i == j, F.lit(1.0)).otherwise(F.lit(0.0)))
-                .when(j == n, -F.get(at["gradient"], i)).when(i == j, diagonal(at, i) * (1 + damping))
+                .when(j == n, -F.get(at["gradient"], i)).when(i == j, diagonal(at, i) * F.when(i < 3, 1 + damping).otherwise(1.0))
                 .when(F.get(who, j), triangle_at(at["normal"], n, i, j)).otherwise(F.lit(0.0))))
             step = solved(rows, n, lambda c: F.when(F.get(who, c), diagonal(at, c)).otherwise(F.lit(1.0)))
             return F.zip_with(p, step, lambda v, d: v + d)
         moved = let(F.transform(F.sequence(F.lit(0), n - 1), lambda i: free(p, at, i)), with_free)
         return F.transform(moved, lambda v, i: F.when(i < 3, F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))).otherwise(v))
 
-    def state(p, at, damping, passes):
-        return let(orthogonal(p, at), lambda done: F.struct(
-            p.alias("p"), at.alias("at"), damping.alias("damping"), passes.alias("passes"), done.alias("converged"),
-            (~done & (damping < MOST_DAMPING)).alias("live")))
+    def state(p, at, damping, growth, passes, flat):
+        return let(flat | orthogonal(p, at), lambda done: F.struct(
+            p.alias("p"), at.alias("at"), damping.alias("damping"), growth.alias("growth"), passes.alias("passes"),
+            done.alias("converged"), (~done & (damping < MOST_DAMPING)).alias("live")))
+
+    def predicted(at, d):
+        """The fall of the SSE that the quadratic model promises for the step d."""
+        bend = F.transform(d, lambda v, i: v * total(F.transform(d, lambda u, j: u * triangle_at(at["normal"], n, i, j))))
+        return -2 * dot(at["gradient"], d) - total(bend)
 
     def step(acc, _):
         def judged(trial):
-            better = trial["at"]["sse"] < acc["at"]["sse"]
-            return F.when(better, state(trial["p"], trial["at"], F.greatest(acc["damping"] / 8, F.lit(1e-12)), acc["passes"] + 1)) \
-                .otherwise(state(acc["p"], acc["at"], acc["damping"] * 4, acc["passes"] + 1))
+            fall = acc["at"]["sse"] - trial["at"]["sse"]
+            d = F.zip_with(trial["p"], acc["p"], lambda u, v: u - v)
+
+            def moved(promised):
+                ratio = F.least(F.coalesce(F.try_divide(fall, promised), F.lit(1.0)), F.lit(1.0))
+                flat = F.greatest(fall, promised) <= LEAST_FALL * acc["at"]["sse"]
+                shrink = F.greatest(F.lit(1 / 3), 1 - (2 * ratio - 1) * (2 * ratio - 1) * (2 * ratio - 1))
+                return state(trial["p"], trial["at"], F.greatest(acc["damping"] * shrink, F.lit(1e-12)), F.lit(2.0), acc["passes"] + 1, flat)
+            return F.when(fall > 0, let(predicted(acc["at"], d), moved)).otherwise(state(
+                acc["p"], acc["at"], acc["damping"] * acc["growth"], acc["growth"] * 2, acc["passes"] + 1, F.lit(False)))
         tried = let(proposed(acc["p"], acc["at"], acc["damping"]),
                     lambda p: F.struct(p.alias("p"), _errors(ys, p).alias("at")))
         return F.when(acc["live"], let(tried, judged)).otherwise(acc)
-    begin = let(_errors(ys, start), lambda at: state(start, at, F.lit(1e-3), F.lit(1)))
+    begin = let(_errors(ys, start), lambda at: state(start, at, F.lit(1e-3), F.lit(2.0), F.lit(1), F.lit(False)))
     return F.aggregate(F.sequence(F.lit(2), F.lit(MOST_PASSES)), begin, step, lambda acc: F.struct(
         acc["p"].alias("p"), acc["at"]["sse"].alias("sse"), acc["converged"].alias("converged"), acc["passes"].alias("passes")))
 
@@ -167,7 +187,7 @@ def ets_state(request: DataFrame, keys: Sequence[str], refine: bool = False) ->
                       s0.alias("s0"), seasonal.alias("seasonal"), F.explode(grid).alias("p"))
            # without a season γ is irrelevant: keep one γ per (α, β)
            .where(F.col("seasonal") | (F.col("p.gamma") == GAMMAS[0])))
-    fan = fan.repartition(parts, *keys, "p")
+    fan = fan.repartition(parts)
     a, b = F.col("p.alpha"), F.col("p.beta")
     g = F.when(F.col("seasonal"), F.col("p.gamma")).otherwise(F.lit(0.0))
 
@@ -196,7 +216,7 @@ def ets_state(request: DataFrame, keys: Sequence[str], refine: bool = False) ->
     if refine:
         at = F.concat(F.array("w.p.alpha", "w.p.beta", F.when(F.col("seasonal"), F.col("w.p.gamma")).otherwise(F.lit(0.0)),
                               F.col("l0").cast("double"), F.col("b0").cast("double")), "s0")
-        found = computed(best.withColumn("x", at).repartition(parts, *keys), [*keys, "n", "h", "last_ds", "ys", "seasonal"],
+        found = computed(best.withColumn("x", at).repartition(parts), [*keys, "n", "h", "last_ds", "ys", "seasonal"],
                          found=_searched(F.col("ys"), F.col("x"), F.col("seasonal")))
         x = F.col("found.p")
         point = F.struct(*[F.element_at(x, i + 1).alias(name) for i, name in enumerate(("alpha", "beta", "gamma"))])

@@ -83,25 +83,21 @@ def read_states(spark, path: str, start: str | None = None, end: str | None = No
 
 
 def level_rollup(states: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The four levels that a KPI record needs, merged from the states one by one: `level` is total, product,
-    region or day, named in Product_, Region_ or Date_."""
+    """The four levels that a KPI record needs: `level` is total, product, region or day, named in Product_, Region_
+    or Date_. Days merge from the states; the other levels from one state a segment, product and region."""
     keys = list(keys)
     nothing = F.lit(None)
-    names = {"total": None, "product": "Product", "region": "Region", "day": "Date"}
-    types = {"Product_": "string", "Region_": "string", "Date_": "date"}
-    out = None
-    for level, column in names.items():
-        if column is None:
-            part = merge_states(states, keys)
-            measures = [F.col("total").alias("rev"), F.col("rows").alias("n"), F.col("mean").alias("avg_rev"),
-                        std_samp(F.col("n"), F.col("m2")).alias("std_rev"), F.col("profit").alias("profit_sum"),
-                        "first_ds", "last_ds", "has_profit"]
-        else:
-            part = states.groupBy(*dict.fromkeys([*keys, column])).agg(F.sum("total").alias("rev"))
-            measures = ["rev", *[nothing.cast(t).alias(c) for c, t in (
-                ("n", "long"), ("avg_rev", "double"), ("std_rev", "double"), ("profit_sum", "double"),
-                ("first_ds", "date"), ("last_ds", "date"), ("has_profit", "boolean"))]]
-        labels = [(F.col(column) if column == c[:-1] else nothing).cast(t).alias(c) for c, t in types.items()]
-        part = part.select(*keys, F.lit(level).alias("level"), *labels, *measures)
-        out = part if out is None else out.unionByName(part)
-    return out
+    named = states.select(*keys, F.col("Product").alias("Product_"), F.col("Region").alias("Region_"), F.col("Date").alias("Date_"),
+                          *[c for c in merged()])
+    cells = merge_states(named, [*keys, "Product_", "Region_"])
+    by, region = F.grouping("Product_") == 0, F.grouping("Region_") == 0
+    wide = (cells.groupingSets([keys, [*keys, "Product_"], [*keys, "Region_"]], *keys, "Product_", "Region_")
+            .agg(F.when(by, "product").when(region, "region").otherwise("total").alias("level"),
+                 *[c.alias(name) for name, c in merged().items()]))
+    levels = wide.select(
+        *keys, "level", F.col("Product_").cast("string").alias("Product_"), F.col("Region_").cast("string").alias("Region_"),
+        nothing.cast("date").alias("Date_"), F.col("total").alias("rev"), F.col("rows").alias("n"), F.col("mean").alias("avg_rev"),
+        std_samp(F.col("n"), F.col("m2")).alias("std_rev"), F.col("profit").alias("profit_sum"), "first_ds", "last_ds", "has_profit")
+    days = named.groupBy(*keys, "Date_").agg(F.sum("total").alias("rev")).withColumn("level", F.lit("day"))
+    return levels.unionByName(days.select(*[
+        F.col(f.name) if f.name in days.columns else nothing.cast(f.dataType).alias(f.name) for f in levels.schema.fields]))

@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 HEAVY = {"forest_forecast", "boosting_forecast", "model_comparison", "best_forecast", "forecast_summary",
-         "best_forecast_check"}
+         "best_forecast_check", "stored_forecast_check", "ets_optimum_check"}
 
 
 def test_oracles_name_registered_queries():
