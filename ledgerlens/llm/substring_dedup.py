@@ -67,13 +67,16 @@ class Marks:
                        for f in Marks.FIELDS))
 
     def pack(self) -> bytes:
-        """Runs of one document are stored once; positions in two planes, as most are short."""
+        """Runs of one document are stored once; positions as steps in planes of bytes, as most steps are short."""
         n = len(self)
         begins = starts_of_runs(self.doc, self.text)
+        step = np.diff(self.pos, prepend=0)
+        step[begins] = self.pos[begins]
+        step &= 0xFFFFFFFF  # steps back wrap round
         parts = [np.asarray([n, len(begins), self.key is not None], "<i8"),
                  self.doc[begins].astype("<i8"), self.text[begins].astype("<i4"),
                  np.diff(np.append(begins, n)).astype("<u4"),
-                 (self.pos & 0xFFFF).astype("<u2"), (self.pos >> 16).astype("<u2")]
+                 (step & 0xFF).astype("u1"), (step >> 8 & 0xFF).astype("u1"), (step >> 16).astype("<u2")]
         if self.key is not None:
             parts += [self.key.astype("<u8"), self.tag.astype("<u4")]
         return b"".join(p.tobytes() for p in parts)
@@ -90,8 +93,11 @@ class Marks:
             return out
 
         doc, text, runs = read("<i8", docs), read("<i4", docs).astype(np.int64), read("<u4", docs)
-        pos = read("<u2", n).astype(np.int64)
-        pos = pos | read("<u2", n).astype(np.int64) << 16
+        step = read("u1", n).astype(np.int64)
+        step |= read("u1", n).astype(np.int64) << 8
+        step |= read("<u2", n).astype(np.int64) << 16
+        begins, total = np.cumsum(runs) - runs, np.cumsum(step)
+        pos = (total - np.repeat(total[begins] - step[begins], runs)) & 0xFFFFFFFF
         out = Marks(np.repeat(doc, runs), np.repeat(text, runs), pos)
         if keyed:
             out.key, out.tag = read("<u8", n), read("<u4", n)

@@ -87,6 +87,6 @@ def test_stages_with_odd_rows_and_empty_tables(spark):
 def test_registered():
     import __spark_entry__ as entry
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(re.match(rf"op{n}_", x) is not None for x in names) == 1
     assert names["pipeline"] is corpus_pipeline.run and "op6_exact_dedup" in entry.oracle_sql()

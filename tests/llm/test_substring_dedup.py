@@ -94,3 +94,13 @@ def test_word_and_run_hashes_follow_content_not_place():
     assert run[0] == run[2] == run[5] and run[1] == run[3] and len(first) == 6
     assert run_hash(h, np.asarray([0]), np.asarray([2]))[0] == run[0]
     assert Words(pa.array(["Ab É"]), lower=True).hashes()[0] == Words(pa.array(["ab É"])).hashes()[0]
+
+
+def test_marks_come_back_from_their_bytes():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 500):
+        doc, text = np.sort(rng.integers(0, 9, n)), np.zeros(n, np.int64)
+        marks = substring_dedup.Marks(doc, text, rng.integers(0, 2**31, n), rng.integers(0, 2**63, n).astype(np.uint64),
+                                      rng.integers(0, 2**32, n).astype(np.uint32))
+        back = substring_dedup.Marks.unpack(marks.pack())
+        assert all(getattr(back, f).tolist() == getattr(marks, f).tolist() for f in substring_dedup.Marks.FIELDS)
