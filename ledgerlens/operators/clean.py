@@ -123,6 +123,14 @@ def clean_sales(df: DataFrame, as_of: str | None = None, order_by: Sequence[str]
     return out, roles
 
 
+def clean_upload(raw: DataFrame, **how) -> tuple[DataFrame, RoleMap]:
+    """S4 + P14: `clean_sales` behind the empty guards: an upload without rows, or without one usable row, is
+    refused (each guard reads at most one row)."""
+    require_rows(raw, "Uploaded file is empty.")
+    clean, roles = clean_sales(raw, **how)
+    return require_rows(clean), roles
+
+
 def filterable_columns(df: DataFrame) -> list[str]:
     """L3: the standard filter columns present in the frame."""
     return [c for c in FILTERABLE if c in df.columns]

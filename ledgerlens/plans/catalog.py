@@ -826,7 +826,7 @@ def q_csv_roundtrip_clean(spark, sf):
     empty region, which CSV cannot tell from a missing one)."""
     path = FS.scratch_path(spark, "cleaned_csv")
     FS.write_cleaned(clean_raw_orders(spark, sf).select("order_id", *C.STANDARD_COLUMNS), path)
-    again = C.clean_sales(FS.read_upload(spark, path, "csv"))[0]
+    again = C.clean_upload(FS.read_upload(spark, path, "csv"))[0]
     return rounded(again.select(F.col("order_id").cast("bigint").alias("order_id"), *C.CLEAN_COLUMNS), R)
 
 

@@ -95,3 +95,13 @@ def test_segment_filter_and_fallback(spark):
     assert C.filter_or_all(df, "Region", "B").count() == 1
     vals = [r.value for r in C.filter_values(df, "Region").collect()]
     assert vals == ["All", "A", "B"]
+
+
+def test_upload_guards(spark):
+    import pytest
+    full = spark.createDataFrame([("2024-01-02", "5"), ("bad", "7")], "order_date string, revenue string")
+    assert C.clean_upload(full)[0].count() == 1
+    with pytest.raises(ValueError, match="empty"):
+        C.clean_upload(full.limit(0))
+    with pytest.raises(ValueError, match="No usable rows"):
+        C.clean_upload(full.where("order_date = 'bad'"))
