@@ -5,7 +5,7 @@ a count-min sketch. The second pass groups exactly, by a 96-bit hash, only the w
 the sketch takes to repeat (it overestimates, so none is lost) and finds, for each, the
 smallest document that has it. Words that a window covers in any other document go.
 
-The 96 bits of a window come from two independent hashes of its words, halves of a keyed 128-bit hash.
+The 96 bits of a window come from two independent hashes of its words (`Words.hash_pair`).
 
 In the second pass a task first settles the windows that repeat among its own documents, and
 sends only those of its smallest document on; so a window that a third of all documents share

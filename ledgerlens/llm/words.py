@@ -31,6 +31,7 @@ _LOWER[ord("A"):ord("Z") + 1] += 32
 _MASK = (1 << 64) - 1
 # the key of the word hash and the odd multipliers of the polynomials over it (fixed, so that every task and rerun agrees)
 _KEY = b"words of a corpus"
+_MIXED = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -81,13 +82,22 @@ class Words:
         return pa.LargeStringArray.from_buffers(len(self.start), pa.py_buffer(offsets), letters).dictionary_encode()
 
     def hash_pair(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes a word: the halves of a keyed cryptographic hash, taken once for each
-        distinct word, so that no two words are made to collide by how they are built."""
-        terms = self.terms()
-        digests = b"".join([_DIGESTS.get(w) or _digest(w) for w in terms.dictionary.cast(pa.large_binary()).to_pylist()])
-        halves = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
-        code = terms.indices.to_numpy()
-        return halves[code, 0], halves[code, 1]
+        """Two 64-bit hashes a word. Words of up to 16 bytes become two numbers, which with the length determine
+        the word, and are mixed two ways; longer words take the halves of a keyed cryptographic hash. So no two
+        words are made to collide by how they are built."""
+        length = self.end - self.start
+        halves = np.zeros((2, len(length)), dtype=np.uint64)
+        at = np.flatnonzero(length <= 16)
+        for j in range(16):
+            at = at[length[at] > j]
+            halves[j >> 3, at] |= self.data[self.start[at] + j].astype(np.uint64) << np.uint64(8 * (j & 7))
+        x = mix(halves[0] ^ _MIXED[0])
+        y = mix(halves[1] + length.astype(np.uint64) * _MIXED[1] + _MIXED[2])
+        first, second = mix(x + y * _MIXED[3]), mix(y ^ (x * _MIXED[1] + _MIXED[0]))
+        for i in np.flatnonzero(length > 16).tolist():
+            digest = blake2b(self.data[self.start[i]:self.end[i]], digest_size=16, key=_KEY).digest()
+            first[i], second[i] = np.frombuffer(digest, dtype="<u8")
+        return first, second
 
     def hashes(self) -> np.ndarray:
         """One 64-bit hash a word."""
@@ -102,18 +112,6 @@ class Words:
         return first, run_hash(hashes, first, first + width, which)
 
 
-#: Digests of the first words that a process meets, for the life of the process (at most KEPT_WORDS short ones).
-KEPT_WORDS, KEPT_LENGTH = 100_000, 32
-_DIGESTS: dict[bytes, bytes] = {}
-
-
-def _digest(word: bytes) -> bytes:
-    out = blake2b(word, digest_size=16, key=_KEY).digest()
-    if len(_DIGESTS) < KEPT_WORDS and len(word) <= KEPT_LENGTH:
-        _DIGESTS[word] = out
-    return out
-
-
 def run_hash(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hash of each run [first, last) of word hashes; `which` picks one of two hashes."""
     power, inverse = powers(_WORD_BASES[which], len(hashes) + 1)
