@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import small_batches
-from .wordwise import PartCache
+from .wordwise import PartCache, encode_texts
 from .words import slices
 
 #: Bytes of texts handled together.
@@ -76,7 +76,7 @@ class ByteBPE:
         groups = [spaced[i:i + 512] for i in range(0, len(spaced), 512)]
         alone = [p for p in parts if not (p[:1] == b" " and len(p) > 1)]
         texts = [b"".join(g).decode() for g in groups] + [p.decode() for p in alone]
-        found = [np.asarray(e.ids, dtype="<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = list(encode_texts(self._tokenizer, texts))
         for group, ids in zip(groups, found, strict=False):
             ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p) for p in group]), side="left") + 1
             a = 0

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import byte_characters
 from .tables import shuffle_partitions, written
-from .wordwise import PartCache
-from .words import slices
+from .wordwise import PartCache, encode_texts
+from .words import Words, slices
 
 #: Fixed values of the format: selector -> (ids in a word, bits of an id).
 PACKINGS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7),
@@ -39,35 +39,56 @@ PACKINGS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10,
 ESCAPE = 15
 #: Text bytes of a block; a longer document has a block of its own.
 BLOCK_BYTES = 4 << 20
+#: So few documents of a block are packed one by one.
+FEW = 32
 
 BLOCKS = ("part int, before long, n_ids long, words binary, "
           "docs array<struct<id: {id}, n: long, word: long>>")
 
 
+def _runs(flags: np.ndarray, count: int) -> np.ndarray:
+    """Whether `count` flags in a row, from each place on, are set."""
+    out, have = flags.copy(), 1
+    while have < count:
+        more = min(have, count - have)
+        out[:-more] &= out[more:]
+        out[len(out) - more:] = False
+        have += more
+    return out
+
+
 def pack(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each document) of consecutive documents' ids (uint64)."""
     n = len(ids)
     ends = np.cumsum(lengths)
-    end_of = np.repeat(ends, lengths)
-    here = np.arange(n)
+    starts = ends - lengths
+    left = np.repeat(ends, lengths) - np.arange(n)
     step = np.ones(n, dtype=np.int64)
     selector = np.full(n, 14, dtype=np.uint64)
     selector[ids >> np.uint64(60) != 0] = ESCAPE
+    narrow = ids.astype(np.uint32) if n and ids.max() < 1 << 32 else ids
     for s in range(13, 0, -1):
         count, bits = PACKINGS[s]
-        big = ids >> np.uint64(bits) != 0
-        if n - np.count_nonzero(big) < count:
+        small = narrow < 1 << bits
+        if np.count_nonzero(small) < count:
             continue
-        # the next id that is too big for this packing, or the document's end
-        stop = np.minimum(np.minimum.accumulate(np.where(big, here, n)[::-1])[::-1], end_of)
-        fits = stop - here >= count
+        fits = _runs(small, count) & (left >= count)
         step[fits], selector[fits] = count, s
-    at, steps, bounds, i = [], step.tolist(), ends.tolist(), 0
-    for end in bounds:
+    begins = np.zeros(n, dtype=bool)  # ids that begin a word
+    now, stop = starts[lengths > 0], ends[lengths > 0]
+    while len(now) > FEW:  # all documents take a word at a time
+        begins[now] = True
+        now = now + step[now]
+        more = now < stop
+        now, stop = now[more], stop[more]
+    steps = step.tolist() if len(now) else []
+    for i, end in zip(now.tolist(), stop.tolist(), strict=True):
+        at = []
         while i < end:
             at.append(i)
             i += steps[i]
-    at = np.asarray(at, dtype=np.int64)
+        begins[at] = True
+    at = np.flatnonzero(begins)
     chosen = selector[at]
     place = np.cumsum(1 + (chosen == ESCAPE)) - 1 - (chosen == ESCAPE)
     words = np.zeros(len(at) + np.count_nonzero(chosen == ESCAPE), dtype=np.uint64)
@@ -79,7 +100,6 @@ def pack(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             words[place[mine]] |= np.bitwise_or.reduce(values, axis=1)
     raw = np.flatnonzero(chosen == ESCAPE)
     words[place[raw] + 1] = ids[at[raw]]
-    starts = ends - lengths
     word_of = np.append(place, len(words))
     return words, word_of[np.searchsorted(at, starts)]
 
@@ -111,7 +131,8 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 #: Most words: letters (of Latin-1), then marks. No apostrophe, which the tokenizer's pattern
 #: knows, and no bar, which stands between words below.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{}~]*)\Z")
+#: Words stand on lines of their own; others than these give two empty groups.
+_PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{}~]*)|.*)$", re.M)
 _PROBES = ["Then,", "ÊTRE", "straße...", "a<=", "Zu", "x!?"]
 
 
@@ -129,43 +150,53 @@ class WordEncoder:
         self._model = self._tokenizer.model
         self._bytes = {ord(c): "".join(byte_characters()[b] for b in c.encode())
                        for c in map(chr, range(0xA0, 0x100))}
+        self._coded = [i.to_bytes(4, "little") for i in range(max(self._tokenizer.get_vocab().values()) + 1)]
         self._pieces = PartCache(self._encode_pieces)
         bar = self._encode_texts(["|"])[0]
         self._bar = int(bar[0]) if len(bar) == 1 else None
         self._plain = False
         self._plain = self.encode([w.encode() for w in _PROBES]) == self._encode_plain(
-            {w.encode(): _PLAIN.match(w) for w in _PROBES})
+            *map(list, zip(*_PLAIN.findall("\n".join(_PROBES)), strict=True)))
 
     def _encode_texts(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, dtype="<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return list(encode_texts(self._tokenizer, texts))
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        return [b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(p.translate(self._bytes))])
-                for p in pieces]
-
-    def _encode_plain(self, matches: dict[bytes, re.Match]) -> list[bytes]:
-        pairs = [(m[1].lower(), m[2]) for m in matches.values()]
-        known = self._pieces.lookup(p for pair in pairs for p in pair if p)
+        coded, tokenize = self._coded, self._model.tokenize
+        return [b"".join([coded[t.id] for t in tokenize(p if p.isascii() else p.translate(self._bytes))]) for p in pieces]
+
+    def _encode_plain(self, letters: list[str], marks: list[str]) -> list[bytes]:
+        letters = "\n".join(letters).lower().split("\n")  # no letter of Latin-1 becomes two
+        parts = dict.fromkeys(letters)
+        parts.update(dict.fromkeys(marks))
+        parts.pop("", None)
+        known = dict(zip(parts, self._pieces.of(list(parts)), strict=True))
         known[""] = b""
-        return [known[a] + known[b] for a, b in pairs]
+        return [known[a] + known[b] for a, b in zip(letters, marks, strict=True)]
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        matches = {w: m for w in words if (m := _PLAIN.match(w.decode()))} if self._plain else {}
-        out = dict(zip(matches, self._encode_plain(matches), strict=True))
-        rest = [w for w in words if w not in out]
-        joined = [w for w in rest if b"|" not in w] if self._bar is not None else []
+        out: list[bytes | None] = [None] * len(words)
+        if self._plain:
+            found = _PLAIN.findall(b"\n".join(words).decode())
+            plain = [i for i, (a, _) in enumerate(found) if a]
+            for i, ids in zip(plain, self._encode_plain([found[i][0] for i in plain], [found[i][1] for i in plain]), strict=True):
+                out[i] = ids
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        joined = [i for i in rest if b"|" not in words[i]] if self._bar is not None else []
         groups = [joined[i:i + 512] for i in range(0, len(joined), 512)]
-        alone = [w for w in rest if b"|" in w] if self._bar is not None else rest
-        found = self._encode_texts([b" | ".join(g).decode() for g in groups] + [w.decode() for w in alone])
+        alone = [i for i in rest if b"|" in words[i]] if self._bar is not None else rest
+        found = self._encode_texts([b" | ".join([words[i] for i in g]).decode() for g in groups]
+                                   + [words[i].decode() for i in alone])
         for group, ids in zip(groups, found, strict=False):
             cuts = np.flatnonzero(ids == self._bar)
             if len(cuts) != len(group) - 1:
                 raise ValueError("a word's ids hold the id of a bar")
             starts = [0, *(cuts + 1).tolist()]
-            for w, a, b in zip(group, starts, [*cuts.tolist(), len(ids)], strict=True):
-                out[w] = ids[a:b].tobytes()
-        out.update(zip(alone, (x.tobytes() for x in found[len(groups):]), strict=True))
-        return [out[w] for w in words]
+            for i, a, b in zip(group, starts, [*cuts.tolist(), len(ids)], strict=True):
+                out[i] = ids[a:b].tobytes()
+        for i, ids in zip(alone, found[len(groups):], strict=True):
+            out[i] = ids.tobytes()
+        return out
 
 
 _LOADED: dict[str, PartCache] = {}
@@ -178,6 +209,22 @@ def word_encoder(path: str) -> PartCache:
     return _LOADED[path]
 
 
+def encoded(words: Words, encoder: PartCache, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids (uint64) of consecutive texts, each ended by `end_id`, how many each text has). The
+    tokenizer drops white space, so a text's ids are those of its words."""
+    terms = words.terms()
+    each = encoder.of(terms.dictionary.cast(pa.large_binary()).to_pylist())
+    each.append(int(end_id).to_bytes(4, "little"))
+    known = np.frombuffer(b"".join(each), dtype="<u4").astype(np.uint64)
+    size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    # the end stands after each text's words, as one more term
+    parts = np.insert(terms.indices.to_numpy().astype(np.int64), words.word_offset[1:], len(each) - 1)
+    n = size[parts]
+    total = np.cumsum(n)
+    ids = known[np.repeat((np.cumsum(size) - size)[parts] - (total - n), n) + np.arange(total[-1])]
+    return ids, np.diff(total[words.word_offset[1:] + np.arange(words.n_texts)], prepend=0)
+
+
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
               files: int | None = None) -> DataFrame:
     """Encodes every text, appends `end_id`, writes the files and returns them as read (BLOCKS)."""
@@ -189,16 +236,11 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            for a, b in slices(texts, BLOCK_BYTES):
-                # bytes.split() cuts at space and 0x09-0x0D; the tokenizer drops white space
-                words = [t.split() for t in texts.slice(a, b - a).to_pylist()]
-                known = encoder.lookup(w for ws in words for w in ws)
-                coded = [b"".join(map(known.__getitem__, ws)) + end for ws in words]
-                lengths = np.asarray([len(c) // 4 for c in coded], dtype=np.int64)
-                packed, first = pack(np.frombuffer(b"".join(coded), dtype="<u4").astype(np.uint64), lengths)
+            texts = batch.column("text")
+            for a, b in slices(texts.cast(pa.large_binary()), BLOCK_BYTES):
+                ids, lengths = encoded(Words(texts.slice(a, b - a)), encoder, end_id)
+                packed, first = pack(ids, lengths)
                 rows = pa.StructArray.from_arrays(
                     [batch.column("id").slice(a, b - a), pa.array(lengths), pa.array(first)], names=["id", "n", "word"])
                 yield pa.RecordBatch.from_arrays(

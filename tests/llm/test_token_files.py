@@ -30,6 +30,40 @@ def test_words_hold_what_their_selectors_say():
     assert [int(w >> np.uint64(60)) for w in words] == [2, 6]  # thirty ids of two bits would do too, of one bit fit
 
 
+def test_documents_side_by_side_pack_as_alone():
+    made = np.random.default_rng(3)
+    documents = [made.integers(0, 1 << int(made.integers(1, 40)), int(made.integers(1, 90)), dtype=np.uint64) for _ in range(3 * simple8b.FEW)]
+    words, first = simple8b.pack(np.concatenate(documents), np.asarray([len(d) for d in documents]))
+    for d, a, b in zip(documents, first.tolist(), [*first[1:].tolist(), len(words)], strict=True):
+        assert words[a:b].tolist() == simple8b.pack(d, np.asarray([len(d)]))[0].tolist()
+
+
+def test_the_library_gets_few_texts_at_once():
+    from ledgerlens.llm import wordwise
+    asked = []
+
+    class Library:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.append(len(texts))
+            return [type("Coded", (), {"ids": [len(t)]}) for t in texts]
+    texts = ["x" * i for i in range(100)]
+    assert [x.tolist() for x in wordwise.encode_texts(Library(), texts)] == [[i] for i in range(100)]
+    assert max(asked) <= wordwise.BATCH_TEXTS and sum(asked) == 100
+
+
+def test_words_of_a_block_are_looked_up_once_each():
+    """Per occurrence, words go through arrays alone."""
+    import pyarrow as pa
+    from ledgerlens.llm.wordwise import PartCache
+    from ledgerlens.llm.words import Words
+    asked = []
+    cache = PartCache(lambda parts: asked.extend(parts) or [p[:1] * 4 * len(p) for p in parts], kept=0)
+    ids, lengths = simple8b.encoded(Words(pa.array(["a bb a", None, "", "bb\tbb a "])), cache, 7)
+    assert sorted(asked) == [b"a", b"bb"] and lengths.tolist() == [5, 1, 1, 6]
+    a, b = int.from_bytes(b"aaaa", "little"), int.from_bytes(b"bbbb", "little")
+    assert ids.tolist() == [a, b, b, a, 7, 7, 7, b, b, b, b, a, 7]
+
+
 def check(spark, data, **how):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(tokenizer_file(WORD))
