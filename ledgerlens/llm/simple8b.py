@@ -19,6 +19,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import byte_characters
 from .tables import shuffle_partitions, written
 from .wordwise import PartCache, encode_texts
-from .words import Words, slices
+from .words import ASCII_LOWER, Words, slices, spans
 
 #: Fixed values of the format: selector -> (ids in a word, bits of an id).
 PACKINGS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7),
@@ -134,28 +135,33 @@ def unpack(words: np.ndarray) -> np.ndarray:
 #: Words stand on lines of their own; others than these give two empty groups.
 _PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{}~]*)|.*)$", re.M)
 _PROBES = ["Then,", "ÊTRE", "straße...", "a<=", "Zu", "x!?"]
+#: The same classes of ASCII bytes: 1 letters, 2 marks, 0 white space, 3 any other.
+_CLASS = np.full(256, 3, dtype=np.uint8)
+_CLASS[[ord(c) for c in string.ascii_letters]] = 1
+_CLASS[[ord(c) for c in string.punctuation if c not in "'|"]] = 2
+_CLASS[[ord(c) for c in string.whitespace]] = 0
 
 
-class WordEncoder:
+class WordEncoder(PartCache):
     """Encodes words (no white space) with a tokenizer file, without special tokens.
 
-    Where the tokenizer lower-cases and splits letters from marks (probed), a plain word is
-    the model's tokens of its letters and of its marks, and these are kept too. Other words are
+    Where the tokenizer lower-cases and splits letters from marks (probed: `plain`), a plain word is
+    the model's tokens of its letters and of its marks. Other words are
     joined by bars and go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        super().__init__(self.encode)
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._bytes = {ord(c): "".join(byte_characters()[b] for b in c.encode())
                        for c in map(chr, range(0xA0, 0x100))}
         self._coded = [i.to_bytes(4, "little") for i in range(max(self._tokenizer.get_vocab().values()) + 1)]
-        self._pieces = PartCache(self._encode_pieces)
         bar = self._encode_texts(["|"])[0]
         self._bar = int(bar[0]) if len(bar) == 1 else None
-        self._plain = False
-        self._plain = self.encode([w.encode() for w in _PROBES]) == self._encode_plain(
+        self.plain = False
+        self.plain = self.encode([w.encode() for w in _PROBES]) == self._encode_plain(
             *map(list, zip(*_PLAIN.findall("\n".join(_PROBES)), strict=True)))
 
     def _encode_texts(self, texts: list[str]) -> list[np.ndarray]:
@@ -170,13 +176,13 @@ class WordEncoder:
         parts = dict.fromkeys(letters)
         parts.update(dict.fromkeys(marks))
         parts.pop("", None)
-        known = dict(zip(parts, self._pieces.of(list(parts)), strict=True))
+        known = dict(zip(parts, self._encode_pieces(list(parts)), strict=True))
         known[""] = b""
         return [known[a] + known[b] for a, b in zip(letters, marks, strict=True)]
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(words)
-        if self._plain:
+        if self.plain:
             found = _PLAIN.findall(b"\n".join(words).decode())
             plain = [i for i, (a, _) in enumerate(found) if a]
             for i, ids in zip(plain, self._encode_plain([found[i][0] for i in plain], [found[i][1] for i in plain]), strict=True):
@@ -199,30 +205,52 @@ class WordEncoder:
         return out
 
 
-_LOADED: dict[str, PartCache] = {}
+_LOADED: dict[str, WordEncoder] = {}
 
 
-def word_encoder(path: str) -> PartCache:
+def word_encoder(path: str) -> WordEncoder:
     """The encoder of a tokenizer file, kept for the life of the process."""
     if path not in _LOADED:
-        _LOADED[path] = PartCache(WordEncoder(path).encode)
+        _LOADED[path] = WordEncoder(path)
     return _LOADED[path]
 
 
-def encoded(words: Words, encoder: PartCache, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def _cut_words(words: Words) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(parts, parts up to each text's end): plain ASCII words become their letters, lower-cased, and their marks, so
+    that few distinct parts are left; other words stay as they are."""
+    if not len(words.start):
+        return words.terms(), words.word_offset[1:]
+    kind = _CLASS[words.data]
+    letter = kind == 1
+    odd = kind == 3
+    odd[1:] |= letter[1:] & (kind[:-1] == 2)  # a letter after a mark
+    n_letters = np.add.reduceat(letter, words.start, dtype=np.int64)
+    plain = (n_letters > 0) & ~np.logical_or.reduceat(odd, words.start) & letter[words.start]
+    cut = words.start + n_letters
+    marked = plain & (cut < words.end)
+    length = words.end - words.start
+    letters = words.data[words.inside]
+    letters = np.where(np.repeat(plain, length), ASCII_LOWER[letters], letters)
+    begin = np.sort(np.concatenate([words.start, cut[marked]]))
+    end = np.sort(np.concatenate([words.end, cut[marked]]))
+    before = np.append(0, np.cumsum(marked))
+    return spans(letters, end - begin), (words.word_offset + before[words.word_offset])[1:]
+
+
+def encoded(words: Words, encoder: PartCache, end_id: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(ids (uint64) of consecutive texts, each ended by `end_id`, how many each text has). The
-    tokenizer drops white space, so a text's ids are those of its words."""
-    terms = words.terms()
+    tokenizer drops white space, so a text's ids are those of its words; `plain`: see WordEncoder."""
+    terms, last = _cut_words(words) if plain else (words.terms(), words.word_offset[1:])
     each = encoder.of(terms.dictionary.cast(pa.large_binary()).to_pylist())
     each.append(int(end_id).to_bytes(4, "little"))
     known = np.frombuffer(b"".join(each), dtype="<u4").astype(np.uint64)
     size = np.fromiter(map(len, each), np.int64, len(each)) // 4
     # the end stands after each text's words, as one more term
-    parts = np.insert(terms.indices.to_numpy().astype(np.int64), words.word_offset[1:], len(each) - 1)
+    parts = np.insert(terms.indices.to_numpy().astype(np.int64), last, len(each) - 1)
     n = size[parts]
     total = np.cumsum(n)
     ids = known[np.repeat((np.cumsum(size) - size)[parts] - (total - n), n) + np.arange(total[-1])]
-    return ids, np.diff(total[words.word_offset[1:] + np.arange(words.n_texts)], prepend=0)
+    return ids, np.diff(total[last + np.arange(words.n_texts)], prepend=0)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
@@ -239,7 +267,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
         for batch in batches:
             texts = batch.column("text")
             for a, b in slices(texts.cast(pa.large_binary()), BLOCK_BYTES):
-                ids, lengths = encoded(Words(texts.slice(a, b - a)), encoder, end_id)
+                ids, lengths = encoded(Words(texts.slice(a, b - a)), encoder, end_id, encoder.plain)
                 packed, first = pack(ids, lengths)
                 rows = pa.StructArray.from_arrays(
                     [batch.column("id").slice(a, b - a), pa.array(lengths), pa.array(first)], names=["id", "n", "word"])

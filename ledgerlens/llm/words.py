@@ -25,8 +25,9 @@ NOT_ALPHANUMERIC = np.zeros(256, dtype=bool)
 NOT_ALPHANUMERIC[:128] = True
 NOT_ALPHANUMERIC[ord("0"):ord("9") + 1] = NOT_ALPHANUMERIC[ord("a"):ord("z") + 1] = False
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A"):ord("Z") + 1] += 32
+#: byte -> byte, A-Z lower-cased
+ASCII_LOWER = np.arange(256, dtype=np.uint8)
+ASCII_LOWER[ord("A"):ord("Z") + 1] += 32
 
 _MASK = (1 << 64) - 1
 # the key of the word hash and the odd multipliers of the polynomials over it (fixed, so that every task and rerun agrees)
@@ -59,7 +60,7 @@ class Words:
         whole = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
         data = whole[offsets[0]:offsets[-1]]
         self.offsets = offsets - offsets[0]
-        self.data = _LOWER[data] if lower else data
+        self.data = ASCII_LOWER[data] if lower else data
         self.inside = inside = ~between[self.data]
         first = np.zeros(len(data) + 1, dtype=bool)
         first[self.offsets] = True
@@ -77,9 +78,7 @@ class Words:
 
     def terms(self) -> pa.DictionaryArray:
         """The words themselves, each distinct one stored once."""
-        offsets = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
-        letters = pa.py_buffer(self.data[self.inside])
-        return pa.LargeStringArray.from_buffers(len(self.start), pa.py_buffer(offsets), letters).dictionary_encode()
+        return spans(self.data[self.inside], self.end - self.start)
 
     def hash_pair(self) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes a word. Words of up to 16 bytes become two numbers, which with the length determine
@@ -112,6 +111,12 @@ class Words:
         return first, run_hash(hashes, first, first + width, which)
 
 
+def spans(letters: np.ndarray, lengths: np.ndarray) -> pa.DictionaryArray:
+    """Consecutive stretches of UTF-8 bytes as strings, each distinct one stored once."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
+
+
 def run_hash(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hash of each run [first, last) of word hashes; `which` picks one of two hashes."""
     power, inverse = powers(_WORD_BASES[which], len(hashes) + 1)

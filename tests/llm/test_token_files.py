@@ -108,3 +108,14 @@ def test_small_cache_gives_the_same():
 def test_empty(spark, data):
     files = simple8b.write_ids(spark.createDataFrame(data, SCHEMA), tokenizer_file(WORD), 2)
     assert [(r.id, r.start, r.n_tokens, r.ids) for r in simple8b.read_ids(files).collect()] == [(5, 0, 1, [2])] * len(data)
+
+
+def test_plain_words_are_cut_and_lower_cased_before_they_are_counted():
+    import pyarrow as pa
+    from ledgerlens.llm.wordwise import PartCache
+    from ledgerlens.llm.words import Words
+    asked = []
+    cache = PartCache(lambda parts: asked.extend(parts) or [b"\0\0\0\0" for _ in parts], kept=0)
+    _, lengths = simple8b.encoded(Words(pa.array(["The the, THE,. A1 a-B", "", " It's the| É, -- "])), cache, 7, plain=True)
+    assert sorted(asked) == sorted(w.encode() for w in ("the", ",", ",.", "A1", "a-B", "It's", "the|", "É,", "--"))
+    assert lengths.tolist() == [8, 1, 5]
