@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ...plans.joins import ALL_KEY, drop_seg, seg_keys
 from ...session import ensure_checkpoint_dir
 from .arrays import computed, let, solved, total, triangle_at
-from .base import SARIMAX, Z95
+from .base import SARIMAX, Z95, fit_partitions
 
 # The candidate grid, in the reference's order.
 ORDERS = [(1, 1, 0), (1, 1, 1), (2, 1, 1), (0, 1, 1), (2, 0, 1)]
@@ -155,8 +155,7 @@ def fit_candidates(request: DataFrame, keys: Sequence[str], config: DataFrame |
     k = list(keys)
     spark = request.sparkSession
     rows = candidate_rows()
-    # few bytes and much to compute: dealt by a fixed number, which adaptive execution leaves as it is
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = fit_partitions(spark)
     points = request.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("t", F.col("y").cast("double").alias("y")))).alias("points"),
                                      F.first("n").alias("n"), F.first("h").alias("h"), F.max("ds").alias("last_ds"))
     series = computed(points, [*k, "n", "h", "last_ds", (F.col("n") >= MIN_SEASONAL).alias("long")],

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Horizon floor and divisor, short-series threshold, MAPE floor, band width.
@@ -29,6 +29,20 @@ MOVING_AVERAGE = "Moving Average"
 MODEL_ORDER = [SARIMAX, ETS, FOREST, BOOSTING]
 
 
+# Tasks a core for frames of a row a segment (and candidate), and how many are asked for at least.
+TASKS_A_CORE = 3
+LEAST_TASKS = 24
+
+
+def fit_partitions(spark: SparkSession) -> int:
+    """Partitions of frames with few bytes and much to compute a row, which adaptive execution must not coalesce.
+
+    They follow the cores. The shuffle setting follows the raw rows: taken for these frames it makes tasks without
+    a row, and the unions and joins of the models multiply them."""
+    cores = spark.sparkContext.defaultParallelism
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(LEAST_TASKS, TASKS_A_CORE * cores))
+
+
 def clamp_horizon(n: F.Column, horizon: int) -> F.Column:
     """M2: max(3, min(horizon, max(3, n // 4)))."""
     quarter = F.floor(n / HORIZON_DIVISOR).cast("int")

@@ -78,9 +78,10 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
     # P20: rows without a usable value are dropped before modelling
     usable = F.col("y").isNotNull() & ~F.isnan("y")
     series, k = seg_keys(series.select(*user_keys, "ds", "y").where(usable), user_keys)
-    plan_all = plan_requests(series, k, horizon)
+    # a row a calendar day: written, so that models, payload and totals pass over the raw rows once
+    plan_all = plan_requests(series, k, horizon).checkpoint()
     # Fewer than five calendar days -> no forecast, only a payload row
-    plan = plan_all.where(F.col("n") >= MIN_DAYS).persist()
+    plan = plan_all.where(F.col("n") >= MIN_DAYS)
     too_few = (plan_all.where(F.col("n") < MIN_DAYS).groupBy(*k)
                .agg(F.max("ds").alias("training_end"))
                .select(*k, F.lit(NOT_ENOUGH).alias("best_model"), F.lit(0).alias("horizon"), "training_end",
@@ -107,7 +108,6 @@ def compare_forecasting_models(series: DataFrame, keys: Sequence[str] = (), hori
                                       F.min_by("extra", F.struct("mape", "model_rank")).alias("extra"))
     result = drop_seg(comparison.select(*k, "model", "mae", "rmse", "mape", "extra"))
     if not refit:
-        plan.unpersist()
         return ForecastResult(result, None, None, drop_seg(failed))
 
     full = full_request(plan, k)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import computed, dot, let, solved, total, triangle_at
-from .base import ETS, band
+from .base import ETS, band, fit_partitions
 
 SEASON = 7
 MIN_SEASONAL = 28
@@ -168,8 +168,7 @@ def ets_state(request: DataFrame, keys: Sequence[str], refine: bool = False) ->
     an optimum (converged) and how many passes it took; without it the grid point stands, which is what the SQL
     of `ets_grid_forecast` states."""
     keys = list(keys)
-    # much to compute on few bytes: dealt by a fixed number, which adaptive execution leaves as it is
-    parts = int(request.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = fit_partitions(request.sparkSession)
     pts = request.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("t", "y"))).alias("__pts"),
         F.first("n").alias("n"), F.first("h").alias("h"), F.max("ds").alias("last_ds"))

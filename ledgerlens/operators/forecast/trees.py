@@ -26,7 +26,7 @@ from ...plans.joins import drop_seg, seg_keys
 from ...session import ensure_checkpoint_dir
 from .. import series as S
 from .arrays import computed, let, total
-from .base import BOOSTING, FOREST, band
+from .base import BOOSTING, FOREST, band, fit_partitions
 
 # Model sizes and seeds from the reference; lag rule min(21, max(7, n // 3)).
 FOREST_TREES = 400
@@ -102,18 +102,16 @@ def fit_trees(request: DataFrame, keys: Sequence[str], kind: str, n_lags: int |
     model, which is saved under `save_to` (`model_path`), or under the checkpoint folder."""
     k = list(keys)
     spark = request.sparkSession
-    folder = save_to or f"{ensure_checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    shared = ensure_checkpoint_dir(spark)
+    folder = save_to or f"{shared.rstrip('/')}/trees-{uuid.uuid4().hex}"
     if isinstance(n_lags, DataFrame):
         request = request.join(n_lags.select(*k, "lags"), k)
     else:
         request = request.withColumn("lags", F.lit(int(n_lags)) if n_lags is not None else lag_count(F.col("n")))
-    # the learner passes over its input several times: keep the (daily-grain) request
-    request = request.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counts = sorted(r.lags for r in request.select("lags").distinct().collect())
-        parts = [_pooled(request.where(F.col("lags") == n), k, kind, n, params, folder) for n in counts]
-    finally:
-        request.unpersist()
+    # the learner passes over its input several times: written (a row a day), in as few partitions as its bytes need
+    request = request.checkpoint()
+    counts = sorted(r.lags for r in request.select("lags").distinct().collect())
+    parts = [_pooled(request.where(F.col("lags") == n), k, kind, n, params, folder) for n in counts]
     parts = [p for p in parts if p is not None]
     if not parts:
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in (request.schema[c] for c in k)]
@@ -155,7 +153,9 @@ def _pooled(request: DataFrame, k: list[str], kind: str, lags: int, params: dict
     if not rows:
         return None
     cores = spark.sparkContext.defaultParallelism
-    train = train.repartition(max(1, min(cores, rows // LEAST_ROWS[kind]))).persist(StorageLevel.MEMORY_AND_DISK)
+    # dealt and sorted by key and day: the forest draws by partition and place, so reruns agree however the rows came
+    train = (train.repartition(max(1, min(cores, rows // LEAST_ROWS[kind])), *k, "ds").sortWithinPartitions(*k, "ds")
+             .persist(StorageLevel.MEMORY_AND_DISK))
     model = _estimator(kind, params).fit(train)
     path = model_path(folder, kind, lags)
     model.write().overwrite().save(path)
@@ -233,7 +233,7 @@ def forecast_trees(states: DataFrame, nodes: DataFrame, keys: Sequence[str]) ->
         return let(F.greatest(let(x, _ensemble), F.lit(0.0)), lambda v: F.struct(
             F.concat(F.slice(acc["hist"], 2, F.size(acc["hist"]) - 1), F.array(v)).alias("hist"),
             F.concat(acc["path"], F.array(v)).alias("path")))
-    parts = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = fit_partitions(states.sparkSession)
     # a row a pooled model (30 at most), each bounded by the number and depth of its trees
     rows = states.repartition(parts, *k).join(F.broadcast(nodes), "model_id")
     paths = computed(rows, [*k, "last_ds", "kind", "lags", "scale", "sigma"],

@@ -174,3 +174,49 @@ def test_depth_and_bins_of_the_trees_are_arguments(spark):
         model = TR._estimator(kind, {"max_depth": 30, "max_bins": 256})
         assert (model.getMaxDepth(), model.getMaxBins()) == (30, 256)
         assert TR._estimator(kind, {}).getMaxBins() == TR.BINS
+
+
+@pytest.fixture
+def many_shuffle_partitions(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "300")
+    yield 300
+    spark.conf.set(name, before)
+
+
+def test_fits_are_dealt_by_cores_not_by_the_shuffle_setting(spark, many_shuffle_partitions):
+    request = _request(spark, [float(5 + i % 7) for i in range(40)], 3)
+    most = max(B.LEAST_TASKS, B.TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    assert B.fit_partitions(spark) == most < many_shuffle_partitions
+    assert ET.ets_state(request, ["seg"], refine=True).rdd.getNumPartitions() <= most
+    assert AR.fit_candidates(request, ["seg"]).rdd.getNumPartitions() <= most
+    states, nodes = TR.fit_trees(request, ["seg"], "forest", num_trees=2, max_depth=2)
+    assert TR.forecast_trees(states, nodes, ["seg"]).rdd.getNumPartitions() <= most
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    assert B.fit_partitions(spark) == 5
+
+
+def test_forest_draws_do_not_depend_on_how_rows_lie(spark):
+    made = np.random.default_rng(1)
+    request = _request(spark, (50 + 20 * made.random(1300)).tolist(), 4)
+    paths = [[r.forecast for r in TR.forest_forecast(request.repartition(n), ["seg"], num_trees=3, max_depth=4).orderBy("step").collect()]
+             for n in (1, 6)]
+    assert paths[0] == pytest.approx(paths[1], rel=1e-12)
+
+
+def test_comparison_reads_its_series_once_and_keeps_nothing(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+    series = _series(spark, [float(10 + i % 5) for i in range(30)])
+    series = series.mapInArrow(passed, series.schema).groupBy("seg", "ds").agg(F.sum("y").alias("y"))
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs())
+    small = {"forest": {"num_trees": 2, "max_depth": 2}, "boosting": {"max_iter": 1}}
+    r = CM.compare_forecasting_models(series, ["seg"], 30, tree_params=small)
+    assert r.forecast.count() and r.summary.count() == 1
+    assert reads.value == 30
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= kept
