@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small_batches
+from .tables import lean, small_batches
 from .wordwise import PartCache, encode_texts
 from .words import slices
 
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
                                                               pa.array((begin - base).astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
 
-    return small_batches(slim).mapInArrow(encoded, f"id {id_type}, ids binary, n_split long" + ", offsets array<int>" * with_offsets)
+    return small_batches(slim).mapInArrow(lean(encoded), f"id {id_type}, ids binary, n_split long" + ", offsets array<int>" * with_offsets)
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
@@ -194,7 +194,7 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
                     [*part.columns, pa.array([bpe.decode(x) for x in part.column("ids").to_pylist()], pa.binary())],
                     names=[*part.schema.names, "decoded"])
 
-    return small_batches(encoded).mapInArrow(decoded, f"id {id_type}, ids binary, n_split long, decoded binary")
+    return small_batches(encoded).mapInArrow(lean(decoded), f"id {id_type}, ids binary, n_split long, decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,5 +217,5 @@ def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
                     "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
                     "n_split": pa.array(bpe.split_counts(ids, texts))})
 
-    out = small_batches(slim).mapInArrow(tripped, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")
+    out = small_batches(slim).mapInArrow(lean(tripped), f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")
     return out.withColumnRenamed("id", id_col)

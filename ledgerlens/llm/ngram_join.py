@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import components
-from .tables import small_batches, text_bytes, written
+from .tables import lean, small_batches, text_bytes, written
 from .words import Words, mix, run_hash, slices
 
 HUB_ROUNDS = 2
@@ -85,7 +85,7 @@ def _sets(rows: DataFrame, seen: object, width: int, percent: int, with_tokens:
                     out["tokens"] = pa.array(tokens, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(out)
 
-    return small_batches(rows).mapInArrow(sets, f"id {id_type}, text_hash long, n long, sig binary" + ", tokens array<long>" * with_tokens)
+    return small_batches(rows).mapInArrow(lean(sets), f"id {id_type}, text_hash long, n long, sig binary" + ", tokens array<long>" * with_tokens)
 
 
 def _ranked(classes: DataFrame, percent: int) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import small_batches, written
+from .tables import lean, small_batches, written
 from .words import slices
 
 #: Labelled documents that are used: those with the smallest hash of their identifier.
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(raw[seen]), pa.array(target[seen])],
                                          names=["bucket", "raw", "target"])
 
-    sums = (small_batches(joined).mapInArrow(count, "bucket int, raw long, target long")
+    sums = (small_batches(joined).mapInArrow(lean(count), "bucket int, raw long, target long")
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))).toPandas()  # BUCKETS rows
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     raw[sums["bucket"]] += sums["raw"]
@@ -126,7 +126,7 @@ def with_log_weight(docs: DataFrame, ratio: np.ndarray, text_col: str = "text",
                 weight[a:b] = total / (np.bincount(text, minlength=b - a) + PRIOR_NGRAMS)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight)], names=[*batch.schema.names, out])
 
-    return small_batches(docs).mapInArrow(weigh, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return small_batches(docs).mapInArrow(lean(weigh), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def gumbel_key(id_col, log_weight):

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tables import power_of_two, small_batches
+from .tables import lean, power_of_two, small_batches
 from .words import slices
 
 ROWS = 2
@@ -111,7 +111,7 @@ def build(texts: DataFrame, hashes: Callable[[pa.Array], np.ndarray], expected:
         return pa.table({"row": table.column("row").slice(0, 1), "block": table.column("block").slice(0, 1),
                          "bits": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
 
-    merged = (small_batches(texts).mapInArrow(count, "row int, block int, cells binary").groupBy("row", "block")
+    merged = (small_batches(texts).mapInArrow(lean(count), "row int, block int, cells binary").groupBy("row", "block")
               .applyInArrow(merge, "row int, block int, bits binary"))
     size = (1 << block_bits) // 8
     rows = [np.zeros(cells // 8, dtype=np.uint8) for _ in range(ROWS)]

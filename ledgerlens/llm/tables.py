@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,23 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """`task` (of a mapInArrow), giving back what Arrow's memory pool keeps after each batch that was read.
+
+    The pool keeps freed memory for later, and a Python worker outlives its tasks: without this, idle workers
+    hold their largest task's memory while the JVM runs the next stages.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                pa.default_memory_pool().release_unused()
+        yield from task(read())
+        pa.default_memory_pool().release_unused()
+    return run
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -90,3 +90,24 @@ def test_registered():
     for n in range(1, 14):
         assert sum(re.match(rf"op{n}_", x) is not None for x in names) == 1
     assert names["pipeline"] is corpus_pipeline.run and "op6_exact_dedup" in entry.oracle_sql()
+
+
+def test_tasks_give_arrow_memory_back_after_each_batch(monkeypatch):
+    import pyarrow as pa
+
+    from ledgerlens.llm import byte_bpe, ngram_join, sketch, tables
+    done = []
+
+    class Pool:
+        def release_unused(self):
+            done.append("released")
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+
+    def task(batches):
+        for b in batches:
+            done.append(b)
+            yield b + 1
+    assert list(tables.lean(task)(iter([1, 2]))) == [2, 3]
+    assert done == [1, "released", 2, "released", "released"]
+    for module in (byte_bpe, ngram_join, sketch):
+        assert module.lean is tables.lean
